@@ -14,6 +14,33 @@ def lit_or_col(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+_PY_ROUND_SQL = """
+CREATE OR REPLACE TEMPORARY FUNCTION dq_py_round(x DOUBLE, k INT) RETURNS DOUBLE RETURN
+  CASE
+    WHEN k = 0 OR abs(x) >= 1e15D THEN bround(x, 0) * (CASE WHEN k = 0 THEN 1.0D ELSE 0.0D END)
+                                       + (CASE WHEN k = 0 THEN 0.0D ELSE x END)
+    WHEN x * pow(10.0D, k) - floor(x * pow(10.0D, k)) != 0.5D THEN bround(x * pow(10.0D, k), 0) / pow(10.0D, k)
+    WHEN ((x * 134217729.0D - (x * 134217729.0D - x)) * pow(10.0D, k) - x * pow(10.0D, k))
+         + (x - (x * 134217729.0D - (x * 134217729.0D - x))) * pow(10.0D, k) > 0.0D
+      THEN (floor(x * pow(10.0D, k)) + 1.0D) / pow(10.0D, k)
+    WHEN ((x * 134217729.0D - (x * 134217729.0D - x)) * pow(10.0D, k) - x * pow(10.0D, k))
+         + (x - (x * 134217729.0D - (x * 134217729.0D - x))) * pow(10.0D, k) < 0.0D
+      THEN floor(x * pow(10.0D, k)) / pow(10.0D, k)
+    ELSE bround(x * pow(10.0D, k), 0) / pow(10.0D, k)
+  END
+"""
+
+_registered: set = set()
+
+
+def register_sql_functions(spark) -> None:
+    """Register the session's SQL helper functions (idempotent)."""
+    key = id(spark._jsparkSession)
+    if key not in _registered:
+        spark.sql(_PY_ROUND_SQL)
+        _registered.add(key)
+
+
 def py_round(x, scale: int = 0) -> Column:
     """Python ``round(x, scale)`` on a double, exactly.
 
@@ -21,23 +48,14 @@ def py_round(x, scale: int = 0) -> Column:
     correct except when ``y`` lands exactly on ``.5``; then the sign of the
     product's rounding error (Dekker's error-free product, no FMA needed
     because 10**scale has at most 20 significant bits) says on which side
-    the true value lies.  Exact ties fall back to half-even.
+    the true value lies.  Exact ties fall back to half-even.  Written as a
+    SQL function so the argument is bound once and the body is inlined into
+    generated code.
     """
-    x = lit_or_col(x).cast("double")
-    if scale == 0:
-        return F.bround(x, 0)
-    p = F.lit(float(10 ** scale))
-    y = x * p
-    t = x * F.lit(134217729.0)
-    hi = t - (t - x)
-    lo = x - hi
-    err = (hi * p - y) + lo * p
-    fl = F.floor(y).cast("double")
-    r = (F.when((y - fl) != F.lit(0.5), F.bround(y, 0))
-          .when(err > 0, fl + F.lit(1.0))
-          .when(err < 0, fl)
-          .otherwise(F.bround(y, 0)))
-    return F.when(F.abs(x) >= F.lit(1e15), x).otherwise(r / p)
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession()
+    register_sql_functions(spark)
+    return F.call_function("dq_py_round", lit_or_col(x).cast("double"), F.lit(int(scale)))
 
 
 def round_even(x, scale: int = 0) -> Column:

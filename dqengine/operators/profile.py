@@ -26,7 +26,12 @@ from ..functions.keys import (CATEGORICAL, NUMERIC, ColumnSpec, display_value,
                               is_long_key, specs_of, value_key)
 from ..functions.scalar import pct, py_round, safe_div
 from .frequency import frequency_table
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, small_exact_quantiles
+
+# A column with at most this many distinct values has its sorted values
+# handled by one task (about 16 bytes per value); above it the distributed
+# rank selection runs instead.
+SMALL_DISTINCT = 1_000_000
 
 META_SCHEMA = T.StructType([
     T.StructField("dataset", T.StringType(), False),
@@ -138,6 +143,8 @@ class ColumnProfiler:
         self.types = {f.name: f.dataType for f in df.schema.fields}
         self.quantile_partitions = quantile_partitions
         self._freq: DataFrame | None = None
+        self._distinct: DataFrame | None = None
+        self._n_values: dict[int, int] = {}
 
     @property
     def dataset(self) -> str:
@@ -161,19 +168,41 @@ class ColumnProfiler:
     # -- A3 + class counts (A12 input) -------------------------------------
     def distinct_counts(self) -> DataFrame:
         """(pos, n_values, max_cnt, min_cnt): partial aggregation makes the
-        shuffle on pos tiny even though pos has few values."""
-        return self.freq.groupBy("pos").agg(
-            F.count(F.lit(1)).alias("n_values"), F.max("cnt").alias("max_cnt"),
-            F.min("cnt").alias("min_cnt"))
+        shuffle on pos tiny even though pos has few values.  Collected once
+        (one row per column) because it also picks the quantile method."""
+        if self._distinct is None:
+            rows = self.freq.groupBy("pos").agg(
+                F.count(F.lit(1)).alias("n_values"), F.max("cnt").alias("max_cnt"),
+                F.min("cnt").alias("min_cnt")).collect()
+            self._distinct = self.df.sparkSession.createDataFrame(
+                [tuple(r) for r in rows], "pos INT, n_values BIGINT, max_cnt BIGINT, min_cnt BIGINT")
+            self._n_values = {r["pos"]: r["n_values"] for r in rows}
+        return self._distinct
 
     # -- A5, A6 ------------------------------------------------------------
-    def numeric_freq(self) -> DataFrame:
-        num = self._pos_in((NUMERIC,))
+    def numeric_freq(self, positions: list[int] | None = None) -> DataFrame:
+        num = self._pos_in((NUMERIC,)) if positions is None else positions
         return self.freq.where(F.col("pos").isin(num) & ~F.isnan("dval")).select("pos", "dval", "cnt")
 
+    def quantiles(self) -> DataFrame:
+        """(pos, n, q25, q75) over non-null, non-NaN values of numeric columns."""
+        self.distinct_counts()
+        num = self._pos_in((NUMERIC,))
+        small = [p for p in num if self._n_values.get(p, 0) <= SMALL_DISTINCT]
+        large = [p for p in num if p not in small]
+        parts = []
+        if small:
+            parts.append(small_exact_quantiles(self.numeric_freq(small)))
+        if large:
+            parts.append(exact_quantiles(self.numeric_freq(large), (0.25, 0.75), self.quantile_partitions))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
     def fences(self) -> DataFrame:
         """(pos, n, q1, q3, lo, hi, usable) for numeric columns."""
-        q = exact_quantiles(self.numeric_freq(), (0.25, 0.75), self.quantile_partitions)
+        q = self.quantiles()
         iqr = F.col("q75") - F.col("q25")
         return q.select(
             "pos", "n", F.col("q25").alias("q1"), F.col("q75").alias("q3"),

@@ -72,5 +72,36 @@ def exact_quantiles(num_freq: DataFrame, probs: tuple[float, ...] = (0.25, 0.75)
     return agg.select(*out)
 
 
+def small_exact_quantiles(num_freq: DataFrame, probs: tuple[float, ...] = (0.25, 0.75),
+                          keys: tuple[str, ...] = ("pos",)) -> DataFrame:
+    """Same output as ``exact_quantiles`` for groups whose number of distinct
+    values is known to be small (the caller checks it): one ``groupBy`` whose
+    sorted (value, count) list is walked once with ``aggregate``."""
+    arr = F.array_sort(F.collect_list(F.struct("dval", "cnt")))
+    g = num_freq.groupBy(*keys).agg(arr.alias("vals"), F.sum("cnt").alias("n"))
+    acc_fields = ["run"] + [f"{w}_{_tag(p)}" for p in probs for w in ("lo", "hi")]
+    init = "named_struct(" + ", ".join(
+        f"'{f}', {'0L' if f == 'run' else 'CAST(NULL AS DOUBLE)'}" for f in acc_fields) + ")"
+    ranks = {}
+    for p in probs:
+        h = f"(CAST(n - 1 AS DOUBLE) * {float(p)!r}D)"
+        ranks[f"lo_{_tag(p)}"] = f"FLOOR({h})"
+        ranks[f"hi_{_tag(p)}"] = f"LEAST(FLOOR({h}) + 1, n - 1)"
+    step = "named_struct('run', acc.run + x.cnt" + "".join(
+        f", '{f}', CASE WHEN acc.{f} IS NULL AND acc.run + x.cnt > {ranks[f]} THEN x.dval ELSE acc.{f} END"
+        for f in acc_fields[1:]) + ")"
+    walked = g.select(*keys, "n", F.expr(f"aggregate(vals, {init}, (acc, x) -> {step})").alias("w"))
+    out = [*keys, "n"]
+    for p in probs:
+        tag = _tag(p)
+        h = (F.col("n") - 1).cast("double") * F.lit(float(p))
+        frac = h - F.floor(h).cast("double")
+        lo_v, hi_v = F.col(f"w.lo_{tag}"), F.col(f"w.hi_{tag}")
+        diff = hi_v - lo_v
+        q = F.when(frac >= 0.5, hi_v - diff * (F.lit(1.0) - frac)).otherwise(lo_v + diff * frac)
+        out.append(q.alias(f"q{tag}"))
+    return walked.select(*out)
+
+
 def _tag(p: float) -> str:
     return str(int(round(p * 100)))

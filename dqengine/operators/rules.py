@@ -93,16 +93,17 @@ def recommendations(summary: DataFrame, columns: DataFrame, correlations: DataFr
                     dropped: DataFrame) -> DataFrame:
     """(dataset, seq, rule_id, message).  ``summary`` has one row per
     dataset with total_rows, missing_pct, duplicate_rows."""
+    label = F.concat(F.col("col1"), F.lit(" ↔ "), F.col("col2"), F.lit(" ("),
+                     fmt_fixed(F.col("value"), 2), F.lit(")"))
     hc = (correlations.where(F.abs("value") >= C.CORR_HIGH_THRESH)
-          .groupBy("dataset").agg(F.array_sort(F.collect_list(
-              F.struct("rank", "col1", "col2", "value"))).alias("hc")))
+          .select("dataset", "rank", label.alias("label"))
+          .groupBy("dataset").agg(F.array_sort(F.collect_list(F.struct("rank", "label"))).alias("hc")))
     oc = (columns.where(F.coalesce(F.col("outlier_pct"), F.lit(0.0)) > C.OUTLIER_REC_PCT)
           .groupBy("dataset").agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("oc")))
     dr = dropped.groupBy("dataset").agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("dr"))
     s = summary.join(hc, "dataset", "left").join(oc, "dataset", "left").join(dr, "dataset", "left")
     rows, dup, mp = F.col("total_rows"), F.col("duplicate_rows"), F.col("missing_pct")
-    pairs = F.array_join(F.transform(F.slice(F.col("hc"), 1, 3), lambda c: F.concat(
-        c["col1"], F.lit(" ↔ "), c["col2"], F.lit(" ("), fmt_fixed(c["value"], 2), F.lit(")"))), "; ")
+    pairs = F.array_join(F.transform(F.slice(F.col("hc"), 1, 3), lambda c: c["label"]), "; ")
 
     def rec(rule, cond, msg):
         return F.when(cond, F.struct(F.lit(rule).alias("rule_id"), msg.alias("message")))
@@ -136,5 +137,6 @@ def recommendations(summary: DataFrame, columns: DataFrame, correlations: DataFr
         .alias("message")))
     arr = F.array_compact(recs)
     arr = F.when(F.size(arr) == 0, fallback).otherwise(arr)
-    return (s.select("dataset", F.posexplode(arr).alias("i", "r"))
+    return (s.select("dataset", arr.alias("arr"))
+             .select("dataset", F.posexplode("arr").alias("i", "r"))
              .select("dataset", (F.col("i") + 1).alias("seq"), "r.rule_id", "r.message"))

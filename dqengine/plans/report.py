@@ -24,6 +24,7 @@ from ..operators.profile import BaseStats, ColumnProfiler, base_stats
 from ..operators.rules import bias_flags, imbalance, recommendations
 from ..operators.score import (completeness_score, consistency_score,
                                health_score, noise_score, raw_health)
+from ..session import materialize, stage_dir
 
 SUMMARY_SCHEMA = T.StructType([
     T.StructField("dataset", T.StringType(), False),
@@ -66,15 +67,21 @@ class Profile:
     def __init__(self, spark: SparkSession, pieces: list[DatasetPieces]):
         self.spark = spark
         self.pieces = pieces
-        self.columns = _union([p.columns for p in pieces])
+        self.path = stage_dir(spark)
+        # The three distributed results are O(columns) rows per dataset; each
+        # is computed once for all datasets (one job per table kind, the
+        # datasets' plans run side by side) and read back from Parquet.
+        self.columns = materialize(_union([p.columns for p in pieces]), f"{self.path}/columns")
+        self.release()
+        self.correlations = materialize(top_correlations(_union([p.pairs for p in pieces])),
+                                        f"{self.path}/correlations")
+        dups = materialize(_union([p.duplicates for p in pieces]), f"{self.path}/duplicates")
         self.dropped = _union([p.dropped for p in pieces])
-        self.correlations = top_correlations(_union([p.pairs for p in pieces]))
         self.imbalance = imbalance(self.columns)
         base = spark.createDataFrame(
             [(p.stats.dataset, p.stats.total_rows, len(p.stats.kept), p.stats.missing_cells,
               p.stats.missing_cells_exact, float(p.stats.overall_missing_pct), len(p.stats.dropped))
              for p in pieces], SUMMARY_SCHEMA)
-        dups = _union([p.duplicates for p in pieces])
         outl = self.columns.groupBy("dataset").agg(
             F.coalesce(F.sum("outlier_count"), F.lit(0)).cast("long").alias("outlier_count"))
         self.flags = bias_flags(self.columns, self.correlations)

@@ -18,6 +18,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -55,3 +56,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stage_dir(spark: SparkSession) -> str:
+    """A fresh folder under the shared checkpoint folder for written
+    intermediate tables."""
+    import uuid
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/dq-stage-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df: DataFrame, path: str) -> DataFrame:
+    """Write a (small) result table to the shared folder and read it back.
+
+    This cuts the lineage: later plans read a few Parquet files instead of
+    re-planning and re-running the work that produced them, and a lost
+    executor cannot force that work to run again.
+    """
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

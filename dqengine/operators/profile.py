@@ -305,7 +305,7 @@ class ColumnProfiler:
             F.when(has_stats, F.coalesce("outlier_pct", F.lit(0.0))).alias("outlier_pct"),
             F.when(has_stats, F.coalesce("outlier_count", F.lit(0)).cast("long")).alias("outlier_count"),
             top_values.alias("top_values"),
-            "mean_raw", "std_raw", "min_raw", "max_raw", "q1", "q3",
+            "mean_raw", "std_raw", "min_raw", "max_raw", "q1", "q3", F.col("n").alias("n_valid"),
             F.col("max_cnt").alias("max_class_count"), F.col("min_cnt").alias("min_class_count"),
             F.coalesce(F.col("n_values"), F.lit(0)).cast("long").alias("n_values"))
 

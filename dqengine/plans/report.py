@@ -143,6 +143,23 @@ def profile(df: DataFrame, name: str, **kw) -> Profile:
     return Profile(df.sparkSession, [dataset_pieces(df, name, **kw)])
 
 
-def profile_many(frames: dict[str, DataFrame], **kw) -> Profile:
+def profile_many(frames: dict[str, DataFrame], parallel: int = 4, **kw) -> Profile:
+    """Profile several datasets.  The per-dataset driver steps (job 1 and
+    the distinct-count collection) are independent, so they are submitted
+    from a few threads at once and their Spark jobs share the cluster."""
+    from concurrent.futures import ThreadPoolExecutor
+
     spark = next(iter(frames.values())).sparkSession
-    return Profile(spark, [dataset_pieces(df, n, **kw) for n, df in frames.items()])
+    items = list(frames.items())
+    if parallel <= 1 or len(items) == 1:
+        pieces = [dataset_pieces(df, n, **kw) for n, df in items]
+    else:
+        with ThreadPoolExecutor(max_workers=parallel) as ex:
+            pieces = list(ex.map(lambda it: _prepared(it[1], it[0], **kw), items))
+    return Profile(spark, pieces)
+
+
+def _prepared(df: DataFrame, name: str, **kw) -> DatasetPieces:
+    p = dataset_pieces(df, name, **kw)
+    p.profiler.distinct_counts()
+    return p

@@ -10,10 +10,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import py_round
+from ..operators.advisor import CATALOGUE, advisor_inputs, recommend_algorithms
+from ..operators.answers import (INTENTS, answer_batch, answer_context,
+                                 clean_text, compact_report, intent)
+from ..operators.catalog import (admit_files, chat_violations, dataset_rows,
+                                 delete_cascade, list_datasets, orphans, owned,
+                                 summaries)
+from ..operators.views import (corr_top15, kpis, missing_top12, no_missing,
+                               score_cards, search)
+from ..sources.files import read_any
 from ..sources.tables import TABLES, read_table
 from . import oracle as O
 from .dirty import dirty
@@ -145,6 +154,186 @@ def q_health_report(spark, sf_dir):
         F.col("noise_score").cast("double").alias("noise_score"))
 
 
+def _reports(spark, sf_dir) -> DataFrame:
+    return all_profiles(spark, sf_dir).reports()
+
+
+def _catalogue(spark, sf_dir) -> DataFrame:
+    """One catalogue row per profiled table, owner 'u1'; ids derived from
+    the name so repeated runs agree."""
+    rep = _reports(spark, sf_dir)
+    return dataset_rows(rep, "u1", ids=F.substring(F.sha2(F.col("dataset"), 256), 1, 32))
+
+
+def q_algo_recommendations(spark, sf_dir):
+    """V1-V6, J2, K5 over the reports of every table."""
+    p = all_profiles(spark, sf_dir)
+    inp = advisor_inputs(p.summary, p.columns, p.flags, p.correlations)
+    r = recommend_algorithms(inp)
+    return r.select("dataset", F.col("rank").cast("long").alias("rank"), F.col("name").alias("algorithm"),
+                    F.col("score").cast("int").alias("score"))
+
+
+def q_catalog_list(spark, sf_dir):
+    """S4 + S5 + S15: the owner's catalogue, newest first."""
+    lst = list_datasets(_catalogue(spark, sf_dir), "u1")
+    return lst.select("name", "status", F.col("rows").cast("long").alias("rows"),
+                      F.col("columns").cast("long").alias("columns"),
+                      F.col("health_score").cast("int").alias("health_score"))
+
+
+def q_catalog_kpis(spark, sf_dir):
+    """A13 over the catalogue."""
+    k = kpis(owned(_catalogue(spark, sf_dir), "u1"))
+    return k.select(*[F.col(c).cast("long").alias(c) for c in k.columns])
+
+
+def q_catalog_search(spark, sf_dir):
+    """Names containing 'ER' in any case."""
+    return search(owned(_catalogue(spark, sf_dir), "u1"), "ER").select("name")
+
+
+def q_report_summary(spark, sf_dir):
+    """S7 + S17 + X9/X10: stored report JSON read back leniently."""
+    sm = summaries(_catalogue(spark, sf_dir))
+    return sm.select("name", "status", F.col("health_score").cast("long").alias("health_score"),
+                     F.col("missing_pct").cast("double").alias("missing_pct"),
+                     F.col("duplicate_rows").cast("long").alias("duplicate_rows"),
+                     F.col("outlier_count").cast("long").alias("outlier_count"),
+                     F.col("total_rows").cast("long").alias("total_rows"),
+                     F.col("total_columns").cast("long").alias("total_columns"),
+                     F.size("bias_flags").cast("long").alias("n_flags"),
+                     F.size("recommendations").cast("long").alias("n_recs"))
+
+
+def q_missing_top12(spark, sf_dir):
+    """P6, K9, H5."""
+    m = missing_top12(all_profiles(spark, sf_dir).columns)
+    return m.select("dataset", F.col("rank").cast("long").alias("rank"), "column",
+                    F.col("missing_pct").cast("double").alias("missing_pct"), "band")
+
+
+def q_corr_top15(spark, sf_dir):
+    """K10, H6."""
+    c = corr_top15(all_profiles(spark, sf_dir).correlations)
+    return c.select("dataset", F.col("rank").cast("long").alias("rank"), "pair",
+                    F.col("value").cast("double").alias("value"),
+                    F.col("abs_value").cast("double").alias("abs_value"), "band")
+
+
+def q_score_cards(spark, sf_dir):
+    """H3, H4, H7 + P7."""
+    p = all_profiles(spark, sf_dir)
+    sc = score_cards(p.summary).join(no_missing(p.columns), "dataset")
+    return sc.select("dataset", F.col("health_score").cast("int").alias("health_score"), "band",
+                     F.col("completeness_shown").cast("long").alias("completeness_shown"),
+                     F.col("consistency_shown").cast("long").alias("consistency_shown"),
+                     F.col("noise_shown").cast("long").alias("noise_shown"),
+                     "missing_alert", "no_missing")
+
+
+def _turns(spark, sf_dir, role: str) -> DataFrame:
+    return read_table(spark, sf_dir, "conversations").where(F.col("role") == role)
+
+
+def q_answer_routing(spark, sf_dir):
+    """Q1 over every user turn."""
+    t = _turns(spark, sf_dir, "user")
+    return t.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
+                    intent(F.col("text")).alias("intent"))
+
+
+def q_batch_answers(spark, sf_dir):
+    """Q2 + Q5 + J3: every user turn answered from the report of the
+    conversations table (rule-based answerer)."""
+    p = all_profiles(spark, sf_dir)
+    ctx = answer_context(p.summary, p.columns, p.correlations, p.flags, p.recommendations, p.dropped)
+    qs = _turns(spark, sf_dir, "user").select("conv_id", "turn", F.lit("conversations").alias("dataset"),
+                                              F.col("text").alias("question"))
+    a = answer_batch(qs, ctx)
+    return a.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
+                    "intent", "answer")
+
+
+def q_clean_text(spark, sf_dir):
+    """Q4 over every assistant turn (whole texts)."""
+    t = _turns(spark, sf_dir, "assistant")
+    return t.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
+                    clean_text(F.col("text")).alias("cleaned"))
+
+
+def q_compact_report(spark, sf_dir):
+    """P9 + Q3: compact report JSON of every table."""
+    c = compact_report(_reports(spark, sf_dir))
+    return c.select("dataset", F.col("tier").cast("int").alias("tier"), F.col("chars").cast("long").alias("chars"))
+
+
+def _stand_ins(spark, sf_dir):
+    """FIXTURES section 8: documents as datasets (owner = source), conversations
+    as chats (dataset = conv_id)."""
+    docs = read_table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), F.col("source").alias("user_id"))
+    chats = read_table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("string").alias("dataset_id"), "conv_id", "turn", "role")
+    return docs, chats
+
+
+def q_cascade_delete(spark, sf_dir):
+    """S8 + J5: delete every dataset owned by 'src0'; chats cascade."""
+    docs, chats = _stand_ins(spark, sf_dir)
+    doomed = owned(docs, "src0")
+    _, kept_chats, _ = delete_cascade(docs, chats, chats.limit(0), doomed)
+    return kept_chats.select(F.col("conv_id").cast("long").alias("conv_id"),
+                             F.col("turn").cast("long").alias("turn"), "role")
+
+
+def q_orphan_check(spark, sf_dir):
+    """Chats whose dataset does not exist."""
+    docs, chats = _stand_ins(spark, sf_dir)
+    return orphans(chats, docs).select(F.col("conv_id").cast("long").alias("conv_id"),
+                                       F.col("turn").cast("long").alias("turn"))
+
+
+def q_constraint_check(spark, sf_dir):
+    """Chat rows violating the role check."""
+    _, chats = _stand_ins(spark, sf_dir)
+    return chat_violations(chats).select(F.col("conv_id").cast("long").alias("conv_id"),
+                                         F.col("turn").cast("long").alias("turn"), "role", "violation")
+
+
+def q_chat_history(spark, sf_dir):
+    """S10 + K12: each conversation in order, question before answer."""
+    _, chats = _stand_ins(spark, sf_dir)
+    w = Window.partitionBy("conv_id").orderBy("turn", F.when(F.col("role") == "user", 0).otherwise(1))
+    return chats.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
+                        "role", F.row_number().over(w).cast("long").alias("seq"))
+
+
+def q_file_admission(spark, sf_dir):
+    """S3 over the data folder itself (no file there is CSV/Excel)."""
+    a = admit_files(spark, sf_dir)
+    return a.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "length", "suffix", "admitted",
+                    "reason")
+
+
+def q_csv_profile_lineitem(spark, sf_dir):
+    """S1 + S2: lineitem written as CSV (derived by Spark), read back with a
+    10,000-line inferred schema, then profiled."""
+    from ..session import stage_dir
+    path = f"{stage_dir(spark)}/lineitem.csv"
+    read_table(spark, sf_dir, "lineitem").write.option("header", True).csv(path)
+    df = read_any(spark, path)
+    p = profile_many({"lineitem_csv": df}, parallel=1)
+    c = p.columns
+    return c.select(
+        F.col("name").alias("column"), F.col("kind"),
+        F.col("null_count").cast("long").alias("null_count"),
+        F.col("unique_count").cast("long").alias("unique_count"),
+        py_round(F.col("mean_raw"), 4).alias("mean"), py_round(F.col("std_raw"), 4).alias("std"),
+        py_round(F.col("min_raw"), 4).alias("min"), py_round(F.col("max_raw"), 4).alias("max"),
+        F.col("outlier_count").cast("long").alias("outlier_count"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f"profile_{t}": q_profile(t) for t in ALL},
     "dropped_columns": q_dropped_columns,
@@ -156,6 +345,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bias_flags": q_bias_flags,
     "recommendation_rules": q_recommendation_rules,
     "health_report": q_health_report,
+    "algo_recommendations": q_algo_recommendations,
+    "catalog_list": q_catalog_list,
+    "catalog_kpis": q_catalog_kpis,
+    "catalog_search": q_catalog_search,
+    "report_summary": q_report_summary,
+    "missing_top12": q_missing_top12,
+    "corr_top15": q_corr_top15,
+    "score_cards": q_score_cards,
+    "answer_routing": q_answer_routing,
+    "batch_answers": q_batch_answers,
+    "clean_text": q_clean_text,
+    "compact_report": q_compact_report,
+    "cascade_delete": q_cascade_delete,
+    "orphan_check": q_orphan_check,
+    "constraint_check": q_constraint_check,
+    "chat_history": q_chat_history,
+    "file_admission": q_file_admission,
+    "csv_profile_lineitem": q_csv_profile_lineitem,
 }
 
 
@@ -279,6 +486,159 @@ def s_health_report() -> str:
     return O.with_ctes(_all(_FACT_PARTS), ALL, body)
 
 
+def _facts_union() -> str:
+    return _union_sql(ALL, lambda t: f"SELECT * FROM {t}_facts")
+
+
+def _cat_values() -> str:
+    rows = []
+    for i, (name, _cat, cx, _p, _c, mn, mx, hm, ho, hi, ss, types, base) in enumerate(CATALOGUE):
+        nm = name.replace("'", "''")
+        rows.append(f"({i}, '{nm}', '{cx}', {mn}, {'NULL' if mx is None else mx}, {str(hm).lower()}, "
+                    f"{str(ho).lower()}, {str(hi).lower()}, {str(ss).lower()}, '{','.join(types)}', {base})")
+    return ("cat AS (SELECT * FROM (VALUES " + ", ".join(rows) +
+            ") v(idx, name, complexity, min_rows, max_rows, hm, ho, hi, ss, types, base))")
+
+
+def s_algo_recommendations() -> str:
+    ctes = f"""allf AS ({_facts_union()}),
+{_cat_values()},
+adv0 AS (
+  SELECT f.dataset, c.idx, c.name, c.base
+    + CASE WHEN f.missing_pct > 5 AND NOT c.hm THEN -15 ELSE 0 END
+    + CASE WHEN f.out_pct > 5 AND NOT c.ho THEN -10 ELSE 0 END
+    + CASE WHEN f.has_imbalance AND NOT c.hi THEN -12 ELSE 0 END
+    + CASE WHEN c.ss AND f.out_pct > 3 THEN -8 ELSE 0 END
+    + CASE WHEN f.has_high_corr AND starts_with(c.name, 'Logistic') THEN -10 ELSE 0 END
+    + CASE WHEN f.total_rows > 100000 AND contains(c.name, 'Gradient') THEN 8 ELSE 0 END
+    + CASE WHEN f.total_rows < 1000 AND c.complexity = 'low' THEN 5 ELSE 0 END
+    + CASE WHEN f.total_rows > 500000 AND c.complexity = 'high' THEN -10 ELSE 0 END
+    + CASE WHEN f.dup_pct > 5 THEN -5 ELSE 0 END AS raw
+  FROM allf f JOIN cat c ON list_contains(string_split(c.types, ','), f.problem_type)
+  WHERE f.total_rows >= c.min_rows AND (c.max_rows IS NULL OR f.total_rows <= c.max_rows)),
+adv AS (SELECT *, greatest(0, least(100, raw)) AS score FROM adv0)"""
+    select = """SELECT dataset, CAST(rank AS BIGINT) AS rank, name AS algorithm, CAST(score AS INTEGER) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY score DESC, idx) AS rank FROM adv) WHERE rank <= 5"""
+    return _with_body(ctes, select)
+
+
+def _with_body(extra_ctes: str, select: str) -> str:
+    return "WITH " + ",\n".join([O.DIRTY_CTE] + _all(_FACT_PARTS)) + ",\n" + extra_ctes + "\n" + select
+
+
+def s_catalog_list() -> str:
+    return _with_body(f"allf AS ({_facts_union()})",
+                      "SELECT dataset AS name, 'ready' AS status, CAST(total_rows AS BIGINT) AS rows, "
+                      "CAST(total_columns AS BIGINT) AS columns, CAST(health_score AS INTEGER) AS health_score FROM allf")
+
+
+def s_catalog_kpis() -> str:
+    return _with_body(f"allf AS ({_facts_union()})",
+                      "SELECT CAST(count(*) AS BIGINT) AS total_datasets, CAST(count(*) AS BIGINT) AS ready, "
+                      "CAST(0 AS BIGINT) AS processing, CAST(coalesce(floor(avg(health_score) + 0.5), 0) AS BIGINT) "
+                      "AS avg_score FROM allf")
+
+
+def s_catalog_search() -> str:
+    return _with_body(f"allf AS ({_facts_union()})",
+                      "SELECT dataset AS name FROM allf WHERE contains(lower(dataset), 'er')")
+
+
+def s_report_summary() -> str:
+    recs = "\nUNION ALL\n".join(_recs(t) for t in ALL)
+    return _with_body(f"allf AS ({_facts_union()}),\nallr AS ({recs})",
+                      "SELECT f.dataset AS name, 'ok' AS status, CAST(health_score AS BIGINT) AS health_score, "
+                      "CAST(missing_pct AS DOUBLE) AS missing_pct, CAST(duplicate_rows AS BIGINT) AS duplicate_rows, "
+                      "CAST(outlier_count AS BIGINT) AS outlier_count, CAST(total_rows AS BIGINT) AS total_rows, "
+                      "CAST(total_columns AS BIGINT) AS total_columns, CAST(flag_count AS BIGINT) AS n_flags, "
+                      "CAST((SELECT count(*) FROM allr r WHERE r.dataset = f.dataset) AS BIGINT) AS n_recs FROM allf f")
+
+
+def s_missing_top12() -> str:
+    body = _union_sql(ALL, lambda t: f"SELECT '{t}' AS dataset, pos, name, missing_pct FROM {t}_cols "
+                                     f"WHERE NOT dropped AND missing_pct > 0")
+    return O.with_ctes(_all(("cols",)), ALL, f"""SELECT dataset, CAST(rank AS BIGINT) AS rank, name AS "column",
+  {O.R('missing_pct', 1)} AS missing_pct,
+  CASE WHEN missing_pct > 20 THEN 'high' WHEN missing_pct > 10 THEN 'medium' ELSE 'low' END AS band
+FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY missing_pct DESC, pos) AS rank FROM ({body}))
+WHERE rank <= 12""")
+
+
+def s_corr_top15() -> str:
+    body = _union_sql(ALL, lambda t: f"SELECT '{t}' AS dataset, rank, col1, col2, value FROM {t}_corr")
+    return O.with_ctes(_all(("cols", "corr")), ALL, f"""SELECT dataset, CAST(rank AS BIGINT) AS rank,
+  col1 || ' × ' || col2 AS pair, {O.R('value', 3)} AS value, {O.R('abs(value)', 3)} AS abs_value,
+  CASE WHEN abs(value) > 0.7 THEN 'strong' WHEN abs(value) > 0.4 THEN 'moderate' ELSE 'weak' END AS band
+FROM ({body}) WHERE rank <= 15""")
+
+
+def s_score_cards() -> str:
+    nm = _union_sql(ALL, lambda t: f"SELECT '{t}' AS dataset, bool_and(coalesce(missing_pct, 0) = 0) AS no_missing "
+                                   f"FROM {t}_cols WHERE NOT dropped")
+    return _with_body(f"allf AS ({_facts_union()}),\nnm AS ({nm})", """SELECT f.dataset,
+  CAST(health_score AS INTEGER) AS health_score,
+  CASE WHEN health_score >= 80 THEN 'High' WHEN health_score >= 60 THEN 'Moderate' ELSE 'Poor' END AS band,
+  CAST(floor(completeness_score + 0.5) AS BIGINT) AS completeness_shown,
+  CAST(floor(consistency_score + 0.5) AS BIGINT) AS consistency_shown,
+  CAST(floor(noise_score + 0.5) AS BIGINT) AS noise_shown,
+  missing_pct > 10 AS missing_alert, nm.no_missing
+FROM allf f JOIN nm USING (dataset)""")
+
+
+def _intent_sql(col: str) -> str:
+    parts = []
+    for name, words in INTENTS:
+        cond = " OR ".join(f"contains(lower({col}), '{w}')" for w in words)
+        parts.append(f"WHEN {cond} THEN '{name}'")
+    return "CASE " + " ".join(parts) + " ELSE 'default' END"
+
+
+def s_answer_routing() -> str:
+    return (f"SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, "
+            f"{_intent_sql('coalesce(text, \'\')')} AS intent FROM conversations WHERE role = 'user'")
+
+
+def s_clean_text() -> str:
+    trim = r"'^[\s\x0B]+|[\s\x0B]+$'"
+    fence = r"'^```[a-zA-Z0-9_-]*\s*([\s\S]*?)\s*```$'"
+    t = f"regexp_replace(coalesce(text, ''), {trim}, '', 'g')"
+    return f"""SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn,
+  regexp_replace(replace(CASE WHEN regexp_matches(t, {fence}) THEN regexp_replace(regexp_extract(t, {fence}, 1), {trim}, '', 'g')
+                              ELSE t END, '```', ''), {trim}, '', 'g') AS cleaned
+FROM (SELECT conv_id, turn, {t} AS t FROM conversations WHERE role = 'assistant')"""
+
+
+def s_cascade_delete() -> str:
+    return ("SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role FROM conversations c "
+            "WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.source = 'src0' AND d.doc_id = c.conv_id)")
+
+
+def s_orphan_check() -> str:
+    return ("SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn FROM conversations c "
+            "WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = c.conv_id)")
+
+
+def s_constraint_check() -> str:
+    return ("SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, 'role' AS violation "
+            "FROM conversations WHERE role NOT IN ('user', 'assistant')")
+
+
+def s_chat_history() -> str:
+    return ("SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, "
+            "CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, CASE WHEN role = 'user' THEN 0 ELSE 1 END) "
+            "AS BIGINT) AS seq FROM conversations")
+
+
+def s_csv_profile_lineitem() -> str:
+    body = (f"SELECT c.name AS \"column\", CASE WHEN c.name = 'l_shipdate' THEN 'categorical' ELSE c.kind END AS kind, "
+            f"CAST(c.nulls AS BIGINT) AS null_count, CAST(c.uniq AS BIGINT) AS unique_count, "
+            f"{O.R('c.mean_raw', 4)} AS mean, {O.R('c.std_raw', 4)} AS std, "
+            f"{O.R('c.min_raw', 4)} AS min, {O.R('c.max_raw', 4)} AS max, "
+            f"CAST(CASE WHEN c.kind = 'numeric' THEN coalesce(o.outlier_count, 0) END AS BIGINT) AS outlier_count "
+            f"FROM lineitem_cols c LEFT JOIN lineitem_out o USING (pos) WHERE NOT c.dropped")
+    return O.with_ctes(O.table_ctes("lineitem", ("cols", "out")), ["lineitem"], body)
+
+
 def oracle_sql() -> dict[str, str]:
     out = {f"profile_{t}": s_profile(t) for t in ALL}
     out.update({
@@ -291,5 +651,20 @@ def oracle_sql() -> dict[str, str]:
         "bias_flags": s_bias_flags(),
         "recommendation_rules": s_recommendation_rules(),
         "health_report": s_health_report(),
+        "algo_recommendations": s_algo_recommendations(),
+        "catalog_list": s_catalog_list(),
+        "catalog_kpis": s_catalog_kpis(),
+        "catalog_search": s_catalog_search(),
+        "report_summary": s_report_summary(),
+        "missing_top12": s_missing_top12(),
+        "corr_top15": s_corr_top15(),
+        "score_cards": s_score_cards(),
+        "answer_routing": s_answer_routing(),
+        "clean_text": s_clean_text(),
+        "cascade_delete": s_cascade_delete(),
+        "orphan_check": s_orphan_check(),
+        "constraint_check": s_constraint_check(),
+        "chat_history": s_chat_history(),
+        "csv_profile_lineitem": s_csv_profile_lineitem(),
     })
     return out

@@ -9,6 +9,12 @@ one shuffle on (pos, key) -> final ``HashAggregate``.  The map-side partial
 aggregate collapses hot values before the shuffle, so a value that holds a
 third of all rows costs one row per map task, not a third of the shuffle.
 Long strings travel as ``prefix || sha256`` (functions/keys.py).
+
+Numeric values are grouped by their typed value (a long for integral types,
+a double for floating ones) rather than by a string rendering: fixed-width
+keys hash and compare in the unsafe row format without building a string
+per cell, and integral values above 2^53 stay distinct.  Only non-numeric
+columns carry a string key (their top values are shown).
 """
 
 from __future__ import annotations
@@ -22,18 +28,33 @@ from ..functions.keys import NUMERIC, ColumnSpec, value_key
 FREQ_SCHEMA = "pos INT, key STRING, dval DOUBLE, cnt BIGINT"
 
 
+_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_FLOATING = (T.FloatType, T.DoubleType)
+
+
 def _cell(spec: ColumnSpec, dt: T.DataType):
     c = spec.col
-    key = value_key(c, dt)
-    dval = c.cast("double") if spec.kind == NUMERIC else F.lit(None).cast("double")
-    return F.struct(F.lit(spec.pos).alias("pos"), key.alias("key"), dval.alias("dval"))
+    none_s, none_l, none_d = F.lit(None).cast("string"), F.lit(None).cast("long"), F.lit(None).cast("double")
+    if spec.kind == NUMERIC and isinstance(dt, _INTEGRAL):
+        key, lk, dk = none_s, c.cast("long"), none_d
+    elif spec.kind == NUMERIC and isinstance(dt, _FLOATING):
+        # + 0.0 folds -0.0 into 0.0 (D16); NaN stays one value
+        key, lk, dk = none_s, none_l, c.cast("double") + F.lit(0.0)
+    elif spec.kind == NUMERIC:
+        # decimals: exact string key, double for the statistics
+        key, lk, dk = c.cast("string"), none_l, c.cast("double")
+    else:
+        key, lk, dk = value_key(c, dt), none_l, none_d
+    return F.struct(F.lit(spec.pos).alias("pos"), c.isNotNull().alias("present"),
+                    key.alias("key"), lk.alias("lk"), dk.alias("dk"))
 
 
 def frequency_table(df: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
     """(pos, key, dval, cnt) over the non-null values of ``specs``.
 
     ``dval`` is the value as double for numeric columns (NaN kept, so NaN is
-    one distinct value like in the reference), null otherwise.
+    one distinct value like in the reference), null otherwise; ``key`` is the
+    display key of non-numeric values, null for numeric ones.
     """
     spark = df.sparkSession
     if not specs:
@@ -41,7 +62,12 @@ def frequency_table(df: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
     types = {f.name: f.dataType for f in df.schema.fields}
     cells = df.select(*[_cell(s, types[s.name]).alias(f"c{s.pos}") for s in specs])
     long = cells.unpivot([], [f"c{s.pos}" for s in specs], "variable", "cell")
-    flat = long.select("cell.pos", "cell.key", "cell.dval").where(F.col("key").isNotNull())
-    return (flat.groupBy("pos", "key")
-                .agg(F.count(F.lit(1)).alias("cnt"), F.max("dval").alias("dval"))
-                .select("pos", "key", "dval", "cnt"))
+    flat = long.select("cell.*").where(F.col("present"))
+    counted = flat.groupBy("pos", "key", "lk", "dk").agg(F.count(F.lit(1)).alias("cnt"))
+    is_num = F.col("pos").isin([s.pos for s in specs if s.kind == NUMERIC])
+    return counted.select(
+        "pos",
+        F.when(~is_num, F.col("key")).alias("key"),
+        F.when(is_num, F.coalesce(F.col("dk"), F.col("lk").cast("double"), F.col("key").cast("double")))
+         .alias("dval"),
+        "cnt")

@@ -3,8 +3,12 @@
 Spark's exact ``percentile`` keeps every distinct value of a group in one
 aggregation buffer, i.e. one task holds a whole column.  Instead:
 
-1. range-partition the numeric part of the frequency table on (pos, dval);
-   every row is a distinct value, so no single key can be skewed;
+1. range-partition the numeric part of the frequency table on (pos, dval)
+   (every row is a distinct value, so no single key can be skewed) and
+   write it once to the shared stage folder with its partition id.  Steps
+   2-4 read that table twice; reading a stored id, not recomputing
+   ``spark_partition_id()``, is what makes the two reads agree (a re-run
+   range exchange may sample other bounds or see rows in another order);
 2. per (pos, partition) sum the counts -> a table of at most
    ``partitions x columns`` rows, whose running sum gives each range
    partition its starting rank;
@@ -13,8 +17,7 @@ aggregation buffer, i.e. one task holds a whole column.  Instead:
 4. the values at ranks floor(h) and floor(h)+1, h = (n-1)p, are picked
    by a grouped max, and interpolated like ``numpy.percentile``.
 
-Every group is bounded by one range partition, and steps 2-4 run as one
-query plan, so the range bounds are sampled once and reused.
+Every group is bounded by one range partition.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize, stage_dir
+
 
 def exact_quantiles(num_freq: DataFrame, probs: tuple[float, ...] = (0.25, 0.75),
                     partitions: int | None = None, keys: tuple[str, ...] = ("pos",)) -> DataFrame:
@@ -33,8 +38,9 @@ def exact_quantiles(num_freq: DataFrame, probs: tuple[float, ...] = (0.25, 0.75)
     if partitions is None:
         partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     k = [F.col(c) for c in keys]
-    ranged = (num_freq.repartitionByRange(partitions, *k, F.col("dval"))
-                      .withColumn("pid", F.spark_partition_id()))
+    ranged = materialize(num_freq.repartitionByRange(partitions, *k, F.col("dval"))
+                                 .withColumn("pid", F.spark_partition_id()),
+                         f"{stage_dir(spark)}/ranked")
     part_tot = ranged.groupBy(*keys, "pid").agg(F.sum("cnt").alias("pc"))
     w_off = Window.partitionBy(*keys).orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = part_tot.select(
@@ -48,6 +54,26 @@ def exact_quantiles(num_freq: DataFrame, probs: tuple[float, ...] = (0.25, 0.75)
                     .select(*keys, "dval", "n",
                             (F.col("off") + F.col("run") - F.col("cnt")).alias("start"),
                             (F.col("off") + F.col("run")).alias("end")))
+    return _interpolate(ranked, probs, keys)
+
+
+def small_exact_quantiles(num_freq: DataFrame, probs: tuple[float, ...] = (0.25, 0.75),
+                          keys: tuple[str, ...] = ("pos",)) -> DataFrame:
+    """Same output as ``exact_quantiles`` for groups whose number of distinct
+    values is known to be bounded (the caller checks it): one sort per group
+    (a window, which spills) gives every distinct value its rank interval."""
+    w_run = Window.partitionBy(*keys).orderBy("dval").rowsBetween(Window.unboundedPreceding,
+                                                                  Window.currentRow)
+    run = F.sum("cnt").over(w_run)
+    ranked = num_freq.select(*keys, "dval", F.sum("cnt").over(Window.partitionBy(*keys)).alias("n"),
+                             (run - F.col("cnt")).alias("start"), run.alias("end"))
+    return _interpolate(ranked, probs, keys)
+
+
+def _interpolate(ranked: DataFrame, probs: tuple[float, ...], keys: tuple[str, ...]) -> DataFrame:
+    """``ranked``: (*keys, dval, n, start, end) with [start, end) the ranks a
+    distinct value occupies.  The values at ranks floor(h) and floor(h)+1,
+    h = (n-1)p, are picked by a grouped max and interpolated like numpy."""
     picks = []
     for p in probs:
         h = (F.col("n") - 1).cast("double") * F.lit(float(p))
@@ -72,36 +98,5 @@ def exact_quantiles(num_freq: DataFrame, probs: tuple[float, ...] = (0.25, 0.75)
     return agg.select(*out)
 
 
-def small_exact_quantiles(num_freq: DataFrame, probs: tuple[float, ...] = (0.25, 0.75),
-                          keys: tuple[str, ...] = ("pos",)) -> DataFrame:
-    """Same output as ``exact_quantiles`` for groups whose number of distinct
-    values is known to be small (the caller checks it): one ``groupBy`` whose
-    sorted (value, count) list is walked once with ``aggregate``."""
-    arr = F.array_sort(F.collect_list(F.struct("dval", "cnt")))
-    g = num_freq.groupBy(*keys).agg(arr.alias("vals"), F.sum("cnt").alias("n"))
-    acc_fields = ["run"] + [f"{w}_{_tag(p)}" for p in probs for w in ("lo", "hi")]
-    init = "named_struct(" + ", ".join(
-        f"'{f}', {'0L' if f == 'run' else 'CAST(NULL AS DOUBLE)'}" for f in acc_fields) + ")"
-    ranks = {}
-    for p in probs:
-        h = f"(CAST(n - 1 AS DOUBLE) * {float(p)!r}D)"
-        ranks[f"lo_{_tag(p)}"] = f"FLOOR({h})"
-        ranks[f"hi_{_tag(p)}"] = f"LEAST(FLOOR({h}) + 1, n - 1)"
-    step = "named_struct('run', acc.run + x.cnt" + "".join(
-        f", '{f}', CASE WHEN acc.{f} IS NULL AND acc.run + x.cnt > {ranks[f]} THEN x.dval ELSE acc.{f} END"
-        for f in acc_fields[1:]) + ")"
-    walked = g.select(*keys, "n", F.expr(f"aggregate(vals, {init}, (acc, x) -> {step})").alias("w"))
-    out = [*keys, "n"]
-    for p in probs:
-        tag = _tag(p)
-        h = (F.col("n") - 1).cast("double") * F.lit(float(p))
-        frac = h - F.floor(h).cast("double")
-        lo_v, hi_v = F.col(f"w.lo_{tag}"), F.col(f"w.hi_{tag}")
-        diff = hi_v - lo_v
-        q = F.when(frac >= 0.5, hi_v - diff * (F.lit(1.0) - frac)).otherwise(lo_v + diff * frac)
-        out.append(q.alias(f"q{tag}"))
-    return walked.select(*out)
-
-
 def _tag(p: float) -> str:
     return str(int(round(p * 100)))

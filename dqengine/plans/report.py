@@ -14,6 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +42,11 @@ def _union(dfs: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), dfs)
 
 
+# Inputs with at least this many rows but fewer read splits than the cluster
+# has task slots are spread before the per-cell passes.
+SPREAD_MIN_ROWS = 100_000
+
+
 @dataclass
 class DatasetPieces:
     stats: BaseStats
@@ -49,16 +55,32 @@ class DatasetPieces:
     dropped: DataFrame
     pairs: DataFrame
     duplicates: DataFrame
+    spread: DataFrame | None = None
+
+
+def spread(df: DataFrame, total_rows: int) -> DataFrame | None:
+    """A large input read as fewer splits than there are task slots (one big
+    Parquet row group, a non-splittable compressed file) would run the
+    unpivot, the correlation moments and the duplicate grouping in a few
+    tasks.  Such an input is spread round-robin once and kept (memory, then
+    disk) for those passes.  Well-split inputs - the normal case for large
+    tables - are returned as ``None`` and used as they are, without a
+    shuffle or a cache."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if total_rows < SPREAD_MIN_ROWS or df.rdd.getNumPartitions() >= slots:
+        return None
+    return df.repartition(slots).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def dataset_pieces(df: DataFrame, name: str, quantile_partitions: int | None = None) -> DatasetPieces:
     stats = base_stats(df, name)
     kept = stats.kept
-    kept_df = df.select(*[s.col for s in kept])
+    wide = spread(df, stats.total_rows)
+    kept_df = (wide if wide is not None else df).select(*[s.col for s in kept])
     prof = ColumnProfiler(kept_df, stats, quantile_partitions)
     return DatasetPieces(stats, prof, prof.columns(), prof.dropped_columns(),
                          pair_correlations(kept_df, kept, name),
-                         duplicate_rows(kept_df, kept, name))
+                         duplicate_rows(kept_df, kept, name), wide)
 
 
 class Profile:
@@ -72,10 +94,10 @@ class Profile:
         # is computed once for all datasets (one job per table kind, the
         # datasets' plans run side by side) and read back from Parquet.
         self.columns = materialize(_union([p.columns for p in pieces]), f"{self.path}/columns")
-        self.release()
         self.correlations = materialize(top_correlations(_union([p.pairs for p in pieces])),
                                         f"{self.path}/correlations")
         dups = materialize(_union([p.duplicates for p in pieces]), f"{self.path}/duplicates")
+        self.release()
         self.dropped = _union([p.dropped for p in pieces])
         self.imbalance = imbalance(self.columns)
         base = spark.createDataFrame(
@@ -137,6 +159,9 @@ class Profile:
     def release(self) -> None:
         for p in self.pieces:
             p.profiler.release()
+            if p.spread is not None:
+                p.spread.unpersist()
+                p.spread = None
 
 
 def profile(df: DataFrame, name: str, **kw) -> Profile:

@@ -37,7 +37,7 @@ def completeness_score(missing_pct: Column) -> Column:
 
 
 def _rate_score(count: Column, total_rows: Column, weight: float) -> Column:
-    x = F.lit(100.0) - (count.cast("double") / total_rows.cast("double") * F.lit(100.0) * F.lit(weight))
+    x = F.lit(100.0) - (safe_div(count, total_rows) * F.lit(100.0) * F.lit(weight))
     return F.when(total_rows > 0, py_round(F.greatest(F.lit(0.0), x), 1)).otherwise(F.lit(100.0))
 
 

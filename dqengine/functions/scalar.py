@@ -128,3 +128,13 @@ def short_id(x: Column) -> Column:
 def pretty_utc(ts: Column) -> Column:
     """X11: 'March 05, 2024 at 14:07 UTC'."""
     return F.date_format(ts, "MMMM dd, yyyy 'at' HH:mm 'UTC'")
+
+
+def first_items(m: Column, n: int) -> Column:
+    """The first ``n`` (key, value) entries of a map, in map order."""
+    return F.slice(F.map_entries(m), 1, n)
+
+
+def abs_at_least(arr: Column, field: str, limit: float) -> Column:
+    """The structs of ``arr`` whose ``field`` has |value| >= ``limit``."""
+    return F.filter(arr, lambda x: F.abs(x[field]) >= F.lit(limit))

@@ -93,10 +93,17 @@ class Profile:
         # The three distributed results are O(columns) rows per dataset; each
         # is computed once for all datasets (one job per table kind, the
         # datasets' plans run side by side) and read back from Parquet.
-        self.columns = materialize(_union([p.columns for p in pieces]), f"{self.path}/columns")
-        self.correlations = materialize(top_correlations(_union([p.pairs for p in pieces])),
-                                        f"{self.path}/correlations")
-        dups = materialize(_union([p.duplicates for p in pieces]), f"{self.path}/duplicates")
+        # The three tables are independent, so their jobs are submitted
+        # together; stages of one fill the task slots another leaves idle.
+        from concurrent.futures import ThreadPoolExecutor
+        jobs = {
+            "columns": _union([p.columns for p in pieces]),
+            "correlations": top_correlations(_union([p.pairs for p in pieces])),
+            "duplicates": _union([p.duplicates for p in pieces]),
+        }
+        with ThreadPoolExecutor(max_workers=len(jobs)) as ex:
+            done = dict(zip(jobs, ex.map(lambda k: materialize(jobs[k], f"{self.path}/{k}"), jobs)))
+        self.columns, self.correlations, dups = done["columns"], done["correlations"], done["duplicates"]
         self.release()
         self.dropped = _union([p.dropped for p in pieces])
         self.imbalance = imbalance(self.columns)

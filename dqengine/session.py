@@ -36,8 +36,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, creating a scratch one only
-    when the cluster did not name one."""
+    """Return the session's shared checkpoint folder.
+
+    A cluster names it in ``spark.checkpoint.dir``.  Where that is unset, a
+    local master (tests, laptops) gets a fresh scratch folder; any other
+    master is refused, because executors would each write to their own disk.
+    """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if d:
         if spark.sparkContext.getCheckpointDir() is None:
@@ -46,24 +50,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(
+            f"spark.checkpoint.dir is unset on master {master!r}: name a folder that "
+            "the driver and all executors share (hdfs://, s3a://, a mounted path)")
     d = tempfile.mkdtemp(prefix="dq-ckpt-")
     spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stage_dir(spark: SparkSession) -> str:
     """A fresh folder under the shared checkpoint folder for written
-    intermediate tables."""
+    intermediate tables; the driver's JVM removes it when it exits."""
     import uuid
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/dq-stage-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/dq-stage-{uuid.uuid4().hex[:12]}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(conf)
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
+    return path
 
 
 def materialize(df: DataFrame, path: str) -> DataFrame:
@@ -74,4 +83,4 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
     executor cannot force that work to run again.
     """
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

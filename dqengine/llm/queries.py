@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op1_benchmark_decontamination
 from .packing import op2_best_fit_packing
+from .quality import op5_quality_classifier
+from .secrets import op3_secret_scans
 from .simhash import op8_simhash_near_dedup
 from .token_counts import op10_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_secret_scans": op3_secret_scans,
+    "op5_quality_classifier": op5_quality_classifier,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_token_counts": op10_token_counts,
 }

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontamination import op1_benchmark_decontamination
 from .packing import op2_best_fit_packing
 from .quality import op5_quality_classifier
+from .rules import op9_quality_rules
 from .secrets import op3_secret_scans
 from .simhash import op8_simhash_near_dedup
 from .token_counts import op10_token_counts
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scans": op3_secret_scans,
     "op5_quality_classifier": op5_quality_classifier,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
 }
 

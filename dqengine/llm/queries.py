@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op1_benchmark_decontamination
+from .licenses import op7_license_scans
 from .packing import op2_best_fit_packing
 from .quality import op5_quality_classifier
 from .rules import op9_quality_rules
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_secret_scans": op3_secret_scans,
     "op5_quality_classifier": op5_quality_classifier,
+    "op7_license_scans": op7_license_scans,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import op6_chat_formatting
 from .decontamination import op1_benchmark_decontamination
 from .licenses import op7_license_scans
 from .packing import op2_best_fit_packing
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_secret_scans": op3_secret_scans,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_chat_formatting": op6_chat_formatting,
     "op7_license_scans": op7_license_scans,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_quality_rules": op9_quality_rules,

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import op6_chat_formatting
 from .decontamination import op1_benchmark_decontamination
+from .langid import op4_language_id
 from .licenses import op7_license_scans
 from .packing import op2_best_fit_packing
 from .quality import op5_quality_classifier
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_secret_scans": op3_secret_scans,
+    "op4_language_id": op4_language_id,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_license_scans": op7_license_scans,

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,17 +40,31 @@ class ColumnSpec:
     name: str
     dtype: str        # Spark simpleString
     kind: str
+    dt: T.DataType
+
+    @property
+    def alias(self) -> str:
+        """The column's name inside plans: by place, because names may hold
+        any character and may differ in case only."""
+        return f"__dq{self.pos}"
 
     @property
     def col(self) -> Column:
-        return F.col(f"`{self.name}`")
+        return F.col(self.alias)
 
 
 def specs_of(schema: T.StructType) -> list[ColumnSpec]:
-    return [ColumnSpec(i, f.name, f.dataType.simpleString(), kind_of(f.dataType))
+    return [ColumnSpec(i, f.name, f.dataType.simpleString(), kind_of(f.dataType), f.dataType)
             for i, f in enumerate(schema.fields)]
 
 
+def positional(df: DataFrame) -> DataFrame:
+    """``df`` with every column named by its place; left alone if it already is."""
+    if all(c.startswith("__dq") for c in df.columns):
+        return df
+    return df.toDF(*[f"__dq{i}" for i in range(len(df.columns))])
+
+
 def canonical_text(s: Column) -> Column:
     """Short strings verbatim, long ones as prefix + SHA-256 hex."""
     return F.when(F.length(s) <= LONG_TEXT_CHARS, s).otherwise(
@@ -67,26 +81,27 @@ def display_value(c: Column, dt: T.DataType) -> Column:
         return F.initcap(c.cast("string"))          # True / False
     if isinstance(dt, (T.FloatType, T.DoubleType)):
         return (c + F.lit(0.0).cast(dt)).cast("string")   # -0.0 -> 0.0 (D16)
-    if isinstance(dt, (T.MapType, T.ArrayType, T.StructType)):
+    if isinstance(dt, T.MapType):
+        # entries in key order: maps that differ in order only are equal
+        return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(c))))
+    if isinstance(dt, (T.ArrayType, T.StructType, T.VariantType)):
         return F.to_json(c)
     if isinstance(dt, T.BinaryType):
         return F.hex(c)
     return c.cast("string")
 
 
+_LONG_TYPES = (T.StringType, T.MapType, T.ArrayType, T.StructType, T.BinaryType, T.VariantType)
+
+
 def value_key(c: Column, dt: T.DataType) -> Column:
     """Grouping key of a value: exact for short values, hashed for long ones."""
     shown = display_value(c, dt)
-    if isinstance(dt, (T.StringType, T.MapType, T.ArrayType, T.StructType, T.BinaryType)):
-        return canonical_text(shown)
-    return shown
+    return canonical_text(shown) if isinstance(dt, _LONG_TYPES) else shown
 
 
 def row_key(c: Column, dt: T.DataType) -> Column:
     """Key used for whole-row duplicate detection (A8): raw value when it is
     cheap to shuffle and groupable, canonical text otherwise."""
-    if isinstance(dt, (T.StringType, T.BinaryType, T.MapType)):
-        return value_key(c, dt)
-    if isinstance(dt, (T.ArrayType, T.StructType)):
-        return canonical_text(F.to_json(c))
-    return c
+    cheap = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    return c if isinstance(dt, cheap) else value_key(c, dt)

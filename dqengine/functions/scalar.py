@@ -17,8 +17,8 @@ def lit_or_col(x) -> Column:
 _PY_ROUND_SQL = """
 CREATE OR REPLACE TEMPORARY FUNCTION dq_py_round(x DOUBLE, k INT) RETURNS DOUBLE RETURN
   CASE
-    WHEN k = 0 OR abs(x) >= 1e15D THEN bround(x, 0) * (CASE WHEN k = 0 THEN 1.0D ELSE 0.0D END)
-                                       + (CASE WHEN k = 0 THEN 0.0D ELSE x END)
+    WHEN isnan(x) OR abs(x) * pow(10.0D, k) >= 9007199254740992D THEN x
+    WHEN k = 0 THEN bround(x, 0)
     WHEN x * pow(10.0D, k) - floor(x * pow(10.0D, k)) != 0.5D THEN bround(x * pow(10.0D, k), 0) / pow(10.0D, k)
     WHEN ((x * 134217729.0D - (x * 134217729.0D - x)) * pow(10.0D, k) - x * pow(10.0D, k))
          + (x - (x * 134217729.0D - (x * 134217729.0D - x))) * pow(10.0D, k) > 0.0D
@@ -30,21 +30,18 @@ CREATE OR REPLACE TEMPORARY FUNCTION dq_py_round(x DOUBLE, k INT) RETURNS DOUBLE
   END
 """
 
-_registered: set = set()
-
-
 def register_sql_functions(spark) -> None:
     """Register the session's SQL helper functions (idempotent)."""
-    key = id(spark._jsparkSession)
-    if key not in _registered:
+    if not spark.catalog.functionExists("dq_py_round"):
         spark.sql(_PY_ROUND_SQL)
-        _registered.add(key)
 
 
 def py_round(x, scale: int = 0) -> Column:
     """Python ``round(x, scale)`` on a double, exactly.
 
-    Python rounds the exact binary value half-even.  ``y = x * 10**scale`` is
+    From 2**53 units of the last place on, doubles are no denser than the
+    decimals asked for and x is returned as it is (so are infinities and NaN).
+    Below, Python rounds the exact binary value half-even.  ``y = x * 10**scale`` is
     correct except when ``y`` lands exactly on ``.5``; then the sign of the
     product's rounding error (Dekker's error-free product, no FMA needed
     because 10**scale has at most 20 significant bits) says on which side
@@ -58,10 +55,6 @@ def py_round(x, scale: int = 0) -> Column:
     return F.call_function("dq_py_round", lit_or_col(x).cast("double"), F.lit(int(scale)))
 
 
-def round_even(x, scale: int = 0) -> Column:
-    return py_round(x, scale)
-
-
 def safe_div(a, b, default: float | None = 0.0) -> Column:
     """A / b, or ``default`` when b is 0 or null (ANSI-safe)."""
     q = F.try_divide(lit_or_col(a).cast("double"), lit_or_col(b).cast("double"))

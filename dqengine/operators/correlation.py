@@ -2,100 +2,90 @@
 ranking (K2).
 
 Rows with a null or NaN in *any* numeric column are dropped first (listwise
-deletion, like ``pandas.dropna``).  Pairs come from the schema (J1 is a
-theta self-pairing of columns, not a row join), and all pair moments are
-computed in one aggregate pass:
-
-* up to ``WIDE_THRESHOLD`` numeric columns: one ``agg`` with ``covar_pop``
-  and ``stddev_pop`` per pair -> one row, unpivoted with ``stack`` into pair
-  rows.  Nothing is collected;
-* wider tables: MLlib's ``Correlation.corr`` (a distributed Gram-matrix tree
-  aggregate), whose k x k result is small by construction.
+deletion, like ``pandas.dropna``).  One aggregate gives rows, mean, minimum and
+maximum of every column on the complete rows; a second pass adds up the
+products of centred values, one matrix product for each Arrow batch, and sends
+one partial sum per pair and task to an ordinary grouped sum.  Centring by the
+true means keeps the sums stable.  The plan has the same few nodes for 2
+columns and for 1,000, and pairs stay distributed rows.
 
 A pair is skipped when either column is constant on the complete rows
-(``min == max``; Spark's ``corr`` would raise DIVIDE_BY_ZERO under ANSI) or
-when r is NaN.
+(``min == max``) or when r is NaN; fewer than two complete rows give no pairs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions.keys import NUMERIC, ColumnSpec
+from ..functions.keys import NUMERIC, ColumnSpec, positional
 from ..functions.scalar import py_round
+from ..session import materialize, stage_dir
 
-WIDE_THRESHOLD = 40
 PAIR_SCHEMA = "dataset STRING, i INT, j INT, col1 STRING, col2 STRING, r DOUBLE"
 
 
 def complete_rows(df: DataFrame, numeric: list[ColumnSpec]) -> DataFrame:
     """Listwise deletion over the numeric columns (null and NaN)."""
-    cols = [F.col(f"`{s.name}`").cast("double").alias(f"v{s.pos}") for s in numeric]
-    return df.select(*cols).na.drop(how="any")
+    return positional(df).select(*[s.col.cast("double") for s in numeric]).na.drop(how="any")
+
+
+def centred_products(clean: DataFrame, means: np.ndarray) -> DataFrame:
+    """(a, b, s): for columns a <= b the sum over all rows of the product of
+    their centred values."""
+    k = len(means)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, k))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - means[:, None]
+            total += x @ x.T
+        a, b = np.triu_indices(k)
+        yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(total[a, b])], ["a", "b", "s"])
+
+    return clean.mapInArrow(run, "a INT, b INT, s DOUBLE").groupBy("a", "b").agg(F.sum("s").alias("s"))
 
 
 def pair_correlations(df: DataFrame, specs: list[ColumnSpec], dataset: str) -> DataFrame:
     """(dataset, i, j, col1, col2, r) for every usable pair, r unrounded."""
     spark = df.sparkSession
     numeric = [s for s in specs if s.kind == NUMERIC]
+    none = spark.createDataFrame([], PAIR_SCHEMA)
     if len(numeric) < 2:
-        return spark.createDataFrame([], PAIR_SCHEMA)
-    if len(numeric) > WIDE_THRESHOLD:
-        return _wide_pairs(df, numeric, dataset)
-    clean = complete_rows(df, numeric)
-    aggs = []
-    for s in numeric:
-        v = F.col(f"v{s.pos}")
-        aggs += [F.min(v).alias(f"mn{s.pos}"), F.max(v).alias(f"mx{s.pos}"),
-                 F.stddev_pop(v).alias(f"sd{s.pos}")]
-    pairs = [(a, b) for ia, a in enumerate(numeric) for b in numeric[ia + 1:]]
-    for a, b in pairs:
-        aggs.append(F.covar_pop(f"v{a.pos}", f"v{b.pos}").alias(f"cv{a.pos}_{b.pos}"))
-    one = clean.agg(*aggs)
-    exprs = []
-    for a, b in pairs:
-        ok = ((F.col(f"mn{a.pos}") < F.col(f"mx{a.pos}")) & (F.col(f"mn{b.pos}") < F.col(f"mx{b.pos}")))
-        r = F.when(ok, F.try_divide(F.col(f"cv{a.pos}_{b.pos}"),
-                                    F.col(f"sd{a.pos}") * F.col(f"sd{b.pos}")))
-        exprs.append(F.struct(F.lit(a.pos).alias("i"), F.lit(b.pos).alias("j"),
-                              F.lit(a.name).alias("col1"), F.lit(b.name).alias("col2"),
-                              r.alias("r")))
-    rows = one.select(F.inline(F.array(*exprs)))
-    return (rows.where(F.col("r").isNotNull() & ~F.isnan("r"))
-                .select(F.lit(dataset).alias("dataset"), "i", "j", "col1", "col2", "r"))
-
-
-def _wide_pairs(df: DataFrame, numeric: list[ColumnSpec], dataset: str) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-
-    spark = df.sparkSession
+        return none
     clean = complete_rows(df, numeric)
-    names = [f"v{s.pos}" for s in numeric]
-    rng = clean.agg(*[F.struct(F.min(n), F.max(n)) for n in names]).collect()[0]
-    vec = VectorAssembler(inputCols=names, outputCol="features").transform(clean).select("features")
-    m = Correlation.corr(vec, "features").head()[0].toArray()
-    out = []
-    for ia, a in enumerate(numeric):
-        if not rng[ia][0] < rng[ia][1]:
-            continue
-        for ib in range(ia + 1, len(numeric)):
-            b = numeric[ib]
-            r = float(m[ia, ib])
-            if rng[ib][0] < rng[ib][1] and r == r:
-                out.append((dataset, a.pos, b.pos, a.name, b.name, r))
-    return spark.createDataFrame(out, PAIR_SCHEMA)
+    stats = clean.agg(F.count(F.lit(1)).alias("n"), F.array(*[F.struct(F.avg(s.col).alias("m"), F.min(s.col).alias("lo"), F.max(s.col).alias("hi")) for s in numeric]).alias("c")).first()
+    if stats["n"] < 2:
+        return none
+    usable = [(s, c["m"]) for s, c in zip(numeric, stats["c"], strict=True) if c["lo"] < c["hi"] and np.isfinite(c["m"])]
+    if len(usable) < 2:
+        return none
+    sums = centred_products(clean.select(*[s.col for s, _ in usable]), np.array([m for _, m in usable]))
+    sums = materialize(sums, f"{stage_dir(spark)}/products")  # a row per pair of columns
+    names = spark.createDataFrame([(i, s.pos, s.name) for i, (s, _) in enumerate(usable)], "a INT, pos INT, name STRING")
+    own = sums.where("a = b").select("a", F.sqrt("s").alias("sd")).join(names, "a")
+    left = own.select("a", F.col("sd").alias("sd1"), F.col("pos").alias("i"), F.col("name").alias("col1"))
+    right = own.select(F.col("a").alias("b"), F.col("sd").alias("sd2"), F.col("pos").alias("j"), F.col("name").alias("col2"))
+    pairs = sums.where("a < b").join(left, "a").join(right, "b")
+    r = F.try_divide(F.col("s"), F.col("sd1") * F.col("sd2"))
+    return (pairs.select(F.lit(dataset).alias("dataset"), "i", "j", "col1", "col2", F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)).alias("r"))
+                 .where(F.col("r").isNotNull() & ~F.isnan("r")))
 
 
 def top_correlations(pairs: DataFrame, top: int = C.TOP_CORRELATIONS) -> DataFrame:
-    """K2: (dataset, rank, i, j, col1, col2, value) with value rounded to 4
-    places; order |value| desc, then pair order (Python's stable sort)."""
-    from pyspark.sql import Window
+    """K2: (dataset, rank, i, j, col1, col2, value, left_out) with value
+    rounded to 4 places; order |value| desc, then pair order (Python's stable
+    sort).  ``left_out`` tells how many of the dataset's pairs rank below."""
     v = py_round(F.col("r"), 4)
     w = Window.partitionBy("dataset").orderBy(F.desc(F.abs("value")), "i", "j")
-    return (pairs.withColumn("value", v)
-                 .withColumn("rank", F.row_number().over(w))
-                 .where(F.col("rank") <= top)
-                 .select("dataset", "rank", "i", "j", "col1", "col2", "value"))
+    ranked = (pairs.withColumn("value", v)
+                   .withColumn("rank", F.row_number().over(w))
+                   .where(F.col("rank") <= top)
+                   .select("dataset", "rank", "i", "j", "col1", "col2", "value"))
+    total = pairs.groupBy("dataset").agg(F.count(F.lit(1)).alias("pairs"))
+    return ranked.join(total, "dataset").withColumn("left_out", F.greatest(F.col("pairs") - top, F.lit(0)).cast("long")).drop("pairs")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import ColumnSpec, row_key
+from ..functions.keys import ColumnSpec, positional, row_key
 
 
 def duplicate_rows(df: DataFrame, kept: list[ColumnSpec], dataset: str) -> DataFrame:
@@ -21,8 +21,7 @@ def duplicate_rows(df: DataFrame, kept: list[ColumnSpec], dataset: str) -> DataF
     if not kept:
         # No columns left; Spark cannot group rows of no columns usefully.
         return spark.createDataFrame([(dataset, 0)], "dataset STRING, duplicate_rows BIGINT")
-    types = {f.name: f.dataType for f in df.schema.fields}
-    keys = [row_key(s.col, types[s.name]).alias(f"k{s.pos}") for s in kept]
-    groups = df.select(*keys).groupBy(*[f"k{s.pos}" for s in kept]).count()
+    keys = [row_key(s.col, s.dt).alias(f"k{s.pos}") for s in kept]
+    groups = positional(df).select(*keys).groupBy(*[f"k{s.pos}" for s in kept]).count()
     return groups.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long").alias("duplicate_rows")) \
                  .select(F.lit(dataset).alias("dataset"), "duplicate_rows")

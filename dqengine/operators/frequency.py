@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.keys import NUMERIC, ColumnSpec, value_key
+from ..functions.keys import NUMERIC, ColumnSpec, positional, value_key
 
 FREQ_SCHEMA = "pos INT, key STRING, dval DOUBLE, cnt BIGINT"
 
@@ -59,8 +59,7 @@ def frequency_table(df: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
     spark = df.sparkSession
     if not specs:
         return spark.createDataFrame([], FREQ_SCHEMA)
-    types = {f.name: f.dataType for f in df.schema.fields}
-    cells = df.select(*[_cell(s, types[s.name]).alias(f"c{s.pos}") for s in specs])
+    cells = positional(df).select(*[_cell(s, s.dt).alias(f"c{s.pos}") for s in specs])
     long = cells.unpivot([], [f"c{s.pos}" for s in specs], "variable", "cell")
     flat = long.select("cell.*").where(F.col("present"))
     counted = flat.groupBy("pos", "key", "lk", "dk").agg(F.count(F.lit(1)).alias("cnt"))

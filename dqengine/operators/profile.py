@@ -16,22 +16,17 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import constants as C
 from ..functions.keys import (CATEGORICAL, NUMERIC, ColumnSpec, display_value,
-                              is_long_key, specs_of, value_key)
-from ..functions.scalar import pct, py_round, safe_div
+                              is_long_key, positional, specs_of, value_key)
+from ..functions.scalar import pct, py_round
 from .frequency import frequency_table
-from .quantiles import exact_quantiles, small_exact_quantiles
-
-# A column with at most this many distinct values has its sorted values
-# handled by one task (about 16 bytes per value); above it the distributed
-# rank selection runs instead.
-SMALL_DISTINCT = 1_000_000
+from ..session import materialize, stage_dir
+from .quantiles import exact_quantiles
 
 META_SCHEMA = T.StructType([
     T.StructField("dataset", T.StringType(), False),
@@ -102,13 +97,13 @@ class BaseStats:
 def base_stats(df: DataFrame, dataset: str) -> BaseStats:
     """Job 1: one pass, one row."""
     specs = specs_of(df.schema)
-    types = {f.name: f.dataType for f in df.schema.fields}
+    df = positional(df)
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for s in specs:
         c = s.col
         aggs.append(F.count_if(c.isNull()).alias(f"n{s.pos}"))
         if s.kind == NUMERIC:
-            is_float = isinstance(types[s.name], (T.FloatType, T.DoubleType))
+            is_float = isinstance(s.dt, (T.FloatType, T.DoubleType))
             v = c.cast("double")
             if is_float:
                 aggs.append(F.count_if(F.isnan(c)).alias(f"nan{s.pos}"))
@@ -137,14 +132,12 @@ class ColumnProfiler:
     """Lazily built, distributed column statistics of one dataset."""
 
     def __init__(self, df: DataFrame, stats: BaseStats, quantile_partitions: int | None = None):
-        self.df = df
+        self.df = positional(df)
         self.stats = stats
         self.kept = stats.kept
-        self.types = {f.name: f.dataType for f in df.schema.fields}
         self.quantile_partitions = quantile_partitions
         self._freq: DataFrame | None = None
-        self._distinct: DataFrame | None = None
-        self._n_values: dict[int, int] = {}
+        self._fences: DataFrame | None = None
 
     @property
     def dataset(self) -> str:
@@ -153,31 +146,23 @@ class ColumnProfiler:
     # -- frequency table --------------------------------------------------
     @property
     def freq(self) -> DataFrame:
+        """Computed once, written to the shared folder and read from there:
+        near-unique columns make it as large as the input."""
         if self._freq is None:
-            self._freq = frequency_table(self.df, self.kept).persist(StorageLevel.MEMORY_AND_DISK)
+            spark = self.df.sparkSession
+            self._freq = materialize(frequency_table(self.df, self.kept), f"{stage_dir(spark)}/freq")
         return self._freq
 
-    def release(self) -> None:
-        if self._freq is not None:
-            self._freq.unpersist()
-            self._freq = None
-
     def _pos_in(self, kinds: tuple[str, ...]) -> list[int]:
         return [s.pos for s in self.kept if s.kind in kinds]
 
     # -- A3 + class counts (A12 input) -------------------------------------
     def distinct_counts(self) -> DataFrame:
         """(pos, n_values, max_cnt, min_cnt): partial aggregation makes the
-        shuffle on pos tiny even though pos has few values.  Collected once
-        (one row per column) because it also picks the quantile method."""
-        if self._distinct is None:
-            rows = self.freq.groupBy("pos").agg(
-                F.count(F.lit(1)).alias("n_values"), F.max("cnt").alias("max_cnt"),
-                F.min("cnt").alias("min_cnt")).collect()
-            self._distinct = self.df.sparkSession.createDataFrame(
-                [tuple(r) for r in rows], "pos INT, n_values BIGINT, max_cnt BIGINT, min_cnt BIGINT")
-            self._n_values = {r["pos"]: r["n_values"] for r in rows}
-        return self._distinct
+        shuffle on pos tiny even though pos has few values."""
+        return self.freq.groupBy("pos").agg(
+            F.count(F.lit(1)).alias("n_values"), F.max("cnt").alias("max_cnt"),
+            F.min("cnt").alias("min_cnt"))
 
     # -- A5, A6 ------------------------------------------------------------
     def numeric_freq(self, positions: list[int] | None = None) -> DataFrame:
@@ -186,29 +171,22 @@ class ColumnProfiler:
 
     def quantiles(self) -> DataFrame:
         """(pos, n, q25, q75) over non-null, non-NaN values of numeric columns."""
-        self.distinct_counts()
-        num = self._pos_in((NUMERIC,))
-        small = [p for p in num if self._n_values.get(p, 0) <= SMALL_DISTINCT]
-        large = [p for p in num if p not in small]
-        parts = []
-        if small:
-            parts.append(small_exact_quantiles(self.numeric_freq(small)))
-        if large:
-            parts.append(exact_quantiles(self.numeric_freq(large), (0.25, 0.75), self.quantile_partitions))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        return exact_quantiles(self.numeric_freq(), (0.25, 0.75), self.quantile_partitions)
 
     def fences(self) -> DataFrame:
         """(pos, n, q1, q3, lo, hi, usable) for numeric columns."""
+        if self._fences is not None:
+            return self._fences
         q = self.quantiles()
         iqr = F.col("q75") - F.col("q25")
-        return q.select(
+        fences = q.select(
             "pos", "n", F.col("q25").alias("q1"), F.col("q75").alias("q3"),
             (F.col("q25") - F.lit(C.OUTLIER_IQR_FACTOR) * iqr).alias("fence_lo"),
             (F.col("q75") + F.lit(C.OUTLIER_IQR_FACTOR) * iqr).alias("fence_hi"),
-            ((F.col("n") >= C.MIN_IQR_VALUES) & (iqr != 0)).alias("usable"))
+            # infinite quartiles make the range NaN: comparisons with NaN are false in the reference
+            ((F.col("n") >= C.MIN_IQR_VALUES) & (iqr != 0) & ~F.isnan(iqr)).alias("usable"))
+        self._fences = materialize(fences, f"{stage_dir(self.df.sparkSession)}/fences")
+        return self._fences
 
     def outliers(self) -> DataFrame:
         """(pos, n, q1, q3, outlier_count, outlier_pct).  The fence table has
@@ -245,17 +223,17 @@ class ColumnProfiler:
         at most k per column), hashes just those, and keeps one copy per key.
         """
         texty = [s for s in self.kept if s.kind != NUMERIC and isinstance(
-            self.types[s.name], (T.StringType, T.MapType, T.ArrayType, T.StructType, T.BinaryType))]
+            s.dt, (T.StringType, T.MapType, T.ArrayType, T.StructType, T.BinaryType, T.VariantType))]
         if not texty:
             return top.select("pos", "rank", F.col("key").alias("value"), "count")
-        top = top.persist(StorageLevel.MEMORY_AND_DISK)
+        top = materialize(top, f"{stage_dir(self.df.sparkSession)}/top")
         want = (top.where(is_long_key(F.col("key")))
                    .select("pos", "key", F.substring("key", 1, C.LONG_TEXT_CHARS).alias("prefix")))
-        if want.limit(1).count() == 0:
+        if want.isEmpty():
             return top.select("pos", "rank", F.col("key").alias("value"), "count")
         cells = self.df.select(*[
             F.struct(F.lit(s.pos).alias("pos"),
-                     display_value(s.col, self.types[s.name]).alias("value")).alias(f"c{s.pos}")
+                     display_value(s.col, s.dt).alias("value")).alias(f"c{s.pos}")
             for s in texty])
         flat = (cells.unpivot([], [f"c{s.pos}" for s in texty], "variable", "cell")
                      .select("cell.pos", "cell.value")
@@ -318,7 +296,3 @@ class ColumnProfiler:
                   "A column with this much missing data adds noise rather than signal."))
         return self.stats.meta.where(~F.col("kept")).select("dataset", "pos", "name", "missing_ratio",
                                                             reason.alias("reason"))
-
-
-def unique_ratio(unique_count, total_rows):
-    return safe_div(unique_count, total_rows, None)

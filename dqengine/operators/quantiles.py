@@ -12,12 +12,13 @@ aggregation buffer, i.e. one task holds a whole column.  Instead:
 2. per (pos, partition) sum the counts -> a table of at most
    ``partitions x columns`` rows, whose running sum gives each range
    partition its starting rank;
-3. a running sum inside each (pos, partition) gives every distinct value its
-   rank interval [start, end);
+3. only partitions that hold a wanted rank go on; a running sum inside each
+   gives every distinct value its rank interval [start, end);
 4. the values at ranks floor(h) and floor(h)+1, h = (n-1)p, are picked
    by a grouped max, and interpolated like ``numpy.percentile``.
 
-Every group is bounded by one range partition.
+Every group is bounded by one range partition; the same path serves columns
+of any size.
 """
 
 from __future__ import annotations
@@ -35,41 +36,35 @@ def exact_quantiles(num_freq: DataFrame, probs: tuple[float, ...] = (0.25, 0.75)
     Returns (*keys, n, q_<p> ...) with q as double (p written as 25, 75...).
     """
     spark = num_freq.sparkSession
-    if partitions is None:
-        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     k = [F.col(c) for c in keys]
-    ranged = materialize(num_freq.repartitionByRange(partitions, *k, F.col("dval"))
-                                 .withColumn("pid", F.spark_partition_id()),
-                         f"{stage_dir(spark)}/ranked")
+    order = [*k, F.col("dval")]
+    # without a number the exchange has as many partitions as the session
+    # sets, and adaptive execution joins small ones to the size of the data
+    ranged = num_freq.repartitionByRange(partitions, *order) if partitions else num_freq.repartitionByRange(*order)
+    ranged = materialize(ranged.withColumn("pid", F.spark_partition_id()), f"{stage_dir(spark)}/ranked")
     part_tot = ranged.groupBy(*keys, "pid").agg(F.sum("cnt").alias("pc"))
     w_off = Window.partitionBy(*keys).orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = part_tot.select(
-        *keys, "pid",
+        *keys, "pid", "pc",
         F.coalesce(F.sum("pc").over(w_off), F.lit(0)).alias("off"),
         F.sum("pc").over(Window.partitionBy(*keys)).alias("n"))
+    # only the partitions that hold a wanted rank are sorted: 2 per quantile at most
+    wanted = F.lit(False)
+    for p in probs:
+        lo = F.floor((F.col("n") - 1).cast("double") * F.lit(float(p)))
+        for rank in (lo, F.least(lo + 1, F.col("n") - 1)):
+            wanted = wanted | ((F.col("off") <= rank) & (rank < F.col("off") + F.col("pc")))
+    targets = offsets.where(wanted).drop("pc")
     w_run = Window.partitionBy(*keys, "pid").orderBy("dval").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    ranked = (ranged.withColumn("run", F.sum("cnt").over(w_run))
-                    .join(F.broadcast(offsets), [*keys, "pid"])
+    ranked = (ranged.join(targets, [*keys, "pid"])
+                    .withColumn("run", F.sum("cnt").over(w_run))
                     .select(*keys, "dval", "n",
                             (F.col("off") + F.col("run") - F.col("cnt")).alias("start"),
                             (F.col("off") + F.col("run")).alias("end")))
     return _interpolate(ranked, probs, keys)
 
 
-def small_exact_quantiles(num_freq: DataFrame, probs: tuple[float, ...] = (0.25, 0.75),
-                          keys: tuple[str, ...] = ("pos",)) -> DataFrame:
-    """Same output as ``exact_quantiles`` for groups whose number of distinct
-    values is known to be bounded (the caller checks it): one sort per group
-    (a window, which spills) gives every distinct value its rank interval."""
-    w_run = Window.partitionBy(*keys).orderBy("dval").rowsBetween(Window.unboundedPreceding,
-                                                                  Window.currentRow)
-    run = F.sum("cnt").over(w_run)
-    ranked = num_freq.select(*keys, "dval", F.sum("cnt").over(Window.partitionBy(*keys)).alias("n"),
-                             (run - F.col("cnt")).alias("start"), run.alias("end"))
-    return _interpolate(ranked, probs, keys)
-
-
 def _interpolate(ranked: DataFrame, probs: tuple[float, ...], keys: tuple[str, ...]) -> DataFrame:
     """``ranked``: (*keys, dval, n, start, end) with [start, end) the ranks a
     distinct value occupies.  The values at ranks floor(h) and floor(h)+1,

@@ -14,11 +14,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.keys import positional
 from ..operators.correlation import pair_correlations, top_correlations
 from ..operators.duplicates import duplicate_rows
 from ..operators.profile import BaseStats, ColumnProfiler, base_stats
@@ -42,11 +42,6 @@ def _union(dfs: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), dfs)
 
 
-# Inputs with at least this many rows but fewer read splits than the cluster
-# has task slots are spread before the per-cell passes.
-SPREAD_MIN_ROWS = 100_000
-
-
 @dataclass
 class DatasetPieces:
     stats: BaseStats
@@ -55,32 +50,16 @@ class DatasetPieces:
     dropped: DataFrame
     pairs: DataFrame
     duplicates: DataFrame
-    spread: DataFrame | None = None
-
-
-def spread(df: DataFrame, total_rows: int) -> DataFrame | None:
-    """A large input read as fewer splits than there are task slots (one big
-    Parquet row group, a non-splittable compressed file) would run the
-    unpivot, the correlation moments and the duplicate grouping in a few
-    tasks.  Such an input is spread round-robin once and kept (memory, then
-    disk) for those passes.  Well-split inputs - the normal case for large
-    tables - are returned as ``None`` and used as they are, without a
-    shuffle or a cache."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if total_rows < SPREAD_MIN_ROWS or df.rdd.getNumPartitions() >= slots:
-        return None
-    return df.repartition(slots).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def dataset_pieces(df: DataFrame, name: str, quantile_partitions: int | None = None) -> DatasetPieces:
     stats = base_stats(df, name)
     kept = stats.kept
-    wide = spread(df, stats.total_rows)
-    kept_df = (wide if wide is not None else df).select(*[s.col for s in kept])
+    kept_df = positional(df).select(*[s.col for s in kept])
     prof = ColumnProfiler(kept_df, stats, quantile_partitions)
     return DatasetPieces(stats, prof, prof.columns(), prof.dropped_columns(),
                          pair_correlations(kept_df, kept, name),
-                         duplicate_rows(kept_df, kept, name), wide)
+                         duplicate_rows(kept_df, kept, name))
 
 
 class Profile:
@@ -104,7 +83,6 @@ class Profile:
         with ThreadPoolExecutor(max_workers=len(jobs)) as ex:
             done = dict(zip(jobs, ex.map(lambda k: materialize(jobs[k], f"{self.path}/{k}"), jobs)))
         self.columns, self.correlations, dups = done["columns"], done["correlations"], done["duplicates"]
-        self.release()
         self.dropped = _union([p.dropped for p in pieces])
         self.imbalance = imbalance(self.columns)
         base = spark.createDataFrame(
@@ -163,13 +141,6 @@ class Profile:
             strip(F.col("d"), ["name", "reason"]).alias("dropped_columns"),
             "missing_cells_exact")
 
-    def release(self) -> None:
-        for p in self.pieces:
-            p.profiler.release()
-            if p.spread is not None:
-                p.spread.unpersist()
-                p.spread = None
-
 
 def profile(df: DataFrame, name: str, **kw) -> Profile:
     return Profile(df.sparkSession, [dataset_pieces(df, name, **kw)])
@@ -187,11 +158,5 @@ def profile_many(frames: dict[str, DataFrame], parallel: int = 4, **kw) -> Profi
         pieces = [dataset_pieces(df, n, **kw) for n, df in items]
     else:
         with ThreadPoolExecutor(max_workers=parallel) as ex:
-            pieces = list(ex.map(lambda it: _prepared(it[1], it[0], **kw), items))
+            pieces = list(ex.map(lambda it: dataset_pieces(it[1], it[0], **kw), items))
     return Profile(spark, pieces)
-
-
-def _prepared(df: DataFrame, name: str, **kw) -> DatasetPieces:
-    p = dataset_pieces(df, name, **kw)
-    p.profiler.distinct_counts()
-    return p

@@ -37,11 +37,15 @@ SCORE_FLOOR = 10
 # --- fixed values: file admission and question answering ------------------
 ALLOWED_SUFFIXES = (".csv", ".xlsx", ".xls")
 MAX_FILE_BYTES = 50 * 1024 * 1024
-CSV_INFER_ROWS = 10_000
+CSV_INFER_ROWS = 10_000          # the reference looks no further; an option here
 REPORT_CONTEXT_CHARS = 12_000
 REPORT_CONTEXT_FLOOR = 2_000
 CHAT_SOURCES = ("EDA Report",)
 
+# --- fixed values: the sentence a dropped column is reported with ----------
+DROP_REASON = ("Dropped: ", "% of values are missing (threshold is 60%). "
+               "A column with this much missing data adds noise rather than signal.")
+
 # --- fixed values: catalogue checks ----------------------------------------
 DATASET_STATUSES = ("processing", "ready", "failed")
 CHAT_ROLES = ("user", "assistant")

@@ -50,7 +50,7 @@ def py_round(x, scale: int = 0) -> Column:
     generated code.
     """
     from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
     register_sql_functions(spark)
     return F.call_function("dq_py_round", lit_or_col(x).cast("double"), F.lit(int(scale)))
 

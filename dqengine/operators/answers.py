@@ -176,7 +176,9 @@ def answer_batch(questions: DataFrame, context: DataFrame) -> DataFrame:
 
 # -- Q4 ------------------------------------------------------------------------
 _FENCE = r"^```[a-zA-Z0-9_-]*\s*([\s\S]*?)\s*```$"
-_TRIM = r"^[\s\x0B]+|[\s\x0B]+$"
+# what Python's str.strip takes for blanks
+_BLANKS = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
+_TRIM = f"^{_BLANKS}|{_BLANKS}$"
 
 
 def clean_text(text: Column) -> Column:

@@ -139,9 +139,9 @@ def delete_cascade(datasets: DataFrame, chats: DataFrame, exports: DataFrame,
     ON DELETE CASCADE foreign keys, their chats and exports.  The doomed set
     is joined as a regular (shuffled or broadcast by AQE) anti-join, so its
     size is not assumed."""
-    d = doomed.select("id", "user_id")
-    keep_ds = datasets.join(d, ["id", "user_id"], "left_anti")
-    dk = d.select(F.col("id").alias("dataset_id"))
+    real = datasets.select("id", "user_id").join(doomed.select("id", "user_id"), ["id", "user_id"], "left_semi")
+    keep_ds = datasets.join(real, ["id", "user_id"], "left_anti")
+    dk = real.select(F.col("id").alias("dataset_id")).distinct()
     return (keep_ds, chats.join(dk, "dataset_id", "left_anti"), exports.join(dk, "dataset_id", "left_anti"))
 
 
@@ -184,14 +184,15 @@ def chat_history(chats: DataFrame) -> DataFrame:
     return chats.orderBy("dataset_id", "created_at", F.when(F.col("role") == "user", 0).otherwise(1))
 
 
-def admit_files(spark: SparkSession, folder: str) -> DataFrame:
-    """S3: list files (contents are not read) and decide admission:
-    allowed suffix and at most 50 MiB."""
+def admit_files(spark: SparkSession, folder: str, max_bytes: int | None = None) -> DataFrame:
+    """S3: list files (contents are not read) and decide admission: allowed
+    suffix and at most ``max_bytes`` (``constants.MAX_FILE_BYTES`` is the
+    reference's 50 MiB; by default files of any size are admitted)."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
              .select("path", "length"))
     suf = path_suffix(F.col("path"))
     ok_type = suf.isin(*C.ALLOWED_SUFFIXES)
-    ok_size = F.col("length") <= C.MAX_FILE_BYTES
+    ok_size = F.col("length") <= max_bytes if max_bytes is not None else F.lit(True)
     reason = (F.when(~ok_type, F.concat(F.lit("Unsupported file type '"), suf, F.lit("'. Use CSV or Excel.")))
                .when(~ok_size, F.lit("File exceeds the 50 MB limit.")))
     return files.select("path", "length", suf.alias("suffix"), (ok_type & ok_size).alias("admitted"),

@@ -267,7 +267,7 @@ class ColumnProfiler:
                   .withColumn("outlier_pct", F.lit(None).cast("double")))
         j = j.join(tops, "pos", "left")
         is_num = F.col("kind") == NUMERIC
-        has_stats = is_num & F.col("mean_raw").isNotNull()
+        has_stats = is_num & F.col("min_raw").isNotNull()
         unique = (F.coalesce(F.col("n_values"), F.lit(0)) +
                   F.when(F.col("null_count") > 0, 1).otherwise(0)).cast("long")
         top_values = F.when(~is_num, F.coalesce(
@@ -287,12 +287,9 @@ class ColumnProfiler:
             F.col("max_cnt").alias("max_class_count"), F.col("min_cnt").alias("min_class_count"),
             F.coalesce(F.col("n_values"), F.lit(0)).cast("long").alias("n_values"))
 
-    def dropped_columns(self) -> DataFrame:
-        """(dataset, pos, name, missing_ratio, reason)."""
-        r = F.col("missing_ratio")
-        reason = F.concat(
-            F.lit("Dropped: "), F.format_string("%.1f", py_round(r * 100, 1)),
-            F.lit(f"% of values are missing (threshold is {C.MISSING_DROP_THRESH * 100:.0f}%). "
-                  "A column with this much missing data adds noise rather than signal."))
-        return self.stats.meta.where(~F.col("kept")).select("dataset", "pos", "name", "missing_ratio",
-                                                            reason.alias("reason"))
+
+def dropped_columns(stats: BaseStats) -> DataFrame:
+    """(dataset, pos, name, missing_ratio, reason)."""
+    r = F.col("missing_ratio")
+    reason = F.concat(F.lit(C.DROP_REASON[0]), F.format_string("%.1f", py_round(r * 100, 1)), F.lit(C.DROP_REASON[1]))
+    return stats.meta.where(~F.col("kept")).select("dataset", "pos", "name", "missing_ratio", reason.alias("reason"))

@@ -42,8 +42,11 @@ def imbalance(columns: DataFrame) -> DataFrame:
                            .alias("majority_pct")))
 
 
-def bias_flags(columns: DataFrame, correlations: DataFrame) -> DataFrame:
-    """(dataset, seq, rule_id, column, value, message)."""
+# --- fixed values: the sentences of the rules below must equal the reference's,
+# --- but for D12, which it does not have.
+def bias_flags(columns: DataFrame, correlations: DataFrame, no_columns: DataFrame | None = None) -> DataFrame:
+    """F1-F7, and D12 for datasets (dataset, columns) that kept no column:
+    (dataset, seq, rule_id, column, value, message)."""
     name, total = F.col("name"), F.col("total_rows")
     uniq_ratio = safe_div(F.col("unique_count"), total, None)
     f1 = _flag(columns.where((total > 0) & (uniq_ratio > C.HIGH_CARDINALITY_RATIO)), 0, F.col("pos"), 0,
@@ -84,6 +87,9 @@ def bias_flags(columns: DataFrame, correlations: DataFrame) -> DataFrame:
                         fmt_fixed(F.col("ratio"), 1),
                         F.lit("×). Consider oversampling (SMOTE) or class weighting before classification.")))
     allf = f1.unionByName(f2).unionByName(f3).unionByName(f4).unionByName(f5).unionByName(f6)
+    if no_columns is not None:
+        allf = allf.unionByName(_flag(no_columns, 3, F.lit(0), 0, "D12", F.lit("no_columns"), F.col("columns"), F.lit(
+            "Every column was dropped for missing values. There is nothing left to profile.")))
     w = Window.partitionBy("dataset").orderBy("grp", "pos", "sub")
     return allf.withColumn("seq", F.row_number().over(w)).select(
         "dataset", "seq", "rule_id", "column", "value", "message")

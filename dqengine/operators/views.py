@@ -82,3 +82,8 @@ def kpis(datasets: DataFrame) -> DataFrame:
 def search(datasets: DataFrame, text: str) -> DataFrame:
     """Case-insensitive substring search on the dataset name."""
     return datasets.where(F.lower("name").contains(text.lower()))
+
+
+def search_count(datasets: DataFrame, text: str) -> DataFrame:
+    """How many names contain the text."""
+    return search(datasets, text).agg(F.count(F.lit(1)).alias("hits"))

@@ -30,37 +30,26 @@ from .report import Profile, profile_many
 
 ALL = list(TABLES) + ["dirty"]
 
-_cache: dict[tuple, Profile] = {}
-
-
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return dirty(spark, sf_dir) if name == "dirty" else read_table(spark, sf_dir, name)
 
 
 def profiles(spark: SparkSession, sf_dir: str, names: list[str]) -> Profile:
-    """Profile of ``names`` (memoized per session and folder: the registered
-    queries share one profiling run)."""
-    key = (id(spark._jsparkSession), sf_dir, tuple(names))
-    if key not in _cache:
-        _cache[key] = profile_many({n: frame(spark, sf_dir, n) for n in names})
-    return _cache[key]
+    """Profile of ``names``; every query runs its own."""
+    return profile_many({n: frame(spark, sf_dir, n) for n in names})
 
 
 def all_profiles(spark: SparkSession, sf_dir: str) -> Profile:
     return profiles(spark, sf_dir, ALL)
 
 
-def _sub(df: DataFrame, names: list[str]) -> DataFrame:
-    return df.where(F.col("dataset").isin(names))
-
-
 # ---------------------------------------------------------------------------
 # Spark side
 # ---------------------------------------------------------------------------
 def q_profile(table: str) -> Callable[[SparkSession, str], DataFrame]:
     """Per-column profile of one table."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        c = _sub(all_profiles(spark, sf_dir).columns, [table])
+        c = profiles(spark, sf_dir, [table]).columns
         return c.select(
             F.col("name").alias("column"), F.col("kind"),
             F.col("null_count").cast("long").alias("null_count"),
@@ -323,7 +312,7 @@ def q_csv_profile_lineitem(spark, sf_dir):
     path = f"{stage_dir(spark)}/lineitem.csv"
     read_table(spark, sf_dir, "lineitem").write.option("header", True).csv(path)
     df = read_any(spark, path)
-    p = profile_many({"lineitem_csv": df}, parallel=1)
+    p = profile_many({"lineitem_csv": df})
     c = p.columns
     return c.select(
         F.col("name").alias("column"), F.col("kind"),

@@ -1,18 +1,19 @@
 """The full profiling plan, for one DataFrame or many.
 
-``profile(df, name)`` and ``profile_many({name: df})`` return a ``Profile``:
-a bundle of DataFrames keyed by ``dataset``.  Per dataset the input is read
-three times - the wide aggregate (job 1), the frequency table, and the
-duplicate / correlation passes - and everything after that is O(columns)
-rows.  The per-dataset pieces are unioned before the rules run, so flags,
-recommendations, scores and the report rows of many datasets come from one
+``profile(df, name)`` and ``profile_many({name: df})`` return a ``Profile``: a
+bundle of DataFrames keyed by ``dataset``, each computed when it is asked for.
+Whatever the number of columns, a dataset is read once for each of: the wide
+aggregate, the frequency table, the long texts among the top values, the two
+passes of the pair moments, the duplicates; everything after that is
+O(columns) rows.  The per-dataset pieces are unioned before the rules run, so
+flags, recommendations, scores and report rows of many datasets come from one
 plan.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
+from functools import cached_property, partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 from ..functions.keys import positional
 from ..operators.correlation import pair_correlations, top_correlations
 from ..operators.duplicates import duplicate_rows
-from ..operators.profile import BaseStats, ColumnProfiler, base_stats
+from ..operators.profile import BaseStats, ColumnProfiler, base_stats, dropped_columns
 from ..operators.rules import bias_flags, imbalance, recommendations
 from ..operators.score import (completeness_score, consistency_score,
                                health_score, noise_score, raw_health)
@@ -42,63 +43,97 @@ def _union(dfs: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), dfs)
 
 
-@dataclass
-class DatasetPieces:
-    stats: BaseStats
-    profiler: ColumnProfiler
-    columns: DataFrame
-    dropped: DataFrame
-    pairs: DataFrame
-    duplicates: DataFrame
+class Pieces:
+    """One dataset: its base statistics now, everything else when asked for."""
 
+    def __init__(self, df: DataFrame, name: str, quantile_partitions: int | None = None):
+        self.stats: BaseStats = base_stats(df, name)
+        self.df = positional(df).select(*[s.col for s in self.stats.kept])
+        self.quantile_partitions = quantile_partitions
 
-def dataset_pieces(df: DataFrame, name: str, quantile_partitions: int | None = None) -> DatasetPieces:
-    stats = base_stats(df, name)
-    kept = stats.kept
-    kept_df = positional(df).select(*[s.col for s in kept])
-    prof = ColumnProfiler(kept_df, stats, quantile_partitions)
-    return DatasetPieces(stats, prof, prof.columns(), prof.dropped_columns(),
-                         pair_correlations(kept_df, kept, name),
-                         duplicate_rows(kept_df, kept, name))
+    def columns(self) -> DataFrame:
+        return ColumnProfiler(self.df, self.stats, self.quantile_partitions).columns()
+
+    def pairs(self) -> DataFrame:
+        return pair_correlations(self.df, self.stats.kept, self.stats.dataset)
+
+    def duplicates(self) -> DataFrame:
+        return duplicate_rows(self.df, self.stats.kept, self.stats.dataset)
+
+
+def _at_once(work: list) -> list:
+    """Calls that are independent of each other, a few at a time: their Spark
+    jobs share the cluster, stages of one fill the slots another leaves idle."""
+    with ThreadPoolExecutor(max_workers=min(4, len(work))) as ex:
+        return list(ex.map(lambda f: f(), work))
 
 
 class Profile:
-    """All outputs of the profiler for a set of datasets."""
+    """All outputs of the profiler for a set of datasets.
 
-    def __init__(self, spark: SparkSession, pieces: list[DatasetPieces]):
+    Each output is a table with rows for every dataset.  It is computed when
+    it is first asked for, and only then; the three distributed ones (columns,
+    correlations, duplicates) are O(columns) rows and read back from Parquet.
+    """
+
+    def __init__(self, spark: SparkSession, pieces: list[Pieces]):
         self.spark = spark
         self.pieces = pieces
         self.path = stage_dir(spark)
-        # The three distributed results are O(columns) rows per dataset; each
-        # is computed once for all datasets (one job per table kind, the
-        # datasets' plans run side by side) and read back from Parquet.
-        # The three tables are independent, so their jobs are submitted
-        # together; stages of one fill the task slots another leaves idle.
-        from concurrent.futures import ThreadPoolExecutor
-        jobs = {
-            "columns": _union([p.columns for p in pieces]),
-            "correlations": top_correlations(_union([p.pairs for p in pieces])),
-            "duplicates": _union([p.duplicates for p in pieces]),
-        }
-        with ThreadPoolExecutor(max_workers=len(jobs)) as ex:
-            done = dict(zip(jobs, ex.map(lambda k: materialize(jobs[k], f"{self.path}/{k}"), jobs)))
-        self.columns, self.correlations, dups = done["columns"], done["correlations"], done["duplicates"]
-        self.dropped = _union([p.dropped for p in pieces])
-        self.imbalance = imbalance(self.columns)
+
+    def _result(self, name: str, parts: list, finish=lambda df: df) -> DataFrame:
+        return materialize(finish(_union(_at_once(parts))), f"{self.path}/{name}")
+
+    @cached_property
+    def columns(self) -> DataFrame:
+        return self._result("columns", [p.columns for p in self.pieces])
+
+    @cached_property
+    def correlations(self) -> DataFrame:
+        return self._result("correlations", [p.pairs for p in self.pieces], top_correlations)
+
+    @cached_property
+    def duplicates(self) -> DataFrame:
+        return self._result("duplicates", [p.duplicates for p in self.pieces])
+
+    @cached_property
+    def dropped(self) -> DataFrame:
+        return _union([dropped_columns(p.stats) for p in self.pieces])
+
+    @cached_property
+    def imbalance(self) -> DataFrame:
+        return imbalance(self.columns)
+
+    @cached_property
+    def flags(self) -> DataFrame:
+        return bias_flags(self.columns, self.correlations, self.no_columns)
+
+    @cached_property
+    def no_columns(self) -> DataFrame:
+        """Datasets that lost every column to the missing-value rule."""
+        names = [(p.stats.dataset, len(p.stats.specs)) for p in self.pieces if p.stats.specs and not p.stats.kept]
+        return self.spark.createDataFrame(names, "dataset STRING, columns INT")
+
+    @cached_property
+    def recommendations(self) -> DataFrame:
+        return recommendations(self.summary, self.columns, self.correlations, self.dropped)
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        spark, pieces, dups = self.spark, self.pieces, self.duplicates
         base = spark.createDataFrame(
             [(p.stats.dataset, p.stats.total_rows, len(p.stats.kept), p.stats.missing_cells,
               p.stats.missing_cells_exact, float(p.stats.overall_missing_pct), len(p.stats.dropped))
              for p in pieces], SUMMARY_SCHEMA)
         outl = self.columns.groupBy("dataset").agg(
             F.coalesce(F.sum("outlier_count"), F.lit(0)).cast("long").alias("outlier_count"))
-        self.flags = bias_flags(self.columns, self.correlations)
         nflags = self.flags.groupBy("dataset").agg(F.count(F.lit(1)).alias("flag_count"))
         s = (base.join(dups, "dataset", "left").join(outl, "dataset", "left")
                  .join(nflags, "dataset", "left")
                  .fillna(0, ["duplicate_rows", "outlier_count", "flag_count"]))
         args = [F.col("missing_pct"), F.col("duplicate_rows"), F.col("total_rows"),
                 F.col("outlier_count"), F.col("dropped_count"), F.col("flag_count")]
-        self.summary = s.select(
+        return s.select(
             "dataset", "total_rows", "total_columns", "missing_cells", "missing_cells_exact",
             "missing_pct", F.col("duplicate_rows").cast("long").alias("duplicate_rows"),
             F.col("outlier_count").cast("long").alias("outlier_count"),
@@ -108,7 +143,6 @@ class Profile:
             completeness_score(F.col("missing_pct")).alias("completeness_score"),
             consistency_score(F.col("duplicate_rows"), F.col("total_rows")).alias("consistency_score"),
             noise_score(F.col("outlier_count"), F.col("total_rows")).alias("noise_score"))
-        self.recommendations = recommendations(self.summary, self.columns, self.correlations, self.dropped)
 
     def reports(self) -> DataFrame:
         """One row per dataset in the report shape of SURVEY §1.4."""
@@ -143,20 +177,11 @@ class Profile:
 
 
 def profile(df: DataFrame, name: str, **kw) -> Profile:
-    return Profile(df.sparkSession, [dataset_pieces(df, name, **kw)])
-
+    return Profile(df.sparkSession, [Pieces(df, name, **kw)])
 
-def profile_many(frames: dict[str, DataFrame], parallel: int = 4, **kw) -> Profile:
-    """Profile several datasets.  The per-dataset driver steps (job 1 and
-    the distinct-count collection) are independent, so they are submitted
-    from a few threads at once and their Spark jobs share the cluster."""
-    from concurrent.futures import ThreadPoolExecutor
 
+def profile_many(frames: dict[str, DataFrame], **kw) -> Profile:
+    """Profile several datasets; their driver steps are independent and run a
+    few at a time."""
     spark = next(iter(frames.values())).sparkSession
-    items = list(frames.items())
-    if parallel <= 1 or len(items) == 1:
-        pieces = [dataset_pieces(df, n, **kw) for n, df in items]
-    else:
-        with ThreadPoolExecutor(max_workers=parallel) as ex:
-            pieces = list(ex.map(lambda it: dataset_pieces(it[1], it[0], **kw), items))
-    return Profile(spark, pieces)
+    return Profile(spark, _at_once([partial(Pieces, df, n, **kw) for n, df in frames.items()]))

@@ -1,11 +1,12 @@
 """File sources (S1, S2) and the report sink.
 
-S1: the reference infers CSV types from the first 10,000 rows and turns
-cells that do not parse into nulls.  Spark: infer a schema on a
-10,000-line sample (read as text, so only the first lines are touched),
-then read the whole file with that schema in PERMISSIVE mode.  Dates are not
-parsed by the reference, so inferred date/timestamp columns are read as
-strings.
+S1: a CSV is read as text columns (RFC 4180 quotes: doubled quotes, commas and
+line ends inside them), its types are inferred over the whole file in one
+aggregate, and cells are cast.  Integers are 64-bit; a column gets a type only
+if every cell has it, so a cast loses nothing.  Inferring from the first rows
+is an explicit choice (``sample_rows``); then cells that do not parse become
+null, as in the reference, and ``csv_nulled_cells`` tells how many.  Dates stay
+text, as the reference does not parse them.
 """
 
 from __future__ import annotations
@@ -14,33 +15,52 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from ..functions import constants as C
 
 READERS = {".csv": "csv", ".parquet": "parquet", ".json": "json", ".orc": "orc"}
-
-
-def infer_csv_schema(spark: SparkSession, path: str, sample_rows: int = C.CSV_INFER_ROWS,
-                     parse_dates: bool = False) -> T.StructType:
-    """Schema from the header plus the first ``sample_rows`` data lines.
-    Assumes no quoted newlines inside the sample (use multiLine otherwise)."""
-    lines = spark.read.text(path).limit(sample_rows + 1)
-    sample = spark.read.csv(lines.rdd.map(lambda r: r[0]), header=True, inferSchema=True)
-    fields = []
-    for f in sample.schema.fields:
-        dt = f.dataType
-        if not parse_dates and isinstance(dt, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            dt = T.StringType()
-        fields.append(T.StructField(f.name, dt, True))
-    return T.StructType(fields)
-
-
-def read_csv(spark: SparkSession, path: str, sample_rows: int = C.CSV_INFER_ROWS) -> DataFrame:
-    """Header CSV, inferred types, unparsable cells -> null."""
-    schema = infer_csv_schema(spark, path, sample_rows)
-    return (spark.read.option("header", True).option("mode", "PERMISSIVE")
-            .schema(schema).csv(path))
+#: Types in the order they are tried.
+CSV_TYPES = ("bigint", "double", "boolean")
+
+
+def csv_text(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+    """Every cell of a CSV with a header as text; empty cells are null, short
+    rows are padded, further fields dropped.  Files without line ends inside
+    quotes can be split among tasks; ``multi_line`` says whether there are any
+    (None: look for lines with an odd number of quotes first)."""
+    if multi_line is None:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        multi_line = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+    return (spark.read.option("header", True).option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"')
+            .option("multiLine", multi_line).csv(path))
+
+
+def infer_csv_types(text: DataFrame, sample_rows: int | None = None) -> list[str]:
+    """A type for each column: the first of CSV_TYPES that all non-null cells
+    have, else text.  One aggregate over all rows, or the first ``sample_rows``."""
+    rows = text.toDF(*[f"c{i}" for i in range(len(text.columns))])
+    rows = rows.limit(sample_rows) if sample_rows is not None else rows
+    fits = [F.bool_and(F.col(c).isNull() | F.col(c).try_cast(t).isNotNull()).alias(f"{c}_{t}") for c in rows.columns for t in CSV_TYPES]
+    seen = [F.count(c).alias(f"{c}_n") for c in rows.columns]
+    found = rows.agg(*fits, *seen).first()
+    return [next((t for t in CSV_TYPES if found[f"{c}_n"] and found[f"{c}_{t}"]), "string") for c in rows.columns]
+
+
+def read_csv(spark: SparkSession, path: str, sample_rows: int | None = None, multi_line: bool | None = None) -> DataFrame:
+    """Header CSV with inferred types."""
+    text = csv_text(spark, path, multi_line)
+    types = infer_csv_types(text, sample_rows)
+    flat = text.toDF(*[f"c{i}" for i in range(len(text.columns))])
+    return flat.select(*[F.col(c).try_cast(t) for c, t in zip(flat.columns, types, strict=True)]).toDF(*text.columns)
+
+
+def csv_nulled_cells(spark: SparkSession, path: str, sample_rows: int | None = None, multi_line: bool | None = None) -> DataFrame:
+    """(column, type, nulled): cells of each column that lose their text to the
+    inferred type (none unless types come from a sample)."""
+    text = csv_text(spark, path, multi_line)
+    types = infer_csv_types(text, sample_rows)
+    flat = text.toDF(*[f"c{i}" for i in range(len(text.columns))])
+    lost = [F.struct(F.lit(n).alias("column"), F.lit(t).alias("type"), F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(t).isNull()).alias("nulled"))
+            for n, c, t in zip(text.columns, flat.columns, types, strict=True)]
+    return flat.agg(F.array(*lost).alias("a")).select(F.inline("a"))
 
 
 def suffix_of(path: str) -> str:

@@ -34,3 +34,11 @@ def test_cascade_and_checks(spark):
     assert sorted(r.id for r in kept_exports.collect()) == ["e2"]
     assert [r.id for r in orphans(chats, ds).collect()] == ["c3"]
     assert [r.id for r in chat_violations(chats).collect()] == ["c4"]
+
+
+def test_cascade_needs_the_owner(spark):
+    ds = spark.createDataFrame([("d1", "u1"), ("d2", "u2")], "id STRING, user_id STRING")
+    chats = spark.createDataFrame([("c1", "d1"), ("c2", "d2")], "id STRING, dataset_id STRING")
+    doomed = spark.createDataFrame([("d1", "intruder"), ("d2", "u2")], "id STRING, user_id STRING")
+    kept = delete_cascade(ds, chats, chats, doomed)
+    assert [[r.id for r in k.collect()] for k in kept] == [["d1"], ["c1"], ["c1"]]

@@ -105,3 +105,55 @@ def test_zero_rows(spark):
     s = p.summary.collect()[0]
     assert s.total_rows == 0 and s.health_score == 100
     assert not p.flags.collect()
+
+
+def test_infinite_values_are_no_outliers(spark):
+    inf = float("inf")
+    p = profile_of(spark, [(x,) for x in [1.0, 2.0, 3.0, inf, inf, inf, inf, -inf, -inf, -inf]], "x DOUBLE")
+    r = col_row(p, "x")
+    assert (r.outlier_count, r.max, r.min) == (0, inf, -inf)
+
+
+def test_column_names_are_data(spark):
+    p = profile_of(spark, [(1.0, 2.0, "x"), (2.0, 4.0, "y"), (3.0, 5.0, "y")], "`a``b` DOUBLE, `A``B` DOUBLE, `c.d` STRING")
+    assert {r.name for r in p.columns.collect()} == {"a`b", "A`B", "c.d"}
+    assert [(r.col1, r.col2) for r in p.correlations.collect()] == [("a`b", "A`B")]
+
+
+def test_maps_and_variants_in_duplicates(spark):
+    from pyspark.sql import functions as F
+    from dqengine.plans.report import profile
+    df = spark.createDataFrame([({"a": 1, "b": 2}, "{}"), ({"b": 2, "a": 1}, "{}"), ({"a": 3}, "[1]")], "m MAP<STRING, INT>, j STRING")
+    df = df.select("m", F.parse_json("j").alias("v"))
+    assert profile(df, "t").summary.first().duplicate_rows == 1
+
+
+def test_no_columns_left(spark):
+    p = profile_of(spark, [(None, None)] * 3, "a INT, b STRING")
+    assert [(r.rule_id, r.column) for r in p.flags.collect()] == [("D12", "no_columns")]
+
+
+def test_pairs_of_few_rows_and_many_columns(spark):
+    wide = ", ".join(f"x{i} DOUBLE" for i in range(60))
+    for n in (0, 1):
+        p = profile_of(spark, [tuple(float(i * j) for i in range(60)) for j in range(n)], wide)
+        assert p.correlations.collect() == []
+    import numpy as np
+    x = np.random.default_rng(0).normal(1e6, 1, (50, 60))
+    x[:, 7] = 2 * x[:, 3] + 1e-3 * x[:, 7]
+    p = profile_of(spark, [tuple(map(float, r)) for r in x], wide)
+    c = np.corrcoef(x.T)
+    got = p.correlations.collect()
+    assert len(got) == 30 and got[0].left_out == 60 * 59 // 2 - 30
+    assert all(abs(r.value - c[r.i, r.j]) < 6e-5 for r in got) and (got[0].i, got[0].j) == (3, 7)
+
+
+def test_rounding_is_pythons(spark):
+    import random
+    from dqengine.functions.scalar import py_round
+    rnd = random.Random(2)
+    xs = [rnd.uniform(-1, 1) * 10 ** rnd.randint(-8, 16) for _ in range(3000)] + [0.5, 1.5, 2.675, 1e300, 5e-324, 123456789.0000005]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i INT, x DOUBLE")
+    for k in (0, 2, 4, 6):
+        got = {r.i: r.y for r in df.select("i", py_round(df.x, k).alias("y")).collect()}
+        assert all(got[i] == round(x, k) for i, x in enumerate(xs)), k

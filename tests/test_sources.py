@@ -5,7 +5,7 @@ import math
 import pytest
 
 from dqengine.operators.catalog import admit_files
-from dqengine.sources.files import read_any, read_csv
+from dqengine.sources.files import csv_nulled_cells, read_any, read_csv
 
 
 def test_csv_permissive(spark, tmp_path):
@@ -21,7 +21,7 @@ def test_csv_permissive(spark, tmp_path):
     p.write_text("\n".join(lines) + "\n")
     df = read_csv(spark, str(p), sample_rows=4)
     types = dict(df.dtypes)
-    assert types["id"] == "int" and types["b"] == "boolean" and types["mix"] == "int"
+    assert types["id"] == "bigint" and types["b"] == "boolean" and types["mix"] == "bigint"
     assert types["n"] == "double" and types["d"] == "string" and types["e"] == "string"
     rows = {r.id: r for r in df.collect()}
     assert rows[5].mix is None                       # unparsable -> null
@@ -30,6 +30,20 @@ def test_csv_permissive(spark, tmp_path):
     assert rows[6].b is False and rows[6].mix is None and rows[6].e is None  # short row padded
     assert rows[7].e == "g"                          # extra field dropped
     assert len(rows) == 7
+    assert {r.column: r.nulled for r in csv_nulled_cells(spark, str(p), sample_rows=4).collect()} == {"id": 0, "b": 0, "d": 0, "mix": 1, "n": 0, "e": 0}
+    whole = read_csv(spark, str(p))                  # all rows decide: nothing is lost
+    assert dict(whole.dtypes)["mix"] == "string" and [r.mix for r in whole.collect()][4] == "x"
+    assert sum(r.nulled for r in csv_nulled_cells(spark, str(p)).collect()) == 0
+
+
+def test_csv_quotes_and_large_integers(spark, tmp_path):
+    p = tmp_path / "q.csv"
+    body = "".join(f'"row {i}",{i}\n' for i in range(300))
+    p.write_text('text,n\n"He said ""hi"", ok",1\n"two\nlines",2\n' + body + "last,3000000000\n")
+    df = read_csv(spark, str(p))
+    rows = df.collect()
+    assert dict(df.dtypes) == {"text": "string", "n": "bigint"} and len(rows) == 303
+    assert rows[0].text == 'He said "hi", ok' and rows[1].text == "two\nlines" and rows[-1].n == 3000000000
 
 
 def test_dispatch(spark, tmp_path):

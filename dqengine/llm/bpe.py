@@ -24,12 +24,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-#: Chunks that a worker process keeps (about 60 MB); further ones are encoded, not kept.
-TABLE_CHUNKS = 1_000_000
+#: Chunks that a worker process keeps (about 20 MB); further ones are encoded, not kept.
+TABLE_CHUNKS = 300_000
 #: Longer chunks (text without spaces) are encoded one by one, never kept.
 LONG_CHUNK = 4096
 #: Bytes of text that are hashed and looked up at once.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 
 def _byte_set(*codes: int) -> np.ndarray:

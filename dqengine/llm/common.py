@@ -25,6 +25,19 @@ def staged(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     return materialize(df, f"{stage_dir(spark)}/t")
 
 
+#: Rows of text that Spark hands to a Python worker at once.
+BATCH_ROWS = 1000
+
+
+def text_rows(docs: DataFrame, *columns: Column) -> DataFrame:
+    """``docs`` with just these columns, on their way to Python workers: Arrow
+    batches of texts are kept short (both sides hold a whole batch)."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", docs.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return docs.select(*columns)
+
+
 def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
     """The column ``name`` as ``kind``, or a typed null where ``df`` has none."""
     if name in df.columns:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import text_slices
-from .common import arrow_rows, schema_of, staged
+from .common import arrow_rows, schema_of, staged, text_rows
 from .words import gram_blocks
 
 #: Bits of each bitmap (4 MB each).
@@ -56,7 +56,7 @@ def item_shingles(items: DataFrame, key: str, text: str, words: int, threshold:
                 out += [(key_, g, h, n, size, g in least) for g, (h, n) in found.items()]
             yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, r, strict=True)) for r in out], schema=arrow)
 
-    rows = items.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = text_rows(items, F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("text"))
     return rows.mapInArrow(run, schema)
 
 
@@ -108,7 +108,7 @@ def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text
             at = pa.array([i for i, _ in pairs], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("row").take(at), batch.column("k").take(at), pa.array([g for _, g in pairs], pa.string())], schema=arrow)
 
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("text"))
+    texts = text_rows(docs, F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("text"))
     held = staged(texts.where("text is not null").mapInArrow(scan, schema)) if lengths else spark.createDataFrame([], schema)
     shared = held.join(shingles.select("gram", "item", "size", "sketched"), "gram")
     counts = shared.groupBy("row", "item").agg(F.first("k").alias("k"), F.first("size").alias("size"), F.count(F.lit(1)).alias("shared"), F.bool_or("sketched").alias("candidate"))

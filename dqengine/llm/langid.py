@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import text_buffers, text_slices
-from .common import column_or_null, schema_of, staged
+from .common import column_or_null, schema_of, staged, text_rows
 
 #: Hash buckets of trigrams; trigrams a text counts as at most; languages a model may have.
 BUCKETS, FULL, LANGUAGES = 1 << 13, 60.0, 256
@@ -66,7 +66,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
     frequent.  Every labelled text counts; tasks send sums, and the driver sees
     ``BUCKETS`` numbers for each language."""
     code = F.lower(F.trim(F.col(f"`{lang}`")))
-    rows = docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.when(code.rlike("^[a-z]{2,3}$"), code).alias("lang")).where("lang is not null and text is not null")
+    rows = text_rows(docs, F.col(f"`{text}`").cast("string").alias("text"), F.when(code.rlike("^[a-z]{2,3}$"), code).alias("lang")).where("lang is not null and text is not null")
     counted = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     names = sorted(r["lang"] for r in counted)
     place = {n: i for i, n in enumerate(names)}
@@ -135,7 +135,7 @@ def text_likelihoods(evidence: DataFrame, names: list[str], log_likelihood: np.n
             out = [*(batch.column(c) for c in columns), pa.array(list(ll), arrow.field("ll").type), pa.array(list(own), arrow.field("own").type), pa.array(grams)]
             yield pa.RecordBatch.from_arrays(out, schema=arrow)
 
-    return evidence.mapInArrow(score, schema)
+    return text_rows(evidence, *evidence.columns).mapInArrow(score, schema)
 
 
 def _sums(n: int, column: str = "own") -> Column:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import text_buffers, text_slices, vocabulary, vocabulary_files
-from .common import schema_of, staged
+from .common import schema_of, staged, text_rows
 
 
 @dataclass
@@ -206,7 +206,7 @@ def token_pieces(docs: DataFrame, capacity: int, key: str, text: str, end_id: in
             cols = [batch.column("k").take(pa.array(row, pa.int64())), piece, start, length, crc, [task] * len(row), nth]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
-    rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = text_rows(docs, F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("text"))
     return rows.mapInArrow(encode, schema)
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, schema_of, staged
+from .common import arrow_rows, schema_of, staged, text_rows
 from .simhash import word_blocks
 
 FEATURES = ("symbols", "exclamations", "bars", "capitals", "digits", "repeats", "sameness", "long_words", "short_words", "line_repeats", "control", "no_words")
@@ -86,7 +86,7 @@ def text_features(docs: DataFrame, key: str, text: str) -> DataFrame:
         for b in arrow_rows(batches):
             yield pa.RecordBatch.from_arrays([b.column("k"), pa.array([features(t) for t in b.column("text").to_pylist()], arrow.field("shares").type)], schema=arrow)
 
-    rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = text_rows(docs, F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("text"))
     return rows.mapInArrow(run, schema)
 
 
@@ -151,6 +151,15 @@ def _score(weights: np.ndarray, shares: Column) -> Column:
     return F.least(F.greatest((1 + g) / 2, F.lit(0.0)), F.lit(1.0))
 
 
+def scores(weights: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """The same of rows of shares in a task, added in the same order."""
+    g = np.full(len(shares), float(weights[0]))
+    for f in range(len(FEATURES)):
+        steps = np.concatenate([[0.0], np.cumsum(weights[1 + f * len(CUTS):1 + (f + 1) * len(CUTS)])])
+        g = g + steps[(shares[:, f, None] > np.array(CUTS)).sum(axis=1)]
+    return np.clip((1 + g) / 2, 0.0, 1.0)
+
+
 def held_out(key: Column) -> Column:
     """Whether labels of this row may not be learnt from; not for a null key."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -195,11 +204,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
 def of_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, all columns as they
     were: texts are scored where they lie, nothing is joined or shuffled."""
-    import pandas as pd
     weights, _ = fit(staged(text_features(docs, key, text)), labels, key, label)
-    shares = F.pandas_udf(lambda texts: pd.Series([features(t) for t in texts], dtype=object), "array<double>")
-    rows = docs.select(F.struct("*").alias("row"), shares(F.col(f"`{text}`").cast("string")).alias("shares"))
-    return rows.where(_score(weights, F.col("shares")) >= 0.5).select("row.*")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = text_rows(docs.toDF(*names), F.col(names[docs.columns.index(text)]).cast("string").alias("text"), *names)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in arrow_rows(batches):
+            good = scores(weights, np.array([features(t) for t in b.column("text").to_pylist()]).reshape(b.num_rows, len(FEATURES))) >= 0.5
+            yield b.select(names).filter(pa.array(good))
+
+    return rows.mapInArrow(keep, rows.select(*names).schema).toDF(*docs.columns)
 
 
 def op5_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, schema_of, staged
+from .common import arrow_rows, schema_of, staged, text_rows
 
 #: Code points between the parts of one credential.
 REACH = 240
@@ -97,7 +97,7 @@ def _parts(docs: DataFrame, key: str, text: str) -> DataFrame:
                 weak.append(named(weak_spans(t or "", strong)))
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("k"), pa.array(base, arrow.field("base").type), pa.array(weak, arrow.field("weak").type)], schema=arrow)
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = text_rows(docs, F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("text"))
     return rows.mapInArrow(run, schema)
 
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, schema_of, staged
+from .common import arrow_rows, schema_of, staged, text_rows
 from .components import connected_components
 
 #: Fingerprints of a bucket that one task compares with each other.
@@ -38,7 +38,7 @@ CHUNK = 4096
 #: Up to so many, buckets are compared by shifted planes.
 SMALL = 64
 #: Bytes of a text that are cut into words at once.
-TEXT_BLOCK = 4 << 20
+TEXT_BLOCK = 1 << 20
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -86,7 +86,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
             f = np.array([fingerprint(t, shingle) for t in b.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(f.view(np.int64))], schema=arrow)
 
-    rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = text_rows(docs, F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("text"))
     return rows.mapInArrow(run, schema).withColumnRenamed("k", key)
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .bpe import (_INVERSE, _POWERS, _RANDOM, ChunkTable, HashIndex, Vocabulary, mixed, run_hashes, spread,
                   text_buffers, text_slices, vocabulary, vocabulary_files)
-from .common import schema_of
+from .common import schema_of, text_rows
 
 #: Token pairs whose compatibility a worker remembers.
 REMEMBERED = 500_000
@@ -303,7 +303,7 @@ def token_counts(docs: DataFrame, limits: Sequence[int] = (), key: str = "doc_id
                 out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*kept, np.zeros(0, np.int32)]))))
             yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
 
-    rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = text_rows(docs, F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("text"))
     return rows.mapInArrow(count, schema).withColumnRenamed("k", key)
 
 

@@ -17,19 +17,20 @@ tables might differ, and for chunks that hold a special string.
 from __future__ import annotations
 
 import base64
+import json
 import os
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-#: Chunks that a worker process keeps (about 20 MB); further ones are encoded, not kept.
-TABLE_CHUNKS = 300_000
+#: Chunks that a worker process keeps (about 10 MB); further ones are encoded, not kept.
+TABLE_CHUNKS = 150_000
 #: Longer chunks (text without spaces) are encoded one by one, never kept.
 LONG_CHUNK = 4096
 #: Bytes of text that are hashed and looked up at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def _byte_set(*codes: int) -> np.ndarray:
@@ -45,8 +46,10 @@ MAYBE_BLANK = _byte_set(0xC2, 0xE1, 0xE2, 0xE3)
 PLAIN = _byte_set(9, 10, 13, *range(0x20, 0x7F), *range(0x80, 0xC0), *range(0xC3, 0xCA))
 _RANDOM = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
-_POWERS = np.cumprod(np.full(BLOCK + LONG_CHUNK, _BASE, np.uint64), dtype=np.uint64)
-_INVERSE = np.cumprod(np.full(BLOCK + LONG_CHUNK, pow(_BASE, -1, 2**64), np.uint64), dtype=np.uint64)
+#: Bytes that can be hashed at once.
+HASHED = 2 * BLOCK
+_POWERS = np.cumprod(np.full(HASHED, _BASE, np.uint64), dtype=np.uint64)
+_INVERSE = np.cumprod(np.full(HASHED, pow(_BASE, -1, 2**64), np.uint64), dtype=np.uint64)
 
 
 def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -70,7 +73,7 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def run_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """64-bit hashes of runs of bytes (at most ``BLOCK + LONG_CHUNK`` in all)."""
+    """64-bit hashes of runs of bytes (at most ``HASHED`` in all)."""
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_RANDOM[data] * _POWERS[:len(data)], out=sums[1:])
     return mixed((sums[starts + sizes] - sums[starts]) * _INVERSE[starts], sizes)
@@ -192,19 +195,29 @@ class Vocabulary:
     def __init__(self, json_path: str, ranks_path: str, pattern: str):
         import regex
         import tiktoken
-        from tokenizers import Tokenizer
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.library = Tokenizer.from_file(json_path)
-        with open(ranks_path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.fast = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
+        self.json_path, self.ranks_path = json_path, ranks_path
+        ranks = self.ranks
+        self.fast = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.pattern = regex.compile(pattern)
-        self.special = {t.content.encode(): i for i, t in self.library.get_added_tokens_decoder().items()}
-        self.token_bytes = np.zeros(max(self.ranks.values()) + 1, np.int64)
-        for token, i in self.ranks.items():
+        with open(json_path, encoding="utf-8") as f:
+            self.special = {t["content"].encode(): t["id"] for t in json.load(f).get("added_tokens", [])}
+        self.token_bytes = np.zeros(max(ranks.values()) + 1, np.int32)
+        for token, i in ranks.items():
             self.token_bytes[i] = len(token)
         self.ids = ChunkTable(self._ids_of, np.uint32)
 
+    @cached_property
+    def library(self):
+        """The reference tokenizer, loaded when a chunk needs it."""
+        from tokenizers import Tokenizer
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        return Tokenizer.from_file(self.json_path)
+
+    @property
+    def ranks(self) -> dict[bytes, int]:
+        with open(self.ranks_path, "rb") as f:
+            return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
     def simple(self, whole: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of chunks laid end to end: which are plain text that ``tiktoken``
         may encode, and which of these may be joined for one call, as each

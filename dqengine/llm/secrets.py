@@ -149,6 +149,16 @@ def span_text(spans: str) -> Column:
     return F.expr(f"array_join(transform({spans}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')")
 
 
+def covered(text: str, spans: list[dict]) -> str:
+    """``text`` with every span (by start) replaced by its kind."""
+    pieces, end = [], 0
+    for s in spans:
+        if s["start"] >= end:
+            pieces += [text[end:s["start"]], f"[{s['kind']}]"]
+        end = max(end, s["end"])
+    return "".join([*pieces, text[end:]])
+
+
 def redacted(docs: DataFrame, text: str = "text", reach: int = REACH, length: str | None = "n_chars") -> DataFrame:
     """``docs`` with every found span replaced by ``[kind]`` (spans that
     overlap become one, named by the first); the column ``length``, where
@@ -161,34 +171,29 @@ def redacted(docs: DataFrame, text: str = "text", reach: int = REACH, length: st
     own = docs.select(digest.alias("doc"), F.col(f"`{text}`").alias("text")).where("doc is not null")
     found = find_secrets(own, "doc", "text", reach).where(F.size("spans") > 0).groupBy("doc").agg(F.first("spans").alias("spans"))
 
-    @F.pandas_udf("string")
-    def cover(texts, spans):
-        out = []
-        for t, own in zip(texts, spans, strict=True):
-            if t is None or own is None:
-                out.append(t)
-                continue
-            pieces, end = [], 0
-            for s in own:
-                if s["start"] >= end:
-                    pieces += [t[end:s["start"]], f"[{s['kind']}]"]
-                end = max(end, s["end"])
-            out.append("".join([*pieces, t[end:]]))
-        import pandas as pd
-        return pd.Series(out, dtype=object)
-
-    rows = docs.select(F.struct("*").alias("row"), digest.alias("doc")).join(found, "doc", "left")
-    rows = rows.withColumn("clean", cover(F.col(f"row.`{text}`").cast("string"), "spans"))
-    changed = F.col("spans").isNotNull()
-    columns = []
-    for c in docs.columns:
-        old = F.col(f"row.`{c}`")
-        if c == text:
-            old = F.when(changed, F.col("clean")).otherwise(old)
-        elif c == length:
-            old = F.when(changed, F.char_length("clean").cast(docs.schema[c].dataType)).otherwise(old)
-        columns.append(old.alias(c))
-    return rows.select(*columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at, counted = names[docs.columns.index(text)], names[docs.columns.index(length)] if length in docs.columns else None
+    rows = docs.toDF(*names).withColumn("doc", F.md5(F.col(at).cast("string"))).join(found, "doc", "left")
+    schema = docs.toDF(*names).schema
+
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = b.column("spans")
+            b = b.select(names)
+            hit = [i for i, found in enumerate(spans.is_valid().to_pylist()) if found]
+            if hit:
+                texts = b.column(at).to_pylist()
+                counts = b.column(counted).to_pylist() if counted else None
+                for i in hit:
+                    texts[i] = covered(texts[i], spans[i].as_py())
+                    if counts:
+                        counts[i] = len(texts[i])
+                columns = {at: texts} | ({counted: counts} if counted else {})
+                arrays = [pa.array(columns[n], b.schema.field(n).type) if n in columns else b.column(n) for n in names]
+                b = pa.RecordBatch.from_arrays(arrays, schema=b.schema)
+            yield b
+
+    return text_rows(rows, *names, "spans").mapInArrow(cover, schema).toDF(*docs.columns)
 
 
 def op3_secret_scans(spark, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ CHUNK = 4096
 #: Up to so many, buckets are compared by shifted planes.
 SMALL = 64
 #: Bytes of a text that are cut into words at once.
-TEXT_BLOCK = 1 << 20
+TEXT_BLOCK = 1 << 18
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -303,8 +303,8 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     rows = docs.select(F.struct("*").alias("row"), F.col(f"`{key}`").alias("k"))
     keep = labels.where("component_id is not null").select(F.col("component_id").alias("k")).distinct()
     named = rows.join(keep, "k", "left_semi").dropDuplicates(["k"]).select("row")
-    prints = F.pandas_udf(lambda texts: texts.map(lambda t: np.uint64(fingerprint(t, shingle)).view(np.int64)).astype("int64"), "long")
-    nameless = rows.where("k is null").select("row", prints(F.col(f"row.`{text}`").cast("string")).alias("fingerprint"))
+    bare = docs.where(F.col(f"`{key}`").isNull()).select(F.struct("*").alias("row"), F.col(f"`{text}`").alias("x"))
+    nameless = fingerprints(bare, "row", "x", shingle)
     nameless = nameless.join(labels.where("component_id is null"), "fingerprint").dropDuplicates(["root"]).select("row")
     return named.unionByName(nameless).select("row.*")
 

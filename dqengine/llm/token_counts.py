@@ -50,14 +50,17 @@ class PrefixTable:
         self.specials = [s.decode() for s in vocab.special]
         if any(" " in s for s in self.specials):
             raise ValueError("special strings with spaces are not supported")
-        tokens = list(vocab.ranks)
+        self.ranks = vocab.ranks
+        tokens = list(self.ranks)
         sizes = np.array([len(t) for t in tokens])
         self.longest = int(sizes.max())
-        self.token_ids = np.array(list(vocab.ranks.values()))
+        self.token_ids = np.array(list(self.ranks.values()))
         self.token_index = HashIndex(len(tokens))
-        hashes = run_hashes(np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(sizes) - sizes, sizes)
-        self.token_index.insert(hashes, np.arange(len(tokens)))
-        self.token = {i: t for t, i in vocab.ranks.items()}
+        for at in range(0, len(tokens), 1024):
+            n = sizes[at:at + 1024]
+            hashes = run_hashes(np.frombuffer(b"".join(tokens[at:at + 1024]), np.uint8), np.cumsum(n) - n, n)
+            self.token_index.insert(hashes, np.arange(at, at + len(n)))
+        self.token = {i: t for t, i in self.ranks.items()}
         self.compatible: dict[tuple[int, int], bool] = {}
         self.pairs, self.pair_fits, self.n_pairs = HashIndex(REMEMBERED), np.zeros(REMEMBERED, bool), 0
         self.table = ChunkTable(self._fill, np.int32)
@@ -91,8 +94,8 @@ class PrefixTable:
         size = np.array([len(w) for w in words])
         out: list = [None] * len(words)
         order = np.argsort(-size, kind="stable")
-        for at in range(0, len(order), 1 << 16):
-            own = order[at:at + (1 << 16)]
+        for at in range(0, len(order), 1 << 13):  # of 64 bytes at most
+            own = order[at:at + (1 << 13)]
             long = size[own] > 64
             for i in own[long].tolist():
                 out[i] = self._one(words[i])
@@ -132,7 +135,7 @@ class PrefixTable:
 
     def _one(self, word: bytes) -> np.ndarray:
         """The same for one pretoken, in memory in proportion to its length."""
-        ranks, compatible = self.v.ranks, self.compatible
+        ranks, compatible = self.ranks, self.compatible
         count, last = array("i", [0]), array("i", [-1])
         for i in range(1, len(word) + 1):
             for n in range(min(i, self.longest), 0, -1):

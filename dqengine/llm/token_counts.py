@@ -31,7 +31,8 @@ from .bpe import (_INVERSE, _POWERS, _RANDOM, ChunkTable, HashIndex, Vocabulary,
                   text_buffers, text_slices, vocabulary, vocabulary_files)
 from .common import schema_of, text_rows
 
-#: Token pairs whose compatibility a worker remembers.
+#: Chunks a worker keeps solved; token pairs whose compatibility it remembers.
+CHUNKS = 600_000
 REMEMBERED = 500_000
 #: Contractions of the pretoken pattern with two letters.
 TWO_LETTERS = ("'ll", "'ve", "'re")
@@ -63,7 +64,7 @@ class PrefixTable:
         self.token = {i: t for t, i in self.ranks.items()}
         self.compatible: dict[tuple[int, int], bool] = {}
         self.pairs, self.pair_fits, self.n_pairs = HashIndex(REMEMBERED), np.zeros(REMEMBERED, bool), 0
-        self.table = ChunkTable(self._fill, np.int32)
+        self.table = ChunkTable(self._fill, np.int32, CHUNKS)
 
     def _fits_all(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether tokens a and b, joined, encode to just a and b."""

@@ -145,6 +145,31 @@ def delete_cascade(datasets: DataFrame, chats: DataFrame, exports: DataFrame,
     return (keep_ds, chats.join(dk, "dataset_id", "left_anti"), exports.join(dk, "dataset_id", "left_anti"))
 
 
+def store(root: str, version: int, **tables: DataFrame) -> None:
+    """Append tables to one version of a catalogue folder."""
+    for name, df in tables.items():
+        append(df, f"{root}/v{version}/{name}")
+
+
+def load(spark: SparkSession, root: str, version: int, name: str) -> DataFrame:
+    """One table of one version; owners stay text whatever they look like."""
+    return spark.read.parquet(f"{root}/v{version}/{name}").withColumn("user_id", F.col("user_id").cast("string"))
+
+
+def delete_stored(spark: SparkSession, root: str, version: int, doomed: DataFrame) -> int:
+    """S8 persisted: the catalogue without ``doomed`` becomes the next version
+    (readers of the old one are not disturbed); returns its number."""
+    kept = delete_cascade(*(load(spark, root, version, t) for t in ("datasets", "chats", "exports")), doomed)
+    store(root, version + 1, **dict(zip(("datasets", "chats", "exports"), kept, strict=True)))
+    return version + 1
+
+
+def export_lookup(exports: DataFrame, datasets: DataFrame, user_id: str) -> DataFrame:
+    """S11 + J5: an owner's exports of datasets that the owner still has."""
+    mine = owned(datasets, user_id).select(F.col("id").alias("dataset_id"))
+    return owned(exports, user_id).join(mine, "dataset_id", "left_semi")
+
+
 def orphans(children: DataFrame, datasets: DataFrame) -> DataFrame:
     """Child rows whose dataset does not exist."""
     return children.join(datasets.select(F.col("id").alias("dataset_id")), "dataset_id", "left_anti")

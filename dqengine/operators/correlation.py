@@ -16,6 +16,8 @@ A pair is skipped when either column is constant on the complete rows
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -51,32 +53,45 @@ def centred_products(clean: DataFrame, means: np.ndarray) -> DataFrame:
     return clean.mapInArrow(run, "a INT, b INT, s DOUBLE").groupBy("a", "b").agg(F.sum("s").alias("s"))
 
 
-def pair_correlations(df: DataFrame, specs: list[ColumnSpec], dataset: str) -> DataFrame:
-    """(dataset, i, j, col1, col2, r) for every usable pair, r unrounded."""
-    spark = df.sparkSession
+def _moments(df: DataFrame, specs: list[ColumnSpec], dataset: str) -> tuple[DataFrame, list] | None:
+    """Centred products of one dataset's usable columns, and (dataset, place,
+    pos, name) of each; nothing where no pair is possible."""
     numeric = [s for s in specs if s.kind == NUMERIC]
-    none = spark.createDataFrame([], PAIR_SCHEMA)
     if len(numeric) < 2:
-        return none
+        return None
     clean = complete_rows(df, numeric)
     stats = clean.agg(F.count(F.lit(1)).alias("n"), F.array(*[F.struct(F.avg(s.col).alias("m"), F.min(s.col).alias("lo"), F.max(s.col).alias("hi")) for s in numeric]).alias("c")).first()
-    if stats["n"] < 2:
-        return none
-    usable = [(s, c["m"]) for s, c in zip(numeric, stats["c"], strict=True) if c["lo"] < c["hi"] and np.isfinite(c["m"])]
+    usable = [(s, c["m"]) for s, c in zip(numeric, stats["c"], strict=True) if stats["n"] >= 2 and c["lo"] < c["hi"] and np.isfinite(c["m"])]
     if len(usable) < 2:
-        return none
+        return None
     sums = centred_products(clean.select(*[s.col for s, _ in usable]), np.array([m for _, m in usable]))
-    sums = materialize(sums, f"{stage_dir(spark)}/products")  # a row per pair of columns
-    names = spark.createDataFrame([(i, s.pos, s.name) for i, (s, _) in enumerate(usable)], "a INT, pos INT, name STRING")
-    own = sums.where("a = b").select("a", F.sqrt("s").alias("sd")).join(names, "a")
-    left = own.select("a", F.col("sd").alias("sd1"), F.col("pos").alias("i"), F.col("name").alias("col1"))
-    right = own.select(F.col("a").alias("b"), F.col("sd").alias("sd2"), F.col("pos").alias("j"), F.col("name").alias("col2"))
-    pairs = sums.where("a < b").join(left, "a").join(right, "b")
+    return sums.withColumn("dataset", F.lit(dataset)), [(dataset, i, s.pos, s.name) for i, (s, _) in enumerate(usable)]
+
+
+def pairs_of(parts: list[tuple[DataFrame, list[ColumnSpec], str]]) -> DataFrame:
+    """(dataset, i, j, col1, col2, r) for every usable pair of every
+    (frame, columns, name), r unrounded."""
+    spark = parts[0][0].sparkSession
+    with ThreadPoolExecutor(max_workers=min(4, len(parts))) as ex:  # the datasets' first passes are independent
+        found = [m for m in ex.map(lambda p: _moments(*p), parts) if m]
+    if not found:
+        return spark.createDataFrame([], PAIR_SCHEMA)
+    sums = materialize(reduce(lambda a, b: a.unionByName(b), [m[0] for m in found]), f"{stage_dir(spark)}/products")  # a row per pair
+    names = spark.createDataFrame([n for m in found for n in m[1]], "dataset STRING, a INT, pos INT, name STRING")
+    own = sums.where("a = b").select("dataset", "a", F.sqrt("s").alias("sd")).join(names, ["dataset", "a"])
+    left = own.select("dataset", "a", F.col("sd").alias("sd1"), F.col("pos").alias("i"), F.col("name").alias("col1"))
+    right = own.select("dataset", F.col("a").alias("b"), F.col("sd").alias("sd2"), F.col("pos").alias("j"), F.col("name").alias("col2"))
+    pairs = sums.where("a < b").join(left, ["dataset", "a"]).join(right, ["dataset", "b"])
     r = F.try_divide(F.col("s"), F.col("sd1") * F.col("sd2"))
-    return (pairs.select(F.lit(dataset).alias("dataset"), "i", "j", "col1", "col2", F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)).alias("r"))
+    return (pairs.select("dataset", "i", "j", "col1", "col2", F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)).alias("r"))
                  .where(F.col("r").isNotNull() & ~F.isnan("r")))
 
 
+def pair_correlations(df: DataFrame, specs: list[ColumnSpec], dataset: str) -> DataFrame:
+    """``pairs_of`` a single dataset."""
+    return pairs_of([(df, specs, dataset)])
+
+
 def top_correlations(pairs: DataFrame, top: int = C.TOP_CORRELATIONS) -> DataFrame:
     """K2: (dataset, rank, i, j, col1, col2, value, left_out) with value
     rounded to 4 places; order |value| desc, then pair order (Python's stable

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -128,144 +129,133 @@ def base_stats(df: DataFrame, dataset: str) -> BaseStats:
     return BaseStats(dataset, total, specs, nulls, nans, moments, meta)
 
 
+KEYS = ("dataset", "pos")
+
+
+def _union(dfs: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b), dfs)
+
+
 class ColumnProfiler:
-    """Lazily built, distributed column statistics of one dataset."""
+    """Distributed column statistics of any number of datasets in one plan:
+    every table is keyed by (dataset, pos), so 15 small tables cost no more
+    jobs than one large table."""
 
-    def __init__(self, df: DataFrame, stats: BaseStats, quantile_partitions: int | None = None):
-        self.df = positional(df)
-        self.stats = stats
-        self.kept = stats.kept
+    def __init__(self, parts: list[tuple[DataFrame, BaseStats]], quantile_partitions: int | None = None):
+        self.parts = [(positional(df), st) for df, st in parts]
+        self.spark = parts[0][0].sparkSession
         self.quantile_partitions = quantile_partitions
         self._freq: DataFrame | None = None
-        self._fences: DataFrame | None = None
-
-    @property
-    def dataset(self) -> str:
-        return self.stats.dataset
 
     # -- frequency table --------------------------------------------------
     @property
     def freq(self) -> DataFrame:
-        """Computed once, written to the shared folder and read from there:
-        near-unique columns make it as large as the input."""
+        """(dataset, pos, key, dval, cnt), computed once, written to the shared
+        folder and read from there: near-unique columns make it as large as
+        the input."""
         if self._freq is None:
-            spark = self.df.sparkSession
-            self._freq = materialize(frequency_table(self.df, self.kept), f"{stage_dir(spark)}/freq")
+            tables = [frequency_table(df, st.kept).withColumn("dataset", F.lit(st.dataset)) for df, st in self.parts]
+            self._freq = materialize(_union(tables), f"{stage_dir(self.spark)}/freq")
         return self._freq
 
-    def _pos_in(self, kinds: tuple[str, ...]) -> list[int]:
-        return [s.pos for s in self.kept if s.kind in kinds]
-
     # -- A3 + class counts (A12 input) -------------------------------------
     def distinct_counts(self) -> DataFrame:
-        """(pos, n_values, max_cnt, min_cnt): partial aggregation makes the
-        shuffle on pos tiny even though pos has few values."""
-        return self.freq.groupBy("pos").agg(
+        """(dataset, pos, n_values, max_cnt, min_cnt): partial aggregation
+        makes the shuffle tiny even though there are few keys."""
+        return self.freq.groupBy(*KEYS).agg(
             F.count(F.lit(1)).alias("n_values"), F.max("cnt").alias("max_cnt"),
             F.min("cnt").alias("min_cnt"))
 
     # -- A5, A6 ------------------------------------------------------------
-    def numeric_freq(self, positions: list[int] | None = None) -> DataFrame:
-        num = self._pos_in((NUMERIC,)) if positions is None else positions
-        return self.freq.where(F.col("pos").isin(num) & ~F.isnan("dval")).select("pos", "dval", "cnt")
+    def numeric_freq(self) -> DataFrame:
+        return self.freq.where(F.col("dval").isNotNull() & ~F.isnan("dval")).select(*KEYS, "dval", "cnt")
 
     def quantiles(self) -> DataFrame:
-        """(pos, n, q25, q75) over non-null, non-NaN values of numeric columns."""
-        return exact_quantiles(self.numeric_freq(), (0.25, 0.75), self.quantile_partitions)
+        """(dataset, pos, n, q25, q75) over non-null, non-NaN values of numeric columns."""
+        return exact_quantiles(self.numeric_freq(), (0.25, 0.75), self.quantile_partitions, KEYS)
 
     def fences(self) -> DataFrame:
-        """(pos, n, q1, q3, lo, hi, usable) for numeric columns."""
-        if self._fences is not None:
-            return self._fences
+        """(dataset, pos, n, q1, q3, lo, hi, usable) for numeric columns."""
         q = self.quantiles()
         iqr = F.col("q75") - F.col("q25")
-        fences = q.select(
-            "pos", "n", F.col("q25").alias("q1"), F.col("q75").alias("q3"),
+        return q.select(
+            *KEYS, "n", F.col("q25").alias("q1"), F.col("q75").alias("q3"),
             (F.col("q25") - F.lit(C.OUTLIER_IQR_FACTOR) * iqr).alias("fence_lo"),
             (F.col("q75") + F.lit(C.OUTLIER_IQR_FACTOR) * iqr).alias("fence_hi"),
             # infinite quartiles make the range NaN: comparisons with NaN are false in the reference
             ((F.col("n") >= C.MIN_IQR_VALUES) & (iqr != 0) & ~F.isnan(iqr)).alias("usable"))
-        self._fences = materialize(fences, f"{stage_dir(self.df.sparkSession)}/fences")
-        return self._fences
 
     def outliers(self) -> DataFrame:
-        """(pos, n, q1, q3, outlier_count, outlier_pct).  The fence table has
+        """(dataset, pos, n, q1, q3, outlier_count, outlier_pct).  The fence table has
         one row per numeric column, so broadcasting it is size-bounded."""
-        f = self.fences()
-        hits = (self.numeric_freq().join(F.broadcast(f.where("usable")), "pos")
-                .where((F.col("dval") < F.col("fence_lo")) | (F.col("dval") > F.col("fence_hi")))
-                .groupBy("pos").agg(F.sum("cnt").alias("hits")))
-        cnt = F.when(F.col("usable"), F.coalesce(F.col("hits"), F.lit(0))).otherwise(F.lit(0)).cast("long")
-        return (f.join(hits, "pos", "left")
-                 .select("pos", "n", "q1", "q3", cnt.alias("outlier_count"),
-                         F.when(F.col("usable"), pct(F.coalesce(F.col("hits"), F.lit(0)), F.col("n")))
-                          .otherwise(F.lit(0.0)).alias("outlier_pct")))
+        f = self.numeric_freq().join(F.broadcast(self.fences()), list(KEYS))
+        out = F.col("usable") & ((F.col("dval") < F.col("fence_lo")) | (F.col("dval") > F.col("fence_hi")))
+        hits = f.groupBy(*KEYS).agg(*[F.first(c).alias(c) for c in ("n", "q1", "q3", "usable")],
+                                    F.sum(F.when(out, F.col("cnt")).otherwise(0)).alias("outlier_count"))
+        return hits.select(*KEYS, "n", "q1", "q3", "outlier_count",
+                           F.when(F.col("usable"), pct(F.col("outlier_count"), F.col("n"))).otherwise(F.lit(0.0)).alias("outlier_pct"))
 
     # -- K1 ----------------------------------------------------------------
     def top_values_long(self, k: int = C.TOP_VALUES) -> DataFrame:
-        """(pos, rank, value, count): top-k per non-numeric column, count desc
-        then key asc.  ``row_number() <= k`` is planned with a partial
-        WindowGroupLimit before the shuffle, so each map task sends at most k
-        rows per column."""
-        other = self._pos_in((CATEGORICAL, "other"))
-        w = Window.partitionBy("pos").orderBy(F.desc("cnt"), F.asc("key"))
-        top = (self.freq.where(F.col("pos").isin(other))
-                   .withColumn("rank", F.row_number().over(w))
-                   .where(F.col("rank") <= k)
-                   .select("pos", "rank", "key", F.col("cnt").alias("count")))
-        return self._with_full_values(top)
+        """(dataset, pos, rank, value, count): top-k per non-numeric column,
+        count desc then value asc.
+
+        Long values are ranked by their first characters; all that tie there
+        stay candidates until their full texts are known.  The ``rank() <= k``
+        filter is planned with a partial WindowGroupLimit before the shuffle,
+        so each map task sends its own candidates only."""
+        head = Window.partitionBy(*KEYS).orderBy(F.desc("cnt"), F.substring("key", 1, C.LONG_TEXT_CHARS).asc())
+        top = (self.freq.where(F.col("dval").isNull() & F.col("key").isNotNull())
+                   .withColumn("place", F.rank().over(head))
+                   .where(F.col("place") <= k)
+                   .select(*KEYS, "key", F.col("cnt").alias("count")))
+        whole = Window.partitionBy(*KEYS).orderBy(F.desc("count"), F.asc("value"))
+        return (self._with_full_values(top).withColumn("rank", F.row_number().over(whole))
+                    .where(F.col("rank") <= k).select(*KEYS, "rank", "value", "count"))
 
     def _with_full_values(self, top: DataFrame) -> DataFrame:
-        """Replace hashed keys of long values by the value itself.
-
-        Only values in the top-k are looked up: a second scan of the text
-        columns keeps rows whose prefix matches a hashed top key (broadcast,
-        at most k per column), hashes just those, and keeps one copy per key.
-        """
-        texty = [s for s in self.kept if s.kind != NUMERIC and isinstance(
-            s.dt, (T.StringType, T.MapType, T.ArrayType, T.StructType, T.BinaryType, T.VariantType))]
+        """Replace hashed keys of long values by the value itself: a second
+        scan of the text columns keeps rows whose first characters match a
+        candidate, hashes just those, and keeps one copy per key."""
+        texty = [(df, st, [s for s in st.kept if s.kind != NUMERIC and isinstance(
+            s.dt, (T.StringType, T.MapType, T.ArrayType, T.StructType, T.BinaryType, T.VariantType))]) for df, st in self.parts]
+        texty = [x for x in texty if x[2]]
         if not texty:
-            return top.select("pos", "rank", F.col("key").alias("value"), "count")
-        top = materialize(top, f"{stage_dir(self.df.sparkSession)}/top")
+            return top.select(*KEYS, F.col("key").alias("value"), "count")
+        top = materialize(top, f"{stage_dir(self.spark)}/top")
         want = (top.where(is_long_key(F.col("key")))
-                   .select("pos", "key", F.substring("key", 1, C.LONG_TEXT_CHARS).alias("prefix")))
-        if want.isEmpty():
-            return top.select("pos", "rank", F.col("key").alias("value"), "count")
-        cells = self.df.select(*[
-            F.struct(F.lit(s.pos).alias("pos"),
-                     display_value(s.col, s.dt).alias("value")).alias(f"c{s.pos}")
-            for s in texty])
-        flat = (cells.unpivot([], [f"c{s.pos}" for s in texty], "variable", "cell")
-                     .select("cell.pos", "cell.value")
-                     .where(F.length("value") > C.LONG_TEXT_CHARS))
-        want_b = F.broadcast(want)
-        found = (flat.withColumn("prefix", F.substring("value", 1, C.LONG_TEXT_CHARS))
-                     .join(want_b.select("pos", "prefix").distinct(), ["pos", "prefix"], "left_semi")
+                   .select(*KEYS, "key", F.substring("key", 1, C.LONG_TEXT_CHARS).alias("prefix")))
+        long = {(r["dataset"], r["pos"]) for r in want.select(*KEYS).distinct().collect()}  # O(columns)
+        flat = []
+        for df, st, specs in texty:
+            specs = [s for s in specs if (st.dataset, s.pos) in long]
+            if specs:
+                cells = df.select(*[
+                    F.struct(F.lit(s.pos).alias("pos"),
+                             display_value(s.col, s.dt).alias("value")).alias(f"c{s.pos}")
+                    for s in specs])
+                flat.append(cells.unpivot([], [f"c{s.pos}" for s in specs], "variable", "cell")
+                                 .select(F.lit(st.dataset).alias("dataset"), "cell.pos", "cell.value")
+                                 .where(F.length("value") > C.LONG_TEXT_CHARS))
+        if not flat:
+            return top.select(*KEYS, F.col("key").alias("value"), "count")
+        found = (_union(flat).withColumn("prefix", F.substring("value", 1, C.LONG_TEXT_CHARS))
+                     .join(want.select(*KEYS, "prefix").distinct(), [*KEYS, "prefix"], "left_semi")
                      .withColumn("key", F.concat(F.col("prefix"), F.sha2("value", 256)))
-                     .join(want_b.select("pos", "key"), ["pos", "key"], "left_semi")
-                     .groupBy("pos", "key").agg(F.min("value").alias("full")))
-        return (top.join(found, ["pos", "key"], "left")
-                   .select("pos", "rank", F.coalesce("full", "key").alias("value"), "count"))
+                     .join(want.select(*KEYS, "key"), [*KEYS, "key"], "left_semi")
+                     .groupBy(*KEYS, "key").agg(F.min("value").alias("full")))
+        return (top.join(found, [*KEYS, "key"], "left")
+                   .select(*KEYS, F.coalesce("full", "key").alias("value"), "count"))
 
     # -- assembled per-column table ------------------------------------------
     def columns(self) -> DataFrame:
         """One row per kept column, in the report's ColumnProfile shape plus
         raw moments and quantiles."""
-        st = self.stats
-        meta = st.meta.where("kept")
-        dist = self.distinct_counts()
-        outl = self.outliers() if self._pos_in((NUMERIC,)) else None
-        tops = (self.top_values_long().groupBy("pos").agg(
+        meta = _union([st.meta for _, st in self.parts]).where("kept")
+        tops = (self.top_values_long().groupBy(*KEYS).agg(
             F.array_sort(F.collect_list(F.struct("rank", "value", "count"))).alias("tv")))
-        j = meta.join(dist, "pos", "left")
-        if outl is not None:
-            j = j.join(outl, "pos", "left")
-        else:
-            j = (j.withColumn("n", F.lit(None).cast("long")).withColumn("q1", F.lit(None).cast("double"))
-                  .withColumn("q3", F.lit(None).cast("double"))
-                  .withColumn("outlier_count", F.lit(None).cast("long"))
-                  .withColumn("outlier_pct", F.lit(None).cast("double")))
-        j = j.join(tops, "pos", "left")
+        j = (meta.join(self.distinct_counts(), list(KEYS), "left").join(self.outliers(), list(KEYS), "left")
+                 .join(tops, list(KEYS), "left"))
         is_num = F.col("kind") == NUMERIC
         has_stats = is_num & F.col("min_raw").isNotNull()
         unique = (F.coalesce(F.col("n_values"), F.lit(0)) +

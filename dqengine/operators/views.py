@@ -70,20 +70,28 @@ def column_cards(columns: DataFrame) -> DataFrame:
         F.slice("top_values", 1, 5).alias("top5"))
 
 
+def kpi_columns() -> list:
+    """Count, ready, processing, rounded mean score, as aggregates."""
+    return [F.count(F.lit(1)).alias("total_datasets"),
+            F.count_if(F.col("status") == "ready").alias("ready"),
+            F.count_if(F.col("status") == "processing").alias("processing"),
+            F.coalesce(js_round(F.avg("health_score")), F.lit(0)).alias("avg_score")]
+
+
 def kpis(datasets: DataFrame) -> DataFrame:
-    """A13 over a catalogue: count, ready, processing, rounded mean score."""
-    return datasets.agg(
-        F.count(F.lit(1)).alias("total_datasets"),
-        F.count_if(F.col("status") == "ready").alias("ready"),
-        F.count_if(F.col("status") == "processing").alias("processing"),
-        F.coalesce(js_round(F.avg("health_score")), F.lit(0)).alias("avg_score"))
+    """A13 over a catalogue."""
+    return datasets.agg(*kpi_columns())
+
+
+def _named(text: str):
+    return F.lower("name").contains(text.lower())
 
 
 def search(datasets: DataFrame, text: str) -> DataFrame:
     """Case-insensitive substring search on the dataset name."""
-    return datasets.where(F.lower("name").contains(text.lower()))
+    return datasets.where(_named(text))
 
 
-def search_count(datasets: DataFrame, text: str) -> DataFrame:
-    """How many names contain the text."""
-    return search(datasets, text).agg(F.count(F.lit(1)).alias("hits"))
+def hits(text: str):
+    """How many names contain the text, as an aggregate."""
+    return F.count_if(_named(text)).alias("hits")

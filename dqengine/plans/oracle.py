@@ -9,8 +9,43 @@ fact is baked into the text.
 
 from __future__ import annotations
 
-from ..functions import constants as C
-from .dirty import DIRTY_BODY
+# Fixed values, written out here on purpose: the oracle shares nothing with
+# the package it checks.
+MISSING_DROP_THRESH, MISSING_WARN_THRESH = 0.60, 0.05
+HIGH_CARDINALITY_RATIO, CLASS_IMBALANCE_RATIO, CORR_HIGH_THRESH = 0.95, 4.0, 0.85
+OUTLIER_IQR_FACTOR, MIN_IQR_VALUES, OUTLIER_FLAG_PCT, CV_LIMIT = 1.5, 4, 10.0, 3.0
+TOP_CORRELATIONS, CLASSIFICATION_MAX_CLASSES, REGRESSION_MIN_NUMERIC, SCORE_FLOOR = 30, 20, 5, 10
+# idx: name, complexity, min rows, max rows, missing, outliers, imbalance ok,
+# scale-sensitive, problem types, base score
+ALGORITHMS = [
+    ("Random Forest", "medium", 100, None, True, True, True, False, "classification,regression", 80),
+    ("Gradient Boosting (XGBoost / LightGBM)", "medium", 500, None, True, True, True, False, "classification,regression", 90),
+    ("Logistic Regression", "low", 50, None, False, False, True, True, "classification", 70),
+    ("Support Vector Machine (SVM)", "high", 50, 50000, False, False, False, True, "classification", 65),
+    ("K-Nearest Neighbours (KNN)", "low", 10, 20000, False, False, False, True, "classification,regression", 55),
+    ("Decision Tree", "low", 50, None, False, True, False, False, "classification,regression", 60),
+    ("Linear Regression / Ridge / Lasso", "low", 30, None, False, False, False, True, "regression", 72),
+    ("K-Means Clustering", "low", 100, None, False, False, False, True, "clustering", 65),
+    ("Neural Network (MLP)", "high", 5000, None, False, False, True, True, "classification,regression", 75),
+    ("Naive Bayes", "low", 20, None, False, True, False, False, "classification", 58),
+]
+INTENT_WORDS = [
+    ("health", ("health", "score", "quality", "overall")), ("missing", ("missing", "null", "empty", "nan")),
+    ("duplicate", ("duplicate", "repeat")), ("outlier", ("outlier", "anomal")), ("bias", ("bias", "imbalance", "fair")),
+    ("recommend", ("recommend", "suggest", "action", "fix", "improve", "next step")), ("column", ("column", "feature", "field")),
+    ("dropped", ("drop", "remov", "exclud")), ("model", ("classif", "regression", "algorithm", "model", "ml")), ("correlation", ("correlat",)),
+]
+DIRTY_BODY = """
+  SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice,
+         l_extendedprice * 1.1 + l_quantity AS gross,
+         CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE l_discount END AS l_discount,
+         CASE WHEN l_orderkey % 10 < 7 THEN NULL ELSE l_tax END AS l_tax,
+         CASE WHEN l_orderkey % 97 = 0 THEN l_quantity * 1000 ELSE l_quantity END AS spiky,
+         CASE WHEN l_orderkey % 8 = 0 THEN l_quantity + 500 ELSE l_quantity END AS noisy,
+         CASE WHEN l_suppkey % 100 = 1 THEN 'rare' ELSE 'common' END AS klass,
+         CAST(1 AS DOUBLE) AS konst,
+         l_returnflag
+  FROM lineitem"""
 
 N, S, O = "numeric", "categorical", "other"
 
@@ -63,7 +98,7 @@ def R(x: str, k: int) -> str:
     y = f"({x} * {p})"
     hi = f"(({x} * {s}) - (({x} * {s}) - {x}))"
     err = f"((({hi} * {p}) - {y}) + (({x} - {hi}) * {p}))"
-    return (f"(CASE WHEN {x} IS NULL THEN NULL WHEN abs({x}) >= 1e15 THEN {x} "
+    return (f"(CASE WHEN {x} IS NULL THEN NULL WHEN abs({y}) >= 9007199254740992 THEN {x} "
             f"WHEN {y} - floor({y}) <> 0.5 THEN round_even({y}, 0) / {p} "
             f"WHEN {err} > 0 THEN (floor({y}) + 1) / {p} "
             f"WHEN {err} < 0 THEN floor({y}) / {p} "
@@ -74,11 +109,6 @@ def q(name: str) -> str:
     return f'"{name}"'
 
 
-def _key(v: str) -> str:
-    n = C.LONG_TEXT_CHARS
-    return f"(CASE WHEN length({v}) <= {n} THEN {v} ELSE substr({v}, 1, {n}) || sha256({v}) END)"
-
-
 # ---------------------------------------------------------------------------
 # per-table CTEs
 # ---------------------------------------------------------------------------
@@ -104,7 +134,7 @@ def cols_cte(t: str) -> str:
             f"{t}_c1 AS (SELECT *, CASE WHEN total_rows > 0 THEN CAST(nulls AS DOUBLE) / CAST(total_rows AS DOUBLE) "
             f"ELSE 0.0 END AS ratio, CASE WHEN total_rows > 0 THEN CAST(nulls AS DOUBLE) / CAST(total_rows AS DOUBLE) "
             f"* {D(100.0)} ELSE 0.0 END AS mp_raw FROM {t}_c0),\n"
-            f"{t}_cols AS (SELECT *, ratio > {D(C.MISSING_DROP_THRESH)} AS dropped, {R('mp_raw', 2)} AS missing_pct, "
+            f"{t}_cols AS (SELECT *, ratio > {D(MISSING_DROP_THRESH)} AS dropped, {R('mp_raw', 2)} AS missing_pct, "
             f"{R('mean_raw', 6)} AS mean6, {R('std_raw', 6)} AS std6 FROM {t}_c1)")
 
 
@@ -143,9 +173,9 @@ def out_cte(t: str) -> str:
                 f"ELSE {a} + ({b} - {a}) * {fr} END")
     return (f"{t}_q0 AS ({' UNION ALL '.join(parts)}),\n"
             f"{t}_q AS (SELECT pos, n, {qs(0.25)} AS q1, {qs(0.75)} AS q3 FROM {t}_q0),\n"
-            f"{t}_f AS (SELECT pos, n, q1, q3, q1 - {D(C.OUTLIER_IQR_FACTOR)} * (q3 - q1) AS lo, "
-            f"q3 + {D(C.OUTLIER_IQR_FACTOR)} * (q3 - q1) AS hi, "
-            f"(n >= {C.MIN_IQR_VALUES} AND q3 - q1 <> 0) AS usable FROM {t}_q),\n"
+            f"{t}_f AS (SELECT pos, n, q1, q3, q1 - {D(OUTLIER_IQR_FACTOR)} * (q3 - q1) AS lo, "
+            f"q3 + {D(OUTLIER_IQR_FACTOR)} * (q3 - q1) AS hi, "
+            f"(n >= {MIN_IQR_VALUES} AND q3 - q1 <> 0) AS usable FROM {t}_q),\n"
             f"{t}_h AS ({' UNION ALL '.join(hits)}),\n"
             f"{t}_o0 AS (SELECT f.pos, f.n, f.q1, f.q3, CASE WHEN f.usable THEN h.hits ELSE 0 END AS outlier_count, "
             f"CASE WHEN f.usable THEN CAST(h.hits AS DOUBLE) / CAST(f.n AS DOUBLE) * {D(100.0)} ELSE 0.0 END AS op_raw "
@@ -200,7 +230,7 @@ def corr_cte(t: str) -> str:
             f"{t}_p AS ({' UNION ALL '.join(pairs)}),\n"
             f"{t}_p1 AS (SELECT i, j, col1, col2, {R('r', 4)} AS value FROM {t}_p WHERE r IS NOT NULL AND NOT isnan(r)),\n"
             f"{t}_corr AS (SELECT * FROM (SELECT row_number() OVER (ORDER BY abs(value) DESC, i, j) AS rank, * "
-            f"FROM {t}_p1) WHERE rank <= {C.TOP_CORRELATIONS})")
+            f"FROM {t}_p1) WHERE rank <= {TOP_CORRELATIONS})")
 
 
 def dup_cte(t: str) -> str:
@@ -213,30 +243,28 @@ def dup_cte(t: str) -> str:
 
 def flags_cte(t: str) -> str:
     """{t}_flags: (seq, rule_id, column, value)."""
-    w = C
     return f"""{t}_fl0 AS (
   SELECT 0 AS grp, pos, 0 AS sub, 'F1' AS rule_id, name AS "column", CAST(uniq AS DOUBLE) AS value
     FROM {t}_cols WHERE NOT dropped AND total_rows > 0
-     AND CAST(uniq AS DOUBLE) / CAST(total_rows AS DOUBLE) > {D(w.HIGH_CARDINALITY_RATIO)}
+     AND CAST(uniq AS DOUBLE) / CAST(total_rows AS DOUBLE) > {D(HIGH_CARDINALITY_RATIO)}
   UNION ALL
   SELECT 0, pos, 1, 'F2', name, missing_pct FROM {t}_cols WHERE NOT dropped
-     AND missing_pct > {D(w.MISSING_WARN_THRESH * 100)} AND missing_pct < {D(w.MISSING_DROP_THRESH * 100)}
+     AND missing_pct > {D(MISSING_WARN_THRESH * 100)} AND missing_pct < {D(MISSING_DROP_THRESH * 100)}
   UNION ALL
   SELECT 0, pos, 2, 'F3', name, std6 / abs(mean6) FROM {t}_cols WHERE NOT dropped AND kind = 'numeric'
-     AND std6 IS NOT NULL AND std6 > 0 AND abs(mean6) > 0 AND std6 / abs(mean6) > {D(w.CV_LIMIT)}
+     AND std6 IS NOT NULL AND std6 > 0 AND abs(mean6) > 0 AND std6 / abs(mean6) > {D(CV_LIMIT)}
   UNION ALL
   SELECT 0, o.pos, 3, 'F4', c.name, o.outlier_pct FROM {t}_out o JOIN {t}_cols c USING (pos)
-   WHERE o.outlier_pct > {D(w.OUTLIER_FLAG_PCT)}
+   WHERE o.outlier_pct > {D(OUTLIER_FLAG_PCT)}
   UNION ALL
-  SELECT 1, rank, 0, 'F5', col1 || '~' || col2, value FROM {t}_corr WHERE abs(value) >= {D(w.CORR_HIGH_THRESH)}
+  SELECT 1, rank, 0, 'F5', col1 || '~' || col2, value FROM {t}_corr WHERE abs(value) >= {D(CORR_HIGH_THRESH)}
   UNION ALL
-  SELECT 2, pos, 0, 'F6', "column", ratio FROM {t}_imb WHERE ratio >= {D(w.CLASS_IMBALANCE_RATIO)}),
+  SELECT 2, pos, 0, 'F6', "column", ratio FROM {t}_imb WHERE ratio >= {D(CLASS_IMBALANCE_RATIO)}),
 {t}_flags AS (SELECT row_number() OVER (ORDER BY grp, pos, sub) AS seq, rule_id, "column", value FROM {t}_fl0)"""
 
 
 def facts_cte(t: str) -> str:
     """{t}_facts: one row of report facts, scores and advisor inputs."""
-    w = C
     return f"""{t}_s0 AS (
   SELECT '{t}' AS dataset,
          (SELECT max(total_rows) FROM {t}_cols) AS total_rows,
@@ -249,9 +277,9 @@ def facts_cte(t: str) -> str:
          (SELECT count(*) FROM {t}_cols WHERE dropped) AS dropped_count,
          (SELECT count(*) FROM {t}_flags) AS flag_count,
          (SELECT count(*) FROM {t}_cols WHERE NOT dropped AND kind = 'numeric' AND mean_raw IS NOT NULL) AS n_numeric,
-         (SELECT count(*) FROM {t}_cols WHERE NOT dropped AND kind <> 'numeric' AND uniq <= {w.CLASSIFICATION_MAX_CLASSES}) AS n_target,
+         (SELECT count(*) FROM {t}_cols WHERE NOT dropped AND kind <> 'numeric' AND uniq <= {CLASSIFICATION_MAX_CLASSES}) AS n_target,
          (SELECT count(*) FROM {t}_flags WHERE rule_id = 'F6') > 0 AS has_imbalance,
-         (SELECT count(*) FROM {t}_corr WHERE abs(value) >= {D(w.CORR_HIGH_THRESH)}) > 0 AS has_high_corr),
+         (SELECT count(*) FROM {t}_corr WHERE abs(value) >= {D(CORR_HIGH_THRESH)}) > 0 AS has_high_corr),
 {t}_s1 AS (
   SELECT *, CASE WHEN total_rows * total_columns > 0
                  THEN CAST(missing_cells AS DOUBLE) / CAST(total_rows * total_columns AS DOUBLE) * {D(100.0)}
@@ -272,12 +300,12 @@ def facts_cte(t: str) -> str:
     greatest({D(0.0)}, {D(100.0)} - CAST(outlier_count AS DOUBLE) / CAST(greatest(total_rows, 1) AS DOUBLE) * {D(100.0)} * {D(1.5)}) AS ns_raw
   FROM {t}_s3),
 {t}_facts AS (
-  SELECT *, CAST(greatest({w.SCORE_FLOOR}, round_even(raw_health, 0)) AS INTEGER) AS health_score,
+  SELECT *, CAST(greatest({SCORE_FLOOR}, round_even(raw_health, 0)) AS INTEGER) AS health_score,
     {R('cs_raw', 1)} AS completeness_score,
     CASE WHEN total_rows > 0 THEN {R('ks_raw', 1)} ELSE 100.0 END AS consistency_score,
     CASE WHEN total_rows > 0 THEN {R('ns_raw', 1)} ELSE 100.0 END AS noise_score,
     CASE WHEN n_target > 0 THEN 'classification' WHEN n_numeric = 0 THEN 'clustering'
-         WHEN n_numeric >= {w.REGRESSION_MIN_NUMERIC} THEN 'regression' ELSE 'clustering' END AS problem_type
+         WHEN n_numeric >= {REGRESSION_MIN_NUMERIC} THEN 'regression' ELSE 'clustering' END AS problem_type
   FROM {t}_s4)"""
 
 

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import py_round
-from ..operators.advisor import CATALOGUE, advisor_inputs, recommend_algorithms
-from ..operators.answers import (INTENTS, answer_batch, answer_context,
+from ..operators.advisor import advisor_inputs, recommend_algorithms
+from ..operators.answers import (answer_batch, answer_context,
                                  clean_text, compact_report, intent)
 from ..operators.catalog import (admit_files, chat_violations, dataset_rows,
                                  delete_cascade, list_datasets, orphans, owned,
@@ -25,6 +25,7 @@ from ..operators.views import (corr_top15, kpis, missing_top12, no_missing,
 from ..sources.files import read_any
 from ..sources.tables import TABLES, read_table
 from . import oracle as O
+from . import stored
 from .dirty import dirty
 from .report import Profile, profile_many
 
@@ -71,9 +72,10 @@ def q_dropped_columns(spark, sf_dir):
 
 def q_duplicate_rows(spark, sf_dir):
     """A8 over every table."""
-    s = all_profiles(spark, sf_dir).summary
-    return s.select("dataset", F.col("total_rows").cast("long").alias("total_rows"),
-                    F.col("duplicate_rows").cast("long").alias("duplicate_rows"))
+    p = all_profiles(spark, sf_dir)
+    return p.base.join(p.duplicates, "dataset").select(
+        "dataset", F.col("total_rows").cast("long").alias("total_rows"),
+        F.col("duplicate_rows").cast("long").alias("duplicate_rows"))
 
 
 def q_iqr_outliers(spark, sf_dir):
@@ -352,6 +354,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chat_history": q_chat_history,
     "file_admission": q_file_admission,
     "csv_profile_lineitem": q_csv_profile_lineitem,
+    **stored.QUERIES,
 }
 
 
@@ -412,7 +415,7 @@ def s_top_values() -> str:
             parts.append(
                 f"SELECT '{t}' AS dataset, '{c}' AS \"column\", CAST(rank AS BIGINT) AS rank, value, "
                 f"CAST(cnt AS BIGINT) AS count FROM (SELECT value, cnt, row_number() OVER "
-                f"(ORDER BY cnt DESC, {O._key('value')}) AS rank FROM (SELECT {v} AS value, count(*) AS cnt "
+                f"(ORDER BY cnt DESC, value) AS rank FROM (SELECT {v} AS value, count(*) AS cnt "
                 f"FROM {t} WHERE {O.q(c)} IS NOT NULL GROUP BY 1)) WHERE rank <= 10 "
                 f"AND NOT (SELECT dropped FROM {t}_cols WHERE pos = {i})")
     return O.with_ctes(_all(("cols",)), ALL, "\nUNION ALL\n".join(parts))
@@ -481,10 +484,10 @@ def _facts_union() -> str:
 
 def _cat_values() -> str:
     rows = []
-    for i, (name, _cat, cx, _p, _c, mn, mx, hm, ho, hi, ss, types, base) in enumerate(CATALOGUE):
+    for i, (name, cx, mn, mx, hm, ho, hi, ss, types, base) in enumerate(O.ALGORITHMS):
         nm = name.replace("'", "''")
         rows.append(f"({i}, '{nm}', '{cx}', {mn}, {'NULL' if mx is None else mx}, {str(hm).lower()}, "
-                    f"{str(ho).lower()}, {str(hi).lower()}, {str(ss).lower()}, '{','.join(types)}', {base})")
+                    f"{str(ho).lower()}, {str(hi).lower()}, {str(ss).lower()}, '{types}', {base})")
     return ("cat AS (SELECT * FROM (VALUES " + ", ".join(rows) +
             ") v(idx, name, complexity, min_rows, max_rows, hm, ho, hi, ss, types, base))")
 
@@ -576,7 +579,7 @@ FROM allf f JOIN nm USING (dataset)""")
 
 def _intent_sql(col: str) -> str:
     parts = []
-    for name, words in INTENTS:
+    for name, words in O.INTENT_WORDS:
         cond = " OR ".join(f"contains(lower({col}), '{w}')" for w in words)
         parts.append(f"WHEN {cond} THEN '{name}'")
     return "CASE " + " ".join(parts) + " ELSE 'default' END"
@@ -655,5 +658,6 @@ def oracle_sql() -> dict[str, str]:
         "constraint_check": s_constraint_check(),
         "chat_history": s_chat_history(),
         "csv_profile_lineitem": s_csv_profile_lineitem(),
+        **stored.ORACLES,
     })
     return out

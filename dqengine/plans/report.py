@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.keys import positional
-from ..operators.correlation import pair_correlations, top_correlations
+from ..operators.correlation import pairs_of, top_correlations
 from ..operators.duplicates import duplicate_rows
 from ..operators.profile import BaseStats, ColumnProfiler, base_stats, dropped_columns
 from ..operators.rules import bias_flags, imbalance, recommendations
@@ -51,12 +51,6 @@ class Pieces:
         self.df = positional(df).select(*[s.col for s in self.stats.kept])
         self.quantile_partitions = quantile_partitions
 
-    def columns(self) -> DataFrame:
-        return ColumnProfiler(self.df, self.stats, self.quantile_partitions).columns()
-
-    def pairs(self) -> DataFrame:
-        return pair_correlations(self.df, self.stats.kept, self.stats.dataset)
-
     def duplicates(self) -> DataFrame:
         return duplicate_rows(self.df, self.stats.kept, self.stats.dataset)
 
@@ -81,20 +75,21 @@ class Profile:
         self.pieces = pieces
         self.path = stage_dir(spark)
 
-    def _result(self, name: str, parts: list, finish=lambda df: df) -> DataFrame:
-        return materialize(finish(_union(_at_once(parts))), f"{self.path}/{name}")
+    def _result(self, name: str, df: DataFrame) -> DataFrame:
+        return materialize(df, f"{self.path}/{name}")
 
     @cached_property
     def columns(self) -> DataFrame:
-        return self._result("columns", [p.columns for p in self.pieces])
+        profiler = ColumnProfiler([(p.df, p.stats) for p in self.pieces], self.pieces[0].quantile_partitions)
+        return self._result("columns", profiler.columns())
 
     @cached_property
     def correlations(self) -> DataFrame:
-        return self._result("correlations", [p.pairs for p in self.pieces], top_correlations)
+        return self._result("correlations", top_correlations(pairs_of([(p.df, p.stats.kept, p.stats.dataset) for p in self.pieces])))
 
     @cached_property
     def duplicates(self) -> DataFrame:
-        return self._result("duplicates", [p.duplicates for p in self.pieces])
+        return self._result("duplicates", _union([p.duplicates() for p in self.pieces]))
 
     @cached_property
     def dropped(self) -> DataFrame:
@@ -119,12 +114,17 @@ class Profile:
         return recommendations(self.summary, self.columns, self.correlations, self.dropped)
 
     @cached_property
-    def summary(self) -> DataFrame:
-        spark, pieces, dups = self.spark, self.pieces, self.duplicates
-        base = spark.createDataFrame(
+    def base(self) -> DataFrame:
+        """What the base statistics alone say of each dataset."""
+        return self.spark.createDataFrame(
             [(p.stats.dataset, p.stats.total_rows, len(p.stats.kept), p.stats.missing_cells,
               p.stats.missing_cells_exact, float(p.stats.overall_missing_pct), len(p.stats.dropped))
-             for p in pieces], SUMMARY_SCHEMA)
+             for p in self.pieces], SUMMARY_SCHEMA)
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        dups = self.duplicates
+        base = self.base
         outl = self.columns.groupBy("dataset").agg(
             F.coalesce(F.sum("outlier_count"), F.lit(0)).cast("long").alias("outlier_count"))
         nflags = self.flags.groupBy("dataset").agg(F.count(F.lit(1)).alias("flag_count"))

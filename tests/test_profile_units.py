@@ -157,3 +157,11 @@ def test_rounding_is_pythons(spark):
     for k in (0, 2, 4, 6):
         got = {r.i: r.y for r in df.select("i", py_round(df.x, k).alias("y")).collect()}
         assert all(got[i] == round(x, k) for i, x in enumerate(xs)), k
+
+
+def test_long_texts_tie_by_whole_value(spark):
+    head = "h" * 64
+    rows = [(head + f"{i:02d}",) for i in range(25)] + [("short",), ("short",)]
+    p = profile_of(spark, rows, "s STRING")
+    tv = col_row(p, "s").top_values
+    assert [(t["value"], t["count"]) for t in tv] == [("short", 2)] + [(head + f"{i:02d}", 1) for i in range(9)]

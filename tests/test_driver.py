@@ -45,6 +45,6 @@ def test_dirty_flags_and_recs(dirty_profile):
 def test_dirty_distinct_and_pairs(dirty_profile):
     u = {r.name: r.unique_count for r in dirty_profile.columns.collect()}
     assert u["l_discount"] == 12 and u["gross"] == 59979 and u["konst"] == 1
-    pairs = dirty_profile.correlations.collect()
+    pairs = dirty_profile.correlations.orderBy("rank").collect()
     assert len(pairs) == 28 and all("konst" not in (p.col1, p.col2) for p in pairs)
     assert (pairs[0].col1, pairs[0].col2, pairs[0].value) == ("l_extendedprice", "gross", 1.0)

@@ -243,24 +243,37 @@ def dup_cte(t: str) -> str:
 
 def flags_cte(t: str) -> str:
     """{t}_flags: (seq, rule_id, column, value)."""
+    col = lambda name: f"'Column ''' || {name} || ''''"
     return f"""{t}_fl0 AS (
-  SELECT 0 AS grp, pos, 0 AS sub, 'F1' AS rule_id, name AS "column", CAST(uniq AS DOUBLE) AS value
+  SELECT 0 AS grp, pos, 0 AS sub, 'F1' AS rule_id, name AS "column", CAST(uniq AS DOUBLE) AS value,
+    {col('name')} || ' has very high cardinality (' || format('{{:,}}', uniq) || ' unique values out of ' || format('{{:,}}', total_rows)
+      || ' rows). This looks like an ID or key column — exclude it from model features.' AS message
     FROM {t}_cols WHERE NOT dropped AND total_rows > 0
      AND CAST(uniq AS DOUBLE) / CAST(total_rows AS DOUBLE) > {D(HIGH_CARDINALITY_RATIO)}
   UNION ALL
-  SELECT 0, pos, 1, 'F2', name, missing_pct FROM {t}_cols WHERE NOT dropped
+  SELECT 0, pos, 1, 'F2', name, missing_pct, {col('name')} || ' is ' || printf('%.1f', missing_pct)
+      || '% missing. Consider imputation (median for numeric, mode or ''Unknown'' for categorical) before modeling.'
+    FROM {t}_cols WHERE NOT dropped
      AND missing_pct > {D(MISSING_WARN_THRESH * 100)} AND missing_pct < {D(MISSING_DROP_THRESH * 100)}
   UNION ALL
-  SELECT 0, pos, 2, 'F3', name, std6 / abs(mean6) FROM {t}_cols WHERE NOT dropped AND kind = 'numeric'
+  SELECT 0, pos, 2, 'F3', name, std6 / abs(mean6), {col('name')} || ' has very high coefficient of variation (' || printf('%.1f', std6 / abs(mean6))
+      || '). The distribution is highly spread — consider log or box-cox transform.'
+    FROM {t}_cols WHERE NOT dropped AND kind = 'numeric'
      AND std6 IS NOT NULL AND std6 > 0 AND abs(mean6) > 0 AND std6 / abs(mean6) > {D(CV_LIMIT)}
   UNION ALL
-  SELECT 0, o.pos, 3, 'F4', c.name, o.outlier_pct FROM {t}_out o JOIN {t}_cols c USING (pos)
+  SELECT 0, o.pos, 3, 'F4', c.name, o.outlier_pct, {col('c.name')} || ' has ' || printf('%.1f', o.outlier_pct)
+      || '% outliers (IQR method). Inspect these rows — they may be data entry errors or genuine anomalies.'
+    FROM {t}_out o JOIN {t}_cols c USING (pos)
    WHERE o.outlier_pct > {D(OUTLIER_FLAG_PCT)}
   UNION ALL
-  SELECT 1, rank, 0, 'F5', col1 || '~' || col2, value FROM {t}_corr WHERE abs(value) >= {D(CORR_HIGH_THRESH)}
+  SELECT 1, rank, 0, 'F5', col1 || '~' || col2, value, 'Columns ''' || col1 || ''' and ''' || col2 || ''' are highly correlated (r = ' || printf('%.3f', value)
+      || '). Consider removing one to reduce multicollinearity in linear models.'
+    FROM {t}_corr WHERE abs(value) >= {D(CORR_HIGH_THRESH)}
   UNION ALL
-  SELECT 2, pos, 0, 'F6', "column", ratio FROM {t}_imb WHERE ratio >= {D(CLASS_IMBALANCE_RATIO)}),
-{t}_flags AS (SELECT row_number() OVER (ORDER BY grp, pos, sub) AS seq, rule_id, "column", value FROM {t}_fl0)"""
+  SELECT 2, pos, 0, 'F6', "column", ratio, {col('"column"')} || ' has severe class imbalance: the dominant class represents ' || printf('%.1f', majority_pct)
+      || '% of rows (imbalance ratio ' || printf('%.1f', ratio) || '×). Consider oversampling (SMOTE) or class weighting before classification.'
+    FROM {t}_imb WHERE ratio >= {D(CLASS_IMBALANCE_RATIO)}),
+{t}_flags AS (SELECT row_number() OVER (ORDER BY grp, pos, sub) AS seq, rule_id, "column", value, message FROM {t}_fl0)"""
 
 
 def facts_cte(t: str) -> str:

@@ -118,13 +118,13 @@ def q_bias_flags(spark, sf_dir):
     """F1-F7 over every table."""
     f = all_profiles(spark, sf_dir).flags
     return f.select("dataset", F.col("seq").cast("long").alias("seq"), "rule_id", "column",
-                    py_round(F.col("value"), 4).alias("value"))
+                    py_round(F.col("value"), 4).alias("value"), "message")
 
 
 def q_recommendation_rules(spark, sf_dir):
     """R1-R8 over every table."""
     r = all_profiles(spark, sf_dir).recommendations
-    return r.select("dataset", F.col("seq").cast("long").alias("seq"), "rule_id")
+    return r.select("dataset", F.col("seq").cast("long").alias("seq"), "rule_id", "message")
 
 
 def q_health_report(spark, sf_dir):
@@ -441,7 +441,7 @@ _FLAG_PARTS = ("cols", "out", "imb", "corr", "flags")
 
 def s_bias_flags() -> str:
     body = _union_sql(ALL, lambda t: (
-        f"SELECT '{t}' AS dataset, CAST(seq AS BIGINT) AS seq, rule_id, \"column\", {O.R('value', 4)} AS value "
+        f"SELECT '{t}' AS dataset, CAST(seq AS BIGINT) AS seq, rule_id, \"column\", {O.R('value', 4)} AS value, message "
         f"FROM {t}_flags"))
     return O.with_ctes(_all(_FLAG_PARTS), ALL, body)
 
@@ -450,14 +450,26 @@ _FACT_PARTS = ("cols", "out", "imb", "corr", "dup", "flags", "facts")
 
 
 def _recs(t: str) -> str:
-    return f"""SELECT '{t}' AS dataset, CAST(row_number() OVER (ORDER BY k) AS BIGINT) AS seq, rule_id FROM (
-  SELECT 1 AS k, 'R1' AS rule_id FROM {t}_facts WHERE duplicate_rows > 0
-  UNION ALL SELECT 2, 'R2' FROM {t}_facts WHERE missing_pct > 2
-  UNION ALL SELECT 3, 'R3' FROM {t}_facts WHERE dropped_count > 0
-  UNION ALL SELECT 4, 'R4' FROM {t}_facts WHERE has_high_corr
-  UNION ALL SELECT 5, 'R5' FROM {t}_facts WHERE (SELECT count(*) FROM {t}_out WHERE outlier_pct > 5) > 0
-  UNION ALL SELECT 6, 'R6' FROM {t}_facts WHERE total_rows < 1000 OR total_rows > 500000
-  UNION ALL SELECT 7, 'R7' FROM {t}_facts WHERE NOT (duplicate_rows > 0 OR missing_pct > 2 OR dropped_count > 0
+    quote = "''''"  # one quote in SQL
+    named = lambda where, limit="": f"(SELECT string_agg({quote} || name || {quote}, ', ' ORDER BY pos) FROM (SELECT pos, name FROM {where} ORDER BY pos {limit}))"
+    outlying = f"{t}_cols c JOIN {t}_out o USING (pos) WHERE o.outlier_pct > 5"
+    return f"""SELECT '{t}' AS dataset, CAST(row_number() OVER (ORDER BY k) AS BIGINT) AS seq, rule_id, message FROM (
+  SELECT 1 AS k, 'R1' AS rule_id, 'Remove ' || format('{{:,}}', duplicate_rows) || ' duplicate rows before modeling — they can artificially inflate accuracy metrics.' AS message
+    FROM {t}_facts WHERE duplicate_rows > 0
+  UNION ALL SELECT 2, 'R2', 'Overall missing data is ' || printf('%.1f', missing_pct) || '%. For numeric columns use median imputation; for categorical columns use mode or a dedicated ''Missing'' category.'
+    FROM {t}_facts WHERE missing_pct > 2
+  UNION ALL SELECT 3, 'R3', 'Columns ' || {named(f"{t}_cols WHERE dropped")} || ' were automatically excluded due to excessive missing data (>60%). Review whether these can be recovered from another data source.'
+    FROM {t}_facts WHERE dropped_count > 0
+  UNION ALL SELECT 4, 'R4', 'Highly correlated feature pairs detected: ' || (SELECT string_agg(col1 || ' ↔ ' || col2 || ' (' || printf('%.2f', value) || ')', '; ' ORDER BY rank)
+      FROM (SELECT * FROM {t}_corr WHERE abs(value) >= 0.85 ORDER BY rank LIMIT 3)) || '. Drop one from each pair or apply PCA to reduce redundancy.'
+    FROM {t}_facts WHERE has_high_corr
+  UNION ALL SELECT 5, 'R5', 'Columns ' || {named(outlying, "LIMIT 4")} || ' contain more than 5% outliers. Use RobustScaler instead of StandardScaler, or cap values at the 1st/99th percentile.'
+    FROM {t}_facts WHERE (SELECT count(*) FROM {t}_out WHERE outlier_pct > 5) > 0
+  UNION ALL SELECT 6, 'R6', CASE WHEN total_rows < 1000
+      THEN 'The dataset has only ' || format('{{:,}}', total_rows) || ' rows. Models may overfit — prefer simpler algorithms (Logistic Regression, Decision Tree) and use cross-validation.'
+      ELSE 'Large dataset (' || format('{{:,}}', total_rows) || ' rows). Consider mini-batch training or tree-based methods like XGBoost / LightGBM that handle large data efficiently.' END
+    FROM {t}_facts WHERE total_rows < 1000 OR total_rows > 500000
+  UNION ALL SELECT 7, 'R7', 'No critical issues found. The dataset appears ready for feature engineering and modeling.' FROM {t}_facts WHERE NOT (duplicate_rows > 0 OR missing_pct > 2 OR dropped_count > 0
       OR has_high_corr OR (SELECT count(*) FROM {t}_out WHERE outlier_pct > 5) > 0
       OR total_rows < 1000 OR total_rows > 500000))"""
 

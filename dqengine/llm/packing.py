@@ -247,7 +247,8 @@ def pack(docs: DataFrame, capacity: int = 2048, key: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)),
                                               pa.array(a[:, 3] + nth // a[:, 4]), pa.array(a[:, 5] + nth % a[:, 4] * length)], schema=arrow)
 
-    ranked = pieces.join(before, ["task", "length"]).select("k", "piece", "start", "length", "ids_crc32", (F.col("nth") + F.col("before")).alias("rank"))
+    # a row for each task and length: grows with the corpus, so never broadcast
+    ranked = pieces.join(before.hint("merge"), ["task", "length"]).select("k", "piece", "start", "length", "ids_crc32", (F.col("nth") + F.col("before")).alias("rank"))
     return ranked.mapInArrow(place, schema).withColumnRenamed("k", key)
 
 

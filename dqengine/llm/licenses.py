@@ -121,6 +121,9 @@ def known_sentences() -> dict[str, str]:
     return table
 
 
+#: Words of the longest known sentence before its wording is normalised: what
+#: WORDING takes away is at most eight words and eight for each "under".
+MOST_WORDS = max(len(s.split()) + 8 + 8 * s.split().count("under") for s in known_sentences())
 # Interchangeable wording, in order: (pattern, what it becomes).
 WORDING = (
     (r"licence", "license"),
@@ -145,30 +148,36 @@ def licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     A null or empty text has none; null keys stay null; repeated rows give
     repeated results; an empty table an empty one; other columns are never
-    read.  Texts with wrapped lines are read both line by line and with lines
-    joined; the reading with more known sentences counts (line by line if
-    they are even).
+    read.  A sentence may lie on one line or be wrapped: of the lines between
+    two sentence ends, the longest run that is a known sentence counts at each
+    place, else the line is unknown.
     """
     quoted = lambda s: "'" + s.replace("'", "\\'") + "'"
     table = "map(" + ", ".join(f"{quoted(s)}, {quoted(i)}" for s, i in known_sentences().items()) + ")"
     clean = r"regexp_replace(lower(t), '(?m)^[ \\t]*(?://+|#+|[*]+/?|/[*]+|--+|;+|%+)[ \\t]?', '')"
     end = r"(?<=[.!?;])\\s+"
-    readings = [f"regexp_replace({clean}, '{end}|[\\\\r\\\\n]+', '\u0001')", f"regexp_replace({clean}, '{end}|\\\\n\\\\s*\\\\n', '\u0001')"]
+    cut = f"regexp_replace(regexp_replace({clean}, '{end}|\\\\n\\\\s*\\\\n', '\u0001'), '[\\\\r\\\\n]+', '\u0002')"
     wording = "s"
     for pattern, to in WORDING:
         wording = f"regexp_replace({wording}, '{pattern}', '{to}')"
-    split = lambda r: f"split(regexp_replace(regexp_replace({r}, '[^a-z0-9.+\u0001]+', ' '), '\\\\.(?=[ \u0001]|$)', ''), '\u0001')"
-    ids = lambda r: f"transform({split(r)}, s -> coalesce(try_element_at(m, trim({wording})), '-'))"
+    parts = f"split(regexp_replace(regexp_replace({cut}, '[^a-z0-9.+\u0001\u0002]+', ' '), '\\\\.(?=[ \u0001\u0002]|$)', ''), '\u0001')"
+    bind = lambda value, name, body: f"transform(array({value}), {name} -> {body})[0]"
+    # of the runs of lines from line i on, the longest known one
+    run = f"""transform(filter(transform(sequence(1, least(size(l) - i, {MOST_WORDS})), n -> struct(n AS n, array_join(slice(l, i + 1, n), ' ') AS s)),
+        r -> size(split(r.s, ' +')) <= {MOST_WORDS} AND r.s rlike '{HINTS}'), r -> struct(r.n AS n, {bind('r.s', 's', f"try_element_at(m, trim({wording}))")} AS id))"""
+    best = bind(f"filter({run}, r -> r.id IS NOT NULL)", "h", "if(size(h) > 0, h[size(h) - 1], struct(1 AS n, '-' AS id))")
+    found = f"""aggregate(sequence(0, size(l) - 1), struct(0 AS at, CAST(array() AS array<string>) AS ids), (a, i) ->
+        if(i < a.at, a, {bind(best, 'b', "struct(i + b.n AS at, concat(a.ids, array(b.id)) AS ids)")})).ids"""
+    ids = f"""flatten(transform({parts}, p -> {bind("filter(transform(split(p, '\u0002'), x -> trim(x)), x -> x <> '')", 'l', f"if(size(l) > 0 AND array_join(l, ' ') rlike '{HINTS}', {found}, array('-'))")}))"""
     # known sentences only, with one gap for what stands between
-    sequence = lambda r: f"transform(array({ids(r)}), x -> filter(x, (e, i) -> e <> '-' OR (i > 0 AND x[greatest(i - 1, 0)] <> '-')))[0]"
+    sequence = bind(ids, "x", "filter(x, (e, i) -> e <> '-' OR (i > 0 AND x[greatest(i - 1, 0)] <> '-'))")
     known = lambda x: f"size(filter({x}, e -> e <> '-'))"
-    both = f"transform(array(struct({sequence(readings[0])} AS a, {sequence(readings[1])} AS b)), r -> if({known('r.b')} > {known('r.a')}, r.b, r.a))[0]"
     rules = "array(" + ", ".join(f"struct({quoted(spdx)} AS spdx, {quoted('|' + '||'.join(run) + '|')} AS run)" for spdx, run in RULES) + ")"
     matched = f"""aggregate({rules}, struct(concat('|', array_join(q, '||'), '|') AS left, CAST(array() AS array<string>) AS found), (a, r) ->
         if(contains(a.left, r.run), struct(replace(a.left, r.run, '|-|') AS left,
            concat(a.found, array_repeat(r.spdx, CAST((octet_length(a.left) - octet_length(replace(a.left, r.run, ''))) / octet_length(r.run) AS INT))) AS found), a))"""
     rows = docs.select(F.col(f"`{key}`").alias("k"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
-    seen = f"if(lower(t) rlike '{HINTS}', transform(array({table}), m -> {both})[0], CAST(array() AS array<string>))"
+    seen = f"if(lower(t) rlike '{HINTS}', transform(array({table}), m -> {sequence})[0], CAST(array() AS array<string>))"
     rows = rows.select("k", F.expr(seen).alias("q"))
     rows = rows.select("k", "q", F.expr(f"if(size(q) = 0, struct('' AS left, CAST(array() AS array<string>) AS found), {matched})").alias("a"))
     return rows.select(F.col("k").alias(key), F.expr("array_join(array_sort(array_distinct(a.found)), ',')").alias("licenses"), F.expr("CAST(size(a.found) AS BIGINT)").alias("n_matches"),

@@ -82,3 +82,31 @@ def test_native_and_empty(spark):
     df = L.licenses(read_table(spark, SF01, "documents"))
     assert not re.search("Python|Pandas|Arrow|Exchange", df._jdf.queryExecution().executedPlan().toString())
     assert L.licenses(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+WRAPPED = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+ONE_LINE = "SPDX-License-Identifier: MIT\nLicensed under CC BY-NC 4.0\n"
+
+
+@pytest.mark.parametrize("text, want", [
+    (ONE_LINE + "\n" + WRAPPED, "CC-BY-NC-4.0,GPL-3.0-or-later,MIT"),
+    (ONE_LINE + WRAPPED, "CC-BY-NC-4.0,GPL-3.0-or-later,MIT"),  # no blank line between
+    (WRAPPED[:-1] + "\n" + ONE_LINE, "CC-BY-NC-4.0,GPL-3.0-or-later,MIT"),
+    (MIT + "\n\nlines\n" * 3 + ONE_LINE + APACHE, "Apache-2.0,CC-BY-NC-4.0,MIT"),
+    ("# " + (ONE_LINE + WRAPPED).replace("\n", "\n# "), "CC-BY-NC-4.0,GPL-3.0-or-later,MIT"),
+    ("words\n" * 200 + "released under\nthe\nMIT\nlicense\n" + "words\n" * 200, "MIT"),
+    ("Licensed under the GNU General Public License,\nversion 3", "GPL-3.0-only"),
+    ("License\nwords\nMIT", ""), (".\n\n;\n" * 5 + "permission", ""),
+])
+def test_one_line_and_wrapped_licences_together(spark, text, want):
+    r = L.licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert r.licenses == want and r.n_known == len([i for i in r.sentence_ids.split() if i != "-"])
+
+
+def test_longest_sentence_fits_a_run():
+    for s in L.known_sentences():
+        wide = "this very own is free software " + s.replace(" under ", " freely under the terms and conditions of ") + " the license"
+        assert len(wide.split()) <= L.MOST_WORDS

@@ -105,9 +105,10 @@ RULES = [
     ("Unlicense", ("unlicense-domain",)),
     *((spdx, (f"name:{spdx}",)) for spdx in NAMES),
 ]
-#: Every known sentence holds one of these before its wording is normalised;
-#: texts without any are passed over.
-HINTS = "licen|copyright|warrant|permission|redistribut|public domain|spdx|rights reserved|free software|(?:released|distributed|available|published|covered|governed|provided)(?: by| freely| to you)? under"
+#: Every known sentence holds one of these before its wording is normalised,
+#: with anything but letters and digits between the words; texts without any
+#: are passed over.
+HINTS = "licen|copyright|warrant|permission|redistribut|public_domain|spdx|rights_reserved|free_software|(?:released|distributed|available|published|covered|governed|provided)(?:_by|_freely|_to_you)?_under".replace("_", "[^a-z0-9]+")
 
 
 def known_sentences() -> dict[str, str]:

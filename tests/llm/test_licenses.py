@@ -110,3 +110,14 @@ def test_longest_sentence_fits_a_run():
     for s in L.known_sentences():
         wide = "this very own is free software " + s.replace(" under ", " freely under the terms and conditions of ") + " the license"
         assert len(wide.split()) <= L.MOST_WORDS
+
+
+@pytest.mark.parametrize("text", ["This code is released\nunder GPL v3.", "# This code is released\n# under GPL v3.", "This code is released  under GPL v3.",
+                                  "// provided\n//  to you\n// under GPL v3\n", "Published, freely, under the GPL v3!"])
+def test_hints_across_blanks_and_marks(spark, text):
+    assert L.licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().licenses == "GPL-3.0-only"
+
+
+@pytest.mark.parametrize("text, known", [("all rights\n * reserved", "rights-reserved"), ("all - rights .- reserved", "rights-reserved"), ("This is free\n# software;", "gpl-free")])
+def test_known_sentences_across_blanks_and_marks(spark, text, known):
+    assert L.licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().sentence_ids == known

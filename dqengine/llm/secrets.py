@@ -21,7 +21,7 @@ interval join's outcome without its pairs, in n log n for any number of parts.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -44,10 +44,15 @@ _NAMED = r"""["']?\x20*[:=]\x20*["']?"""
 WEAK = {
     "identifier": re.compile(r"(?<![A-Za-z0-9])(?:client_?id|user_?name|user|login|account_?id|account|access_?key_?id|key_?id|tenant_?id)" + _NAMED + r"([A-Za-z0-9][A-Za-z0-9._@-]{2,})", re.ASCII | re.IGNORECASE),
     "key": re.compile(r"(?<![A-Za-z0-9])(?:pass|pwd|pw|credentials?|private_?key|access_?key|signing_?key|auth|bearer)" + _NAMED + r"([A-Za-z0-9+/_.=-]{8,})", re.ASCII | re.IGNORECASE),
-    "endpoint": re.compile(r"""(?:[a-z][a-z0-9+.-]{1,20}://[^\s"'<>|]+|(?<![A-Za-z0-9.])[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+:\d{2,5}(?!\d)|(?<![A-Za-z0-9])(?:endpoint|host|hostname|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,})""", re.ASCII | re.IGNORECASE),
+    "endpoint": re.compile(r"""(?:[a-z][a-z0-9+.-]{1,20}://[^\s"'<>|?]+|(?<![A-Za-z0-9.])[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+:\d{2,5}(?!\d)|(?<![A-Za-z0-9])(?:endpoint|host|hostname|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,})""", re.ASCII | re.IGNORECASE),
 }
+#: User and password before the host of an address.
+USERINFO = re.compile(r"""[a-z][a-z0-9+.-]{1,20}://([^\s"'<>|/?#:@]*):([^\s"'<>|/?#]+)@""", re.ASCII | re.IGNORECASE)
+#: A whole address with its query.
+ADDRESS = re.compile(r"""[a-z][a-z0-9+.-]{1,20}://[^\s"'<>|]+""", re.ASCII | re.IGNORECASE)
 #: An opaque string: long, with capitals, small letters and digits.
-OPAQUE = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/=_-])", re.ASCII)
+OPAQUE_LEAST = 32
+OPAQUE = re.compile(rf"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{{{OPAQUE_LEAST},}}={{0,2}}(?![A-Za-z0-9+/=_-])", re.ASCII)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -62,26 +67,54 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def weak_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Weak parts that no strong part and no weak part before them overlaps."""
-    found = []
+    """Weak parts by place.  Identifiers and keys stand unless a strong part or
+    one of them before it overlaps; those of an address's userinfo go first.
+    They stand inside endpoints, too, and a whole address (``scheme://``)
+    stands whatever lies in it; other endpoints must not overlap a strong part
+    or begin inside a part before them."""
+    found, user = [], []
     if ":" in text or "=" in text:
         for kind, pattern in WEAK.items():
             found += [(kind, *m.span()) for m in pattern.finditer(text)]
+        if "://" in text:
+            user = [(kind, *m.span(n)) for m in USERINFO.finditer(text) for n, kind in ((1, "identifier"), (2, "key")) if m.group(n)]
+    inside = _overlaps([("", *m.span()) for m in ADDRESS.finditer(text)] if "://" in text else [])
     for m in OPAQUE.finditer(text):
-        s = m.group()
-        if any(map(str.isupper, s)) and any(map(str.islower, s)) and any(map(str.isdigit, s)):
-            found.append(("key", *m.span()))
-    out, taken, end = [], iter(sorted((a, b) for _, a, b in base)), -1
-    strong = next(taken, None)
-    for kind, a, b in sorted(found, key=lambda s: (s[1], KINDS.index(s[0]))):
-        while strong and strong[1] <= a:
-            strong = next(taken, None)
-        if a >= end and not (strong and strong[0] < b):
+        # a path is no opaque string, its pieces may be
+        for a, b in _pieces(text, *m.span()) if inside(*m.span()) else [m.span()]:
+            s = text[a:b]
+            if any(map(str.isupper, s)) and any(map(str.islower, s)) and any(map(str.isdigit, s)):
+                found.append(("key", a, b))
+    out, end = [], -1
+    strong, first, own = _overlaps(base), _overlaps(user), set(user)
+    for kind, a, b in sorted(found + user, key=lambda s: (s[1], KINDS.index(s[0]))):
+        if kind == "endpoint":
+            if "://" in text[a:b] or a >= end and not strong(a, b):
+                out.append((kind, a, b))
+        elif not strong(a, b) and ((kind, a, b) in own or a >= end and not first(a, b)):
             out.append((kind, a, b))
             end = b
     return out
 
 
+def _pieces(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """The parts of text[a:b] between slashes that are long enough to be opaque."""
+    return [(a + m.start(), a + m.end()) for m in re.finditer(f"[^/]{{{OPAQUE_LEAST},}}", text[a:b])]
+
+
+def _overlaps(spans: list[tuple[str, int, int]]) -> Callable[[int, int], bool]:
+    """Whether any of ``spans`` overlaps (a, b), asked by growing a."""
+    left = iter(sorted((a, b) for _, a, b in spans))
+    now = next(left, None)
+
+    def overlaps(a: int, b: int) -> bool:
+        nonlocal now
+        while now and now[1] <= a:
+            now = next(left, None)
+        return bool(now and now[0] < b)
+    return overlaps
+
+
 def _parts(docs: DataFrame, key: str, text: str) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
     span = "array<struct<kind:string,start:int,end:int>>"

@@ -80,3 +80,42 @@ def test_query_columns(spark, tmp_path):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, n_chars long")
     assert S.find_secrets(empty).collect() == [] and S.redacted(empty).collect() == []
+
+
+ADDRESSES = {
+    "https://api.example.com/v1?client_id=app-77&access_key=Zx81kQp0LmN7": ["endpoint https://api.example.com/v1", "identifier client_id=app-77", "key access_key=Zx81kQp0LmN7"],
+    "jdbc:postgresql://db.example.com/x?user=admin&pwd=hunter2hunter2": ["endpoint postgresql://db.example.com/x", "identifier user=admin", "key pwd=hunter2hunter2"],
+    "postgres://bob:hunter2@db.example.com:5432/x": ["endpoint postgres://bob:hunter2@db.example.com:5432/x", "identifier bob", "key hunter2"],
+    "mysql://user:p@ss:word1@db/x": ["endpoint mysql://user:p@ss:word1@db/x", "identifier user", "key p@ss:word1"],
+    "jdbc:sqlserver://h:1433;user=admin;pwd=abcdefgh1": ["endpoint sqlserver://h:1433;user=admin;pwd=abcdefgh1", "identifier user=admin", "key pwd=abcdefgh1"],
+    "https://h.example.com/token=abcdefgh12/x?login=carol": ["endpoint https://h.example.com/token=abcdefgh12/x", "assign token=abcdefgh12/x", "identifier login=carol"],
+    "user: alice, https://h.example.com/f/" + "aB3" * 12: ["identifier user: alice", "endpoint https://h.example.com/f/" + "aB3" * 12, "key " + "aB3" * 12],
+    "server: user_name=bobby pwd=abcdefgh1": ["endpoint server: user", "identifier user_name=bobby", "key pwd=abcdefgh1"],
+    "user: alice reads https://example.com/Articles/2020/some/long/path/of/words": [],
+    "see https://bob@example.com/page?q=1": [], "https://example.com:8443/x?user=alice": [],
+    "client_id=" + "aB3" * 14: [],
+}
+
+
+def test_credentials_in_addresses(spark):
+    """Expected parts are written out, not taken from ``weak_spans``."""
+    texts = list(ADDRESSES)
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    got = {texts[r.doc_id]: [f"{s.kind} {texts[r.doc_id][s.start:s.end]}" for s in r.spans] for r in S.find_secrets(docs).collect()}
+    assert {t: sorted(s) for t, s in got.items()} == {t: sorted(s) for t, s in ADDRESSES.items()}
+    for r in S.redacted(docs).collect():
+        assert not any(x.split(" ", 1)[1] in r.text for x in ADDRESSES[texts[r.doc_id]] if x.startswith(("key", "assign")))
+
+
+def test_weak_parts_against_independent_ones():
+    """Named parts joined by anything but blanks: each one is a part, wherever it stands."""
+    rnd = random.Random(7)
+    named = [("identifier", "client_id=app-77"), ("identifier", "login=carol"), ("key", "pwd=hunter2hunter2"), ("key", "access_key=Zx81kQp0LmN7")]
+    for _ in range(300):
+        own, text = [], rnd.choice(["", "https://h.example.com/p?", "https://h.example.com/p;", "db://h/", "word "])
+        for kind, part in rnd.sample(named, rnd.randint(0, 4)):
+            own.append((kind, len(text), len(text) + len(part)))
+            text += part + rnd.choice("&;,# ")
+        weak = S.weak_spans(text, S.base_spans(text))
+        assert [p for p in weak if p[0] != "endpoint"] == own
+        assert ("://" in text) == any(k == "endpoint" for k, *_ in weak)

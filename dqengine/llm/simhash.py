@@ -295,18 +295,16 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """The rows of ``docs`` without near-duplicates, all columns as they were.
 
-    Of each component the row with the smallest key stays (one, where rows
-    share it).  Of a component without any key one row stays.
+    Of each component the row with the smallest key stays (where rows of it
+    share that, the one with the smallest digest of its text).  Of a component
+    without any key one row stays.  Keys are told apart together with the
+    digests of their texts, so a key may stand in several components.
     """
-    own = staged(fingerprints(docs, key, text, shingle))
-    labels = staged(_labelled(own, key, radius))
-    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{key}`").alias("k"))
-    keep = labels.where("component_id is not null").select(F.col("component_id").alias("k")).distinct()
-    named = rows.join(keep, "k", "left_semi").dropDuplicates(["k"]).select("row")
-    bare = docs.where(F.col(f"`{key}`").isNull()).select(F.struct("*").alias("row"), F.col(f"`{text}`").alias("x"))
-    nameless = fingerprints(bare, "row", "x", shingle)
-    nameless = nameless.join(labels.where("component_id is null"), "fingerprint").dropDuplicates(["root"]).select("row")
-    return named.unionByName(nameless).select("row.*")
+    named = F.struct(F.col(f"`{key}`").isNull().alias("bare"), F.col(f"`{key}`").alias("k"), F.md5(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("digest"))
+    own = staged(fingerprints(docs.select(named.alias("id"), F.col(f"`{text}`").alias("text")), "id", "text", shingle))
+    keep = _labelled(own, "id", radius).select(F.col("component_id").alias("id")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), named.alias("id"))
+    return rows.join(keep, "id", "left_semi").dropDuplicates(["id"]).select("row.*")
 
 
 def op8_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -112,3 +112,17 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert S.simhash_components(empty).collect() == []
     assert S.one_of_each(empty).collect() == []
+
+
+def test_one_of_each_with_shared_keys(spark):
+    """A key may stand in several components; each keeps a row of its own."""
+    a, b, c = ("first text of its own kind, about ships " * 4, "quite another matter: prices, tables, rows " * 4, "drei ganz andere Worte stehen hier im Satz " * 4)
+    for rows in ([(5, a, 1), (5, b, 2)], [(5, a, 1), (3, b, 2), (5, b, 3)], [(5, b, 3), (5, a, 1), (3, b, 2)],
+                 [(5, a, 1), (5, a, 2), (None, b, 3), (None, c, 4), (None, c, 5), (5, c, 6), (None, None, 7), (None, "", 8)]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+        least = {}
+        for k, t, _ in rows:
+            least[t or ""] = min(least.get(t or "", (True, 0)), (k is None, k or 0))
+        got = S.one_of_each(docs).collect()
+        assert sorted((r.text or "", (r.doc_id is None, r.doc_id or 0)) for r in got) == sorted(least.items())
+        assert {tuple(r) for r in got} <= set(rows)

@@ -76,19 +76,20 @@ def _held(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
-                    item_text: str = "text", words: int = 5, threshold: float = 0.8) -> DataFrame:
+                    item_text: str = "text", words: int = 5, threshold: float = 0.8, least: int = 1) -> DataFrame:
     """(key, item key, shared, size, containment) for every row of ``docs``
     and every row of ``items`` whose shingles it holds to at least ``threshold``.
 
     Words are runs of letters, digits and underscores, in lower case.  An item
-    of fewer than ``words`` words is a single shingle of all its words.  Null
-    and empty texts hold nothing and are held by nothing; null keys stay null
-    and repeated rows count one by one, on both sides; an empty table on
-    either side gives an empty result; other columns are never read.
+    of fewer than ``words`` words is a single shingle of all its words; items
+    of fewer than ``least`` words (at most ``words``) are left out.  Null and
+    empty texts hold nothing and are held by nothing; null keys stay null and
+    repeated rows count one by one, on both sides; an empty table on either
+    side gives an empty result; other columns are never read.
     """
     spark = docs.sparkSession
     rows = items.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col(f"`{item_key}`").alias("id")).alias("item"), F.col(f"`{item_text}`").alias("text"))
-    shingles = staged(item_shingles(rows, "item", "text", words, threshold))
+    shingles = staged(item_shingles(rows, "item", "text", words, threshold).where(F.col("n") >= least))
     lengths = sorted(r.n for r in shingles.select("n").distinct().collect())
     every, sketched = spark.sparkContext.broadcast(_bitmap(shingles)), spark.sparkContext.broadcast(_bitmap(shingles.where("sketched")))
     kind = docs.schema[key].dataType.simpleString()
@@ -126,8 +127,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_ke
     """
     digest = F.md5(F.col(f"`{text}`").cast("string"))
     own = docs.select(digest.alias("doc"), F.col(f"`{text}`").alias("text"))
-    full = items.where(F.size(F.split(F.trim(F.col(f"`{item_text}`").cast("string")), r"\W+")) >= words)
-    leaks = contained_items(own, full, "doc", "text", item_key, item_text, words, threshold).select("doc").distinct()
+    leaks = contained_items(own, items, "doc", "text", item_key, item_text, words, threshold, least=words).select("doc").distinct()
     rows = docs.select(F.struct("*").alias("row"), digest.alias("doc"))
     return rows.join(leaks, "doc", "left_anti").select("row.*")
 

@@ -81,3 +81,13 @@ def test_empty_tables(spark):
     assert D.contained_items(docs, none).collect() == []
     assert D.without_leaks(docs, none).count() == 1
     assert D.contained_items(docs.limit(0), none.union(docs)).collect() == []
+
+
+def test_item_length_is_counted_in_the_words_of_the_search(spark):
+    """Items of five words remove whatever their script, items of four nothing."""
+    long = ["это короткий вопрос для проверки модели", "ποια είναι η πρωτεύουσα της χώρας", "ما هي عاصمة هذا البلد", "東京 は 日本 の 首都 です"]
+    short = ["Hello, what is this?", "(one) two, three: four!", "東京は日本の首都です。"]
+    items = spark.createDataFrame(list(enumerate(long + short)), "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"before, {t} after") for i, t in enumerate(long + short)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in D.without_leaks(docs, items).collect()) == [4, 5, 6]
+    assert {(r.doc_id, r.item_id) for r in D.contained_items(docs, items).collect()} >= {(i, i) for i in range(6)}

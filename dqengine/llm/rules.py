@@ -38,6 +38,9 @@ CLASSES = ("small", "capital", "digit", "blank", "punctuation", "symbol", "other
 #: Limits of the distances, and the lengths from which they hold.
 CLASS_LIMIT, CLASS_LEAST = 0.25, 250
 WORD_LIMIT, WORD_LEAST = 0.26, 100
+#: From this length on and below WORD_LEAST, texts beyond both limits are junk,
+#: too; the word limit is divided by the root of the number of words.
+SHORT_LEAST, SHORT_CLASS_LIMIT, SHORT_WORD_LIMIT = 20, 0.18, 2.25
 _BLANK = r"[\\x20\\x09-\\x0D]+"
 
 
@@ -90,21 +93,25 @@ def references(counts: DataFrame) -> DataFrame:
 
 
 def divergences(counts: DataFrame, reference: DataFrame) -> DataFrame:
-    """Counts with the distances that the guards let stand, else null."""
+    """Counts with the distances that the guards let stand, else null, and
+    whether a short text lies beyond both of its limits."""
     with_ref = counts.join(F.broadcast(reference), "lang", "left")  # a row for each language of COMMON and one more
     return with_ref.select(*counts.columns,
                            F.when(F.col("chars") >= CLASS_LEAST, distance("classes", "ref_classes")).alias("class_distance"),
-                           F.when((F.col("n_words") >= WORD_LEAST) & (F.size("commons") > 0), distance("commons", "ref_commons")).alias("word_distance"))
+                           F.when((F.col("n_words") >= WORD_LEAST) & (F.size("commons") > 0), distance("commons", "ref_commons")).alias("word_distance"),
+                           F.coalesce(F.when((F.col("n_words") >= SHORT_LEAST) & (F.col("n_words") < WORD_LEAST) & (F.size("commons") > 0),
+                                             (distance("classes", "ref_classes") > SHORT_CLASS_LIMIT) & (distance("commons", "ref_commons") * F.sqrt("n_words") > SHORT_WORD_LIMIT)), F.lit(False)).alias("short_failed"))
 
 
 def within_limits() -> Column:
     return F.coalesce(F.col("class_distance") <= CLASS_LIMIT, F.lit(True)) & F.coalesce(F.col("word_distance") <= WORD_LIMIT, F.lit(True))
 
 
-def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", short: bool = False) -> DataFrame:
     """One row per row of ``docs``: ``key``, the base counts, ``base_failed``,
     the two distances (null where a guard or a missing reference forbids
-    them) and ``kept``.
+    them) and ``kept``.  With ``short``, texts under ``WORD_LEAST`` words have
+    to hold the limits for short texts as well.
 
     A null text counts as empty (no words: fails the base rules); a null or
     unknown language is compared with all such texts together, by character
@@ -117,10 +124,10 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
     reference = references(divergences(sound, first).where(within_limits()).select(*counts.columns))
     out = divergences(counts, reference).withColumn("base_failed", failed_base())
     return out.select(F.col("k").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                      (~F.col("base_failed") & within_limits()).alias("kept"), "class_distance", "word_distance")
+                      (~F.col("base_failed") & within_limits() & ~(F.lit(short) & F.col("short_failed"))).alias("kept"), "class_distance", "word_distance")
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document."""
     from ..sources.tables import read_table
-    return quality_rules(read_table(spark, sf_dir, "documents"))
+    return quality_rules(read_table(spark, sf_dir, "documents"), short=True)

@@ -105,3 +105,17 @@ def test_plan_is_native(spark):
 def test_empty_table_and_missing_language(spark):
     assert R.quality_rules(spark.createDataFrame([], "doc_id long, text string, lang string")).collect() == []
     assert R.quality_rules(spark.createDataFrame([(1, "no language column " * 9)], "doc_id long, text string")).count() == 1
+
+
+def test_short_junk_goes_and_short_prose_stays(spark, tmp_path):
+    docs, labels = read_table(spark, SF01, "documents").select("doc_id", "text", "lang"), read_table(spark, SF01, "labels")
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice(["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha"]) for _ in range(rnd.randint(2, 5)))
+    lines = lambda n: ".\n".join(" | ".join(word() for _ in range(5)).capitalize() for _ in range(n // 9)) + "."
+    junk = [(10**9 + i, lines(rnd.randint(45, 95)), "en") for i in range(30)]
+    docs.union(spark.createDataFrame(junk, docs.schema)).write.parquet(str(tmp_path / "documents.parquet"))
+    got = R.op9_quality_rules(spark, str(tmp_path)).where("n_words < 100 AND NOT base_failed").toPandas()
+    made = got[got.doc_id >= 10**9]
+    assert len(made) == 30 and made.kept.mean() < 0.2
+    known = got.merge(labels.where("quality = 1").toPandas(), on="doc_id")
+    assert len(known) > 20 and known.kept.mean() > 0.98

@@ -4,9 +4,10 @@ A byte-level BPE vocabulary first cuts a text into pretokens by a fixed
 pattern, then merges bytes inside each pretoken.  A space that stands between
 two non-blank characters always begins a new pretoken, so a text may be cut
 there into chunks that are encoded independently of each other.  Chunks
-follow Zipf's law: a bounded table per Python worker, held in numpy arrays
-and keyed by a 64-bit hash of the chunk's bytes, answers most of a corpus
-without building a Python object per word.
+follow Zipf's law: a bounded table per Python worker, held in numpy arrays,
+answers most of a corpus without building a Python object per word.  A 64-bit
+hash only says where a chunk may stand in the table; its bytes are kept there
+and compared on every hit, so chunks with equal hashes never share values.
 
 Chunks that the table lacks go to the public libraries: ``tiktoken`` (the same
 vocabulary as ranks) for plain Latin text, many chunks in one call, and
@@ -79,6 +80,14 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nd
     return mixed((sums[starts + sizes] - sums[starts]) * _INVERSE[starts], sizes)
 
 
+def same_bytes(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether each run of ``size`` bytes of ``a`` equals that of ``b``."""
+    differ = np.flatnonzero(a[spread(a_start, size)] != b[spread(b_start, size)])
+    same = np.ones(len(size), bool)
+    same[np.searchsorted(np.cumsum(size), differ, "right")] = False
+    return same
+
+
 def mixed(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + sizes.astype(np.uint64)
 
@@ -121,23 +130,51 @@ class ChunkTable:
     def __init__(self, fill, dtype, most: int = TABLE_CHUNKS):
         self.fill, self.most, self.n = fill, most, 0
         self.index = HashIndex(most)
-        self.values = np.zeros(1 << 12, dtype)
+        self.values, self.used = np.zeros(1 << 12, dtype), 0
         self.start = np.zeros(1 << 12, np.int64)
         self.length = np.zeros(1 << 12, np.int64)
-        self.used = 0
+        self.text, self.text_used = np.zeros(1 << 12, np.uint8), 0
+        self.text_start = np.zeros(1 << 12, np.int64)
+        self.text_size = np.zeros(1 << 12, np.int64)
+
+    @staticmethod
+    def _room(array: np.ndarray, n: int) -> np.ndarray:
+        while n > len(array):
+            array = np.concatenate([array, np.zeros_like(array)])
+        return array
 
     def _append(self, values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """New entries; they stay only as far as the index and ``n`` say."""
         need, n = self.used + len(values), self.n + len(lengths)
-        while need > len(self.values):
-            self.values = np.concatenate([self.values, np.zeros_like(self.values)])
-        while n > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+        self.values = self._room(self.values, need)
+        self.start, self.length = self._room(self.start, n), self._room(self.length, n)
         self.values[self.used:need] = values
         self.length[self.n:n] = lengths
         self.start[self.n:n] = self.used + np.cumsum(lengths) - lengths
         return np.arange(self.n, n)
 
+    def _keep(self, h: np.ndarray, entries: np.ndarray, blobs: list[bytes]) -> None:
+        text, size = np.frombuffer(b"".join(blobs), np.uint8), np.array([len(b) for b in blobs])
+        end, n = self.text_used + len(text), self.n + len(blobs)
+        self.text = self._room(self.text, end)
+        self.text_start, self.text_size = self._room(self.text_start, n), self._room(self.text_size, n)
+        self.text[self.text_used:end] = text
+        self.text_size[self.n:n] = size
+        self.text_start[self.n:n] = self.text_used + np.cumsum(size) - size
+        self.text_used = end
+        self.index.insert(h, entries)
+
+    def _find(self, part: np.ndarray, at: np.ndarray, size: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The entries of chunks, by hash, length and bytes; -1 where there is none."""
+        entry = self.index.find(h)
+        hit = np.flatnonzero(entry >= 0)
+        e = entry[hit]
+        alike = self.text_size[e] == size[hit]
+        entry[hit[~alike]] = -1
+        hit, e = hit[alike], e[alike]
+        entry[hit[~same_bytes(self.text, self.text_start[e], part, at[hit], size[hit])]] = -1
+        return entry
+
     def runs(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The values of the chunks in order, and how many each chunk has."""
         if not len(starts):
@@ -149,20 +186,21 @@ class ChunkTable:
             return self.fill([part.tobytes()])
         at = starts - base
         h = run_hashes(part, at, size)
-        entry = self.index.find(h)
+        entry = self._find(part, at, size, h)
         lost = np.flatnonzero(entry < 0)
         kept = self.n, self.used
         if len(lost):
-            _, first, back = np.unique(h[lost], return_index=True, return_inverse=True)
-            new = lost[first]
-            blobs = [part[a:a + n].tobytes() for a, n in zip(at[new].tolist(), size[new].tolist(), strict=True)]
+            raw, new = part.tobytes(), {}
+            back = [new.setdefault(raw[a:a + n], len(new)) for a, n in zip(at[lost].tolist(), size[lost].tolist(), strict=True)]
+            blobs = list(new)
+            first = np.full(len(blobs), -1)
+            first[back[::-1]] = lost[::-1]
             values, lengths = self.fill(blobs)
             entries = self._append(values, lengths)
             entry[lost] = entries[back]
-            stay = np.flatnonzero(size[new] <= LONG_CHUNK)
-            if self.n + len(new) <= self.most and len(stay) == len(new):
-                self.index.insert(h[new], entries)
-                self.n, self.used = self.n + len(new), self.used + len(values)
+            if self.n + len(blobs) <= self.most and max(map(len, blobs)) <= LONG_CHUNK:
+                self._keep(h[first], entries, blobs)
+                self.n, self.used = self.n + len(blobs), self.used + len(values)
                 kept = self.n, self.used
         n = self.length[entry]
         out = self.values[spread(self.start[entry], n)]

@@ -57,6 +57,9 @@ class PrefixTable:
         self.longest = int(sizes.max())
         self.token_ids = np.array(list(self.ranks.values()))
         self.token_index = HashIndex(len(tokens))
+        self.token_text = np.frombuffer(b"".join(tokens), np.uint8)
+        self.token_start = np.cumsum(sizes) - sizes
+        self.token_size = sizes
         for at in range(0, len(tokens), 1024):
             n = sizes[at:at + 1024]
             hashes = run_hashes(np.frombuffer(b"".join(tokens[at:at + 1024]), np.uint8), np.cumsum(n) - n, n)
@@ -68,7 +71,8 @@ class PrefixTable:
 
     def _fits_all(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether tokens a and b, joined, encode to just a and b."""
-        key = mixed((a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15), b)
+        # every step of this is one to one, so a key is a pair
+        key = mixed((a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15), np.zeros_like(b))
         entry = self.pairs.find(key)
         fits = self.pair_fits[entry]
         lost = np.flatnonzero(entry < 0)
@@ -122,6 +126,11 @@ class PrefixTable:
                 h = mixed((sums[begin + n] - sums[begin]) * _INVERSE[begin], np.full(len(left), n))
                 t = self.token_index.find(h)
                 ok = t >= 0
+                hit = np.flatnonzero(ok)
+                if len(hit):  # the token's own bytes decide
+                    own = np.arange(n)
+                    same = self.token_text[self.token_start[t[hit], None] + own * (own < self.token_size[t[hit], None])] == data[begin[hit, None] + own]
+                    ok[hit] = same.all(1) & (self.token_size[t[hit]] == n)
                 t = self.token_ids[t]
                 if n < i and ok.any():
                     some = np.flatnonzero(ok)
@@ -276,8 +285,9 @@ def token_counts(docs: DataFrame, limits: Sequence[int] = (), key: str = "doc_id
     ``files`` are the vocabulary's two files and its pattern.  A null text
     counts as empty: no tokens, an empty array.  A null key stays null,
     repeated rows give repeated results, an empty table an empty one; other
-    columns are never read.  Memory per task: the chunk table and one slice of
-    text (8 MB, or one longer text).  No shuffle.
+    columns are never read.  Texts of any length are counted whole.  Memory per
+    task: the chunk table and one slice of text (512 KB, or one longer text).
+    No shuffle.
     """
     files = files or vocabulary_files()
     kind = docs.schema[key].dataType.simpleString()

@@ -114,3 +114,47 @@ def test_packed_pieces(spark, vocab):
             at += length
         assert at <= 16
     assert packing.pack(docs.limit(0)).collect() == []
+
+
+def thue_morse(n, letters):
+    """A string and its complement: equal under any polynomial hash modulo 2^64
+    with an odd multiplier, once they are long enough."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return ["".join(letters[b ^ flip] for b in bits) for flip in (0, 1)]
+
+
+COLLIDING = [t for n in (1024, 2048, 4096) for letters in ("ab", "xy", "01", "é日") for t in thue_morse(n // (2 if letters == "é日" else 1), letters)]
+
+
+@pytest.mark.parametrize("together", [True, False])
+def test_chunks_with_equal_hashes(vocab, together):
+    a, b = (np.frombuffer(t.encode(), np.uint8) for t in thue_morse(2048, "ab"))
+    zero, whole = np.zeros(1, np.int64), np.array([2048])
+    assert bpe.run_hashes(a, zero, whole) == bpe.run_hashes(b, zero, whole)
+    ids, counts = bpe.ChunkTable(vocab._ids_of, np.uint32), T.PrefixTable(vocab)
+    for batch in [COLLIDING] if together else [[t] for t in COLLIDING * 2]:
+        buffers = bpe.text_buffers(pa.array(batch))
+        got, n = ids.texts(*buffers)
+        for t, own in zip(batch, np.split(got, np.cumsum(n)[:-1]), strict=True):
+            assert own.tolist() == vocab.library.encode(t, add_special_tokens=False).ids
+        last = {}
+        for of, c in counts.prefixes(*buffers):
+            last |= dict(zip(of.tolist(), c.tolist(), strict=True))
+        assert [last[i] for i in range(len(batch))] == [len(vocab.library.encode(t, add_special_tokens=False).ids) for t in batch]
+
+
+def test_every_prefix_of_colliding_chunks(vocab):
+    table = T.PrefixTable(vocab)
+    for t in thue_morse(1024, "ab"):
+        got = np.concatenate([c for _, c in table.prefixes(*bpe.text_buffers(pa.array([t])))])
+        assert got.tolist() == [len(vocab.library.encode(t[:k], add_special_tokens=False).ids) for k in range(1, len(t) + 1)]
+
+
+def test_a_hash_without_any_information(vocab, monkeypatch):
+    """All chunks of a length and all tokens of a length share one hash."""
+    monkeypatch.setattr(bpe, "run_hashes", lambda data, starts, sizes: (sizes % 3).astype(np.uint64) << np.uint64(61))
+    table = bpe.ChunkTable(vocab._ids_of, np.uint32, 3000)
+    for _ in range(2):
+        ids, n = table.texts(*bpe.text_buffers(pa.array(texts()[:60])))
+        for t, got in zip(texts()[:60], np.split(ids, np.cumsum(n)[:-1]), strict=True):
+            assert got.tolist() == vocab.library.encode(t or "", add_special_tokens=False).ids

@@ -22,6 +22,7 @@ from ..operators.catalog import (admit_files, chat_violations, dataset_rows,
                                  summaries)
 from ..operators.views import (corr_top15, kpis, missing_top12, no_missing,
                                score_cards, search)
+from ..session import stage_dir
 from ..sources.files import read_any
 from ..sources.tables import TABLES, read_table
 from . import oracle as O
@@ -308,9 +309,8 @@ def q_file_admission(spark, sf_dir):
 
 
 def q_csv_profile_lineitem(spark, sf_dir):
-    """S1 + S2: lineitem written as CSV (derived by Spark), read back with a
-    10,000-line inferred schema, then profiled."""
-    from ..session import stage_dir
+    """S1 + S2: lineitem written as CSV (derived by Spark), read back with types
+    inferred over all rows, then profiled."""
     path = f"{stage_dir(spark)}/lineitem.csv"
     read_table(spark, sf_dir, "lineitem").write.option("header", True).csv(path)
     df = read_any(spark, path)
@@ -325,6 +325,33 @@ def q_csv_profile_lineitem(spark, sf_dir):
         F.col("outlier_count").cast("long").alias("outlier_count"))
 
 
+#: Columns whose text a careless reader changes; the same SQL in both engines.
+CSV_CASES = {
+    "flag": "CASE WHEN o_orderkey % 2 = 0 THEN 'Y' ELSE 'N' END", "tf": "CASE WHEN o_orderkey % 3 = 0 THEN 'T' ELSE 'F' END",
+    "truth": "CASE WHEN o_orderkey % 5 = 0 THEN 'true' ELSE 'false' END", "size": "CAST(o_orderkey % 40 AS VARCHAR(20)) || CASE WHEN o_orderkey % 2 = 0 THEN 'D' ELSE 'F' END",
+    "wide": "CAST(CAST(12345678901234567000 AS DECIMAL(38,0)) + o_orderkey AS VARCHAR(40))", "zip": "lpad(CAST(o_custkey AS VARCHAR(20)), 6, '0')",
+    "huge": "CASE WHEN o_orderkey % 7 = 0 THEN '1e400' ELSE '1e4' END", "half": "CAST(o_custkey AS VARCHAR(20)) || '.50'",
+    "note": "'line ' || CAST(o_custkey AS VARCHAR(20)) || chr(10) || 'says \"' || o_orderpriority || '\", and more'",
+    "gap": "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderkey END",
+}
+CSV_CASE_TYPES = {"truth": "boolean", "wide": "decimal(38,0)", "half": "double", "gap": "bigint"}
+
+
+def q_csv_types(spark, sf_dir):
+    """Columns derived from orders, written as CSV (one of them with line
+    ends inside quotes) and read back: types and cells stay what they were."""
+    path = f"{stage_dir(spark)}/cases.csv"
+    read_table(spark, sf_dir, "orders").selectExpr(*[f"{sql} AS `{n}`" for n, sql in CSV_CASES.items()]) \
+        .write.option("header", True).option("escape", '"').csv(path)
+    df = read_any(spark, path)
+    parts = []
+    for n, t in df.dtypes:
+        c = F.col(n).cast("decimal(18,2)") if t == "double" else F.col(n)
+        parts.append(F.struct(F.lit(n).alias("column"), F.lit(t).alias("type"), F.count(F.col(n)).alias("cells"), F.count_distinct(F.col(n)).alias("distinct_cells"),
+                              F.min(c.cast("string")).alias("first"), F.max(c.cast("string")).alias("last")))
+    return df.agg(F.array(*parts).alias("a")).select(F.inline("a"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f"profile_{t}": q_profile(t) for t in ALL},
     "dropped_columns": q_dropped_columns,
@@ -354,6 +381,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chat_history": q_chat_history,
     "file_admission": q_file_admission,
     "csv_profile_lineitem": q_csv_profile_lineitem,
+    "csv_types": q_csv_types,
     **stored.QUERIES,
 }
 
@@ -643,6 +671,15 @@ def s_csv_profile_lineitem() -> str:
     return O.with_ctes(O.table_ctes("lineitem", ("cols", "out")), ["lineitem"], body)
 
 
+def s_csv_types() -> str:
+    def one(n: str) -> str:
+        c = f"CAST(CAST({n} AS DECIMAL(18,2)) AS VARCHAR)" if n == "half" else f"CAST({n} AS VARCHAR)"
+        return (f"SELECT '{n}' AS \"column\", '{CSV_CASE_TYPES.get(n, 'string')}' AS type, CAST(count({n}) AS BIGINT) AS cells, "
+                f"CAST(count(DISTINCT {n}) AS BIGINT) AS distinct_cells, min({c}) AS first, max({c}) AS last FROM cases")
+    return ("WITH cases AS (SELECT " + ", ".join(f"{sql} AS {n}" for n, sql in CSV_CASES.items()) + " FROM orders)\n"
+            + "\nUNION ALL\n".join(one(n) for n in CSV_CASES))
+
+
 def oracle_sql() -> dict[str, str]:
     out = {f"profile_{t}": s_profile(t) for t in ALL}
     out.update({
@@ -670,6 +707,7 @@ def oracle_sql() -> dict[str, str]:
         "constraint_check": s_constraint_check(),
         "chat_history": s_chat_history(),
         "csv_profile_lineitem": s_csv_profile_lineitem(),
+        "csv_types": s_csv_types(),
         **stored.ORACLES,
     })
     return out

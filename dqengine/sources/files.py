@@ -1,47 +1,97 @@
 """File sources (S1, S2) and the report sink.
 
 S1: a CSV is read as text columns (RFC 4180 quotes: doubled quotes, commas and
-line ends inside them), its types are inferred over the whole file in one
-aggregate, and cells are cast.  Integers are 64-bit; a column gets a type only
-if every cell has it, so a cast loses nothing.  Inferring from the first rows
-is an explicit choice (``sample_rows``); then cells that do not parse become
-null, as in the reference, and ``csv_nulled_cells`` tells how many.  Dates stay
-text, as the reference does not parse them.
+line ends inside them), one aggregate over the whole file finds which types
+every cell of a column can have, and cells are cast.
+
+A column gets a type only if that keeps what its cells say:
+
+* ``boolean``: all cells ``true`` or ``false``, in one of the usual spellings;
+* ``bigint``: whole numbers as they are printed (no leading zeros, no plus);
+* ``decimal(38,0)``: the same beyond 64 bits;
+* ``double``: decimals, also with exponent, whose digits a double gives back,
+  and NaN or infinities beside them.  Not a number with leading zeros, with a
+  plus, beyond the range of doubles or with more digits than they hold.
+
+Everything else stays text: ``Y`` and ``N``, ``00501``, ``10D``, ``1e400``, dates.
+The possible types of a cell are a set of bits, those of a column their
+intersection, which merges in any order.  Inferring from the first rows is an
+explicit choice (``sample_rows``); then cells that do not parse become null, as
+in the reference, and ``csv_nulled_cells`` tells how many.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .csv_records import csv_records, split_states
+
 READERS = {".csv": "csv", ".parquet": "parquet", ".json": "json", ".orc": "orc"}
-#: Types in the order they are tried.
-CSV_TYPES = ("bigint", "double", "boolean")
+#: Types in the order they are tried, by the bits of ``cell_types``.
+CSV_TYPES = (("boolean", 1), ("boolean", 2), ("boolean", 4), ("bigint", 8), ("decimal(38,0)", 16), ("double", 32))
+ANY_TYPE = 63
+_NUMBER = r"^-?((0|[1-9][0-9]*)(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+_NO_NUMBER = r"^(NaN|-?inf|-?Infinity)$"
+#: Every decimal of so many digits has a double of its own.
+SURE_DIGITS = 15
+SMALLEST = 2.2250738585072014e-308
 
 
 def csv_text(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """Every cell of a CSV with a header as text; empty cells are null, short
-    rows are padded, further fields dropped.  Files without line ends inside
-    quotes can be split among tasks; ``multi_line`` says whether there are any
-    (None: look for lines with an odd number of quotes first)."""
-    if multi_line is None:
-        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-        multi_line = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
-    return (spark.read.option("header", True).option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"')
-            .option("multiLine", multi_line).csv(path))
+    rows are padded, further fields dropped.
+
+    ``multi_line`` says whether there are line ends inside quotes (None: one scan
+    of the lines finds out).  Files are split among tasks either way.  Lines end
+    with a line feed, with or without a carriage return; compressed files are one
+    split each."""
+    states = split_states(spark, path) if multi_line is not False else None
+    if multi_line is None and states.where("across").isEmpty():
+        states = None
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    reader = spark.read.options(header=True, **options)
+    if states is None:
+        return reader.csv(path)
+    names = reader.option("multiLine", True).csv(path).columns  # parses the first record only
+    names[-1] = names[-1].removesuffix("\r")
+    cells = ", ".join(f"c{i} STRING" for i in range(len(names)))
+    parsed = F.from_csv(F.col("record").cast("string"), cells, {**options, "multiLine": "true"})
+    return csv_records(spark, path, states).select(parsed.alias("r")).select("r.*").toDF(*names)
+
+
+def cell_types(c: Column) -> Column:
+    """The types a cell can have, as bits; all of them for null."""
+    digits = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "[eE].*$", ""), "[-.]", ""), "^0+|0+$", "")
+    whole = c.rlike("^(0|-?[1-9][0-9]*)$")
+    number = c.try_cast("double")
+    size = F.length(digits(c))
+    held = (size == 0) | (F.abs(number).between(F.lit(SMALLEST), F.lit(1.7976931348623157e308)) & (
+        (size <= SURE_DIGITS) | (digits(number.cast("string")) == digits(c))))
+    bits = [(c.isin("true", "false"), 1), (c.isin("True", "False"), 2), (c.isin("TRUE", "FALSE"), 4),
+            (whole & (F.length(c) <= 20) & c.try_cast("bigint").isNotNull(), 8),
+            (whole & (F.length(F.replace(c, F.lit("-"), F.lit(""))) <= 38), 16),
+            (F.when(c.rlike(_NUMBER), held).otherwise(c.rlike(_NO_NUMBER)), 32)]
+    of = [F.when(F.coalesce(has, F.lit(False)), F.lit(bit)).otherwise(F.lit(0)) for has, bit in bits]
+    return F.when(c.isNull(), F.lit(ANY_TYPE)).otherwise(sum(of[1:], of[0]))
 
 
 def infer_csv_types(text: DataFrame, sample_rows: int | None = None) -> list[str]:
     """A type for each column: the first of CSV_TYPES that all non-null cells
-    have, else text.  One aggregate over all rows, or the first ``sample_rows``."""
+    can have, else text.  One aggregate over all rows, or the first ``sample_rows``."""
     rows = text.toDF(*[f"c{i}" for i in range(len(text.columns))])
     rows = rows.limit(sample_rows) if sample_rows is not None else rows
-    fits = [F.bool_and(F.col(c).isNull() | F.col(c).try_cast(t).isNotNull()).alias(f"{c}_{t}") for c in rows.columns for t in CSV_TYPES]
-    seen = [F.count(c).alias(f"{c}_n") for c in rows.columns]
-    found = rows.agg(*fits, *seen).first()
-    return [next((t for t in CSV_TYPES if found[f"{c}_n"] and found[f"{c}_{t}"]), "string") for c in rows.columns]
+    found = rows.agg(*[F.bit_and(cell_types(F.col(c))).alias(c) for c in rows.columns],
+                     *[F.count_if(F.col(c).isNotNull() & ~F.col(c).rlike(_NO_NUMBER)).alias(f"{c}_n") for c in rows.columns]).first()
+    return [next((t for t, bit in CSV_TYPES if found[f"{c}_n"] and found[c] & bit), "string") for c in rows.columns]
+
+
+def _typed(c: Column, kind: str) -> Column:
+    """A cell as ``kind``; null where it does not parse.  The suffixes D and F,
+    which Spark takes as part of a number, do not."""
+    return c if kind == "string" else F.when(~c.rlike("[dDfF]$") | c.rlike(_NO_NUMBER) | (F.lit(kind) == "boolean"), c.try_cast(kind))
 
 
 def read_csv(spark: SparkSession, path: str, sample_rows: int | None = None, multi_line: bool | None = None) -> DataFrame:
@@ -49,7 +99,7 @@ def read_csv(spark: SparkSession, path: str, sample_rows: int | None = None, mul
     text = csv_text(spark, path, multi_line)
     types = infer_csv_types(text, sample_rows)
     flat = text.toDF(*[f"c{i}" for i in range(len(text.columns))])
-    return flat.select(*[F.col(c).try_cast(t) for c, t in zip(flat.columns, types, strict=True)]).toDF(*text.columns)
+    return flat.select(*[_typed(F.col(c), t) for c, t in zip(flat.columns, types, strict=True)]).toDF(*text.columns)
 
 
 def csv_nulled_cells(spark: SparkSession, path: str, sample_rows: int | None = None, multi_line: bool | None = None) -> DataFrame:
@@ -58,7 +108,7 @@ def csv_nulled_cells(spark: SparkSession, path: str, sample_rows: int | None = N
     text = csv_text(spark, path, multi_line)
     types = infer_csv_types(text, sample_rows)
     flat = text.toDF(*[f"c{i}" for i in range(len(text.columns))])
-    lost = [F.struct(F.lit(n).alias("column"), F.lit(t).alias("type"), F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(t).isNull()).alias("nulled"))
+    lost = [F.struct(F.lit(n).alias("column"), F.lit(t).alias("type"), F.count_if(F.col(c).isNotNull() & _typed(F.col(c), t).isNull()).alias("nulled"))
             for n, c, t in zip(text.columns, flat.columns, types, strict=True)]
     return flat.agg(F.array(*lost).alias("a")).select(F.inline("a"))
 

@@ -58,10 +58,16 @@ def specs_of(schema: T.StructType) -> list[ColumnSpec]:
             for i, f in enumerate(schema.fields)]
 
 
-def positional(df: DataFrame) -> DataFrame:
-    """``df`` with every column named by its place; left alone if it already is."""
-    if all(c.startswith("__dq") for c in df.columns):
-        return df
+@dataclass(frozen=True)
+class Placed:
+    """A frame whose columns are already named by their place in the input."""
+    df: DataFrame
+
+
+def positional(df: DataFrame | Placed) -> DataFrame:
+    """The frame with every column named by its place."""
+    if isinstance(df, Placed):
+        return df.df
     return df.toDF(*[f"__dq{i}" for i in range(len(df.columns))])
 
 

@@ -71,7 +71,7 @@ def _moments(df: DataFrame, specs: list[ColumnSpec], dataset: str) -> tuple[Data
 def pairs_of(parts: list[tuple[DataFrame, list[ColumnSpec], str]]) -> DataFrame:
     """(dataset, i, j, col1, col2, r) for every usable pair of every
     (frame, columns, name), r unrounded."""
-    spark = parts[0][0].sparkSession
+    spark = positional(parts[0][0]).sparkSession
     with ThreadPoolExecutor(max_workers=min(4, len(parts))) as ex:  # the datasets' first passes are independent
         found = [m for m in ex.map(lambda p: _moments(*p), parts) if m]
     if not found:

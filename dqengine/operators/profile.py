@@ -5,15 +5,22 @@ pruning (P1) and the overall missing cells (A9).
 Work split:
 
 * one wide aggregate over the input (row count, null counts, NaN counts and
-  moments of every numeric column).  Its single row is the only thing
-  collected: the drop decision of P1 changes which columns later steps read,
-  so it has to be known when those plans are built;
-* everything else is derived from the frequency table and stays distributed.
+  moments of every numeric column), collected: the drop decision of P1 changes
+  which columns later steps read;
+* numeric columns: quartiles by radix selection (``quantiles``), then one
+  aggregate counts what lies beyond the fences, and one grouped count of distinct
+  values counts them.  Nothing of this is written;
+* other columns: the frequency table, written once, gives class counts and top
+  values.
+
+The driver collects a fixed number of values for each column; texts longer than a
+key's head never pass through it.
 """
 
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -22,12 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import constants as C
-from ..functions.keys import (CATEGORICAL, NUMERIC, ColumnSpec, display_value,
-                              is_long_key, positional, specs_of, value_key)
-from ..functions.scalar import pct, py_round
-from .frequency import frequency_table
+from ..functions.keys import (NUMERIC, ColumnSpec, Placed, display_value,
+                              positional, specs_of, value_key)
+from ..functions.scalar import py_round
 from ..session import materialize, stage_dir
-from .quantiles import exact_quantiles
+from .frequency import frequency_table
+from .quantiles import quantiles
 
 META_SCHEMA = T.StructType([
     T.StructField("dataset", T.StringType(), False),
@@ -80,6 +87,10 @@ class BaseStats:
     def missing_pct(self, s: ColumnSpec) -> float:
         return _py_round(self.null_count[s.pos] / self.total_rows * 100, 2) if self.total_rows > 0 else 0.0
 
+    def raw_moments(self, s: ColumnSpec) -> list[float | None]:
+        """Mean, deviation, least and greatest value of a numeric column."""
+        return [None if x is None or (isinstance(x, float) and math.isnan(x)) else float(x) for x in self.moments.get(s.pos, (None,) * 4)]
+
     @property
     def missing_cells(self) -> int:
         """A9, the reference's formula: truncated sum over *rounded* pcts."""
@@ -95,9 +106,9 @@ class BaseStats:
         return _py_round(self.missing_cells / cells * 100, 2) if cells > 0 else 0.0
 
 
-def base_stats(df: DataFrame, dataset: str) -> BaseStats:
-    """Job 1: one pass, one row."""
-    specs = specs_of(df.schema)
+def base_stats(df: DataFrame | Placed, dataset: str, schema: T.StructType | None = None) -> BaseStats:
+    """Job 1: one pass, one row.  ``schema`` has the names of a placed frame."""
+    specs = specs_of(schema or df.schema)
     df = positional(df)
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for s in specs:
@@ -118,15 +129,15 @@ def base_stats(df: DataFrame, dataset: str) -> BaseStats:
     moments = {s.pos: (row[f"avg{s.pos}"], row[f"std{s.pos}"], row[f"min{s.pos}"], row[f"max{s.pos}"])
                for s in specs if s.kind == NUMERIC}
     rows = []
+    stats = BaseStats(dataset, total, specs, nulls, nans, moments, None)
     for s in specs:
         ratio = nulls[s.pos] / total if total > 0 else 0.0
         mp = _py_round(nulls[s.pos] / total * 100, 2) if total > 0 else 0.0
-        m = moments.get(s.pos, (None, None, None, None))
         rows.append((dataset, s.pos, s.name, s.dtype, s.kind, total, nulls[s.pos], nans[s.pos],
                      float(ratio), float(mp), not ratio > C.MISSING_DROP_THRESH,
-                     *[None if x is None or (isinstance(x, float) and math.isnan(x)) else float(x) for x in m]))
-    meta = df.sparkSession.createDataFrame(rows, META_SCHEMA)
-    return BaseStats(dataset, total, specs, nulls, nans, moments, meta)
+                     *stats.raw_moments(s)))
+    stats.meta = df.sparkSession.createDataFrame(rows, META_SCHEMA)
+    return stats
 
 
 KEYS = ("dataset", "pos")
@@ -136,146 +147,211 @@ def _union(dfs: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), dfs)
 
 
+COLUMNS_SCHEMA = (
+    "dataset STRING, pos INT, name STRING, dtype STRING, kind STRING, total_rows BIGINT, null_count BIGINT, nan_count BIGINT, "
+    "missing_pct DOUBLE, unique_count BIGINT, mean DOUBLE, std DOUBLE, min DOUBLE, max DOUBLE, outlier_pct DOUBLE, outlier_count BIGINT, "
+    "top_values ARRAY<STRUCT<value: STRING, count: BIGINT>>, mean_raw DOUBLE, std_raw DOUBLE, min_raw DOUBLE, max_raw DOUBLE, "
+    "q1 DOUBLE, q3 DOUBLE, n_valid BIGINT, max_class_count BIGINT, min_class_count BIGINT, n_values BIGINT")
+
+
+@dataclass
+class TopKeys:
+    """The keys of the k most frequent values of one column, in part: (count,
+    key) of those that are certain, and how many more are wanted of one group of
+    equal count and equal beginning."""
+    keys: list[tuple[int, str]]
+    edge: tuple[int, str] | None = None
+    wanted: int = 0
+
+
 class ColumnProfiler:
-    """Distributed column statistics of any number of datasets in one plan:
+    """Column statistics of any number of datasets, each step in one plan:
     every table is keyed by (dataset, pos), so 15 small tables cost no more
     jobs than one large table."""
 
-    def __init__(self, parts: list[tuple[DataFrame, BaseStats]], quantile_partitions: int | None = None):
+    def __init__(self, parts: list[tuple[DataFrame, BaseStats]]):
         self.parts = [(positional(df), st) for df, st in parts]
-        self.spark = parts[0][0].sparkSession
-        self.quantile_partitions = quantile_partitions
+        self.spark = self.parts[0][0].sparkSession
         self._freq: DataFrame | None = None
 
-    # -- frequency table --------------------------------------------------
+    def _specs(self, numeric: bool) -> list[tuple[DataFrame, BaseStats, list[ColumnSpec]]]:
+        found = [(df, st, [s for s in st.kept if (s.kind == NUMERIC) == numeric]) for df, st in self.parts]
+        return [x for x in found if x[2]]
+
+    # -- numeric columns: A3, A5, A6 ----------------------------------------
+    def numeric_distinct(self) -> dict[tuple[str, int], int]:
+        """Distinct non-null values of numeric columns."""
+        work = self._specs(True)
+        if not work:
+            return {}
+        tables = [frequency_table(df, specs).withColumn("dataset", F.lit(st.dataset)) for df, st, specs in work]
+        return {(r.dataset, r.pos): r.n for r in _union(tables).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def quartiles(self) -> dict[tuple[str, int], tuple[int, float, float]]:
+        """n, q1 and q3 of the non-null, non-NaN values of numeric columns."""
+        frames, counts, names, at = [], {}, {}, 0
+        for df, st, specs in self._specs(True):
+            own = []
+            for s in specs:
+                own.append((at, s.alias))
+                names[at] = (st.dataset, s.pos)
+                counts[at] = st.total_rows - st.null_count[s.pos] - st.nan_count[s.pos]
+                at += 1
+            frames.append((df, own))
+        return {names[i]: (counts[i], *q) for i, q in quantiles(frames, counts).items()} if frames else {}
+
+    def outliers(self) -> dict[tuple[str, int], tuple[int, float, float, int, float]]:
+        """n, q1, q3, outlier count and percentage of numeric columns: one
+        aggregate a dataset, with the fences as literals."""
+        found, rows = {k: (*v, 0, 0.0) for k, v in self.quartiles().items()}, []
+        for df, st, specs in self._specs(True):
+            counts = []
+            for s in specs:
+                n, q1, q3, *_ = found.get((st.dataset, s.pos), (0, 0.0, 0.0))
+                iqr = q3 - q1
+                # infinite quartiles make the range NaN: comparisons with NaN are false in the reference
+                if n < C.MIN_IQR_VALUES or iqr == 0 or math.isnan(iqr):
+                    continue
+                x = s.col.cast("double")
+                out = ~F.isnan(x) & ((x < q1 - C.OUTLIER_IQR_FACTOR * iqr) | (x > q3 + C.OUTLIER_IQR_FACTOR * iqr))
+                counts.append(F.struct(F.lit(s.pos).alias("pos"), F.count_if(out).alias("n")))
+            if counts:
+                rows.append(df.agg(F.array(*counts).alias("a")).select(F.lit(st.dataset).alias("dataset"), F.inline("a")))
+        for r in _union(rows).collect() if rows else []:
+            n, q1, q3, *_ = found[r.dataset, r.pos]
+            found[r.dataset, r.pos] = (n, q1, q3, r.n, _py_round(r.n / n * 100, 2))
+        return found
+
+    # -- other columns: A7, A12 input, K1 -------------------------------------
     @property
     def freq(self) -> DataFrame:
-        """(dataset, pos, key, dval, cnt), computed once, written to the shared
-        folder and read from there: near-unique columns make it as large as
-        the input."""
+        """(dataset, pos, key, cnt) of the columns that are not numeric, computed
+        once, written to the shared folder and read from there."""
         if self._freq is None:
-            tables = [frequency_table(df, st.kept).withColumn("dataset", F.lit(st.dataset)) for df, st in self.parts]
+            tables = [frequency_table(df, specs).select(F.lit(st.dataset).alias("dataset"), "pos", "key", "cnt") for df, st, specs in self._specs(False)]
             self._freq = materialize(_union(tables), f"{stage_dir(self.spark)}/freq")
         return self._freq
 
-    # -- A3 + class counts (A12 input) -------------------------------------
-    def distinct_counts(self) -> DataFrame:
-        """(dataset, pos, n_values, max_cnt, min_cnt): partial aggregation
-        makes the shuffle tiny even though there are few keys."""
-        return self.freq.groupBy(*KEYS).agg(
-            F.count(F.lit(1)).alias("n_values"), F.max("cnt").alias("max_cnt"),
-            F.min("cnt").alias("min_cnt"))
-
-    # -- A5, A6 ------------------------------------------------------------
-    def numeric_freq(self) -> DataFrame:
-        return self.freq.where(F.col("dval").isNotNull() & ~F.isnan("dval")).select(*KEYS, "dval", "cnt")
-
-    def quantiles(self) -> DataFrame:
-        """(dataset, pos, n, q25, q75) over non-null, non-NaN values of numeric columns."""
-        return exact_quantiles(self.numeric_freq(), (0.25, 0.75), self.quantile_partitions, KEYS)
-
-    def fences(self) -> DataFrame:
-        """(dataset, pos, n, q1, q3, lo, hi, usable) for numeric columns."""
-        q = self.quantiles()
-        iqr = F.col("q75") - F.col("q25")
-        return q.select(
-            *KEYS, "n", F.col("q25").alias("q1"), F.col("q75").alias("q3"),
-            (F.col("q25") - F.lit(C.OUTLIER_IQR_FACTOR) * iqr).alias("fence_lo"),
-            (F.col("q75") + F.lit(C.OUTLIER_IQR_FACTOR) * iqr).alias("fence_hi"),
-            # infinite quartiles make the range NaN: comparisons with NaN are false in the reference
-            ((F.col("n") >= C.MIN_IQR_VALUES) & (iqr != 0) & ~F.isnan(iqr)).alias("usable"))
-
-    def outliers(self) -> DataFrame:
-        """(dataset, pos, n, q1, q3, outlier_count, outlier_pct).  The fence table has
-        one row per numeric column, so broadcasting it is size-bounded."""
-        f = self.numeric_freq().join(F.broadcast(self.fences()), list(KEYS))
-        out = F.col("usable") & ((F.col("dval") < F.col("fence_lo")) | (F.col("dval") > F.col("fence_hi")))
-        hits = f.groupBy(*KEYS).agg(*[F.first(c).alias(c) for c in ("n", "q1", "q3", "usable")],
-                                    F.sum(F.when(out, F.col("cnt")).otherwise(0)).alias("outlier_count"))
-        return hits.select(*KEYS, "n", "q1", "q3", "outlier_count",
-                           F.when(F.col("usable"), pct(F.col("outlier_count"), F.col("n"))).otherwise(F.lit(0.0)).alias("outlier_pct"))
-
-    # -- K1 ----------------------------------------------------------------
-    def top_values_long(self, k: int = C.TOP_VALUES) -> DataFrame:
-        """(dataset, pos, rank, value, count): top-k per non-numeric column,
-        count desc then value asc.
-
-        Long values are ranked by their first characters; all that tie there
-        stay candidates until their full texts are known.  The ``rank() <= k``
-        filter is planned with a partial WindowGroupLimit before the shuffle,
-        so each map task sends its own candidates only."""
-        head = Window.partitionBy(*KEYS).orderBy(F.desc("cnt"), F.substring("key", 1, C.LONG_TEXT_CHARS).asc())
-        top = (self.freq.where(F.col("dval").isNull() & F.col("key").isNotNull())
-                   .withColumn("place", F.rank().over(head))
-                   .where(F.col("place") <= k)
-                   .select(*KEYS, "key", F.col("cnt").alias("count")))
-        whole = Window.partitionBy(*KEYS).orderBy(F.desc("count"), F.asc("value"))
-        return (self._with_full_values(top).withColumn("rank", F.row_number().over(whole))
-                    .where(F.col("rank") <= k).select(*KEYS, "rank", "value", "count"))
-
-    def _with_full_values(self, top: DataFrame) -> DataFrame:
-        """Replace hashed keys of long values by the value itself: a second
-        scan of the text columns keeps rows whose first characters match a
-        candidate, hashes just those, and keeps one copy per key."""
-        texty = [(df, st, [s for s in st.kept if s.kind != NUMERIC and isinstance(
-            s.dt, (T.StringType, T.MapType, T.ArrayType, T.StructType, T.BinaryType, T.VariantType))]) for df, st in self.parts]
-        texty = [x for x in texty if x[2]]
-        if not texty:
-            return top.select(*KEYS, F.col("key").alias("value"), "count")
-        top = materialize(top, f"{stage_dir(self.spark)}/top")
-        want = (top.where(is_long_key(F.col("key")))
-                   .select(*KEYS, "key", F.substring("key", 1, C.LONG_TEXT_CHARS).alias("prefix")))
-        long = {(r["dataset"], r["pos"]) for r in want.select(*KEYS).distinct().collect()}  # O(columns)
-        flat = []
-        for df, st, specs in texty:
-            specs = [s for s in specs if (st.dataset, s.pos) in long]
-            if specs:
-                cells = df.select(*[
-                    F.struct(F.lit(s.pos).alias("pos"),
-                             display_value(s.col, s.dt).alias("value")).alias(f"c{s.pos}")
-                    for s in specs])
-                flat.append(cells.unpivot([], [f"c{s.pos}" for s in specs], "variable", "cell")
-                                 .select(F.lit(st.dataset).alias("dataset"), "cell.pos", "cell.value")
-                                 .where(F.length("value") > C.LONG_TEXT_CHARS))
-        if not flat:
-            return top.select(*KEYS, F.col("key").alias("value"), "count")
-        found = (_union(flat).withColumn("prefix", F.substring("value", 1, C.LONG_TEXT_CHARS))
-                     .join(want.select(*KEYS, "prefix").distinct(), [*KEYS, "prefix"], "left_semi")
-                     .withColumn("key", F.concat(F.col("prefix"), F.sha2("value", 256)))
-                     .join(want.select(*KEYS, "key"), [*KEYS, "key"], "left_semi")
-                     .groupBy(*KEYS, "key").agg(F.min("value").alias("full")))
-        return (top.join(found, [*KEYS, "key"], "left")
-                   .select(*KEYS, F.coalesce("full", "key").alias("value"), "count"))
+    def class_counts(self) -> dict[tuple[str, int], tuple[int, int, int]]:
+        """Distinct values, greatest and least count of the columns that are not numeric."""
+        found = self.freq.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.max("cnt").alias("most"), F.min("cnt").alias("least")).collect()
+        return {(r.dataset, r.pos): (r.n, r.most, r.least) for r in found}
+
+    def top_keys(self, k: int = C.TOP_VALUES) -> dict[tuple[str, int], list[tuple[int, str]]]:
+        """(count, key) of the k most frequent values of each column, ties by
+        value; a long value's key is its beginning and a digest.
+
+        Values are grouped by count and beginning (64 characters); a task sends
+        its first k groups a column, and a group that lies whole within the first
+        k gives all its keys.  Where one goes beyond, its values are told apart by
+        their next characters, twice as many in each round, and only those still
+        tied with the k-th go into the next."""
+        head = F.substring("key", 1, C.LONG_TEXT_CHARS)
+        state: dict[tuple[str, int], TopKeys] = {}
+        self._take(self.freq.withColumn("part", head), [F.desc("cnt"), F.asc("part")], ["cnt"], state, k)
+        offset = width = C.LONG_TEXT_CHARS
+        left = None
+        while edges := {c: t for c, t in state.items() if t.edge}:
+            if left is None:
+                rows = [(d, p, *t.edge) for (d, p), t in edges.items()]
+                heads = {(d, p): t.edge[1] for (d, p), t in edges.items()}
+                left = self.freq.withColumn("part", head).join(F.broadcast(self.spark.createDataFrame(rows, "dataset STRING, pos INT, cnt LONG, part STRING")), [*KEYS, "cnt", "part"])
+            else:
+                rows = [(d, p, t.edge[1]) for (d, p), t in edges.items()]
+                left = now.join(F.broadcast(self.spark.createDataFrame(rows, "dataset STRING, pos INT, part STRING")), [*KEYS, "part"])  # noqa: F821
+            nexts = []
+            for df, st, specs in self._specs(False):
+                for s in specs:
+                    if (st.dataset, s.pos) in edges:
+                        value = display_value(s.col, s.dt)
+                        nexts.append(df.where(F.substring(value, 1, C.LONG_TEXT_CHARS) == heads[st.dataset, s.pos]).select(
+                            F.lit(st.dataset).alias("dataset"), F.lit(s.pos).alias("pos"), value_key(s.col, s.dt).alias("key"),
+                            F.substring(value, offset + 1, width).alias("part")))
+            parts = _union(nexts).groupBy(*KEYS, "key").agg(F.min("part").alias("part"))
+            now = materialize(left.select(*KEYS, "key", "cnt").join(parts, [*KEYS, "key"]), f"{stage_dir(self.spark)}/tied")
+            self._take(now, [F.asc("part")], [], state, k)
+            offset, width = offset + width, 2 * width
+        return {c: t.keys for c, t in state.items()}
+
+    def _take(self, table: DataFrame, order: list, by: list[str], state: dict[tuple[str, int], TopKeys], k: int) -> None:
+        """Go through the first groups of equal ``part`` (and ``by``) of each
+        column: whole groups as long as they fit, then the one that does not."""
+        groups = table.groupBy(*KEYS, "part", *by).agg(F.count(F.lit(1)).alias("n"), F.min("cnt").alias("cnt_"), F.min("key").alias("only"))
+        first = groups.withColumn("place", F.row_number().over(Window.partitionBy(*KEYS).orderBy(*order))).where(F.col("place") <= k).collect()
+        whole: list[tuple[str, int, str, int]] = []
+        had = {c: t.wanted for c, t in state.items()}
+        for t in state.values():
+            t.edge, t.wanted = None, 0
+        for r in sorted(first, key=lambda r: (r.dataset, r.pos, r.place)):
+            column = (r.dataset, r.pos)
+            t = state.setdefault(column, TopKeys([]))
+            room = had.setdefault(column, k)
+            if t.edge or not room:
+                continue
+            if r.n > room:
+                t.edge, t.wanted = (r.cnt_, r.part), room
+                continue
+            had[column] = room - r.n
+            if r.n == 1:
+                t.keys.append((r.cnt_, r.only))
+            else:
+                whole.append((r.dataset, r.pos, r.part, r.cnt_))
+        if whole:  # k keys a column at most
+            wanted = self.spark.createDataFrame(whole, "dataset STRING, pos INT, part STRING, cnt LONG")
+            for r in table.join(F.broadcast(wanted), [*KEYS, "part", "cnt"], "left_semi").select(*KEYS, "key", "cnt").collect():
+                state[r.dataset, r.pos].keys.append((r.cnt, r.key))
+
+    def _long_values(self, keys: dict[tuple[str, int], list[tuple[int, str]]], k: int) -> DataFrame | None:
+        """(dataset, pos, tv) for the columns that have long values among the
+        first: a second scan finds the texts of these few keys."""
+        long = {c: ks for c, ks in keys.items() if any(len(key) > C.LONG_TEXT_CHARS for _, key in ks)}
+        if not long:
+            return None
+        top = self.spark.createDataFrame([(d, p, key, n) for (d, p), ks in long.items() for n, key in ks], "dataset STRING, pos INT, key STRING, count LONG")
+        want = top.where(F.length("key") > C.LONG_TEXT_CHARS)
+        heads = want.select(*KEYS, F.substring("key", 1, C.LONG_TEXT_CHARS).alias("head")).distinct()
+        cells = []
+        for df, st, specs in self._specs(False):
+            for s in specs:
+                if (st.dataset, s.pos) in long:
+                    value = display_value(s.col, s.dt)
+                    cells.append(df.select(F.lit(st.dataset).alias("dataset"), F.lit(s.pos).alias("pos"), value.alias("value")).where(F.length("value") > C.LONG_TEXT_CHARS))
+        # k rows a column on the small side; texts are hashed only where their beginning is wanted
+        texts = (_union(cells).withColumn("head", F.substring("value", 1, C.LONG_TEXT_CHARS))
+                 .join(F.broadcast(heads), [*KEYS, "head"], "left_semi").withColumn("key", F.concat("head", F.sha2("value", 256)))
+                 .join(F.broadcast(want.select(*KEYS, "key")), [*KEYS, "key"], "left_semi").groupBy(*KEYS, "key").agg(F.min("value").alias("full")))
+        shown = top.join(texts, [*KEYS, "key"], "left").select(*KEYS, F.coalesce("full", "key").alias("value"), "count")
+        ranked = F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("rank"), "value", "count")))
+        return shown.groupBy(*KEYS).agg(F.transform(ranked, lambda x: F.struct(x["value"].alias("value"), x["count"].alias("count"))).alias("tv"))
 
     # -- assembled per-column table ------------------------------------------
-    def columns(self) -> DataFrame:
+    def columns(self, k: int = C.TOP_VALUES) -> DataFrame:
         """One row per kept column, in the report's ColumnProfile shape plus
         raw moments and quantiles."""
-        meta = _union([st.meta for _, st in self.parts]).where("kept")
-        tops = (self.top_values_long().groupBy(*KEYS).agg(
-            F.array_sort(F.collect_list(F.struct("rank", "value", "count"))).alias("tv")))
-        j = (meta.join(self.distinct_counts(), list(KEYS), "left").join(self.outliers(), list(KEYS), "left")
-                 .join(tops, list(KEYS), "left"))
-        is_num = F.col("kind") == NUMERIC
-        has_stats = is_num & F.col("min_raw").isNotNull()
-        unique = (F.coalesce(F.col("n_values"), F.lit(0)) +
-                  F.when(F.col("null_count") > 0, 1).otherwise(0)).cast("long")
-        top_values = F.when(~is_num, F.coalesce(
-            F.transform("tv", lambda x: F.struct(x["value"].alias("value"), x["count"].alias("count"))),
-            F.array().cast("array<struct<value:string,count:bigint>>")))
-        return j.select(
-            "dataset", "pos", "name", "dtype", "kind", "total_rows", "null_count", "nan_count",
-            "missing_pct", unique.alias("unique_count"),
-            F.when(has_stats, py_round(F.col("mean_raw"), 6)).alias("mean"),
-            F.when(has_stats, py_round(F.col("std_raw"), 6)).alias("std"),
-            F.when(has_stats, py_round(F.col("min_raw"), 6)).alias("min"),
-            F.when(has_stats, py_round(F.col("max_raw"), 6)).alias("max"),
-            F.when(has_stats, F.coalesce("outlier_pct", F.lit(0.0))).alias("outlier_pct"),
-            F.when(has_stats, F.coalesce("outlier_count", F.lit(0)).cast("long")).alias("outlier_count"),
-            top_values.alias("top_values"),
-            "mean_raw", "std_raw", "min_raw", "max_raw", "q1", "q3", F.col("n").alias("n_valid"),
-            F.col("max_cnt").alias("max_class_count"), F.col("min_cnt").alias("min_class_count"),
-            F.coalesce(F.col("n_values"), F.lit(0)).cast("long").alias("n_values"))
+        with ThreadPoolExecutor(max_workers=3) as ex:  # independent of each other
+            other = bool(self._specs(False))
+            numeric, distinct = ex.submit(self.outliers), ex.submit(self.numeric_distinct)
+            keys = self.top_keys(k) if other else {}
+            classes = self.class_counts() if other else {}
+            numeric, distinct = numeric.result(), distinct.result()
+        rows = []
+        for _, st in self.parts:
+            for s in st.kept:
+                at = (st.dataset, s.pos)
+                mean, std, low, high = st.raw_moments(s)
+                stats = s.kind == NUMERIC and low is not None
+                values, most, least = (distinct.get(at, 0), None, None) if s.kind == NUMERIC else classes.get(at, (0, None, None))
+                n, q1, q3, outlying, share = numeric.get(at, (None, None, None, 0, 0.0))
+                tops = None if s.kind == NUMERIC else [(key, n) for n, key in sorted(keys.get(at, []), key=lambda x: (-x[0], x[1]))]
+                rounded = [None if x is None or not stats else x if math.isinf(x) else _py_round(x, 6) for x in (mean, std, low, high)]
+                rows.append((st.dataset, s.pos, s.name, s.dtype, s.kind, st.total_rows, st.null_count[s.pos], st.nan_count[s.pos], st.missing_pct(s),
+                             values + (st.null_count[s.pos] > 0), *rounded, share if stats else None, outlying if stats else None, tops,
+                             mean, std, low, high, q1, q3, n, most, least, values))
+        table = self.spark.createDataFrame(rows, COLUMNS_SCHEMA)
+        long = self._long_values(keys, k)
+        if long is None:
+            return table
+        return table.join(long, list(KEYS), "left").withColumn("top_values", F.coalesce("tv", "top_values")).drop("tv")
 
 
 def dropped_columns(stats: BaseStats) -> DataFrame:

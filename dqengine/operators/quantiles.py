@@ -1,97 +1,147 @@
-"""Exact linear-interpolation quantiles (A5) by distributed rank selection.
-
-Spark's exact ``percentile`` keeps every distinct value of a group in one
-aggregation buffer, i.e. one task holds a whole column.  Instead:
-
-1. range-partition the numeric part of the frequency table on (pos, dval)
-   (every row is a distinct value, so no single key can be skewed) and
-   write it once to the shared stage folder with its partition id.  Steps
-   2-4 read that table twice; reading a stored id, not recomputing
-   ``spark_partition_id()``, is what makes the two reads agree (a re-run
-   range exchange may sample other bounds or see rows in another order);
-2. per (pos, partition) sum the counts -> a table of at most
-   ``partitions x columns`` rows, whose running sum gives each range
-   partition its starting rank;
-3. only partitions that hold a wanted rank go on; a running sum inside each
-   gives every distinct value its rank interval [start, end);
-4. the values at ranks floor(h) and floor(h)+1, h = (n-1)p, are picked
-   by a grouped max, and interpolated like ``numpy.percentile``.
-
-Every group is bounded by one range partition; the same path serves columns
-of any size.
+"""Exact linear-interpolation quantiles (A5) by radix selection.
+
+The bits of a double, with the lower ones of negative numbers turned over, order
+like the numbers themselves.  The values at given ranks are found from the first
+bits on: one pass counts, for every column, how many values begin with which
+bits; the bin that holds a rank is known then, and the next pass looks at its
+values only, at their next bits.  Bins also carry their least and greatest value:
+where these are equal the rank is found, so columns of few values end after one
+or two passes and any column after at most 64 bits.
+
+Nothing is sorted, written or shuffled but histograms: a task sends the bins it
+has seen, at most ``2 ** bits`` for each wanted prefix.  ``bits`` is chosen so
+that a task's counters stay within ``COUNTER_BYTES`` whatever the number of
+columns (wide tables take more passes of fewer bits).  The driver sees four rows
+a column and pass: the bins that hold the ranks floor(h) and floor(h) + 1,
+h = (n - 1) p, of the two quartiles.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize, stage_dir
-
-
-def exact_quantiles(num_freq: DataFrame, probs: tuple[float, ...] = (0.25, 0.75),
-                    partitions: int | None = None, keys: tuple[str, ...] = ("pos",)) -> DataFrame:
-    """``num_freq``: (*keys, dval, cnt) with non-null, non-NaN dval.
-
-    Returns (*keys, n, q_<p> ...) with q as double (p written as 25, 75...).
-    """
-    spark = num_freq.sparkSession
-    k = [F.col(c) for c in keys]
-    order = [*k, F.col("dval")]
-    # without a number the exchange has as many partitions as the session
-    # sets, and adaptive execution joins small ones to the size of the data
-    ranged = num_freq.repartitionByRange(partitions, *order) if partitions else num_freq.repartitionByRange(*order)
-    ranged = materialize(ranged.withColumn("pid", F.spark_partition_id()), f"{stage_dir(spark)}/ranked")
-    part_tot = ranged.groupBy(*keys, "pid").agg(F.sum("cnt").alias("pc"))
-    w_off = Window.partitionBy(*keys).orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = part_tot.select(
-        *keys, "pid", "pc",
-        F.coalesce(F.sum("pc").over(w_off), F.lit(0)).alias("off"),
-        F.sum("pc").over(Window.partitionBy(*keys)).alias("n"))
-    # only the partitions that hold a wanted rank are sorted: 2 per quantile at most
-    wanted = F.lit(False)
-    for p in probs:
-        lo = F.floor((F.col("n") - 1).cast("double") * F.lit(float(p)))
-        for rank in (lo, F.least(lo + 1, F.col("n") - 1)):
-            wanted = wanted | ((F.col("off") <= rank) & (rank < F.col("off") + F.col("pc")))
-    targets = offsets.where(wanted).drop("pc")
-    w_run = Window.partitionBy(*keys, "pid").orderBy("dval").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    ranked = (ranged.join(targets, [*keys, "pid"])
-                    .withColumn("run", F.sum("cnt").over(w_run))
-                    .select(*keys, "dval", "n",
-                            (F.col("off") + F.col("run") - F.col("cnt")).alias("start"),
-                            (F.col("off") + F.col("run")).alias("end")))
-    return _interpolate(ranked, probs, keys)
-
-
-def _interpolate(ranked: DataFrame, probs: tuple[float, ...], keys: tuple[str, ...]) -> DataFrame:
-    """``ranked``: (*keys, dval, n, start, end) with [start, end) the ranks a
-    distinct value occupies.  The values at ranks floor(h) and floor(h)+1,
-    h = (n-1)p, are picked by a grouped max and interpolated like numpy."""
-    picks = []
-    for p in probs:
-        h = (F.col("n") - 1).cast("double") * F.lit(float(p))
-        lo = F.floor(h)
-        hi = F.least(lo + 1, F.col("n") - 1)
-        tag = _tag(p)
-        picks += [
-            F.max(F.when((F.col("start") <= lo) & (lo < F.col("end")), F.col("dval"))).alias(f"lo_{tag}"),
-            F.max(F.when((F.col("start") <= hi) & (hi < F.col("end")), F.col("dval"))).alias(f"hi_{tag}"),
-        ]
-    agg = ranked.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
-    out = [*keys, "n"]
-    for p in probs:
-        tag = _tag(p)
-        h = (F.col("n") - 1).cast("double") * F.lit(float(p))
-        frac = h - F.floor(h).cast("double")
-        lo_v, hi_v = F.col(f"lo_{tag}"), F.col(f"hi_{tag}")
-        diff = hi_v - lo_v
-        # numpy's lerp: a + (b-a)t below t = 0.5, b - (b-a)(1-t) from 0.5 up
-        q = F.when(frac >= 0.5, hi_v - diff * (F.lit(1.0) - frac)).otherwise(lo_v + diff * frac)
-        out.append(q.alias(f"q{tag}"))
-    return agg.select(*out)
+COUNTER_BYTES = 64 << 20
+MOST_BITS = 16
+_TOP = np.uint64(1 << 63)
+
+
+def ordered(x: np.ndarray) -> np.ndarray:
+    """Unsigned integers that order like the doubles ``x`` (no NaN); both zeros
+    are one value."""
+    b = (x + 0.0).view(np.uint64)
+    return np.where(b >= _TOP, ~b, b | _TOP)
+
+
+def value_of(u: int) -> float:
+    """The double that ``ordered`` turned into ``u``."""
+    b = u ^ (1 << 63) if u >> 63 else ~u & ((1 << 64) - 1)
+    return float(np.array([b], np.uint64).view(np.float64)[0])
+
+
+@dataclass(frozen=True)
+class Rank:
+    """The value of rank ``rank`` among those of column ``column`` whose first
+    bits are ``prefix``."""
+    column: int
+    prefix: int
+    rank: int
 
 
-def _tag(p: float) -> str:
-    return str(int(round(p * 100)))
+def _histogram(df: DataFrame, columns: list[tuple[int, str]], wanted: dict[int, list[int]], known: int, bits: int) -> DataFrame:
+    """(column, prefix, bin, n, lo, hi) of the columns (number, name) of one frame."""
+    columns = [(i, name) for i, name in columns if i in wanted]
+    size, low = 1 << bits, np.uint64(64 - known - bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for (i, _), column in zip(columns, batch.columns, strict=True):
+                x = column.to_numpy(zero_copy_only=False).astype(np.float64)
+                u = ordered(x[~np.isnan(x)])
+                for k, prefix in enumerate(wanted[i]):
+                    own = u[u >> np.uint64(64 - known) == np.uint64(prefix)] if known else u
+                    if not len(own):
+                        continue
+                    if (i, k) not in counters:
+                        counters[i, k] = np.zeros(size, np.int64), np.full(size, 2**64 - 1, np.uint64), np.zeros(size, np.uint64)
+                    n, lo, hi = counters[i, k]
+                    at = (own >> low & np.uint64(size - 1)).astype(np.int64)
+                    n += np.bincount(at, minlength=size)
+                    np.minimum.at(lo, at, own)
+                    np.maximum.at(hi, at, own)
+        for (i, k), (n, lo, hi) in counters.items():
+            at = np.flatnonzero(n)
+            ends = [pa.array((x[at] ^ _TOP).view(np.int64)) for x in (lo, hi)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(np.full(len(at), k, np.int32)),
+                                              pa.array(at.astype(np.int32)), pa.array(n[at]), *ends], ["column", "prefix", "bin", "n", "lo", "hi"])
+
+    cells = df.select(*[F.col(name).cast("double") for _, name in columns])
+    return cells.mapInArrow(run, "column INT, prefix INT, bin INT, n LONG, lo LONG, hi LONG")
+
+
+def values_at(frames: list[tuple[DataFrame, list[tuple[int, str]]]], ranks: dict[int, list[int]], bits: int | None = None) -> dict[tuple[int, int], float]:
+    """(column, rank) -> value, ranks from 0 among the non-null, non-NaN values.
+
+    ``frames`` are tables with the numbers and names of their columns; a number
+    stands for one column of one table.  A null, NaN, or empty column has no
+    ranks to ask for."""
+    spark = frames[0][0].sparkSession
+    open_ = {Rank(c, 0, r): r for c, rs in ranks.items() for r in rs}  # -> the rank first asked for
+    found: dict[tuple[int, int], float] = {}
+    known = 0
+    while open_:
+        wanted: dict[int, list[int]] = {}
+        for r in sorted(open_, key=lambda r: (r.column, r.prefix)):
+            if r.prefix not in wanted.setdefault(r.column, []):
+                wanted[r.column].append(r.prefix)
+        counters = sum(map(len, wanted.values()))
+        step = bits or max(6, min(MOST_BITS, int(math.log2(COUNTER_BYTES / 24 / counters))))
+        step = min(step, 64 - known)
+        bins = reduce(DataFrame.unionByName, [_histogram(df, cs, wanted, known, step) for df, cs in frames if any(i in wanted for i, _ in cs)])
+        bins = bins.groupBy("column", "prefix", "bin").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        upto = F.sum("n").over(Window.partitionBy("column", "prefix").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        asked = spark.createDataFrame([(r.column, wanted[r.column].index(r.prefix), r.rank) for r in open_], "column INT, prefix INT, rank LONG")
+        hits = (bins.withColumn("upto", upto).join(F.broadcast(asked), ["column", "prefix"])  # a few ranks a column
+                    .where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))).collect())
+        following: dict[Rank, int] = {}
+        for h in hits:
+            prefix = wanted[h.column][h.prefix]
+            first = open_[Rank(h.column, prefix, h.rank)]
+            if h.lo == h.hi:
+                found[h.column, first] = value_of(h.lo + (1 << 63))
+            else:
+                following[Rank(h.column, prefix << step | h.bin, h.rank - (h.upto - h.n))] = first
+        known += step
+        open_ = following
+    return found
+
+
+def quantiles(frames: list[tuple[DataFrame, list[tuple[int, str]]]], counts: dict[int, int], probs: tuple[float, ...] = (0.25, 0.75),
+              bits: int | None = None) -> dict[int, tuple[float, ...]]:
+    """column -> its quantiles, interpolated like ``numpy.percentile``.
+    ``counts`` are the numbers of non-null, non-NaN values; columns of none are
+    left out."""
+    ends: dict[int, list[tuple[int, int, float]]] = {}
+    for c, n in counts.items():
+        if n > 0:
+            for p in probs:
+                h = (n - 1) * p
+                lo = math.floor(h)
+                ends.setdefault(c, []).append((lo, min(lo + 1, n - 1), h - lo))
+    if not ends:
+        return {}
+    at = values_at(frames, {c: sorted({r for a, b, _ in e for r in (a, b)}) for c, e in ends.items()}, bits)
+
+    def between(a: float, b: float, t: float) -> float:
+        # numpy's lerp: a + (b-a)t below t = 0.5, b - (b-a)(1-t) from 0.5 up
+        return b - (b - a) * (1.0 - t) if t >= 0.5 else a + (b - a) * t
+
+    return {c: tuple(between(at[c, a], at[c, b], t) for a, b, t in e) for c, e in ends.items()}

@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.keys import positional
+from ..functions.keys import Placed, positional
 from ..operators.correlation import pairs_of, top_correlations
-from ..operators.duplicates import duplicate_rows
+from ..operators.duplicates import duplicates_of
 from ..operators.profile import BaseStats, ColumnProfiler, base_stats, dropped_columns
 from ..operators.rules import bias_flags, imbalance, recommendations
 from ..operators.score import (completeness_score, consistency_score,
@@ -43,16 +43,35 @@ def _union(dfs: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), dfs)
 
 
+#: Estimated bytes from which an input of few splits is dealt out.
+WORTH_SPREADING = 8 << 20
+_PLAIN = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BinaryType)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """An input that too few tasks would read (a file is one task if it has one
+    row group, and every step reads it again) is written once in as many parts as
+    there are cores.  Only inputs of at most one split for each core are: what is
+    larger has enough tasks, what is tiny needs none.  Sizes come from the
+    optimizer's estimate; no job is started to find out."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    most = cores * int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if not WORTH_SPREADING <= size <= most or not all(isinstance(f.dataType, _PLAIN) for f in df.schema.fields):
+        return df
+    if len(df.inputFiles()) >= cores:
+        return df
+    return materialize(df.repartition(cores), f"{stage_dir(spark)}/input")
+
+
 class Pieces:
     """One dataset: its base statistics now, everything else when asked for."""
 
-    def __init__(self, df: DataFrame, name: str, quantile_partitions: int | None = None):
-        self.stats: BaseStats = base_stats(df, name)
-        self.df = positional(df).select(*[s.col for s in self.stats.kept])
-        self.quantile_partitions = quantile_partitions
-
-    def duplicates(self) -> DataFrame:
-        return duplicate_rows(self.df, self.stats.kept, self.stats.dataset)
+    def __init__(self, df: DataFrame, name: str):
+        placed = spread(positional(df))
+        self.stats: BaseStats = base_stats(Placed(placed), name, df.schema)
+        self.df = Placed(placed.select(*[s.col for s in self.stats.kept]))
 
 
 def _at_once(work: list) -> list:
@@ -80,7 +99,7 @@ class Profile:
 
     @cached_property
     def columns(self) -> DataFrame:
-        profiler = ColumnProfiler([(p.df, p.stats) for p in self.pieces], self.pieces[0].quantile_partitions)
+        profiler = ColumnProfiler([(p.df, p.stats) for p in self.pieces])
         return self._result("columns", profiler.columns())
 
     @cached_property
@@ -89,7 +108,7 @@ class Profile:
 
     @cached_property
     def duplicates(self) -> DataFrame:
-        return self._result("duplicates", _union([p.duplicates() for p in self.pieces]))
+        return duplicates_of([(p.df, p.stats.kept, p.stats.dataset) for p in self.pieces])
 
     @cached_property
     def dropped(self) -> DataFrame:
@@ -176,12 +195,12 @@ class Profile:
             "missing_cells_exact")
 
 
-def profile(df: DataFrame, name: str, **kw) -> Profile:
-    return Profile(df.sparkSession, [Pieces(df, name, **kw)])
+def profile(df: DataFrame, name: str) -> Profile:
+    return Profile(df.sparkSession, [Pieces(df, name)])
 
 
-def profile_many(frames: dict[str, DataFrame], **kw) -> Profile:
+def profile_many(frames: dict[str, DataFrame]) -> Profile:
     """Profile several datasets; their driver steps are independent and run a
     few at a time."""
     spark = next(iter(frames.values())).sparkSession
-    return Profile(spark, _at_once([partial(Pieces, df, n, **kw) for n, df in frames.items()]))
+    return Profile(spark, _at_once([partial(Pieces, df, n) for n, df in frames.items()]))

@@ -165,3 +165,47 @@ def test_long_texts_tie_by_whole_value(spark):
     p = profile_of(spark, rows, "s STRING")
     tv = col_row(p, "s").top_values
     assert [(t["value"], t["count"]) for t in tv] == [("short", 2)] + [(head + f"{i:02d}", 1) for i in range(9)]
+
+
+def test_top_values_of_unique_texts_with_a_common_head(spark):
+    from pyspark.sql import functions as F
+    from dqengine.operators.profile import ColumnProfiler, base_stats
+    from dqengine.plans.report import profile
+    head = "<html lang='en'>" * 13  # 208 characters
+    texts = spark.range(100_000).select(F.concat(F.lit(head), F.format_string("%06d", (F.col("id") * 7919) % 100_000), F.lit(" tail")).alias("s"))
+    more = spark.createDataFrame([("short",)] * 3 + [(head,)] * 2 + [(head[:64],)] * 2, "s STRING")
+    df = texts.union(more)
+    found = ColumnProfiler([(df, base_stats(df, "t"))]).top_keys()
+    assert [len(v) for v in found.values()] == [10]  # candidate rows that leave the tasks
+    tv = profile(df, "t").columns.first().top_values
+    assert [(t["value"], t["count"]) for t in tv] == [("short", 3), (head[:64], 2), (head, 2)] + [(f"{head}{i:06d} tail", 1) for i in range(7)]
+
+
+def test_top_values_with_many_ties(spark):
+    import random
+    from collections import Counter
+    rnd = random.Random(4)
+    for _ in range(3):
+        pool = ["a" * n + rnd.choice("bc") * rnd.randint(0, 140) for n in (0, 3, 63, 64, 65, 128, 190)] + [f"x{i}" for i in range(9)]
+        rows = [(rnd.choice(pool),) for _ in range(60)] + [(None,)] * 3
+        tv = col_row(profile_of(spark, rows, "s STRING"), "s").top_values
+        want = sorted(Counter(r[0] for r in rows if r[0] is not None).items(), key=lambda x: (-x[1], x[0]))[:10]
+        assert [(t["value"], t["count"]) for t in tv] == want
+
+
+def test_duplicates_with_equal_digests(spark):
+    from pyspark.sql import functions as F
+    from dqengine.functions.keys import specs_of
+    from dqengine.operators.duplicates import duplicates_of
+    rows = [(1, None, 0.0), (1, None, -0.0), (None, 1, 0.0), (1, "x" * 100, None), (1, "x" * 100, None), (1, "x" * 99 + "y", None), (2, "1", float("nan")), (2, "1", float("nan"))]
+    df = spark.createDataFrame([(a, None if b is None else str(b), c) for a, b, c in rows], "a INT, b STRING, c DOUBLE")
+    one = lambda keys: (F.lit(1).cast("long"), F.lit(2).cast("long"))
+    for kw in ({}, {"digest": one}):
+        got = duplicates_of([(df, specs_of(df.schema), "t"), (df.limit(0), specs_of(df.schema), "empty"), (df, [], "none")], **kw)
+        assert {r.dataset: r.duplicate_rows for r in got.collect()} == {"t": 3, "empty": 0, "none": 0}
+
+
+def test_names_that_look_like_places(spark):
+    p = profile_of(spark, [(1, "a"), (2, "b")], "__dq1 INT, __dq0 STRING")
+    assert {(r.name, r.kind) for r in p.columns.collect()} == {("__dq1", "numeric"), ("__dq0", "categorical")}
+    assert [r.name for r in profile_of(spark, [(5,)], "__dqx INT").columns.collect()] == ["__dqx"]

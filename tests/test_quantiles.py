@@ -1,29 +1,24 @@
-"""A5: exact quantiles equal numpy's linear interpolation, on
-random data, on a hot value holding a third of all rows, and across
-partition counts."""
+"""A5: exact quantiles equal numpy's linear interpolation, on random data, on a
+hot value holding a third of all rows, on infinities and extreme exponents, and
+for any number of partitions and bits a pass."""
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from dqengine.operators.quantiles import exact_quantiles
+from dqengine.operators import quantiles as Q
 
 
-def _freq(spark, groups):
-    rows = []
-    for pos, values in groups.items():
-        vals, counts = np.unique(np.asarray(values, dtype=float), return_counts=True)
-        rows += [(pos, float(v), int(c)) for v, c in zip(vals, counts)]
-    return spark.createDataFrame(rows, "pos INT, dval DOUBLE, cnt BIGINT")
-
-
-def _check(spark, groups, partitions=5):
-    fr = _freq(spark, groups)
-    a = {r.pos: (r.n, r.q25, r.q75) for r in exact_quantiles(fr, partitions=partitions).collect()}
-    for pos, values in groups.items():
-        want = (len(values), *np.percentile(np.asarray(values, dtype=float), [25, 75]))
-        assert a[pos] == want, (pos, a[pos], want)
+def _check(spark, groups, partitions=5, bits=None):
+    """Columns of unequal length, padded with nulls and NaN."""
+    n = max(map(len, groups.values()))
+    padded = [[float(x) for x in v] + [None, float("nan")] * ((n - len(v)) // 2) + [None] * ((n - len(v)) % 2) for v in groups.values()]
+    df = spark.createDataFrame(list(zip(*padded, strict=True)), ", ".join(f"c{i} DOUBLE" for i in groups)).repartition(partitions)
+    got = Q.quantiles([(df, [(i, f"c{i}") for i in groups])], {i: len(v) for i, v in groups.items()}, bits=bits)
+    for i, v in groups.items():
+        with np.errstate(invalid="ignore"):
+            assert repr(got[i]) == repr(tuple(map(float, np.percentile(np.asarray(v, dtype=float), [25, 75])))), i
 
 
 def test_skewed_hot_value(spark):
@@ -32,13 +27,26 @@ def test_skewed_hot_value(spark):
     _check(spark, {0: hot, 1: list(rng.integers(0, 50, 2000)), 2: [1.0, 2.0]}, partitions=7)
 
 
-@pytest.mark.parametrize("partitions", [1, 3, 16])
-def test_partition_count_invariance(spark, partitions):
+@pytest.mark.parametrize("partitions,bits", [(1, None), (3, 16), (16, 7), (4, 13)])
+def test_partitions_and_bits(spark, partitions, bits):
     rng = np.random.default_rng(partitions)
-    _check(spark, {0: list(rng.exponential(10, 5000)), 3: list(rng.integers(-5, 5, 777))}, partitions)
+    _check(spark, {0: list(rng.exponential(10, 5000)), 3: list(rng.integers(-5, 5, 777)), 4: list(rng.normal(0, 1, 500) * 10.0 ** rng.integers(-300, 300, 500))}, partitions, bits)
+
+
+def test_infinities_zeros_and_single_values(spark):
+    inf = float("inf")
+    _check(spark, {0: [1.0, 2.0, 3.0, inf, inf, inf, inf, -inf, -inf, -inf], 1: [-inf] * 9 + [inf], 2: [0.0, 0.0, -1.0, 5e-324], 3: [7.5], 4: [-3.0] * 5})
+    assert Q.quantiles([(spark.createDataFrame([(None,)], "c0 DOUBLE"), [(0, "c0")])], {0: 0}) == {}
+
+
+def test_order_of_bits():
+    x = np.array([-np.inf, -1e300, -1.5, -5e-324, -0.0, 0.0, 5e-324, 1.5, 1e300, np.inf])
+    u = Q.ordered(x)
+    assert (np.diff(u.astype(object)) >= 0).all() and u[4] == u[5]
+    assert [Q.value_of(int(v)) for v in u] == x.tolist()
 
 
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.floats(-1e6, 1e6, allow_nan=False), min_size=1, max_size=60))
 def test_random_lists(spark, values):
-    _check(spark, {0: values}, partitions=4)
+    _check(spark, {0: [v + 0.0 for v in values]}, partitions=4)

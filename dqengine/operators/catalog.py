@@ -9,6 +9,8 @@ violation queries run before an append.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,10 +68,22 @@ def dataset_rows(reports: DataFrame, user_id: str, ids: Column | None = None,
         ts.cast("timestamp").alias("created_at"))
 
 
-def append(df: DataFrame, path: str) -> None:
-    """S4/S9/S11 + S16: append, partitioned by owner, sorted for recency."""
-    (df.repartition("user_id").sortWithinPartitions("user_id", F.desc("created_at"))
-       .write.mode("append").partitionBy("user_id").parquet(path))
+#: Rows of a catalogue file at most.
+FILE_ROWS = 1_000_000
+
+
+def append(df: DataFrame, path: str, batch: str | None = None, partitions: int | None = None) -> None:
+    """S4/S9/S11 + S16: append one batch, partitioned by owner, by recency.
+
+    A batch is a folder of its own that is written as a whole, so a batch that is
+    appended again under the same id (a job retried after a lost driver) replaces
+    itself and its rows stand once.  Without an id every call is a batch.  Rows
+    are dealt by ranges of owner and time: an owner with half of all rows is
+    written by many tasks, and each of its files holds a stretch of time."""
+    by = [F.col("user_id"), F.desc("created_at")]
+    ranged = df.repartitionByRange(partitions, *by) if partitions else df.repartitionByRange(*by)
+    (ranged.sortWithinPartitions(*by).write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS)
+           .partitionBy("user_id").parquet(f"{path}/batch={batch or uuid.uuid4().hex}"))
 
 
 def owned(df: DataFrame, user_id: str) -> DataFrame:
@@ -145,22 +159,24 @@ def delete_cascade(datasets: DataFrame, chats: DataFrame, exports: DataFrame,
     return (keep_ds, chats.join(dk, "dataset_id", "left_anti"), exports.join(dk, "dataset_id", "left_anti"))
 
 
-def store(root: str, version: int, **tables: DataFrame) -> None:
-    """Append tables to one version of a catalogue folder."""
+def store(root: str, version: int, batch: str | None = None, **tables: DataFrame) -> None:
+    """Append tables, as one batch each, to one version of a catalogue
+    folder."""
     for name, df in tables.items():
-        append(df, f"{root}/v{version}/{name}")
+        append(df, f"{root}/v{version}/{name}", batch)
 
 
 def load(spark: SparkSession, root: str, version: int, name: str) -> DataFrame:
     """One table of one version; owners stay text whatever they look like."""
-    return spark.read.parquet(f"{root}/v{version}/{name}").withColumn("user_id", F.col("user_id").cast("string"))
+    return spark.read.parquet(f"{root}/v{version}/{name}").withColumn("user_id", F.col("user_id").cast("string")).drop("batch")
 
 
 def delete_stored(spark: SparkSession, root: str, version: int, doomed: DataFrame) -> int:
     """S8 persisted: the catalogue without ``doomed`` becomes the next version
     (readers of the old one are not disturbed); returns its number."""
     kept = delete_cascade(*(load(spark, root, version, t) for t in ("datasets", "chats", "exports")), doomed)
-    store(root, version + 1, **dict(zip(("datasets", "chats", "exports"), kept, strict=True)))
+    # one batch: a delete that is retried writes the same rows to the same place
+    store(root, version + 1, "kept", **dict(zip(("datasets", "chats", "exports"), kept, strict=True)))
     return version + 1
 
 

@@ -56,10 +56,10 @@ def frequency_table(df: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
     one distinct value like in the reference), null otherwise; ``key`` is the
     display key of non-numeric values, null for numeric ones.
     """
-    spark = df.sparkSession
+    df = positional(df)
     if not specs:
-        return spark.createDataFrame([], FREQ_SCHEMA)
-    cells = positional(df).select(*[_cell(s, s.dt).alias(f"c{s.pos}") for s in specs])
+        return df.sparkSession.createDataFrame([], FREQ_SCHEMA)
+    cells = df.select(*[_cell(s, s.dt).alias(f"c{s.pos}") for s in specs])
     long = cells.unpivot([], [f"c{s.pos}" for s in specs], "variable", "cell")
     flat = long.select("cell.*").where(F.col("present"))
     counted = flat.groupBy("pos", "key", "lk", "dk").agg(F.count(F.lit(1)).alias("cnt"))

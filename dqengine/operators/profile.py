@@ -87,6 +87,11 @@ class BaseStats:
     def missing_pct(self, s: ColumnSpec) -> float:
         return _py_round(self.null_count[s.pos] / self.total_rows * 100, 2) if self.total_rows > 0 else 0.0
 
+    @property
+    def means(self) -> dict[int, float]:
+        """Means of the numeric columns by place."""
+        return {pos: m[0] for pos, m in self.moments.items() if m[0] is not None}
+
     def raw_moments(self, s: ColumnSpec) -> list[float | None]:
         """Mean, deviation, least and greatest value of a numeric column."""
         return [None if x is None or (isinstance(x, float) and math.isnan(x)) else float(x) for x in self.moments.get(s.pos, (None,) * 4)]
@@ -184,7 +189,7 @@ class ColumnProfiler:
         work = self._specs(True)
         if not work:
             return {}
-        tables = [frequency_table(df, specs).withColumn("dataset", F.lit(st.dataset)) for df, st, specs in work]
+        tables = [frequency_table(Placed(df), specs).withColumn("dataset", F.lit(st.dataset)) for df, st, specs in work]
         return {(r.dataset, r.pos): r.n for r in _union(tables).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def quartiles(self) -> dict[tuple[str, int], tuple[int, float, float]]:
@@ -228,7 +233,7 @@ class ColumnProfiler:
         """(dataset, pos, key, cnt) of the columns that are not numeric, computed
         once, written to the shared folder and read from there."""
         if self._freq is None:
-            tables = [frequency_table(df, specs).select(F.lit(st.dataset).alias("dataset"), "pos", "key", "cnt") for df, st, specs in self._specs(False)]
+            tables = [frequency_table(Placed(df), specs).select(F.lit(st.dataset).alias("dataset"), "pos", "key", "cnt") for df, st, specs in self._specs(False)]
             self._freq = materialize(_union(tables), f"{stage_dir(self.spark)}/freq")
         return self._freq
 

@@ -44,7 +44,7 @@ def _union(dfs: list[DataFrame]) -> DataFrame:
 
 
 #: Estimated bytes from which an input of few splits is dealt out.
-WORTH_SPREADING = 8 << 20
+WORTH_SPREADING = 64 << 20
 _PLAIN = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BinaryType)
 
 
@@ -99,12 +99,13 @@ class Profile:
 
     @cached_property
     def columns(self) -> DataFrame:
-        profiler = ColumnProfiler([(p.df, p.stats) for p in self.pieces])
-        return self._result("columns", profiler.columns())
+        found = ColumnProfiler([(p.df, p.stats) for p in self.pieces]).columns()
+        return found if found.isLocal() else self._result("columns", found)
 
     @cached_property
     def correlations(self) -> DataFrame:
-        return self._result("correlations", top_correlations(pairs_of([(p.df, p.stats.kept, p.stats.dataset) for p in self.pieces])))
+        return self._result("correlations", top_correlations(pairs_of(
+            [(p.df, p.stats.kept, p.stats.dataset) for p in self.pieces], {p.stats.dataset: p.stats.means for p in self.pieces})))
 
     @cached_property
     def duplicates(self) -> DataFrame:
@@ -142,14 +143,12 @@ class Profile:
 
     @cached_property
     def summary(self) -> DataFrame:
-        dups = self.duplicates
-        base = self.base
-        outl = self.columns.groupBy("dataset").agg(
-            F.coalesce(F.sum("outlier_count"), F.lit(0)).cast("long").alias("outlier_count"))
-        nflags = self.flags.groupBy("dataset").agg(F.count(F.lit(1)).alias("flag_count"))
-        s = (base.join(dups, "dataset", "left").join(outl, "dataset", "left")
-                 .join(nflags, "dataset", "left")
-                 .fillna(0, ["duplicate_rows", "outlier_count", "flag_count"]))
+        # one grouped sum over the few rows of all parts
+        parts = [self.duplicates.select("dataset", "duplicate_rows", F.lit(0).alias("outlier_count"), F.lit(0).alias("flag_count")),
+                 self.columns.select("dataset", F.lit(0).alias("duplicate_rows"), "outlier_count", F.lit(0).alias("flag_count")),
+                 self.flags.select("dataset", F.lit(0).alias("duplicate_rows"), F.lit(0).alias("outlier_count"), F.lit(1).alias("flag_count"))]
+        counts = _union(parts).groupBy("dataset").agg(*[F.sum(c).alias(c) for c in ("duplicate_rows", "outlier_count", "flag_count")])
+        s = self.base.join(F.broadcast(counts), "dataset", "left").fillna(0, ["duplicate_rows", "outlier_count", "flag_count"])
         args = [F.col("missing_pct"), F.col("duplicate_rows"), F.col("total_rows"),
                 F.col("outlier_count"), F.col("dropped_count"), F.col("flag_count")]
         return s.select(
@@ -165,20 +164,18 @@ class Profile:
 
     def reports(self) -> DataFrame:
         """One row per dataset in the report shape of SURVEY §1.4."""
-        cols = self.columns.groupBy("dataset").agg(F.array_sort(F.collect_list(F.struct(
-            "pos", "name", "dtype", "missing_pct", "unique_count", "mean", "std", "min", "max",
-            "outlier_pct", "outlier_count", "top_values"))).alias("c"))
-        corr = self.correlations.groupBy("dataset").agg(F.array_sort(F.collect_list(
-            F.struct("rank", "col1", "col2", "value"))).alias("k"))
-        flags = self.flags.groupBy("dataset").agg(F.array_sort(F.collect_list(
-            F.struct("seq", "message"))).alias("f"))
-        recs = self.recommendations.groupBy("dataset").agg(F.array_sort(F.collect_list(
-            F.struct("seq", "message"))).alias("r"))
-        drop = self.dropped.groupBy("dataset").agg(F.array_sort(F.collect_list(
-            F.struct("pos", "name", "reason"))).alias("d"))
-        j = (self.summary.join(cols, "dataset", "left").join(corr, "dataset", "left")
-                 .join(flags, "dataset", "left").join(recs, "dataset", "left")
-                 .join(drop, "dataset", "left"))
+        summary = self._result("summary", self.summary)
+        parts = {"s": summary.select("dataset", F.struct(*[c for c in summary.columns if c != "dataset"]).alias("s")),
+                 "c": self.columns.select("dataset", F.struct("pos", "name", "dtype", "missing_pct", "unique_count", "mean", "std", "min", "max",
+                                                              "outlier_pct", "outlier_count", "top_values").alias("c")),
+                 "k": self.correlations.select("dataset", F.struct("rank", "col1", "col2", "value").alias("k")),
+                 "f": self.flags.select("dataset", F.struct("seq", "message").alias("f")),
+                 "r": recommendations(summary, self.columns, self.correlations, self.dropped).select("dataset", F.struct("seq", "message").alias("r")),
+                 "d": self.dropped.select("dataset", F.struct("pos", "name", "reason").alias("d"))}
+        # all parts in one grouping instead of a join for each
+        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts.values())
+        j = rows.groupBy("dataset").agg(F.first("s", ignorenulls=True).alias("s"), *[F.array_sort(F.collect_list(p)).alias(p) for p in "ckfrd"])
+        j = j.select("dataset", "s.*", *"ckfrd")
 
         def strip(arr, fields):
             return F.coalesce(F.transform(arr, lambda x: F.struct(*[x[f].alias(f) for f in fields])),

@@ -33,7 +33,7 @@ SOURCES = {
     "chats": """SELECT concat('c', CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS id, CAST(CASE WHEN conv_id % 9 = 2 THEN conv_id + 100000000 ELSE conv_id END AS STRING) AS dataset_id,
   concat('src', CAST(conv_id % 20 AS STRING)) AS user_id, role, text AS content, 1704067200 + conv_id * 3600 + turn AS created FROM conversations""",
     "exports": """SELECT concat('e', CAST(doc_id AS STRING)) AS id, CASE WHEN doc_id % 15 = 0 THEN 'src1' ELSE source END AS user_id, CAST(doc_id AS STRING) AS dataset_id,
-  concat('exports/', CAST(doc_id AS STRING), '.pdf') AS storage_path, 1704067200 + doc_id AS created FROM documents WHERE doc_id % 5 = 0""",
+  concat('exports/', CAST(doc_id AS STRING), '.pdf') AS storage_path, 1704067200 + doc_id AS created FROM documents""",
 }
 
 
@@ -49,8 +49,8 @@ def _catalogue(spark: SparkSession, sf_dir: str) -> str:
         "exports": spark.sql(SOURCES["exports"]).select("*", stamp).select(EXPORTS_SCHEMA.fieldNames()),
     }
     first = F.col("user_id") == OWNERS[0]
-    for part in (first, ~first):
-        store(root, 0, **{n: df.where(part) for n, df in tables.items()})
+    for batch, part in (("first", first), ("others", ~first), ("first", first)):  # the first comes twice and stands once
+        store(root, 0, batch, **{n: df.where(part) for n, df in tables.items()})
     return root
 
 
@@ -63,7 +63,7 @@ def q_list(spark, sf_dir):
     datasets = load(spark, _catalogue(spark, sf_dir), 0, "datasets")
     out = None
     for owner in OWNERS:
-        rows = list_datasets(datasets, owner).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("created_at"), "id")).cast("long"))
+        rows = list_datasets(datasets, owner).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(owner)).orderBy(F.desc("created_at"), "id")).cast("long"))
         rows = rows.select(F.lit(owner).alias("owner"), "rank", "id", "name", "status", F.col("rows").cast("long"), F.col("columns").cast("int"), "health_score", _created())
         out = rows if out is None else out.unionByName(rows)
     return out

@@ -42,3 +42,21 @@ def test_cascade_needs_the_owner(spark):
     doomed = spark.createDataFrame([("d1", "intruder"), ("d2", "u2")], "id STRING, user_id STRING")
     kept = delete_cascade(ds, chats, chats, doomed)
     assert [[r.id for r in k.collect()] for k in kept] == [["d1"], ["c1"], ["c1"]]
+
+
+def test_batches_stand_once_and_hot_owners_are_dealt_out(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from dqengine.operators.catalog import append, load
+    rows = spark.range(4000).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("u"), F.col("id") % 40)).alias("user_id"),
+                                    F.timestamp_seconds(1_700_000_000 + F.col("id")).alias("created_at"))
+    path = f"{tmp_path}/v0/t"
+    for batch in ("a", "b", "a"):
+        append(rows.where(F.col("id").cast("long") < 2000) if batch == "a" else rows.where(F.col("id").cast("long") >= 2000), path, batch, partitions=8)
+    got = load(spark, str(tmp_path), 0, "t")
+    assert got.columns == ["id", "created_at", "user_id"] and sorted(r.id for r in got.collect()) == sorted(str(i) for i in range(4000))
+    hot = got.where("user_id = 'hot'")
+    assert len(hot.select(F.input_file_name().alias("f")).distinct().collect()) >= 6  # of 16 tasks, half of the rows
+    assert all("user_id=u1/" in f for f in (r.f for r in got.where("user_id = 'u1'").select(F.input_file_name().alias("f")).distinct().collect()))
+    append(rows.limit(3), path)
+    append(rows.limit(3), path)
+    assert load(spark, str(tmp_path), 0, "t").count() == 4006

@@ -209,3 +209,19 @@ def test_names_that_look_like_places(spark):
     p = profile_of(spark, [(1, "a"), (2, "b")], "__dq1 INT, __dq0 STRING")
     assert {(r.name, r.kind) for r in p.columns.collect()} == {("__dq1", "numeric"), ("__dq0", "categorical")}
     assert [r.name for r in profile_of(spark, [(5,)], "__dqx INT").columns.collect()] == ["__dqx"]
+
+
+def test_co_moments_in_tiles(spark):
+    import numpy as np
+    from dqengine.operators.correlation import co_moments
+    x = np.random.default_rng(5).normal(50, 3, (300, 11))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"c{i} DOUBLE" for i in range(11))).repartition(4)
+    for tile, shift in ((4, 50.0), (11, 0.0), (100, 49.0), (1, 50.0)):
+        rows = {(r.a, r.b): r for r in co_moments(df, np.full(11, shift), tile).collect()}
+        assert len(rows) == 11 * 12 // 2 + 11
+        for (a, b), r in rows.items():
+            assert r.n == 300
+            if b == -1:
+                assert abs(r.s - (x[:, a] - shift).sum()) < 1e-8 and (r.lo, r.hi) == (x[:, a].min(), x[:, a].max())
+            else:
+                assert abs(r.s - ((x[:, a] - shift) * (x[:, b] - shift)).sum()) < 1e-6

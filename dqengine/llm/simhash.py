@@ -268,12 +268,18 @@ def near_links(prints: DataFrame, radius: int = 4, chunk: int = CHUNK) -> DataFr
     return dealt.mapInArrow(bucket_links(radius), "u long, v long")
 
 
-def _labelled(own: DataFrame, key: str, radius: int) -> DataFrame:
-    """(fingerprint, root, component_id) of every fingerprint in ``own``."""
+def _rooted(own: DataFrame, key: str, radius: int) -> DataFrame:
+    """(fingerprint, least, root): of every fingerprint in ``own`` its least key
+    and the root of its component."""
     classes = staged(own.groupBy("fingerprint").agg(F.min(key).alias("least")))
     roots = connected_components(near_links(classes.select("fingerprint"), radius))
     found = classes.join(roots.withColumnRenamed("u", "fingerprint"), "fingerprint", "left")
-    found = staged(found.select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")))
+    return staged(found.select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")))
+
+
+def _labelled(own: DataFrame, key: str, radius: int) -> DataFrame:
+    """(fingerprint, root, component_id) of every fingerprint in ``own``."""
+    found = _rooted(own, key, radius)
     return found.join(found.groupBy("root").agg(F.min("least").alias("component_id")), "root")
 
 
@@ -302,7 +308,8 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     """
     named = F.struct(F.col(f"`{key}`").isNull().alias("bare"), F.col(f"`{key}`").alias("k"), F.md5(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("digest"))
     own = staged(fingerprints(docs.select(named.alias("id"), F.col(f"`{text}`").alias("text")), "id", "text", shingle))
-    keep = _labelled(own, "id", radius).select(F.col("component_id").alias("id")).distinct()
+    # a minimum is combined before the shuffle, however large the component
+    keep = _rooted(own, "id", radius).groupBy("root").agg(F.min("least").alias("id")).select("id")
     rows = docs.select(F.struct("*").alias("row"), named.alias("id"))
     return rows.join(keep, "id", "left_semi").dropDuplicates(["id"]).select("row.*")
 

@@ -155,6 +155,6 @@ def test_a_field_longer_than_splits(spark, tmp_path):
 
 def test_line_states():
     from dqengine.sources.csv_records import ends_inside
-    for line, out, held in [(b"a,b", False, True), (b'"a', True, False), (b'a,"b', True, False), (b'"a"', False, True), (b'5" x,y', False, False),
-                            (b'"a ""b', True, True), (b'"",x', False, False), (b'', False, True), (b'x","y', True, True), (b'""', False, True)]:
+    for line, out, held in [(b"a,b", False, True), (b'"a', True, False), (b'a,"b', True, False), (b'"a"', False, False), (b'5" x,y', False, False),
+                            (b'"a ""b', True, False), (b'"",x', False, True), (b'', False, True), (b'x","y', True, True), (b'""', False, True)]:
         assert (ends_inside(line, False), ends_inside(line, True)) == (out, held), line

@@ -9,6 +9,7 @@ places with the same exact Python-style rounding, text STRING/VARCHAR.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,7 +21,8 @@ from ..operators.answers import (answer_batch, answer_context,
 from ..operators.catalog import (admit_files, chat_violations, dataset_rows,
                                  delete_cascade, list_datasets, orphans, owned,
                                  summaries)
-from ..operators.views import (corr_top15, kpis, missing_top12, no_missing,
+from ..operators.sketches import DISTINCT_ERROR, add_batch, approximate, merged, state_of, stored_states
+from ..operators.views import (column_cards, corr_top15, kpis, missing_top12, no_missing,
                                score_cards, search)
 from ..session import stage_dir
 from ..sources.files import read_any
@@ -352,6 +354,34 @@ def q_csv_types(spark, sf_dir):
     return df.agg(F.array(*parts).alias("a")).select(F.inline("a"))
 
 
+def q_sketch_profile(spark, sf_dir):
+    """A1-A6 in fast mode: every table arrives in two batches, whose states are
+    stored and merged without reading rows again; the estimates are held against
+    the exact profile."""
+    root = stage_dir(spark)
+    tables = {t: frame(spark, sf_dir, t) for t in ALL}
+
+    def batch(i: int) -> DataFrame:
+        states = [state_of(df.where(F.pmod(F.xxhash64(*df.columns), F.lit(2)) == i), t) for t, df in tables.items()]
+        return reduce(DataFrame.unionByName, states)
+    for i in (0, 1):
+        add_batch(batch(i), root, f"half {i}")
+    a = approximate(merged(stored_states(spark, root))).alias("a")
+    exact = profile_many(tables).columns.select("dataset", "pos", F.col("unique_count").alias("u"), F.col("q1").alias("e1"), F.col("q3").alias("e3"))
+    near = F.abs(F.col("distinct_estimate") - F.col("u")) <= F.col("u") * DISTINCT_ERROR
+    return a.join(exact, ["dataset", "pos"]).select(
+        "dataset", F.col("name").alias("column"), "rows", F.col("nulls").alias("null_count"), "missing_pct",
+        *[py_round(F.col(c), 4).alias(c) for c in ("mean", "std", "min", "max")], near.alias("distinct_within"),
+        (F.col("e1").between(F.col("q1_bounds.low"), F.col("q1_bounds.high")) & F.col("e3").between(F.col("q3_bounds.low"), F.col("q3_bounds.high"))).alias("quartiles_within"))
+
+
+def q_column_cards(spark, sf_dir):
+    """The card of every column of every table, its first five values joined."""
+    c = column_cards(all_profiles(spark, sf_dir).columns.where(~F.col("dtype").startswith("array")))
+    shown = F.array_join(F.transform("top5", lambda x: F.concat(x["value"], F.lit(" = "), x["count"].cast("string"))), "\n")
+    return c.select("dataset", F.col("pos").cast("int").alias("pos"), F.col("name").alias("column"), "missing_alert", "outlier_band", shown.alias("top5"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f"profile_{t}": q_profile(t) for t in ALL},
     "dropped_columns": q_dropped_columns,
@@ -382,6 +412,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "file_admission": q_file_admission,
     "csv_profile_lineitem": q_csv_profile_lineitem,
     "csv_types": q_csv_types,
+    "sketch_profile": q_sketch_profile,
+    "column_cards": q_column_cards,
     **stored.QUERIES,
 }
 
@@ -680,6 +712,29 @@ def s_csv_types() -> str:
             + "\nUNION ALL\n".join(one(n) for n in CSV_CASES))
 
 
+def s_sketch_profile() -> str:
+    body = _union_sql(ALL, lambda t: (
+        f"SELECT '{t}' AS dataset, name AS \"column\", CAST(total_rows AS BIGINT) AS rows, CAST(nulls AS BIGINT) AS null_count, CAST(missing_pct AS DOUBLE) AS missing_pct, "
+        f"{O.R('mean_raw', 4)} AS mean, {O.R('std_raw', 4)} AS std, {O.R('min_raw', 4)} AS min, {O.R('max_raw', 4)} AS max, "
+        f"true AS distinct_within, CASE WHEN mean_raw IS NOT NULL THEN true END AS quartiles_within FROM {t}_cols WHERE NOT dropped"))
+    return O.with_ctes(_all(("cols",)), ALL, body)
+
+
+def s_column_cards() -> str:
+    parts = []
+    for t in ALL:
+        for i, (c, k) in enumerate(O.SCHEMAS[t]):
+            if (t, c) in O.NESTED:
+                continue
+            top = "CAST(NULL AS VARCHAR)" if k == O.N else (
+                f"(SELECT string_agg(value || ' = ' || CAST(cnt AS VARCHAR), chr(10) ORDER BY cnt DESC, value) FROM (SELECT CAST({O.q(c)} AS VARCHAR) AS value, count(*) AS cnt "
+                f"FROM {t} WHERE {O.q(c)} IS NOT NULL GROUP BY 1 ORDER BY cnt DESC, value LIMIT 5))")
+            parts.append(f"SELECT '{t}' AS dataset, CAST({i} AS INTEGER) AS pos, '{c}' AS \"column\", c.missing_pct > 10 AS missing_alert, "
+                         f"CASE WHEN c.mean_raw IS NOT NULL THEN CASE WHEN o.outlier_pct > 5 THEN 'red' WHEN o.outlier_pct > 0 THEN 'shown' ELSE 'hidden' END END AS outlier_band, "
+                         f"{top} AS top5 FROM {t}_cols c LEFT JOIN {t}_out o USING (pos) WHERE c.pos = {i} AND NOT c.dropped")
+    return O.with_ctes(_all(("cols", "out")), ALL, "\nUNION ALL\n".join(parts))
+
+
 def oracle_sql() -> dict[str, str]:
     out = {f"profile_{t}": s_profile(t) for t in ALL}
     out.update({
@@ -708,6 +763,8 @@ def oracle_sql() -> dict[str, str]:
         "chat_history": s_chat_history(),
         "csv_profile_lineitem": s_csv_profile_lineitem(),
         "csv_types": s_csv_types(),
+        "sketch_profile": s_sketch_profile(),
+        "column_cards": s_column_cards(),
         **stored.ORACLES,
     })
     return out

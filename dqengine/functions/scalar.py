@@ -91,16 +91,6 @@ def ellipsis_join(arr: Column, n: int, sep: str = ", ") -> Column:
                     F.when(F.size(arr) > n, F.lit("…")).otherwise(F.lit("")))
 
 
-def lenient_int(x: Column) -> Column:
-    """X9 ``as_int``: int(value) or 0. Strings must parse as integers."""
-    return F.coalesce(F.try_cast(x, "long"), F.lit(0)).cast("long")
-
-
-def lenient_float(x: Column) -> Column:
-    """X9 ``as_float``: float(value) or 0.0."""
-    return F.coalesce(F.try_cast(x, "double"), F.lit(0.0))
-
-
 def path_suffix(path: Column) -> Column:
     """Lower-cased suffix including the dot, '' when none."""
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import constants as C
-from ..functions.scalar import lenient_int, path_suffix
+from ..functions.scalar import path_suffix
+from ..session import materialize, stage_dir
 
 # Table schemas (report kept as a JSON string at the boundary).
 DATASETS_SCHEMA = T.StructType([
@@ -159,27 +160,104 @@ def delete_cascade(datasets: DataFrame, chats: DataFrame, exports: DataFrame,
     return (keep_ds, chats.join(dk, "dataset_id", "left_anti"), exports.join(dk, "dataset_id", "left_anti"))
 
 
-def store(root: str, version: int, batch: str | None = None, **tables: DataFrame) -> None:
-    """Append tables, as one batch each, to one version of a catalogue
-    folder."""
+def store(root: str, batch: str | None = None, **tables: DataFrame) -> None:
+    """Append tables, as one batch each, to a catalogue folder."""
     for name, df in tables.items():
-        append(df, f"{root}/v{version}/{name}", batch)
+        append(df, f"{root}/{name}", batch)
+
+
+def _rows(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The rows that lie in a table's files; batch and owner stay text whatever
+    they look like ("007" is not 7)."""
+    path = f"{root}/{name}"
+    fields = spark.read.parquet(path).schema.fields
+    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name in ("batch", "user_id") else f.dataType) for f in fields])
+    return spark.read.schema(schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str, is_uri: bool = False):
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(path) if is_uri else path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """The versions of a catalogue that may be read: 0 (nothing deleted) and one
+    for each delete that was written to its end."""
+    fs, marks = _file_system(spark, f"{root}/deleted/version=*/_SUCCESS")
+    found = fs.globStatus(marks) or []
+    return sorted({0, *(int(f.getPath().getParent().getName().split("=")[1]) for f in found)})
+
+
+def _deleted(spark: SparkSession, root: str, version: int) -> DataFrame | None:
+    """Datasets (id, owner) deleted up to a version; None if there are none."""
+    done = [v for v in versions(spark, root) if 0 < v <= version]
+    if not done:
+        return None
+    return spark.read.schema("gone_id STRING, gone_owner STRING").parquet(*[f"{root}/deleted/version={v}" for v in done])
+
+
+def _is_gone(rows: DataFrame, name: str, gone: DataFrame):
+    """Datasets go with their owner, chats and exports with their dataset."""
+    if name == "datasets":
+        return (rows["id"] == gone["gone_id"]) & (rows["user_id"] == gone["gone_owner"])
+    return rows["dataset_id"] == gone["gone_id"]
 
 
 def load(spark: SparkSession, root: str, version: int, name: str) -> DataFrame:
-    """One table of one version; owners stay text whatever they look like."""
-    return spark.read.parquet(f"{root}/v{version}/{name}").withColumn("user_id", F.col("user_id").cast("string")).drop("batch")
+    """One table as of a version: its rows without what deletes up to it took."""
+    rows, gone = _rows(spark, root, name).drop("batch"), _deleted(spark, root, version)
+    return rows if gone is None else rows.join(gone, _is_gone(rows, name, gone), "left_anti")
 
 
 def delete_stored(spark: SparkSession, root: str, version: int, doomed: DataFrame) -> int:
-    """S8 persisted: the catalogue without ``doomed`` becomes the next version
-    (readers of the old one are not disturbed); returns its number."""
-    kept = delete_cascade(*(load(spark, root, version, t) for t in ("datasets", "chats", "exports")), doomed)
-    # one batch: a delete that is retried writes the same rows to the same place
-    store(root, version + 1, "kept", **dict(zip(("datasets", "chats", "exports"), kept, strict=True)))
+    """S8 + J5 persisted: the catalogue without ``doomed`` (id, user_id) becomes the
+    next version; returns its number.
+
+    A delete writes one list, of the datasets that it takes; readers of the new
+    version leave out those and, like ON DELETE CASCADE, their chats and exports.
+    So the three tables change at once, when the list is complete, no file of any
+    table is touched, readers of the old version are not disturbed, and a delete
+    that is retried writes the same list to the same place.  Ids of datasets are
+    never used again (they are UUIDs).  Deletes follow one another: the number of a
+    version belongs to the delete that took it.  ``vacuum`` removes the rows."""
+    there = load(spark, root, version, "datasets").select("id", "user_id")
+    taken = there.join(doomed.select("id", "user_id"), ["id", "user_id"], "left_semi")
+    (taken.select(F.col("id").alias("gone_id"), F.col("user_id").alias("gone_owner")).distinct()
+          .write.mode("overwrite").parquet(f"{root}/deleted/version={version + 1}"))
     return version + 1
 
 
+def vacuum(spark: SparkSession, root: str, version: int) -> None:
+    """Remove the rows that deletes up to ``version`` took from the files.
+
+    Only folders (one batch of one owner) that hold such rows are written again, by
+    dynamic partition overwrite; those that hold nothing else are removed; the files
+    of all others stay as they are.  Readers of that and later versions see the same
+    rows before, during and after it, older versions lose what was taken.  It may be
+    broken off and run again at any time."""
+    gone = _deleted(spark, root, version)
+    if gone is None:
+        return
+    for name in ("chats", "exports", "datasets"):
+        rows = _rows(spark, root, name)
+        rows = rows.select(*rows.columns, F.regexp_extract("_metadata.file_path", "^(.*)/[^/]*$", 1).alias("folder"))
+        marks = gone.select("gone_id", "gone_owner", F.lit(True).alias("is_gone"))
+        if name != "datasets":
+            marks = marks.drop("gone_owner").distinct()
+        marked = rows.join(marks, _is_gone(rows, name, marks), "left")
+        alive = F.count_if(F.col("is_gone").isNull())
+        touched = materialize(marked.groupBy("folder").agg(alive.alias("alive"), F.count("is_gone").alias("gone")).where("gone > 0"), f"{stage_dir(spark)}/touched")
+        kept = rows.join(touched.where("alive > 0").select("folder"), "folder", "left_semi")
+        kept = kept.join(gone, _is_gone(kept, name, gone), "left_anti").drop("folder")
+        by = ["batch", F.col("user_id"), F.desc("created_at")]
+        (kept.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .option("maxRecordsPerFile", FILE_ROWS).partitionBy("batch", "user_id").parquet(f"{root}/{name}"))
+        for r in touched.where("alive = 0").select("folder").toLocalIterator():  # names of folders, no rows
+            fs, folder = _file_system(spark, r.folder, is_uri=True)
+            fs.delete(folder, True)
+
+
 def export_lookup(exports: DataFrame, datasets: DataFrame, user_id: str) -> DataFrame:
     """S11 + J5: an owner's exports of datasets that the owner still has."""
     mine = owned(datasets, user_id).select(F.col("id").alias("dataset_id"))
@@ -238,7 +316,3 @@ def admit_files(spark: SparkSession, folder: str, max_bytes: int | None = None)
                .when(~ok_size, F.lit("File exceeds the 50 MB limit.")))
     return files.select("path", "length", suf.alias("suffix"), (ok_type & ok_size).alias("admitted"),
                         reason.alias("reason"))
-
-
-def lenient_summary_int(x: Column) -> Column:
-    return lenient_int(x)

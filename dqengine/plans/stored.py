@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from ..operators.catalog import (CHATS_SCHEMA, DATASETS_SCHEMA, EXPORTS_SCHEMA, chat_pairs, chat_violations,
                                  dataset_violations, delete_stored, export_lookup, get_report, list_datasets, load,
-                                 orphans, owned, store, summaries)
+                                 orphans, owned, store, summaries, vacuum)
 from ..operators.views import hits, kpi_columns
-from ..session import stage_dir
+from ..session import materialize, stage_dir
 from ..sources.tables import read_table
 
 OWNERS = ("src0", "src1")
@@ -50,7 +50,7 @@ def _catalogue(spark: SparkSession, sf_dir: str) -> str:
     }
     first = F.col("user_id") == OWNERS[0]
     for batch, part in (("first", first), ("others", ~first), ("first", first)):  # the first comes twice and stands once
-        store(root, 0, batch, **{n: df.where(part) for n, df in tables.items()})
+        store(root, batch, **{n: df.where(part) for n, df in tables.items()})
     return root
 
 
@@ -118,7 +118,7 @@ def q_chat_append(spark, sf_dir):
     root = _catalogue(spark, sf_dir)
     asked = load(spark, root, 0, "chats").where("role = 'user' and user_id = 'src1'")
     answered = asked.select("dataset_id", F.col("content").alias("question"), F.concat(F.lit("noted: "), F.length("content").cast("string")).alias("answer"))
-    store(root, 0, chats=chat_pairs(answered, F.lit("assistant-log")).select(CHATS_SCHEMA.fieldNames()))
+    store(root, chats=chat_pairs(answered, F.lit("assistant-log")).select(CHATS_SCHEMA.fieldNames()))
     log = owned(load(spark, root, 0, "chats"), "assistant-log")
     pairs = log.groupBy("dataset_id", "role", "content", F.array_join("sources", ",").alias("sources")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("created_at").alias("stamps"))
     return pairs.select("dataset_id", "role", "content", "sources", "n", "stamps")
@@ -137,6 +137,29 @@ def q_delete(spark, sf_dir):
     return out
 
 
+def _files(spark, root, t):
+    """The files of a table, by owner, as they lie in the folder."""
+    df = spark.read.parquet(f"{root}/{t}").select(F.col("user_id").cast("string"), F.col("_metadata.file_path").alias("file"))
+    return df.groupBy("user_id", "file").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_vacuum(spark, sf_dir):
+    """Deleted rows leave the files; files of owners that lost nothing stay."""
+    root = _catalogue(spark, sf_dir)
+    now = delete_stored(spark, root, 0, owned(load(spark, root, 0, "datasets"), "src0").select("id", "user_id"))
+    now = delete_stored(spark, root, now, load(spark, root, now, "datasets").where("status = 'failed' and user_id = 'src1'").select("id", "user_id"))
+    before = {t: materialize(_files(spark, root, t), f"{stage_dir(spark)}/files") for t in ("datasets", "chats", "exports")}
+    vacuum(spark, root, now)
+    out = None
+    for t, old in before.items():
+        new = _files(spark, root, t).withColumnRenamed("n", "m")
+        rows = old.join(new, ["user_id", "file"], "full").groupBy("user_id").agg(
+            F.coalesce(F.sum("m"), F.lit(0)).cast("long").alias("n"), (F.count_if(F.col("m").isNull() | F.col("n").isNull()) > 0).alias("rewritten"))
+        rows = rows.select(F.lit(t).alias("table_name"), "user_id", "n", "rewritten")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stored_list": q_list,
     "stored_kpis": q_kpis,
@@ -146,6 +169,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stored_checks": q_checks,
     "stored_chat_append": q_chat_append,
     "stored_delete": q_delete,
+    "stored_vacuum": q_vacuum,
 }
 
 _CTE = "WITH datasets AS ({datasets}), chats AS ({chats}), exports AS ({exports}) ".format(**SOURCES)
@@ -173,4 +197,7 @@ ORACLES = {
   SELECT 'datasets' AS table_name, user_id, count(*) AS n FROM datasets WHERE user_id <> 'src0' GROUP BY user_id
   UNION ALL SELECT 'chats', c.user_id, count(*) FROM chats c LEFT JOIN gone g ON g.id = c.dataset_id WHERE g.id IS NULL GROUP BY c.user_id
   UNION ALL SELECT 'exports', e.user_id, count(*) FROM exports e LEFT JOIN gone g ON g.id = e.dataset_id WHERE g.id IS NULL GROUP BY e.user_id""",
+    "stored_vacuum": _CTE + """, gone AS (SELECT id FROM datasets WHERE user_id = 'src0' OR (user_id = 'src1' AND status = 'failed')),
+  r AS (SELECT 'datasets' AS table_name, user_id, id AS ds FROM datasets UNION ALL SELECT 'chats', user_id, dataset_id FROM chats UNION ALL SELECT 'exports', user_id, dataset_id FROM exports)
+  SELECT table_name, user_id, CAST(count(*) - count(g.id) AS BIGINT) AS n, count(g.id) > 0 AS rewritten FROM r LEFT JOIN gone g ON g.id = r.ds GROUP BY table_name, user_id""",
 }

@@ -303,16 +303,19 @@ def chat_history(chats: DataFrame) -> DataFrame:
     return chats.orderBy("dataset_id", "created_at", F.when(F.col("role") == "user", 0).otherwise(1))
 
 
-def admit_files(spark: SparkSession, folder: str, max_bytes: int | None = None) -> DataFrame:
-    """S3: list files (contents are not read) and decide admission: allowed
-    suffix and at most ``max_bytes`` (``constants.MAX_FILE_BYTES`` is the
-    reference's 50 MiB; by default files of any size are admitted)."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-             .select("path", "length"))
+def admission(listing: DataFrame, max_bytes: int | None = C.MAX_FILE_BYTES) -> DataFrame:
+    """S3 over a listing (path, length) from any source: allowed suffix and at most
+    ``max_bytes`` (by default the reference's 50 MiB; None admits any size)."""
     suf = path_suffix(F.col("path"))
     ok_type = suf.isin(*C.ALLOWED_SUFFIXES)
     ok_size = F.col("length") <= max_bytes if max_bytes is not None else F.lit(True)
     reason = (F.when(~ok_type, F.concat(F.lit("Unsupported file type '"), suf, F.lit("'. Use CSV or Excel.")))
                .when(~ok_size, F.lit("File exceeds the 50 MB limit.")))
-    return files.select("path", "length", suf.alias("suffix"), (ok_type & ok_size).alias("admitted"),
-                        reason.alias("reason"))
+    return listing.select("path", "length", suf.alias("suffix"), (ok_type & ok_size).alias("admitted"),
+                          reason.alias("reason"))
+
+
+def admit_files(spark: SparkSession, folder: str, max_bytes: int | None = None) -> DataFrame:
+    """S3: the files of a folder (contents are not read); by default of any size."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return admission(files.select("path", "length"), max_bytes)

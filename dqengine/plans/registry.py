@@ -18,7 +18,7 @@ from ..functions.scalar import py_round
 from ..operators.advisor import advisor_inputs, recommend_algorithms
 from ..operators.answers import (answer_batch, answer_context,
                                  clean_text, compact_report, intent)
-from ..operators.catalog import (admit_files, chat_violations, dataset_rows,
+from ..operators.catalog import (admission, chat_violations, dataset_rows,
                                  delete_cascade, list_datasets, orphans, owned,
                                  summaries)
 from ..operators.sketches import DISTINCT_ERROR, add_batch, approximate, merged, state_of, stored_states
@@ -30,6 +30,7 @@ from ..sources.tables import TABLES, read_table
 from . import oracle as O
 from . import stored
 from .dirty import dirty
+from .oracle_answers import answers
 from .report import Profile, profile_many
 
 ALL = list(TABLES) + ["dirty"]
@@ -165,7 +166,7 @@ def q_algo_recommendations(spark, sf_dir):
     inp = advisor_inputs(p.summary, p.columns, p.flags, p.correlations)
     r = recommend_algorithms(inp)
     return r.select("dataset", F.col("rank").cast("long").alias("rank"), F.col("name").alias("algorithm"),
-                    F.col("score").cast("int").alias("score"))
+                    F.col("score").cast("int").alias("score"), "reason")
 
 
 def q_catalog_list(spark, sf_dir):
@@ -237,16 +238,20 @@ def q_answer_routing(spark, sf_dir):
                     intent(F.col("text")).alias("intent"))
 
 
+#: A question for each intent, the default among them; every report is asked all.
+TOPICS = ("overall health", "any nulls?", "repeated rows", "anomalies", "is it fair", "next step", "which fields", "what was removed", "which algorithm", "do they correlate", "hello")
+
+
 def q_batch_answers(spark, sf_dir):
-    """Q2 + Q5 + J3: every user turn answered from the report of the
-    conversations table (rule-based answerer)."""
+    """Every user turn answered from the report of one of the tables
+    (dealt by conversation), and every report asked about every topic."""
     p = all_profiles(spark, sf_dir)
     ctx = answer_context(p.summary, p.columns, p.correlations, p.flags, p.recommendations, p.dropped)
-    qs = _turns(spark, sf_dir, "user").select("conv_id", "turn", F.lit("conversations").alias("dataset"),
-                                              F.col("text").alias("question"))
-    a = answer_batch(qs, ctx)
-    return a.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
-                    "intent", "answer")
+    report = F.element_at(F.array(*[F.lit(t) for t in ALL]), (F.pmod("conv_id", F.lit(len(ALL))) + 1).cast("int"))
+    turns = _turns(spark, sf_dir, "user").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), report.alias("dataset"), F.col("text").alias("question"))
+    topics = p.summary.select(F.lit(-1).cast("long").alias("conv_id"), "dataset", F.posexplode(F.array(*[F.lit(t) for t in TOPICS])).alias("turn", "question"))
+    a = answer_batch(turns.unionByName(topics.withColumn("turn", F.col("turn").cast("long"))), ctx)
+    return a.select("conv_id", "turn", "dataset", "intent", "answer")
 
 
 def q_clean_text(spark, sf_dir):
@@ -303,11 +308,22 @@ def q_chat_history(spark, sf_dir):
                         "role", F.row_number().over(w).cast("long").alias("seq"))
 
 
+#: Documents as uploads: where they would lie and how long they would be.
+UPLOADS = """SELECT concat('v1.2/', source, '/', CAST(doc_id AS STRING), CASE doc_id % 6 WHEN 0 THEN '.csv' WHEN 1 THEN '.XLSX' WHEN 2 THEN '.xls' WHEN 3 THEN '.tar.gz' WHEN 4 THEN '.Csv' ELSE '' END) AS path,
+  n_chars * 9000 AS length FROM documents"""
+
+
 def q_file_admission(spark, sf_dir):
-    """S3 over the data folder itself (no file there is CSV/Excel)."""
-    a = admit_files(spark, sf_dir)
-    return a.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "length", "suffix", "admitted",
-                    "reason")
+    """Documents as uploads of many types and sizes, admitted or refused."""
+    read_table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
+    return admission(spark.sql(UPLOADS)).withColumn("length", F.col("length").cast("long"))
+
+
+def q_score_fallbacks(spark, sf_dir):
+    """H3: the cards of reports whose sub-scores were not stored."""
+    s = all_profiles(spark, sf_dir).summary
+    bare = s.select(*[F.lit(None).cast("double").alias(c) if c in ("completeness_score", "consistency_score", "noise_score") else F.col(c) for c in s.columns])
+    return score_cards(bare).select("dataset", "completeness_shown", "consistency_shown", "noise_shown")
 
 
 def q_csv_profile_lineitem(spark, sf_dir):
@@ -414,6 +430,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csv_types": q_csv_types,
     "sketch_profile": q_sketch_profile,
     "column_cards": q_column_cards,
+    "score_fallbacks": q_score_fallbacks,
     **stored.QUERIES,
 }
 
@@ -568,7 +585,7 @@ def s_algo_recommendations() -> str:
     ctes = f"""allf AS ({_facts_union()}),
 {_cat_values()},
 adv0 AS (
-  SELECT f.dataset, c.idx, c.name, c.base
+  SELECT f.dataset, f.problem_type, f.total_rows, f.missing_pct, c.idx, c.name, c.hm, c.ss, c.base
     + CASE WHEN f.missing_pct > 5 AND NOT c.hm THEN -15 ELSE 0 END
     + CASE WHEN f.out_pct > 5 AND NOT c.ho THEN -10 ELSE 0 END
     + CASE WHEN f.has_imbalance AND NOT c.hi THEN -12 ELSE 0 END
@@ -581,7 +598,11 @@ adv0 AS (
   FROM allf f JOIN cat c ON list_contains(string_split(c.types, ','), f.problem_type)
   WHERE f.total_rows >= c.min_rows AND (c.max_rows IS NULL OR f.total_rows <= c.max_rows)),
 adv AS (SELECT *, greatest(0, least(100, raw)) AS score FROM adv0)"""
-    select = """SELECT dataset, CAST(rank AS BIGINT) AS rank, name AS algorithm, CAST(score AS INTEGER) AS score FROM (
+    select = """SELECT dataset, CAST(rank AS BIGINT) AS rank, name AS algorithm, CAST(score AS INTEGER) AS score,
+  concat_ws(' ', 'Recommended for a ' || problem_type || ' task with ' || format('{:,}', CAST(total_rows AS BIGINT)) || ' rows.',
+    CASE WHEN hm AND missing_pct > 5 THEN 'Handles the ' || printf('%.1f', missing_pct) || '% missing data natively.' END, CASE WHEN NOT ss THEN 'Does not require feature scaling.' END,
+    CASE WHEN score >= 85 THEN 'Strong fit for this dataset''s profile.' WHEN score >= 70 THEN 'Good fit with minor preprocessing recommended.'
+         ELSE 'Usable but consider addressing data quality issues first.' END) AS reason FROM (
   SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY score DESC, idx) AS rank FROM adv) WHERE rank <= 5"""
     return _with_body(ctes, select)
 
@@ -662,6 +683,27 @@ def s_answer_routing() -> str:
             f"{_intent_sql('coalesce(text, \'\')')} AS intent FROM conversations WHERE role = 'user'")
 
 
+def s_batch_answers() -> str:
+    asked = _union_sql(ALL, lambda t: "\nUNION ALL\n".join(f"SELECT -1, {i}, '{t}', '{q}'" for i, q in enumerate(TOPICS)))
+    tables = "[" + ", ".join(f"'{t}'" for t in ALL) + "]"
+    return _with_body(f"""answers AS MATERIALIZED ({_union_sql(ALL, lambda t: answers(t, _recs))}),
+asked AS (SELECT conv_id, turn, {tables}[CAST(conv_id % {len(ALL)} AS INTEGER) + 1] AS dataset, text AS question FROM conversations WHERE role = 'user' UNION ALL {asked}),
+routed AS (SELECT *, {_intent_sql("coalesce(question, '')")} AS intent FROM asked)""",
+                      "SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, dataset, intent, answer FROM routed JOIN answers USING (dataset, intent)")
+
+
+def s_file_admission() -> str:
+    return f"""WITH u AS ({UPLOADS}), s AS (SELECT *, lower(regexp_extract(path, '(\\.[^./]+)$', 1)) AS suffix FROM u)
+SELECT path, CAST(length AS BIGINT) AS length, suffix, suffix IN ('.csv', '.xlsx', '.xls') AND length <= 52428800 AS admitted,
+  CASE WHEN suffix NOT IN ('.csv', '.xlsx', '.xls') THEN 'Unsupported file type ''' || suffix || '''. Use CSV or Excel.' WHEN length > 52428800 THEN 'File exceeds the 50 MB limit.' END AS reason FROM s"""
+
+
+def s_score_fallbacks() -> str:
+    return _with_body(f"allf AS ({_facts_union()})", """SELECT dataset, CAST(floor(100.0 - missing_pct + 0.5) AS BIGINT) AS completeness_shown,
+  CAST(floor(greatest(0.0, 100.0 - CAST(duplicate_rows AS DOUBLE)) + 0.5) AS BIGINT) AS consistency_shown,
+  CAST(floor(greatest(0.0, 100.0 - CAST(outlier_count AS DOUBLE) / CAST(greatest(total_rows, 1) AS DOUBLE) * 100.0) + 0.5) AS BIGINT) AS noise_shown FROM allf""")
+
+
 def s_clean_text() -> str:
     trim = r"'^[\s\x0B]+|[\s\x0B]+$'"
     fence = r"'^```[a-zA-Z0-9_-]*\s*([\s\S]*?)\s*```$'"
@@ -765,6 +807,9 @@ def oracle_sql() -> dict[str, str]:
         "csv_types": s_csv_types(),
         "sketch_profile": s_sketch_profile(),
         "column_cards": s_column_cards(),
+        "batch_answers": s_batch_answers(),
+        "file_admission": s_file_admission(),
+        "score_fallbacks": s_score_fallbacks(),
         **stored.ORACLES,
     })
     return out

@@ -9,7 +9,6 @@ places with the same exact Python-style rounding, text STRING/VARCHAR.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -376,12 +375,10 @@ def q_sketch_profile(spark, sf_dir):
     the exact profile."""
     root = stage_dir(spark)
     tables = {t: frame(spark, sf_dir, t) for t in ALL}
-
-    def batch(i: int) -> DataFrame:
-        states = [state_of(df.where(F.pmod(F.xxhash64(*df.columns), F.lit(2)) == i), t) for t, df in tables.items()]
-        return reduce(DataFrame.unionByName, states)
-    for i in (0, 1):
-        add_batch(batch(i), root, f"half {i}")
+    for t, df in tables.items():
+        half = F.pmod(F.xxhash64(*df.columns), F.lit(2))
+        for i in (0, 1):
+            add_batch(state_of(df.where(half == i), t), root, f"{t} {i}")
     a = approximate(merged(stored_states(spark, root))).alias("a")
     exact = profile_many(tables).columns.select("dataset", "pos", F.col("unique_count").alias("u"), F.col("q1").alias("e1"), F.col("q3").alias("e3"))
     near = F.abs(F.col("distinct_estimate") - F.col("u")) <= F.col("u") * DISTINCT_ERROR

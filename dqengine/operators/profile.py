@@ -194,16 +194,18 @@ class ColumnProfiler:
 
     def quartiles(self) -> dict[tuple[str, int], tuple[int, float, float]]:
         """n, q1 and q3 of the non-null, non-NaN values of numeric columns."""
-        frames, counts, names, at = [], {}, {}, 0
+        frames, counts, names, ends, at = [], {}, {}, {}, 0
         for df, st, specs in self._specs(True):
             own = []
             for s in specs:
                 own.append((at, s.alias))
                 names[at] = (st.dataset, s.pos)
                 counts[at] = st.total_rows - st.null_count[s.pos] - st.nan_count[s.pos]
+                if None not in (range_ := st.raw_moments(s)[2:]):
+                    ends[at] = range_
                 at += 1
             frames.append((df, own))
-        return {names[i]: (counts[i], *q) for i, q in quantiles(frames, counts).items()} if frames else {}
+        return {names[i]: (counts[i], *q) for i, q in quantiles(frames, counts, ends=ends).items()} if frames else {}
 
     def outliers(self) -> dict[tuple[str, int], tuple[int, float, float, int, float]]:
         """n, q1, q3, outlier count and percentage of numeric columns: one

@@ -6,7 +6,9 @@ bits on: one pass counts, for every column, how many values begin with which
 bits; the bin that holds a rank is known then, and the next pass looks at its
 values only, at their next bits.  Bins also carry their least and greatest value:
 where these are equal the rank is found, so columns of few values end after one
-or two passes and any column after at most 64 bits.
+or two passes and any column after at most 64 bits.  Where a column's least and
+greatest value are known, the bits that both begin with are known before the first
+pass (for most columns the sign and most of the exponent).
 
 Nothing is sorted, written or shuffled but histograms: a task sends the bins it
 has seen, at most ``2 ** bits`` for each wanted prefix.  ``bits`` is chosen so
@@ -55,10 +57,17 @@ class Rank:
     rank: int
 
 
-def _histogram(df: DataFrame, columns: list[tuple[int, str]], wanted: dict[int, list[int]], known: int, bits: int) -> DataFrame:
-    """(column, prefix, bin, n, lo, hi) of the columns (number, name) of one frame."""
+def common_bits(low: float, high: float) -> tuple[int, int]:
+    """(number, value) of the first bits that ``ordered`` gives all of [low, high]."""
+    a, b = (int(x) for x in ordered(np.array([low, high], float)))
+    known = 64 - (a ^ b).bit_length()
+    return known, a >> (64 - known)
+
+
+def _histogram(df: DataFrame, columns: list[tuple[int, str]], wanted: dict[int, list[int]], known: dict[int, int], bits: int) -> DataFrame:
+    """(column, prefix, bin, n, lo, hi) of the columns (number, name) of one frame;
+    prefixes of column i have ``known[i]`` bits."""
     columns = [(i, name) for i, name in columns if i in wanted]
-    size, low = 1 << bits, np.uint64(64 - known - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -66,8 +75,10 @@ def _histogram(df: DataFrame, columns: list[tuple[int, str]], wanted: dict[int,
             for (i, _), column in zip(columns, batch.columns, strict=True):
                 x = column.to_numpy(zero_copy_only=False).astype(np.float64)
                 u = ordered(x[~np.isnan(x)])
+                step = min(bits, 64 - known[i])
+                size, low = 1 << step, np.uint64(64 - known[i] - step)
                 for k, prefix in enumerate(wanted[i]):
-                    own = u[u >> np.uint64(64 - known) == np.uint64(prefix)] if known else u
+                    own = u[u >> np.uint64(64 - known[i]) == np.uint64(prefix)] if known[i] else u
                     if not len(own):
                         continue
                     if (i, k) not in counters:
@@ -87,16 +98,25 @@ def _histogram(df: DataFrame, columns: list[tuple[int, str]], wanted: dict[int,
     return cells.mapInArrow(run, "column INT, prefix INT, bin INT, n LONG, lo LONG, hi LONG")
 
 
-def values_at(frames: list[tuple[DataFrame, list[tuple[int, str]]]], ranks: dict[int, list[int]], bits: int | None = None) -> dict[tuple[int, int], float]:
+def values_at(frames: list[tuple[DataFrame, list[tuple[int, str]]]], ranks: dict[int, list[int]], bits: int | None = None,
+              ends: dict[int, tuple[float, float]] | None = None) -> dict[tuple[int, int], float]:
     """(column, rank) -> value, ranks from 0 among the non-null, non-NaN values.
 
     ``frames`` are tables with the numbers and names of their columns; a number
     stands for one column of one table.  A null, NaN, or empty column has no
-    ranks to ask for."""
+    ranks to ask for.  ``ends``: the least and greatest value of columns, as far
+    as they are known."""
     spark = frames[0][0].sparkSession
-    open_ = {Rank(c, 0, r): r for c, rs in ranks.items() for r in rs}  # -> the rank first asked for
     found: dict[tuple[int, int], float] = {}
-    known = 0
+    open_: dict[Rank, int] = {}  # -> the rank first asked for
+    known: dict[int, int] = {}
+    for c, rs in ranks.items():
+        low, high = (ends or {}).get(c, (-math.inf, math.inf))
+        known[c], prefix = common_bits(low, high)
+        if known[c] == 64:
+            found |= {(c, r): low + 0.0 for r in rs}
+        else:
+            open_ |= {Rank(c, prefix, r): r for r in rs}
     while open_:
         wanted: dict[int, list[int]] = {}
         for r in sorted(open_, key=lambda r: (r.column, r.prefix)):
@@ -104,7 +124,6 @@ def values_at(frames: list[tuple[DataFrame, list[tuple[int, str]]]], ranks: dict
                 wanted[r.column].append(r.prefix)
         counters = sum(map(len, wanted.values()))
         step = bits or max(6, min(MOST_BITS, int(math.log2(COUNTER_BYTES / 24 / counters))))
-        step = min(step, 64 - known)
         bins = reduce(DataFrame.unionByName, [_histogram(df, cs, wanted, known, step) for df, cs in frames if any(i in wanted for i, _ in cs)])
         bins = bins.groupBy("column", "prefix", "bin").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         upto = F.sum("n").over(Window.partitionBy("column", "prefix").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -118,30 +137,31 @@ def values_at(frames: list[tuple[DataFrame, list[tuple[int, str]]]], ranks: dict
             if h.lo == h.hi:
                 found[h.column, first] = value_of(h.lo + (1 << 63))
             else:
-                following[Rank(h.column, prefix << step | h.bin, h.rank - (h.upto - h.n))] = first
-        known += step
+                taken = min(step, 64 - known[h.column])
+                following[Rank(h.column, prefix << taken | h.bin, h.rank - (h.upto - h.n))] = first
+        known = {c: min(64, k + step) for c, k in known.items()}
         open_ = following
     return found
 
 
 def quantiles(frames: list[tuple[DataFrame, list[tuple[int, str]]]], counts: dict[int, int], probs: tuple[float, ...] = (0.25, 0.75),
-              bits: int | None = None) -> dict[int, tuple[float, ...]]:
+              bits: int | None = None, ends: dict[int, tuple[float, float]] | None = None) -> dict[int, tuple[float, ...]]:
     """column -> its quantiles, interpolated like ``numpy.percentile``.
     ``counts`` are the numbers of non-null, non-NaN values; columns of none are
-    left out."""
-    ends: dict[int, list[tuple[int, int, float]]] = {}
+    left out.  ``ends`` as for ``values_at``."""
+    places: dict[int, list[tuple[int, int, float]]] = {}
     for c, n in counts.items():
         if n > 0:
             for p in probs:
                 h = (n - 1) * p
                 lo = math.floor(h)
-                ends.setdefault(c, []).append((lo, min(lo + 1, n - 1), h - lo))
-    if not ends:
+                places.setdefault(c, []).append((lo, min(lo + 1, n - 1), h - lo))
+    if not places:
         return {}
-    at = values_at(frames, {c: sorted({r for a, b, _ in e for r in (a, b)}) for c, e in ends.items()}, bits)
+    at = values_at(frames, {c: sorted({r for a, b, _ in e for r in (a, b)}) for c, e in places.items()}, bits, ends)
 
     def between(a: float, b: float, t: float) -> float:
         # numpy's lerp: a + (b-a)t below t = 0.5, b - (b-a)(1-t) from 0.5 up
         return b - (b - a) * (1.0 - t) if t >= 0.5 else a + (b - a) * t
 
-    return {c: tuple(between(at[c, a], at[c, b], t) for a, b, t in e) for c, e in ends.items()}
+    return {c: tuple(between(at[c, a], at[c, b], t) for a, b, t in e) for c, e in places.items()}

@@ -77,7 +77,7 @@ class Pieces:
 def _at_once(work: list) -> list:
     """Calls that are independent of each other, a few at a time: their Spark
     jobs share the cluster, stages of one fill the slots another leaves idle."""
-    with ThreadPoolExecutor(max_workers=min(4, len(work))) as ex:
+    with ThreadPoolExecutor(max_workers=min(6, len(work))) as ex:
         return list(ex.map(lambda f: f(), work))
 
 
@@ -97,6 +97,13 @@ class Profile:
     def _result(self, name: str, df: DataFrame) -> DataFrame:
         return materialize(df, f"{self.path}/{name}")
 
+    def _together(self, *names: str) -> None:
+        """Outputs that do not need each other, computed at once where they are
+        still to be computed."""
+        todo = [n for n in names if n not in self.__dict__]
+        if len(todo) > 1:
+            _at_once([partial(getattr, self, n) for n in todo])
+
     @cached_property
     def columns(self) -> DataFrame:
         found = ColumnProfiler([(p.df, p.stats) for p in self.pieces]).columns()
@@ -121,6 +128,7 @@ class Profile:
 
     @cached_property
     def flags(self) -> DataFrame:
+        self._together("columns", "correlations")
         return bias_flags(self.columns, self.correlations, self.no_columns)
 
     @cached_property
@@ -143,6 +151,7 @@ class Profile:
 
     @cached_property
     def summary(self) -> DataFrame:
+        self._together("columns", "correlations", "duplicates")
         # one grouped sum over the few rows of all parts
         parts = [self.duplicates.select("dataset", "duplicate_rows", F.lit(0).alias("outlier_count"), F.lit(0).alias("flag_count")),
                  self.columns.select("dataset", F.lit(0).alias("duplicate_rows"), "outlier_count", F.lit(0).alias("flag_count")),

@@ -50,3 +50,16 @@ def test_order_of_bits():
 @given(st.lists(st.floats(-1e6, 1e6, allow_nan=False), min_size=1, max_size=60))
 def test_random_lists(spark, values):
     _check(spark, {0: [v + 0.0 for v in values]}, partitions=4)
+
+
+@pytest.mark.parametrize("values", [[900.0, 901.5, 104949.5, 5000.25], [-3.0, -2.5, 7.0], [-0.0, 0.0], [5.0, 5.0, 5.0],
+                                    [float("-inf"), 1.0, 2.0, float("inf")], [1e-320, 1e308]])
+def test_known_ends_change_no_result(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "x DOUBLE")
+    ends = {0: (min(values), max(values))}
+    known, prefix = Q.common_bits(*ends[0])
+    assert all(int(u) >> (64 - known) == prefix for u in Q.ordered(np.array(values)))
+    counts = {0: len(values)}
+    plain = Q.quantiles([(df, [(0, "x")])], counts, (0.25, 0.5, 0.75))
+    assert repr(Q.quantiles([(df, [(0, "x")])], counts, (0.25, 0.5, 0.75), ends=ends)) == repr(plain)
+    assert repr(Q.quantiles([(df, [(0, "x")])], counts, (0.25, 0.5, 0.75), bits=7, ends=ends)) == repr(plain)

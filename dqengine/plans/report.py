@@ -43,6 +43,12 @@ def _union(dfs: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), dfs)
 
 
+#: Datasets up to which outputs are planned side by side: plans grow with the number
+#: of datasets, and the driver holds all that are being planned.
+SIDE_BY_SIDE = 4
+#: Columns that one plan covers, so that what the driver plans does not grow with the
+#: number of datasets (a dataset is not cut).
+PLANNED = 32
 #: Estimated bytes from which an input of few splits is dealt out.
 WORTH_SPREADING = 64 << 20
 _PLAIN = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BinaryType)
@@ -77,10 +83,22 @@ class Pieces:
 def _at_once(work: list) -> list:
     """Calls that are independent of each other, a few at a time: their Spark
     jobs share the cluster, stages of one fill the slots another leaves idle."""
-    with ThreadPoolExecutor(max_workers=min(6, len(work))) as ex:
+    with ThreadPoolExecutor(max_workers=min(4, len(work))) as ex:
         return list(ex.map(lambda f: f(), work))
 
 
+def _groups(pieces: list[Pieces]) -> list[list[Pieces]]:
+    """Datasets that are planned together."""
+    groups, width = [[]], 0
+    for p in pieces:
+        width += len(p.stats.kept)
+        if groups[-1] and width > PLANNED:
+            groups.append([])
+            width = len(p.stats.kept)
+        groups[-1].append(p)
+    return groups
+
+
 class Profile:
     """All outputs of the profiler for a set of datasets.
 
@@ -99,24 +117,24 @@ class Profile:
 
     def _together(self, *names: str) -> None:
         """Outputs that do not need each other, computed at once where they are
-        still to be computed."""
+        still to be computed (of few datasets; of many, one after another)."""
         todo = [n for n in names if n not in self.__dict__]
-        if len(todo) > 1:
+        if len(todo) > 1 and len(self.pieces) <= SIDE_BY_SIDE:
             _at_once([partial(getattr, self, n) for n in todo])
 
     @cached_property
     def columns(self) -> DataFrame:
-        found = ColumnProfiler([(p.df, p.stats) for p in self.pieces]).columns()
+        found = _union([ColumnProfiler([(p.df, p.stats) for p in g]).columns() for g in _groups(self.pieces)])
         return found if found.isLocal() else self._result("columns", found)
 
     @cached_property
     def correlations(self) -> DataFrame:
-        return self._result("correlations", top_correlations(pairs_of(
-            [(p.df, p.stats.kept, p.stats.dataset) for p in self.pieces], {p.stats.dataset: p.stats.means for p in self.pieces})))
+        return self._result("correlations", _union([top_correlations(pairs_of(
+            [(p.df, p.stats.kept, p.stats.dataset) for p in g], {p.stats.dataset: p.stats.means for p in g})) for g in _groups(self.pieces)]))
 
     @cached_property
     def duplicates(self) -> DataFrame:
-        return duplicates_of([(p.df, p.stats.kept, p.stats.dataset) for p in self.pieces])
+        return _union([duplicates_of([(p.df, p.stats.kept, p.stats.dataset) for p in g]) for g in _groups(self.pieces)])
 
     @cached_property
     def dropped(self) -> DataFrame:

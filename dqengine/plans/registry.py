@@ -9,6 +9,7 @@ places with the same exact Python-style rounding, text STRING/VARCHAR.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -363,10 +364,12 @@ def q_csv_types(spark, sf_dir):
     df = read_any(spark, path)
     parts = []
     for n, t in df.dtypes:
-        c = F.col(n).cast("decimal(18,2)") if t == "double" else F.col(n)
-        parts.append(F.struct(F.lit(n).alias("column"), F.lit(t).alias("type"), F.count(F.col(n)).alias("cells"), F.count_distinct(F.col(n)).alias("distinct_cells"),
-                              F.min(c.cast("string")).alias("first"), F.max(c.cast("string")).alias("last")))
-    return df.agg(F.array(*parts).alias("a")).select(F.inline("a"))
+        # counted by value, column by column: no row stands for all columns at once
+        values = df.select(F.col(n).alias("v")).groupBy("v").agg(F.count("v").alias("n"))
+        c = (F.col("v").cast("decimal(18,2)") if t == "double" else F.col("v")).cast("string")
+        parts.append(values.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("cells"), F.count("v").alias("distinct_cells"), F.min(c).alias("first"), F.max(c).alias("last"))
+                     .select(F.lit(n).alias("column"), F.lit(t).alias("type"), "cells", "distinct_cells", "first", "last"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def q_sketch_profile(spark, sf_dir):

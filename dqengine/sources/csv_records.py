@@ -64,7 +64,21 @@ def _by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, in
     """A task's lines, one split after another."""
     now, todo = None, []
     for batch in batches:
-        files, starts, lines = batch.column("file").to_pylist(), batch.column("start").to_pylist(), batch.column("line").to_pylist()
+        if not batch.num_rows:
+            continue
+        lines, last = batch.column("line").to_pylist(), batch.num_rows - 1
+        ends = [(batch.column("file")[i].as_py(), batch.column("start")[i].as_py()) for i in (0, last)]
+        if ends[0] == ends[1]:  # a split's lines follow one another
+            if todo and now != ends[0]:
+                yield now, todo
+                todo = []
+            now = ends[0]
+            todo += lines
+            if len(todo) >= 4096:
+                yield now, todo
+                todo = []
+            continue
+        files, starts = batch.column("file").to_pylist(), batch.column("start").to_pylist()
         for key, line in zip(zip(files, starts, strict=True), lines, strict=True):
             if key != now:
                 if todo:

@@ -27,6 +27,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize, stage_dir
 from .csv_records import csv_records, split_states
 
 READERS = {".csv": "csv", ".parquet": "parquet", ".json": "json", ".orc": "orc"}
@@ -35,31 +36,46 @@ CSV_TYPES = (("boolean", 1), ("boolean", 2), ("boolean", 4), ("bigint", 8), ("de
 ANY_TYPE = 63
 _NUMBER = r"^-?((0|[1-9][0-9]*)(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 _NO_NUMBER = r"^(NaN|-?inf|-?Infinity)$"
+_NO_DIGIT = r"^[^0-9\n\r\x85\u2028\u2029]*\z"
+_WORDS = ("true", "false", "True", "False", "TRUE", "FALSE", "NaN", "inf", "-inf", "Infinity", "-Infinity")
 #: Every decimal of so many digits has a double of its own.
 SURE_DIGITS = 15
 SMALLEST = 2.2250738585072014e-308
+#: What most cells are: whole numbers and decimals of SURE_DIGITS digits at most, and texts that hold what no
+#: number, boolean or line end holds (no digit of a number comes before a minus).
+_PLAIN_WHOLE = r"^(0|-?[1-9][0-9]{0,14})\z"
+_PLAIN_DECIMAL = r"^-?(0|[1-9][0-9]{0,8})\.[0-9]{1,6}\z"
+_TEXT = r"[0-9]-|[^-+.0-9truefalsTRUEFALSNaInify\n\r\x85\u2028\u2029]"
 
 
 def csv_text(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+    """``_cells`` without the word on how they were read."""
+    return _cells(spark, path, multi_line)[0]
+
+
+def _cells(spark: SparkSession, path: str, multi_line: bool | None) -> tuple[DataFrame, bool]:
     """Every cell of a CSV with a header as text; empty cells are null, short
     rows are padded, further fields dropped.
 
     ``multi_line`` says whether there are line ends inside quotes (None: one scan
     of the lines finds out).  Files are split among tasks either way.  Lines end
     with a line feed, with or without a carriage return; compressed files are one
-    split each."""
-    states = split_states(spark, path) if multi_line is not False else None
+    split each.  The second value tells whether records were joined from lines."""
+    if multi_line is None and spark.read.option("lineSep", "\n").text(path).where(F.col("value").contains('"')).isEmpty():
+        multi_line = False
+    # a row for each split, read twice
+    states = materialize(split_states(spark, path), f"{stage_dir(spark)}/splits") if multi_line is not False else None
     if multi_line is None and states.where("across").isEmpty():
         states = None
     options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
     reader = spark.read.options(header=True, **options)
     if states is None:
-        return reader.csv(path)
+        return reader.csv(path), False
     names = reader.option("multiLine", True).csv(path).columns  # parses the first record only
     names[-1] = names[-1].removesuffix("\r")
     cells = ", ".join(f"c{i} STRING" for i in range(len(names)))
     parsed = F.from_csv(F.col("record").cast("string"), cells, {**options, "multiLine": "true"})
-    return csv_records(spark, path, states).select(parsed.alias("r")).select("r.*").toDF(*names)
+    return csv_records(spark, path, states).select(parsed.alias("r")).select("r.*").toDF(*names), True
 
 
 def cell_types(c: Column) -> Column:
@@ -78,14 +94,32 @@ def cell_types(c: Column) -> Column:
     return F.when(c.isNull(), F.lit(ANY_TYPE)).otherwise(sum(of[1:], of[0]))
 
 
+def plain_types(c: Column) -> Column:
+    """``cell_types`` of the cells that three patterns tell, null for all others."""
+    text = c.rlike(_TEXT) | (c.rlike(_NO_DIGIT) & ~c.isin(*_WORDS))
+    return (F.when(c.isNull(), F.lit(ANY_TYPE)).when(c.rlike(_PLAIN_WHOLE), F.lit(8 + 16 + 32))
+             .when(c.rlike(_PLAIN_DECIMAL), F.lit(32)).when(text, F.lit(0)))
+
+
 def infer_csv_types(text: DataFrame, sample_rows: int | None = None) -> list[str]:
     """A type for each column: the first of CSV_TYPES that all non-null cells
     can have, else text.  One aggregate over all rows, or the first ``sample_rows``."""
+    if not text.columns:
+        return []
     rows = text.toDF(*[f"c{i}" for i in range(len(text.columns))])
     rows = rows.limit(sample_rows) if sample_rows is not None else rows
-    found = rows.agg(*[F.bit_and(cell_types(F.col(c))).alias(c) for c in rows.columns],
-                     *[F.count_if(F.col(c).isNotNull() & ~F.col(c).rlike(_NO_NUMBER)).alias(f"{c}_n") for c in rows.columns]).first()
-    return [next((t for t, bit in CSV_TYPES if found[f"{c}_n"] and found[c] & bit), "string") for c in rows.columns]
+    # a row for each cell, so that the expressions are compiled once and not for each column
+    cells, cell = rows.unpivot([], list(rows.columns), "name", "cell"), F.col("cell")
+    cells = cells.withColumn("plain", plain_types(cell))
+    plain = F.col("plain")
+    other = F.substring(cell, 1, 1).isin("N", "i", "I", "-") & cell.rlike(_NO_NUMBER)
+    counted = cells.groupBy("name").agg(F.bit_and(plain).alias("types"), F.count_if(cell.isNotNull() & ~other).alias("n"), F.count_if(plain.isNull()).alias("open"))
+    found = {r.name: r for r in counted.collect()}
+    types = {c: ANY_TYPE if r.types is None else r.types for c, r in found.items()}
+    if left := [c for c, r in found.items() if r.open and types[c]]:
+        for r in cells.where(F.col("name").isin(left) & plain.isNull()).groupBy("name").agg(F.bit_and(cell_types(cell)).alias("types")).collect():
+            types[r.name] &= r.types
+    return [next((t for t, bit in CSV_TYPES if c in found and found[c].n and types[c] & bit), "string") for c in rows.columns]
 
 
 def _typed(c: Column, kind: str) -> Column:
@@ -95,11 +129,16 @@ def _typed(c: Column, kind: str) -> Column:
 
 
 def read_csv(spark: SparkSession, path: str, sample_rows: int | None = None, multi_line: bool | None = None) -> DataFrame:
-    """Header CSV with inferred types."""
-    text = csv_text(spark, path, multi_line)
-    types = infer_csv_types(text, sample_rows)
-    flat = text.toDF(*[f"c{i}" for i in range(len(text.columns))])
-    return flat.select(*[_typed(F.col(c), t) for c, t in zip(flat.columns, types, strict=True)]).toDF(*text.columns)
+    """Header CSV with inferred types.  The typed rows are written once, so that
+    what reads them often does not parse the text again."""
+    text, joined = _cells(spark, path, multi_line)
+    names, root = text.columns, stage_dir(spark)
+    flat = text.toDF(*[f"c{i}" for i in range(len(names))])
+    if joined:  # records are put together once
+        flat = materialize(flat, f"{root}/text")
+    types = infer_csv_types(flat, sample_rows)
+    typed = flat.select(*[_typed(F.col(c), t).alias(c) for c, t in zip(flat.columns, types, strict=True)])
+    return (materialize(typed, f"{root}/typed") if names else typed).toDF(*names)
 
 
 def csv_nulled_cells(spark: SparkSession, path: str, sample_rows: int | None = None, multi_line: bool | None = None) -> DataFrame:

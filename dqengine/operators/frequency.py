@@ -4,8 +4,10 @@ It is the shared intermediate of the profiler.  Distinct counts (A3), top
 values (K1), class counts (A12), exact quantiles (A5) and outlier counts (A6)
 are all derived from it without touching the input again.
 
-Plan: ``Expand`` (unpivot) -> partial ``HashAggregate`` on the map side ->
-one shuffle on (pos, key) -> final ``HashAggregate``.  The map-side partial
+Plan: numeric columns are grouped one by one, each scan reading its column only,
+so that a column of many values does not push those of few out of a task's hash
+table; other columns go through ``Expand`` (unpivot) -> partial ``HashAggregate``
+on the map side -> one shuffle on (pos, key) -> final ``HashAggregate``.  The map-side partial
 aggregate collapses hot values before the shuffle, so a value that holds a
 third of all rows costs one row per map task, not a third of the shuffle.
 Long strings travel as ``prefix || sha256`` (functions/keys.py).
@@ -19,6 +21,8 @@ columns carry a string key (their top values are shown).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,21 +36,18 @@ _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FLOATING = (T.FloatType, T.DoubleType)
 
 
-def _cell(spec: ColumnSpec, dt: T.DataType):
+def _number(df: DataFrame, spec: ColumnSpec) -> DataFrame:
+    """The values of one numeric column, grouped by their own type."""
     c = spec.col
-    none_s, none_l, none_d = F.lit(None).cast("string"), F.lit(None).cast("long"), F.lit(None).cast("double")
-    if spec.kind == NUMERIC and isinstance(dt, _INTEGRAL):
-        key, lk, dk = none_s, c.cast("long"), none_d
-    elif spec.kind == NUMERIC and isinstance(dt, _FLOATING):
+    if isinstance(spec.dt, _INTEGRAL):
+        c = c.cast("long")
+    elif isinstance(spec.dt, _FLOATING):
         # + 0.0 folds -0.0 into 0.0 (D16); NaN stays one value
-        key, lk, dk = none_s, none_l, c.cast("double") + F.lit(0.0)
-    elif spec.kind == NUMERIC:
-        # decimals: exact string key, double for the statistics
-        key, lk, dk = c.cast("string"), none_l, c.cast("double")
+        c = c.cast("double") + F.lit(0.0)
     else:
-        key, lk, dk = value_key(c, dt), none_l, none_d
-    return F.struct(F.lit(spec.pos).alias("pos"), c.isNotNull().alias("present"),
-                    key.alias("key"), lk.alias("lk"), dk.alias("dk"))
+        c = c.cast("string")  # decimals: exact string key, double for the statistics
+    counted = df.select(c.alias("v")).where(F.col("v").isNotNull()).groupBy("v").agg(F.count(F.lit(1)).alias("cnt"))
+    return counted.select(F.lit(spec.pos).alias("pos"), F.lit(None).cast("string").alias("key"), F.col("v").cast("double").alias("dval"), "cnt")
 
 
 def frequency_table(df: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
@@ -59,14 +60,11 @@ def frequency_table(df: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
     df = positional(df)
     if not specs:
         return df.sparkSession.createDataFrame([], FREQ_SCHEMA)
-    cells = df.select(*[_cell(s, s.dt).alias(f"c{s.pos}") for s in specs])
-    long = cells.unpivot([], [f"c{s.pos}" for s in specs], "variable", "cell")
-    flat = long.select("cell.*").where(F.col("present"))
-    counted = flat.groupBy("pos", "key", "lk", "dk").agg(F.count(F.lit(1)).alias("cnt"))
-    is_num = F.col("pos").isin([s.pos for s in specs if s.kind == NUMERIC])
-    return counted.select(
-        "pos",
-        F.when(~is_num, F.col("key")).alias("key"),
-        F.when(is_num, F.coalesce(F.col("dk"), F.col("lk").cast("double"), F.col("key").cast("double")))
-         .alias("dval"),
-        "cnt")
+    tables = [_number(df, s) for s in specs if s.kind == NUMERIC]
+    texts = [s for s in specs if s.kind != NUMERIC]
+    if texts:
+        cells = df.select(*[F.struct(F.lit(s.pos).alias("pos"), value_key(s.col, s.dt).alias("key")).alias(f"c{s.pos}") for s in texts])
+        flat = cells.unpivot([], [f"c{s.pos}" for s in texts], "variable", "cell").select("cell.*").where(F.col("key").isNotNull())
+        counted = flat.groupBy("pos", "key").agg(F.count(F.lit(1)).alias("cnt"))
+        tables.append(counted.select("pos", "key", F.lit(None).cast("double").alias("dval"), "cnt"))
+    return reduce(DataFrame.unionByName, tables)

@@ -7,9 +7,9 @@ Work split:
 * one wide aggregate over the input (row count, null counts, NaN counts and
   moments of every numeric column), collected: the drop decision of P1 changes
   which columns later steps read;
-* numeric columns: quartiles by radix selection (``quantiles``), then one
-  aggregate counts what lies beyond the fences, and one grouped count of distinct
-  values counts them.  Nothing of this is written;
+* numeric columns: the frequency table, grouped column by column and written once,
+  gives distinct values, quartiles by radix selection (``quantiles``) and what
+  lies beyond the fences;
 * other columns: the frequency table, written once, gives class counts and top
   values.
 
@@ -178,55 +178,71 @@ class ColumnProfiler:
         self.parts = [(positional(df), st) for df, st in parts]
         self.spark = self.parts[0][0].sparkSession
         self._freq: DataFrame | None = None
+        self._numbers: DataFrame | None = None
 
     def _specs(self, numeric: bool) -> list[tuple[DataFrame, BaseStats, list[ColumnSpec]]]:
         found = [(df, st, [s for s in st.kept if (s.kind == NUMERIC) == numeric]) for df, st in self.parts]
         return [x for x in found if x[2]]
 
     # -- numeric columns: A3, A5, A6 ----------------------------------------
+    @property
+    def numbers(self) -> DataFrame:
+        """(column, value, cnt) of the numeric columns, numbered through all
+        datasets; written once.  Distinct values, quartiles and outliers come from
+        it, so the input is not read again and a value that repeats is one row."""
+        if self._numbers is None:
+            tables = [frequency_table(Placed(df), specs).select((F.col("pos") + F.lit(at)).alias("column"), F.col("dval").alias("value"), "cnt") for at, df, specs in self._numbered()]
+            self._numbers = materialize(_union(tables), f"{stage_dir(self.spark)}/numbers")
+        return self._numbers
+
+    def _numbered(self) -> list[tuple[int, DataFrame, list[ColumnSpec]]]:
+        """The datasets that have numeric columns, each with the number of its first place."""
+        found, at = [], 0
+        for df, st, specs in self._specs(True):
+            found.append((at, df, specs))
+            at += len(st.specs)
+        return found
+
+    def _places(self) -> dict[int, tuple[BaseStats, ColumnSpec]]:
+        return {at + s.pos: (st, s) for (at, _, specs), (_, st, _) in zip(self._numbered(), self._specs(True), strict=True) for s in specs}
+
     def numeric_distinct(self) -> dict[tuple[str, int], int]:
         """Distinct non-null values of numeric columns."""
-        work = self._specs(True)
-        if not work:
+        places = self._places()
+        if not places:
             return {}
-        tables = [frequency_table(Placed(df), specs).withColumn("dataset", F.lit(st.dataset)) for df, st, specs in work]
-        return {(r.dataset, r.pos): r.n for r in _union(tables).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).collect()}
+        found = self.numbers.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()
+        return {(places[r.column][0].dataset, places[r.column][1].pos): r.n for r in found}
 
     def quartiles(self) -> dict[tuple[str, int], tuple[int, float, float]]:
         """n, q1 and q3 of the non-null, non-NaN values of numeric columns."""
-        frames, counts, names, ends, at = [], {}, {}, {}, 0
-        for df, st, specs in self._specs(True):
-            own = []
-            for s in specs:
-                own.append((at, s.alias))
-                names[at] = (st.dataset, s.pos)
-                counts[at] = st.total_rows - st.null_count[s.pos] - st.nan_count[s.pos]
-                if None not in (range_ := st.raw_moments(s)[2:]):
-                    ends[at] = range_
-                at += 1
-            frames.append((df, own))
-        return {names[i]: (counts[i], *q) for i, q in quantiles(frames, counts, ends=ends).items()} if frames else {}
+        counts, names, ends = {}, {}, {}
+        for at, (st, s) in self._places().items():
+            names[at] = (st.dataset, s.pos)
+            counts[at] = st.total_rows - st.null_count[s.pos] - st.nan_count[s.pos]
+            if None not in (range_ := st.raw_moments(s)[2:]):
+                ends[at] = range_
+        return {names[i]: (counts[i], *q) for i, q in quantiles([], counts, ends=ends, counted=self.numbers).items()} if names else {}
 
     def outliers(self) -> dict[tuple[str, int], tuple[int, float, float, int, float]]:
         """n, q1, q3, outlier count and percentage of numeric columns: one
-        aggregate a dataset, with the fences as literals."""
-        found, rows = {k: (*v, 0, 0.0) for k, v in self.quartiles().items()}, []
-        for df, st, specs in self._specs(True):
-            counts = []
-            for s in specs:
-                n, q1, q3, *_ = found.get((st.dataset, s.pos), (0, 0.0, 0.0))
-                iqr = q3 - q1
-                # infinite quartiles make the range NaN: comparisons with NaN are false in the reference
-                if n < C.MIN_IQR_VALUES or iqr == 0 or math.isnan(iqr):
-                    continue
-                x = s.col.cast("double")
-                out = ~F.isnan(x) & ((x < q1 - C.OUTLIER_IQR_FACTOR * iqr) | (x > q3 + C.OUTLIER_IQR_FACTOR * iqr))
-                counts.append(F.struct(F.lit(s.pos).alias("pos"), F.count_if(out).alias("n")))
-            if counts:
-                rows.append(df.agg(F.array(*counts).alias("a")).select(F.lit(st.dataset).alias("dataset"), F.inline("a")))
-        for r in _union(rows).collect() if rows else []:
-            n, q1, q3, *_ = found[r.dataset, r.pos]
-            found[r.dataset, r.pos] = (n, q1, q3, r.n, _py_round(r.n / n * 100, 2))
+        aggregate of the counted values, with the fences as literals."""
+        found = {k: (*v, 0, 0.0) for k, v in self.quartiles().items()}
+        places, beyond = self._places(), []
+        for at, (st, s) in places.items():
+            n, q1, q3, *_ = found.get((st.dataset, s.pos), (0, 0.0, 0.0))
+            iqr = q3 - q1
+            # infinite quartiles make the range NaN: comparisons with NaN are false in the reference
+            if n < C.MIN_IQR_VALUES or iqr == 0 or math.isnan(iqr):
+                continue
+            x = F.col("value")
+            beyond.append((F.col("column") == at) & ((x < q1 - C.OUTLIER_IQR_FACTOR * iqr) | (x > q3 + C.OUTLIER_IQR_FACTOR * iqr)))
+        if beyond:
+            out = self.numbers.where(~F.isnan("value") & reduce(lambda a, b: a | b, beyond))
+            for r in out.groupBy("column").agg(F.sum("cnt").alias("n")).collect():
+                st, s = places[r.column]
+                n, q1, q3, *_ = found[st.dataset, s.pos]
+                found[st.dataset, s.pos] = (n, q1, q3, r.n, _py_round(r.n / n * 100, 2))
         return found
 
     # -- other columns: A7, A12 input, K1 -------------------------------------
@@ -335,7 +351,7 @@ class ColumnProfiler:
     def columns(self, k: int = C.TOP_VALUES) -> DataFrame:
         """One row per kept column, in the report's ColumnProfile shape plus
         raw moments and quantiles."""
-        with ThreadPoolExecutor(max_workers=3) as ex:  # independent of each other
+        with ThreadPoolExecutor(max_workers=1) as ex:  # the two kinds of columns are independent of each other
             other = bool(self._specs(False))
             numeric, distinct = ex.submit(self.outliers), ex.submit(self.numeric_distinct)
             keys = self.top_keys(k) if other else {}

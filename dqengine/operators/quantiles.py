@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 COUNTER_BYTES = 64 << 20
 MOST_BITS = 16
 _TOP = np.uint64(1 << 63)
+BINS = "column INT, prefix INT, bin INT, n LONG, lo LONG, hi LONG"
 
 
 def ordered(x: np.ndarray) -> np.ndarray:
@@ -64,6 +65,15 @@ def common_bits(low: float, high: float) -> tuple[int, int]:
     return known, a >> (64 - known)
 
 
+def _bins(counters: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """What a task has counted, without empty bins."""
+    for (i, k), (n, lo, hi) in counters.items():
+        at = np.flatnonzero(n)
+        ends = [pa.array((x[at] ^ _TOP).view(np.int64)) for x in (lo, hi)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(np.full(len(at), k, np.int32)),
+                                          pa.array(at.astype(np.int32)), pa.array(n[at]), *ends], ["column", "prefix", "bin", "n", "lo", "hi"])
+
+
 def _histogram(df: DataFrame, columns: list[tuple[int, str]], wanted: dict[int, list[int]], known: dict[int, int], bits: int) -> DataFrame:
     """(column, prefix, bin, n, lo, hi) of the columns (number, name) of one frame;
     prefixes of column i have ``known[i]`` bits."""
@@ -88,25 +98,55 @@ def _histogram(df: DataFrame, columns: list[tuple[int, str]], wanted: dict[int,
                     n += np.bincount(at, minlength=size)
                     np.minimum.at(lo, at, own)
                     np.maximum.at(hi, at, own)
-        for (i, k), (n, lo, hi) in counters.items():
-            at = np.flatnonzero(n)
-            ends = [pa.array((x[at] ^ _TOP).view(np.int64)) for x in (lo, hi)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(np.full(len(at), k, np.int32)),
-                                              pa.array(at.astype(np.int32)), pa.array(n[at]), *ends], ["column", "prefix", "bin", "n", "lo", "hi"])
+        yield from _bins(counters)
 
     cells = df.select(*[F.col(name).cast("double") for _, name in columns])
-    return cells.mapInArrow(run, "column INT, prefix INT, bin INT, n LONG, lo LONG, hi LONG")
+    return cells.mapInArrow(run, BINS)
+
+
+def _counted_histogram(table: DataFrame, wanted: dict[int, list[int]], known: dict[int, int], bits: int, within: dict[int, tuple[float, float]]) -> DataFrame:
+    """``_histogram`` of a table (column, value, cnt).  ``within``: the least and
+    greatest value that is still looked at, by column; the others stay in Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            of, x, cnt = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for i in np.unique(of).tolist():
+                here = of == i
+                u, times = ordered(x[here]), cnt[here]
+                step = min(bits, 64 - known[i])
+                size, low = 1 << step, np.uint64(64 - known[i] - step)
+                for k, prefix in enumerate(wanted[i]):
+                    inside = u >> np.uint64(64 - known[i]) == np.uint64(prefix) if known[i] else np.ones(len(u), bool)
+                    own = u[inside]
+                    if not len(own):
+                        continue
+                    if (i, k) not in counters:
+                        counters[i, k] = np.zeros(size, np.int64), np.full(size, 2**64 - 1, np.uint64), np.zeros(size, np.uint64)
+                    n, lo, hi = counters[i, k]
+                    at = (own >> low & np.uint64(size - 1)).astype(np.int64)
+                    np.add.at(n, at, times[inside])
+                    np.minimum.at(lo, at, own)
+                    np.maximum.at(hi, at, own)
+        yield from _bins(counters)
+
+    near = reduce(lambda a, b: a | b, [(F.col("column") == i) & (F.col("value").between(*within[i]) if i in within else F.lit(True)) for i in wanted])
+    cells = table.select(F.col("column").cast("int"), "value", "cnt").where(F.col("value").isNotNull() & ~F.isnan("value") & near)
+    return cells.mapInArrow(run, BINS)
 
 
 def values_at(frames: list[tuple[DataFrame, list[tuple[int, str]]]], ranks: dict[int, list[int]], bits: int | None = None,
-              ends: dict[int, tuple[float, float]] | None = None) -> dict[tuple[int, int], float]:
+              ends: dict[int, tuple[float, float]] | None = None, counted: DataFrame | None = None) -> dict[tuple[int, int], float]:
     """(column, rank) -> value, ranks from 0 among the non-null, non-NaN values.
 
     ``frames`` are tables with the numbers and names of their columns; a number
     stands for one column of one table.  A null, NaN, or empty column has no
     ranks to ask for.  ``ends``: the least and greatest value of columns, as far
-    as they are known."""
-    spark = frames[0][0].sparkSession
+    as they are known.  ``counted``: instead of frames, a table (column, value, cnt)
+    of values and how often they occur."""
+    spark = (counted if counted is not None else frames[0][0]).sparkSession
+    within: dict[int, tuple[float, float]] = {}
     found: dict[tuple[int, int], float] = {}
     open_: dict[Rank, int] = {}  # -> the rank first asked for
     known: dict[int, int] = {}
@@ -124,19 +164,23 @@ def values_at(frames: list[tuple[DataFrame, list[tuple[int, str]]]], ranks: dict
                 wanted[r.column].append(r.prefix)
         counters = sum(map(len, wanted.values()))
         step = bits or max(6, min(MOST_BITS, int(math.log2(COUNTER_BYTES / 24 / counters))))
-        bins = reduce(DataFrame.unionByName, [_histogram(df, cs, wanted, known, step) for df, cs in frames if any(i in wanted for i, _ in cs)])
+        bins = _counted_histogram(counted, wanted, known, step, within) if counted is not None else reduce(DataFrame.unionByName, [_histogram(df, cs, wanted, known, step) for df, cs in frames if any(i in wanted for i, _ in cs)])
         bins = bins.groupBy("column", "prefix", "bin").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         upto = F.sum("n").over(Window.partitionBy("column", "prefix").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
         asked = spark.createDataFrame([(r.column, wanted[r.column].index(r.prefix), r.rank) for r in open_], "column INT, prefix INT, rank LONG")
         hits = (bins.withColumn("upto", upto).join(F.broadcast(asked), ["column", "prefix"])  # a few ranks a column
                     .where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))).collect())
         following: dict[Rank, int] = {}
+        within = {}
         for h in hits:
             prefix = wanted[h.column][h.prefix]
             first = open_[Rank(h.column, prefix, h.rank)]
             if h.lo == h.hi:
                 found[h.column, first] = value_of(h.lo + (1 << 63))
             else:
+                low, high = value_of(h.lo + (1 << 63)), value_of(h.hi + (1 << 63))
+                was = within.get(h.column, (low, high))
+                within[h.column] = min(low, was[0]), max(high, was[1])
                 taken = min(step, 64 - known[h.column])
                 following[Rank(h.column, prefix << taken | h.bin, h.rank - (h.upto - h.n))] = first
         known = {c: min(64, k + step) for c, k in known.items()}
@@ -145,10 +189,10 @@ def values_at(frames: list[tuple[DataFrame, list[tuple[int, str]]]], ranks: dict
 
 
 def quantiles(frames: list[tuple[DataFrame, list[tuple[int, str]]]], counts: dict[int, int], probs: tuple[float, ...] = (0.25, 0.75),
-              bits: int | None = None, ends: dict[int, tuple[float, float]] | None = None) -> dict[int, tuple[float, ...]]:
+              bits: int | None = None, ends: dict[int, tuple[float, float]] | None = None, counted: DataFrame | None = None) -> dict[int, tuple[float, ...]]:
     """column -> its quantiles, interpolated like ``numpy.percentile``.
     ``counts`` are the numbers of non-null, non-NaN values; columns of none are
-    left out.  ``ends`` as for ``values_at``."""
+    left out.  ``ends`` and ``counted`` as for ``values_at``."""
     places: dict[int, list[tuple[int, int, float]]] = {}
     for c, n in counts.items():
         if n > 0:
@@ -158,7 +202,7 @@ def quantiles(frames: list[tuple[DataFrame, list[tuple[int, str]]]], counts: dic
                 places.setdefault(c, []).append((lo, min(lo + 1, n - 1), h - lo))
     if not places:
         return {}
-    at = values_at(frames, {c: sorted({r for a, b, _ in e for r in (a, b)}) for c, e in places.items()}, bits, ends)
+    at = values_at(frames, {c: sorted({r for a, b, _ in e for r in (a, b)}) for c, e in places.items()}, bits, ends, counted)
 
     def between(a: float, b: float, t: float) -> float:
         # numpy's lerp: a + (b-a)t below t = 0.5, b - (b-a)(1-t) from 0.5 up

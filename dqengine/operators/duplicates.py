@@ -7,7 +7,9 @@ equal rows, so the rows of digests that occur more than once (and only these) ar
 counted again by their whole keys, long texts by prefix and SHA-256.
 
 The repeated digests are broadcast up to ``BROADCAST_DIGESTS`` of them (their
-number is known then); beyond, both sides are joined by a shuffle on the digest.
+number is known then).  Beyond, rows pass a filter of fixed size first (``WORDS`` words,
+three bits for each repeated digest, broadcast), which loses no repeated row, and
+what it lets through is joined by a shuffle on the digest.
 """
 
 from __future__ import annotations
@@ -23,6 +25,10 @@ from ..session import materialize, stage_dir
 
 #: Of 16 bytes each.
 BROADCAST_DIGESTS = 500_000
+#: Of 64 bits each.
+WORDS = 1 << 19
+_SLOT = f"pmod(d1, {WORDS}L)"
+_BITS = " | ".join(f"shiftleft(1L, cast(shiftright(d2, {at}) & 63 AS INT))" for at in (0, 6, 12))
 
 
 def _keys(kept: list[ColumnSpec]) -> list[Column]:
@@ -47,21 +53,27 @@ def duplicates_of(parts: list[tuple[DataFrame, list[ColumnSpec], str]], digest=r
     found = dict.fromkeys((name for _, _, name in parts), 0)
     if work:
         marked = []
-        for df, kept, name in work:
+        for i, (df, kept, _) in enumerate(work):
             d1, d2 = digest(_keys(kept))
-            marked.append(df.select(F.lit(name).alias("dataset"), d1.alias("d1"), d2.alias("d2")))
+            marked.append(df.select(F.lit(i).alias("dataset"), d1.alias("d1"), d2.alias("d2")))
         counted = reduce(DataFrame.unionByName, marked).groupBy("dataset", "d1", "d2").agg(F.count(F.lit(1)).alias("n"))
         again = materialize(counted.where("n > 1").select("dataset", "d1", "d2"), f"{stage_dir(spark)}/again")
         repeated = {r.dataset: r.digests for r in again.groupBy("dataset").agg(F.count(F.lit(1)).alias("digests")).collect()}
         exact = []
-        for df, kept, name in work:
-            if name not in repeated:
+        for i, (df, kept, name) in enumerate(work):
+            if i not in repeated:
                 continue
             keys = _keys(kept)
             d1, d2 = digest(keys)
-            own = again.where(F.col("dataset") == name).select("d1", "d2")
-            own = F.broadcast(own) if repeated[name] <= BROADCAST_DIGESTS else own.hint("merge")
-            rows = df.select(*keys, d1.alias("d1"), d2.alias("d2")).join(own, ["d1", "d2"], "left_semi")
+            own = again.where(F.col("dataset") == i).select("d1", "d2")
+            rows = df.select(*keys, d1.alias("d1"), d2.alias("d2"))
+            if repeated[i] <= BROADCAST_DIGESTS:
+                own = F.broadcast(own)
+            else:
+                words = own.groupBy(F.expr(_SLOT).alias("slot")).agg(F.bit_or(F.expr(_BITS)).alias("word"))
+                rows = rows.withColumn("slot", F.expr(_SLOT)).join(F.broadcast(words), "slot").where(f"(word & ({_BITS})) = ({_BITS})")
+                own = own.hint("merge")
+            rows = rows.join(own, ["d1", "d2"], "left_semi")
             exact.append(rows.groupBy(*[f"k{s.pos}" for s in kept]).count().agg(F.sum(F.col("count") - 1).alias("n")).select(F.lit(name).alias("dataset"), "n"))
         if exact:
             found |= {r.dataset: r.n or 0 for r in reduce(DataFrame.unionByName, exact).collect()}

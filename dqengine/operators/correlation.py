@@ -4,14 +4,16 @@ ranking (K2).
 Rows with a null or NaN in *any* numeric column are dropped first (listwise
 deletion, like ``pandas.dropna``).  One pass over the complete rows adds up, for
 each column, rows, shifted sums, least and greatest value, and for each pair the
-products of shifted values, one matrix product for each Arrow batch.  All of these
+products of shifted values.  All of these
 are plain sums that merge in any order; a column's shift is its mean over the
 table, or over some first rows where that is not known yet.  The shift changes no
 result: a shift within a few deviations of the true mean keeps the sums stable,
 and r is (S_ab - S_a S_b / n) / sqrt(...).
 
-Wide tables are cut into tiles of ``TILE`` columns: a task holds the products of
-one pair of tiles (8 MB), and each pair of tiles is a scan of its columns.  Pairs
+Up to ``NARROW`` columns these sums are one plain aggregate; moving every cell into
+Python costs more than adding it up.  Wider tables go
+through the matrix products and are cut into tiles of ``TILE`` columns: a task holds
+the products of one pair of tiles (8 MB), and each pair of tiles is a scan of its columns.  Pairs
 stay distributed rows.
 
 A pair is skipped when either column is constant on the complete rows
@@ -37,6 +39,8 @@ from ..session import materialize, stage_dir
 PAIR_SCHEMA = "dataset STRING, i INT, j INT, col1 STRING, col2 STRING, r DOUBLE"
 #: Columns whose products with as many others a task holds.
 TILE = 1024
+#: Columns up to which the sums are a plain aggregate.
+NARROW = 12
 #: Complete rows that give the shifts where no means are known.
 SHIFT_ROWS = 1000
 
@@ -46,11 +50,24 @@ def complete_rows(df: DataFrame, numeric: list[ColumnSpec]) -> DataFrame:
     return positional(df).select(*[s.col.cast("double") for s in numeric]).na.drop(how="any")
 
 
+def _plain_moments(clean: DataFrame, shifts: np.ndarray) -> DataFrame:
+    """``co_moments`` of few columns, added up by Spark."""
+    x = [F.col(c) for c in clean.columns]
+    y = [c - F.lit(float(at)) for c, at in zip(x, shifts, strict=True)]
+    none = F.lit(None).cast("double")
+    cells = [(a, -1, F.sum(y[a]), F.min(x[a]), F.max(x[a])) for a in range(len(x))]
+    cells += [(a, b, F.sum(y[a] * y[b]), none, none) for a in range(len(x)) for b in range(a, len(x))]
+    rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count(F.lit(1)).alias("n"), s.alias("s"), lo.alias("lo"), hi.alias("hi")) for a, b, s, lo, hi in cells]
+    return clean.agg(F.array(*rows).alias("rows")).select(F.inline("rows")).where("n > 0")
+
+
 def co_moments(clean: DataFrame, shifts: np.ndarray, tile: int = TILE) -> DataFrame:
     """(a, b, n, s, lo, hi): for columns a < b the sum of products of their
     shifted values; for a = b the sum of squares; and with b = -1 the rows, shifted
     sum, least and greatest value of column a."""
     k = len(shifts)
+    if k <= min(NARROW, tile):
+        return _plain_moments(clean, shifts)
     cuts = [(at, min(at + tile, k)) for at in range(0, k, tile)]
     names = clean.columns
 

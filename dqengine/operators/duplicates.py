@@ -1,15 +1,18 @@
 """Duplicate rows (A8): rows minus distinct rows, nulls equal.
 
-Rows are counted by a 128-bit digest first: 24 bytes a row travel, whatever the
-number and width of the columns, and a row that repeats a third of the table is
+Rows are counted by a 64-bit digest first: 8 bytes a row and a count travel, whatever
+the number and width of the columns, and a row that repeats a third of the table is
 one row for each map task after the partial count.  Equal digests do not prove
 equal rows, so the rows of digests that occur more than once (and only these) are
-counted again by their whole keys, long texts by prefix and SHA-256.
+counted again by their whole keys, long texts by prefix and SHA-256.  Different rows
+of one digest (one pair in 6 billion rows, on average) cost that second look, no more.
 
 The repeated digests are broadcast up to ``BROADCAST_DIGESTS`` of them (their
 number is known then).  Beyond, rows pass a filter of fixed size first (``WORDS`` words,
 three bits for each repeated digest, broadcast), which loses no repeated row, and
-what it lets through is joined by a shuffle on the digest.
+what it lets through is joined by a shuffle on the digest (an inner join, as each digest
+stands once: the optimizer would push a semi join below the filter, and all rows would
+be shuffled).
 """
 
 from __future__ import annotations
@@ -23,12 +26,12 @@ from pyspark.sql import types as T
 from ..functions.keys import ColumnSpec, positional, row_key
 from ..session import materialize, stage_dir
 
-#: Of 16 bytes each.
+#: Of 8 bytes each.
 BROADCAST_DIGESTS = 500_000
 #: Of 64 bits each.
 WORDS = 1 << 19
-_SLOT = f"pmod(d1, {WORDS}L)"
-_BITS = " | ".join(f"shiftleft(1L, cast(shiftright(d2, {at}) & 63 AS INT))" for at in (0, 6, 12))
+_SLOT = f"pmod(d1, {WORDS}L)"  # the low bits; the word's bits come from others
+_BITS = " | ".join(f"shiftleft(1L, cast(shiftright(d1, {at}) & 63 AS INT))" for at in (24, 36, 48))
 
 
 def _keys(kept: list[ColumnSpec]) -> list[Column]:
@@ -37,11 +40,16 @@ def _keys(kept: list[ColumnSpec]) -> list[Column]:
             for s in kept]
 
 
-def row_digest(keys: list[Column]) -> tuple[Column, Column]:
-    """Two 64-bit hashes of a row; hashes skip nulls, so which keys are null is
-    hashed too."""
-    nulls = F.concat(*[F.when(k.isNull(), F.lit("1")).otherwise(F.lit("0")) for k in keys])
-    return F.xxhash64(nulls, *keys), F.xxhash64(F.lit("second"), *keys, nulls)
+def row_digest(keys: list[Column]) -> Column:
+    """A 64-bit hash of a row; hashes skip nulls, so which keys are null is hashed too."""
+    masks = [reduce(Column.bitwiseOR, [F.when(k.isNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, k in enumerate(keys[at:at + 30])])
+             for at in range(0, len(keys), 30)]
+    return F.xxhash64(*masks, *keys)
+
+
+def _digest(digest, keys: list[Column]) -> Column:
+    found = digest(keys)
+    return F.xxhash64(*found) if isinstance(found, tuple) else found
 
 
 def duplicates_of(parts: list[tuple[DataFrame, list[ColumnSpec], str]], digest=row_digest) -> DataFrame:
@@ -54,26 +62,24 @@ def duplicates_of(parts: list[tuple[DataFrame, list[ColumnSpec], str]], digest=r
     if work:
         marked = []
         for i, (df, kept, _) in enumerate(work):
-            d1, d2 = digest(_keys(kept))
-            marked.append(df.select(F.lit(i).alias("dataset"), d1.alias("d1"), d2.alias("d2")))
-        counted = reduce(DataFrame.unionByName, marked).groupBy("dataset", "d1", "d2").agg(F.count(F.lit(1)).alias("n"))
-        again = materialize(counted.where("n > 1").select("dataset", "d1", "d2"), f"{stage_dir(spark)}/again")
+            marked.append(df.select(F.lit(i).alias("dataset"), _digest(digest, _keys(kept)).alias("d1")))
+        counted = reduce(DataFrame.unionByName, marked).groupBy("dataset", "d1").agg(F.count(F.lit(1)).alias("n"))
+        again = materialize(counted.where("n > 1").select("dataset", "d1"), f"{stage_dir(spark)}/again")
         repeated = {r.dataset: r.digests for r in again.groupBy("dataset").agg(F.count(F.lit(1)).alias("digests")).collect()}
         exact = []
         for i, (df, kept, name) in enumerate(work):
             if i not in repeated:
                 continue
             keys = _keys(kept)
-            d1, d2 = digest(keys)
-            own = again.where(F.col("dataset") == i).select("d1", "d2")
-            rows = df.select(*keys, d1.alias("d1"), d2.alias("d2"))
+            own = again.where(F.col("dataset") == i).select("d1")
+            rows = df.select(*keys, _digest(digest, keys).alias("d1"))
             if repeated[i] <= BROADCAST_DIGESTS:
                 own = F.broadcast(own)
             else:
                 words = own.groupBy(F.expr(_SLOT).alias("slot")).agg(F.bit_or(F.expr(_BITS)).alias("word"))
                 rows = rows.withColumn("slot", F.expr(_SLOT)).join(F.broadcast(words), "slot").where(f"(word & ({_BITS})) = ({_BITS})")
                 own = own.hint("merge")
-            rows = rows.join(own, ["d1", "d2"], "left_semi")
+            rows = rows.join(own, "d1")  # a digest stands once there
             exact.append(rows.groupBy(*[f"k{s.pos}" for s in kept]).count().agg(F.sum(F.col("count") - 1).alias("n")).select(F.lit(name).alias("dataset"), "n"))
         if exact:
             found |= {r.dataset: r.n or 0 for r in reduce(DataFrame.unionByName, exact).collect()}

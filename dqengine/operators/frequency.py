@@ -4,12 +4,12 @@ It is the shared intermediate of the profiler.  Distinct counts (A3), top
 values (K1), class counts (A12), exact quantiles (A5) and outlier counts (A6)
 are all derived from it without touching the input again.
 
-Plan: numeric columns are grouped one by one, each scan reading its column only,
-so that a column of many values does not push those of few out of a task's hash
-table; other columns go through ``Expand`` (unpivot) -> partial ``HashAggregate``
-on the map side -> one shuffle on (pos, key) -> final ``HashAggregate``.  The map-side partial
-aggregate collapses hot values before the shuffle, so a value that holds a
-third of all rows costs one row per map task, not a third of the shuffle.
+Plan: columns are grouped one by one, each scan reading its column only, so that a
+column of many values does not push those of few out of a task's hash table.  The
+map-side partial aggregate collapses hot values before the shuffle, so a value that
+holds a third of all rows costs one row per map task, not a third of the shuffle.
+Times, dates and booleans are grouped by their own value, and only what is left is
+shown as text and grouped by that (times an hour apart may be shown alike).
 Long strings travel as ``prefix || sha256`` (functions/keys.py).
 
 Numeric values are grouped by their typed value (a long for integral types,
@@ -34,6 +34,8 @@ FREQ_SCHEMA = "pos INT, key STRING, dval DOUBLE, cnt BIGINT"
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FLOATING = (T.FloatType, T.DoubleType)
+#: Types whose values are of fixed size and longer as text.
+_BRIEF = (T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def _number(df: DataFrame, spec: ColumnSpec) -> DataFrame:
@@ -50,6 +52,16 @@ def _number(df: DataFrame, spec: ColumnSpec) -> DataFrame:
     return counted.select(F.lit(spec.pos).alias("pos"), F.lit(None).cast("string").alias("key"), F.col("v").cast("double").alias("dval"), "cnt")
 
 
+def _text(df: DataFrame, spec: ColumnSpec) -> DataFrame:
+    """The values of one column that is not numeric, by display key."""
+    if isinstance(spec.dt, _BRIEF):
+        values = df.select(spec.col.alias("v")).where(F.col("v").isNotNull()).groupBy("v").agg(F.count(F.lit(1)).alias("cnt"))
+        counted = values.groupBy(value_key(F.col("v"), spec.dt).alias("key")).agg(F.sum("cnt").alias("cnt"))
+    else:
+        counted = df.select(value_key(spec.col, spec.dt).alias("key")).where(F.col("key").isNotNull()).groupBy("key").agg(F.count(F.lit(1)).alias("cnt"))
+    return counted.select(F.lit(spec.pos).alias("pos"), "key", F.lit(None).cast("double").alias("dval"), "cnt")
+
+
 def frequency_table(df: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
     """(pos, key, dval, cnt) over the non-null values of ``specs``.
 
@@ -61,10 +73,5 @@ def frequency_table(df: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
     if not specs:
         return df.sparkSession.createDataFrame([], FREQ_SCHEMA)
     tables = [_number(df, s) for s in specs if s.kind == NUMERIC]
-    texts = [s for s in specs if s.kind != NUMERIC]
-    if texts:
-        cells = df.select(*[F.struct(F.lit(s.pos).alias("pos"), value_key(s.col, s.dt).alias("key")).alias(f"c{s.pos}") for s in texts])
-        flat = cells.unpivot([], [f"c{s.pos}" for s in texts], "variable", "cell").select("cell.*").where(F.col("key").isNotNull())
-        counted = flat.groupBy("pos", "key").agg(F.count(F.lit(1)).alias("cnt"))
-        tables.append(counted.select("pos", "key", F.lit(None).cast("double").alias("dval"), "cnt"))
+    tables += [_text(df, s) for s in specs if s.kind != NUMERIC]
     return reduce(DataFrame.unionByName, tables)

@@ -13,7 +13,12 @@ pass (for most columns the sign and most of the exponent).
 Nothing is sorted, written or shuffled but histograms: a task sends the bins it
 has seen, at most ``2 ** bits`` for each wanted prefix.  ``bits`` is chosen so
 that a task's counters stay within ``COUNTER_BYTES`` whatever the number of
-columns (wide tables take more passes of fewer bits).  The driver sees four rows
+columns (wide tables take more passes of fewer bits).
+
+Counted values whose ends are known are looked at in bins of equal width first, in
+plain SQL: each round cuts the stretch that holds a rank into ``WIDTHS`` bins and goes
+on with the least and greatest value of its bin.  A column that is not done after
+``ROUNDS`` rounds (values of very different size) is left to the bits.  The driver sees four rows
 a column and pass: the bins that hold the ranks floor(h) and floor(h) + 1,
 h = (n - 1) p, of the two quartiles.
 """
@@ -32,6 +37,9 @@ from pyspark.sql import functions as F
 
 COUNTER_BYTES = 64 << 20
 MOST_BITS = 16
+#: Bins of equal width in a stretch, and rounds of them.
+WIDTHS = 4096
+ROUNDS = 3
 _TOP = np.uint64(1 << 63)
 BINS = "column INT, prefix INT, bin INT, n LONG, lo LONG, hi LONG"
 
@@ -136,6 +144,40 @@ def _counted_histogram(table: DataFrame, wanted: dict[int, list[int]], known: di
     return cells.mapInArrow(run, BINS)
 
 
+def _by_width(counted: DataFrame, ranks: dict[int, list[int]], ends: dict[int, tuple[float, float]]) -> dict[tuple[int, int], float]:
+    """(column, rank) -> value of the columns that rounds of equal widths settle.
+
+    A bin's number never falls while the value rises (each step of its formula keeps
+    the order of doubles), so the bins of a stretch are in the order of its values."""
+    spark = counted.sparkSession
+    stretches = {c: (float(ends[c][0]), float(ends[c][1])) for c in ranks if c in ends}
+    found = {(c, r): low + 0.0 for c, (low, high) in stretches.items() if low == high for r in ranks[c]}
+    # (column, first rank) -> stretch that holds it, rank there
+    open_ = {(c, r): (low, high, r) for c, (low, high) in stretches.items() if low != high for r in ranks[c]}
+    for _ in range(ROUNDS):
+        # halves, so that no difference is beyond the greatest double
+        open_ = {k: v for k, v in open_.items() if math.isfinite(v[0]) and math.isfinite(v[1]) and v[1] / 2 - v[0] / 2 > 0}
+        if not open_:
+            break
+        places = sorted({(c, low, high) for (c, _), (low, high, _) in open_.items()})
+        number = {p: i for i, p in enumerate(places)}
+        sides = spark.createDataFrame([(c, i, low, high, high / 2 - low / 2) for (c, low, high), i in number.items()],
+                                      "column INT, stretch INT, low DOUBLE, high DOUBLE, width DOUBLE")
+        share = (F.col("value") / 2 - F.col("low") / 2) / F.col("width") * WIDTHS
+        # a few stretches a column
+        cells = counted.join(F.broadcast(sides), "column").where(F.col("value").between(F.col("low"), F.col("high")))
+        bins = cells.groupBy("stretch", F.least(share, F.lit(WIDTHS - 1.0)).cast("int").alias("bin")).agg(
+            F.sum("cnt").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+        upto = F.sum("n").over(Window.partitionBy("stretch").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        asked = spark.createDataFrame([(number[c, low, high], c, first, r) for (c, first), (low, high, r) in open_.items()],
+                                      "stretch INT, column INT, first LONG, rank LONG")
+        hits = (bins.withColumn("upto", upto).join(F.broadcast(asked), "stretch")  # a few ranks a column
+                    .where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))).collect())
+        found |= {(h.column, h.first): h.lo for h in hits if h.lo == h.hi}
+        open_ = {(h.column, h.first): (h.lo, h.hi, h.rank - (h.upto - h.n)) for h in hits if h.lo != h.hi}
+    return found
+
+
 def values_at(frames: list[tuple[DataFrame, list[tuple[int, str]]]], ranks: dict[int, list[int]], bits: int | None = None,
               ends: dict[int, tuple[float, float]] | None = None, counted: DataFrame | None = None) -> dict[tuple[int, int], float]:
     """(column, rank) -> value, ranks from 0 among the non-null, non-NaN values.
@@ -150,6 +192,10 @@ def values_at(frames: list[tuple[DataFrame, list[tuple[int, str]]]], ranks: dict
     found: dict[tuple[int, int], float] = {}
     open_: dict[Rank, int] = {}  # -> the rank first asked for
     known: dict[int, int] = {}
+    if counted is not None:
+        settled = _by_width(counted, ranks, ends or {})
+        found |= settled
+        ranks = {c: rs for c, rs in ranks.items() if any((c, r) not in settled for r in rs)}
     for c, rs in ranks.items():
         low, high = (ends or {}).get(c, (-math.inf, math.inf))
         known[c], prefix = common_bits(low, high)

@@ -44,6 +44,15 @@ GRID = 1000
 FAN_IN = 64
 
 KEYS = ("dataset", "pos", "name", "dtype", "kind")
+_OWN = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _bare(c: Column, dt: T.DataType) -> Column:
+    """What is hashed of a value: itself where its type tells values apart (both zeros
+    are one), else the text it is shown as, which costs far more to make."""
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        return c + F.lit(0.0).cast(dt)
+    return c if isinstance(dt, _OWN) else display_value(c, dt)
 
 
 def _column_state(s: ColumnSpec) -> Column:
@@ -59,7 +68,7 @@ def _column_state(s: ColumnSpec) -> Column:
         (F.count_if(F.isnan(c)) if is_float else F.lit(0).cast("long")).alias("nans"),
         n.alias("n"), F.sum(v).alias("total"), (F.var_pop(v) * n).alias("m2"), F.min(v).alias("lo"), F.max(v).alias("hi"),
         # a sketch takes no empty string, so it gets 64-bit digests of the values
-        F.hll_sketch_agg(F.when(c.isNotNull(), F.xxhash64(display_value(c, s.dt))), F.lit(HLL_LG_K)).alias("hll"),
+        F.hll_sketch_agg(F.when(c.isNotNull(), F.xxhash64(_bare(c, s.dt))), F.lit(HLL_LG_K)).alias("hll"),
         F.kll_sketch_agg_double(v, F.lit(KLL_K)).alias("kll"))
 
 

@@ -9,7 +9,7 @@ places with the same exact Python-style rounding, text STRING/VARCHAR.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,7 +31,7 @@ from . import oracle as O
 from . import stored
 from .dirty import dirty
 from .oracle_answers import answers
-from .report import Profile, profile_many
+from .report import Profile, at_once, profile_many
 
 ALL = list(TABLES) + ["dirty"]
 
@@ -378,10 +378,12 @@ def q_sketch_profile(spark, sf_dir):
     the exact profile."""
     root = stage_dir(spark)
     tables = {t: frame(spark, sf_dir, t) for t in ALL}
-    for t, df in tables.items():
-        half = F.pmod(F.xxhash64(*df.columns), F.lit(2))
-        for i in (0, 1):
-            add_batch(state_of(df.where(half == i), t), root, f"{t} {i}")
+
+    def add(t: str, i: int) -> None:
+        half = F.pmod(F.xxhash64(*tables[t].columns), F.lit(2))
+        add_batch(state_of(tables[t].where(half == i), t), root, f"{t} {i}")
+
+    at_once([partial(add, t, i) for t in ALL for i in (0, 1)])
     a = approximate(merged(stored_states(spark, root))).alias("a")
     exact = profile_many(tables).columns.select("dataset", "pos", F.col("unique_count").alias("u"), F.col("q1").alias("e1"), F.col("q3").alias("e3"))
     near = F.abs(F.col("distinct_estimate") - F.col("u")) <= F.col("u") * DISTINCT_ERROR

@@ -3,8 +3,8 @@
 ``profile(df, name)`` and ``profile_many({name: df})`` return a ``Profile``: a
 bundle of DataFrames keyed by ``dataset``, each computed when it is asked for.
 Whatever the number of columns, a dataset is read once for each of: the wide
-aggregate, the frequency table, the long texts among the top values, the two
-passes of the pair moments, the duplicates; everything after that is
+aggregate, the values of each column, the long texts among the top values, the
+pair moments, the duplicates; everything after that is
 O(columns) rows.  The per-dataset pieces are unioned before the rules run, so
 flags, recommendations, scores and report rows of many datasets come from one
 plan.
@@ -80,7 +80,7 @@ class Pieces:
         self.df = Placed(placed.select(*[s.col for s in self.stats.kept]))
 
 
-def _at_once(work: list) -> list:
+def at_once(work: list) -> list:
     """Calls that are independent of each other, a few at a time: their Spark
     jobs share the cluster, stages of one fill the slots another leaves idle."""
     with ThreadPoolExecutor(max_workers=min(4, len(work))) as ex:
@@ -103,8 +103,9 @@ class Profile:
     """All outputs of the profiler for a set of datasets.
 
     Each output is a table with rows for every dataset.  It is computed when
-    it is first asked for, and only then; the three distributed ones (columns,
-    correlations, duplicates) are O(columns) rows and read back from Parquet.
+    it is first asked for, and only then; those that others are made of (columns,
+    correlations, flags, summary) and the reports are O(columns) rows, written once
+    and read back from Parquet, so that plans over them stay small.
     """
 
     def __init__(self, spark: SparkSession, pieces: list[Pieces]):
@@ -120,7 +121,7 @@ class Profile:
         still to be computed (of few datasets; of many, one after another)."""
         todo = [n for n in names if n not in self.__dict__]
         if len(todo) > 1 and len(self.pieces) <= SIDE_BY_SIDE:
-            _at_once([partial(getattr, self, n) for n in todo])
+            at_once([partial(getattr, self, n) for n in todo])
 
     @cached_property
     def columns(self) -> DataFrame:
@@ -147,7 +148,7 @@ class Profile:
     @cached_property
     def flags(self) -> DataFrame:
         self._together("columns", "correlations")
-        return bias_flags(self.columns, self.correlations, self.no_columns)
+        return self._result("flags", bias_flags(self.columns, self.correlations, self.no_columns))
 
     @cached_property
     def no_columns(self) -> DataFrame:
@@ -178,7 +179,7 @@ class Profile:
         s = self.base.join(F.broadcast(counts), "dataset", "left").fillna(0, ["duplicate_rows", "outlier_count", "flag_count"])
         args = [F.col("missing_pct"), F.col("duplicate_rows"), F.col("total_rows"),
                 F.col("outlier_count"), F.col("dropped_count"), F.col("flag_count")]
-        return s.select(
+        return self._result("summary", s.select(
             "dataset", "total_rows", "total_columns", "missing_cells", "missing_cells_exact",
             "missing_pct", F.col("duplicate_rows").cast("long").alias("duplicate_rows"),
             F.col("outlier_count").cast("long").alias("outlier_count"),
@@ -187,17 +188,17 @@ class Profile:
             health_score(*args).alias("health_score"),
             completeness_score(F.col("missing_pct")).alias("completeness_score"),
             consistency_score(F.col("duplicate_rows"), F.col("total_rows")).alias("consistency_score"),
-            noise_score(F.col("outlier_count"), F.col("total_rows")).alias("noise_score"))
+            noise_score(F.col("outlier_count"), F.col("total_rows")).alias("noise_score")))
 
     def reports(self) -> DataFrame:
         """One row per dataset in the report shape of SURVEY §1.4."""
-        summary = self._result("summary", self.summary)
+        summary = self.summary
         parts = {"s": summary.select("dataset", F.struct(*[c for c in summary.columns if c != "dataset"]).alias("s")),
                  "c": self.columns.select("dataset", F.struct("pos", "name", "dtype", "missing_pct", "unique_count", "mean", "std", "min", "max",
                                                               "outlier_pct", "outlier_count", "top_values").alias("c")),
                  "k": self.correlations.select("dataset", F.struct("rank", "col1", "col2", "value").alias("k")),
                  "f": self.flags.select("dataset", F.struct("seq", "message").alias("f")),
-                 "r": recommendations(summary, self.columns, self.correlations, self.dropped).select("dataset", F.struct("seq", "message").alias("r")),
+                 "r": self.recommendations.select("dataset", F.struct("seq", "message").alias("r")),
                  "d": self.dropped.select("dataset", F.struct("pos", "name", "reason").alias("d"))}
         # all parts in one grouping instead of a join for each
         rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts.values())
@@ -207,7 +208,7 @@ class Profile:
         def strip(arr, fields):
             return F.coalesce(F.transform(arr, lambda x: F.struct(*[x[f].alias(f) for f in fields])),
                               F.array())
-        return j.select(
+        return self._result("reports", j.select(
             "dataset", "health_score", "total_rows", "total_columns", "missing_cells", "missing_pct",
             "duplicate_rows", "outlier_count", "completeness_score", "consistency_score", "noise_score",
             strip(F.col("c"), ["name", "dtype", "missing_pct", "unique_count", "mean", "std", "min",
@@ -216,7 +217,7 @@ class Profile:
             F.coalesce(F.transform("f", lambda x: x["message"]), F.array().cast("array<string>")).alias("bias_flags"),
             F.coalesce(F.transform("r", lambda x: x["message"]), F.array().cast("array<string>")).alias("recommendations"),
             strip(F.col("d"), ["name", "reason"]).alias("dropped_columns"),
-            "missing_cells_exact")
+            "missing_cells_exact"))
 
 
 def profile(df: DataFrame, name: str) -> Profile:
@@ -227,4 +228,4 @@ def profile_many(frames: dict[str, DataFrame]) -> Profile:
     """Profile several datasets; their driver steps are independent and run a
     few at a time."""
     spark = next(iter(frames.values())).sparkSession
-    return Profile(spark, _at_once([partial(Pieces, df, n) for n, df in frames.items()]))
+    return Profile(spark, at_once([partial(Pieces, df, n) for n, df in frames.items()]))

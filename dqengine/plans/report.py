@@ -43,7 +43,7 @@ def _union(dfs: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), dfs)
 
 
-#: Datasets up to which outputs are planned side by side: plans grow with the number
+#: Datasets up to which all outputs are planned side by side (of more, two are): plans grow with the number
 #: of datasets, and the driver holds all that are being planned.
 SIDE_BY_SIDE = 4
 #: Columns that one plan covers, so that what the driver plans does not grow with the
@@ -80,10 +80,10 @@ class Pieces:
         self.df = Placed(placed.select(*[s.col for s in self.stats.kept]))
 
 
-def at_once(work: list) -> list:
+def at_once(work: list, most: int = 4) -> list:
     """Calls that are independent of each other, a few at a time: their Spark
     jobs share the cluster, stages of one fill the slots another leaves idle."""
-    with ThreadPoolExecutor(max_workers=min(4, len(work))) as ex:
+    with ThreadPoolExecutor(max_workers=min(most, len(work))) as ex:
         return list(ex.map(lambda f: f(), work))
 
 
@@ -118,10 +118,10 @@ class Profile:
 
     def _together(self, *names: str) -> None:
         """Outputs that do not need each other, computed at once where they are
-        still to be computed (of few datasets; of many, one after another)."""
+        still to be computed (of few datasets all, of many two at a time)."""
         todo = [n for n in names if n not in self.__dict__]
-        if len(todo) > 1 and len(self.pieces) <= SIDE_BY_SIDE:
-            at_once([partial(getattr, self, n) for n in todo])
+        if len(todo) > 1:
+            at_once([partial(getattr, self, n) for n in todo], 4 if len(self.pieces) <= SIDE_BY_SIDE else 2)
 
     @cached_property
     def columns(self) -> DataFrame:

@@ -9,7 +9,9 @@ Work split:
   which columns later steps read;
 * numeric columns: the frequency table, grouped column by column and written once,
   gives distinct values, quartiles by radix selection (``quantiles``) and what
-  lies beyond the fences;
+  lies beyond the fences; whole numbers of many rows in a range not much wider
+  are counted by blocks of 64 numbers, and only the few blocks that hold a rank
+  are read again;
 * other columns: the frequency table, written once, gives class counts and top
   values.
 
@@ -24,7 +26,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +35,7 @@ from ..functions.keys import (NUMERIC, ColumnSpec, Placed, display_value,
                               positional, specs_of, value_key)
 from ..functions.scalar import py_round
 from ..session import materialize, stage_dir
-from .frequency import frequency_table
+from .frequency import block_of, block_table, frequency_table, integral
 from .quantiles import quantiles
 
 META_SCHEMA = T.StructType([
@@ -146,6 +148,12 @@ def base_stats(df: DataFrame | Placed, dataset: str, schema: T.StructType | None
 
 
 KEYS = ("dataset", "pos")
+#: Values from which an integral column may be counted by blocks, and how many times
+#: fewer blocks than values its range must have.
+BLOCK_VALUES = 1 << 20
+BLOCK_SAVES = 8
+#: Whole numbers below are doubles.
+_WHOLE = 1 << 53
 
 
 def _union(dfs: list[DataFrame]) -> DataFrame:
@@ -187,31 +195,45 @@ class ColumnProfiler:
     # -- numeric columns: A3, A5, A6 ----------------------------------------
     @property
     def numbers(self) -> DataFrame:
-        """(column, value, cnt) of the numeric columns, numbered through all
+        """(column, value, cnt, n_values) of the numeric columns, numbered through all
         datasets; written once.  Distinct values, quartiles and outliers come from
-        it, so the input is not read again and a value that repeats is one row."""
+        it, so the input is not read again and a value that repeats is one row.  Of
+        columns in blocks, ``value`` is the block."""
         if self._numbers is None:
-            tables = [frequency_table(Placed(df), specs).select((F.col("pos") + F.lit(at)).alias("column"), F.col("dval").alias("value"), "cnt") for at, df, specs in self._numbered()]
+            tables = []
+            for at, df, st, specs in self._numbered():
+                blocks = [s for s in specs if self._in_blocks(st, s)]
+                if single := [s for s in specs if s not in blocks]:
+                    tables.append(frequency_table(Placed(df), single).select((F.col("pos") + F.lit(at)).alias("column"), F.col("dval").alias("value"), "cnt", F.lit(1).cast("long").alias("n_values")))
+                tables += [block_table(df, s).select(F.lit(at + s.pos).alias("column"), F.col("block").cast("double").alias("value"), "cnt", "n_values") for s in blocks]
             self._numbers = materialize(_union(tables), f"{stage_dir(self.spark)}/numbers")
         return self._numbers
 
-    def _numbered(self) -> list[tuple[int, DataFrame, list[ColumnSpec]]]:
+    @staticmethod
+    def _in_blocks(st: BaseStats, s: ColumnSpec) -> bool:
+        """Whether a column's range has far fewer blocks than the column has values
+        (known from the base statistics)."""
+        low, high = st.raw_moments(s)[2:]
+        n = st.total_rows - st.null_count[s.pos]
+        return integral(s) and n >= BLOCK_VALUES and None not in (low, high) and max(-low, high) < _WHOLE and (high - low) / 64 * BLOCK_SAVES <= n
+
+    def _numbered(self) -> list[tuple[int, DataFrame, BaseStats, list[ColumnSpec]]]:
         """The datasets that have numeric columns, each with the number of its first place."""
         found, at = [], 0
         for df, st, specs in self._specs(True):
-            found.append((at, df, specs))
+            found.append((at, df, st, specs))
             at += len(st.specs)
         return found
 
     def _places(self) -> dict[int, tuple[BaseStats, ColumnSpec]]:
-        return {at + s.pos: (st, s) for (at, _, specs), (_, st, _) in zip(self._numbered(), self._specs(True), strict=True) for s in specs}
+        return {at + s.pos: (st, s) for at, _, st, specs in self._numbered() for s in specs}
 
     def numeric_distinct(self) -> dict[tuple[str, int], int]:
         """Distinct non-null values of numeric columns."""
         places = self._places()
         if not places:
             return {}
-        found = self.numbers.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()
+        found = self.numbers.groupBy("column").agg(F.sum("n_values").alias("n")).collect()
         return {(places[r.column][0].dataset, places[r.column][1].pos): r.n for r in found}
 
     def quartiles(self) -> dict[tuple[str, int], tuple[int, float, float]]:
@@ -221,25 +243,67 @@ class ColumnProfiler:
             names[at] = (st.dataset, s.pos)
             counts[at] = st.total_rows - st.null_count[s.pos] - st.nan_count[s.pos]
             if None not in (range_ := st.raw_moments(s)[2:]):
-                ends[at] = range_
-        return {names[i]: (counts[i], *q) for i, q in quantiles([], counts, ends=ends, counted=self.numbers).items()} if names else {}
+                ends[at] = tuple(float(int(x) >> 6) for x in range_) if self._in_blocks(st, s) else range_
+        return {names[i]: (counts[i], *q) for i, q in quantiles([], counts, ends=ends, counted=self.numbers, refine=self._inside).items()} if names else {}
+
+    def _inside(self, at: dict[tuple[int, int], float]) -> dict[tuple[int, int], float]:
+        """(column, rank) -> value, where ``at`` has the block of columns in blocks:
+        the rows below a block are added up, its values (64 at most) are counted."""
+        places = self._places()
+        asked = {(c, r): int(block) for (c, r), block in at.items() if self._in_blocks(*places[c])}
+        if not asked:
+            return at
+        wanted: dict[int, list[int]] = {}
+        for c, block in sorted({(c, block) for (c, _), block in asked.items()}):
+            wanted.setdefault(c, []).append(block)
+        sides = self.spark.createDataFrame([(c, float(block)) for c, blocks in wanted.items() for block in blocks], "column INT, block DOUBLE")
+        # four blocks a column at most
+        under = self.numbers.join(F.broadcast(sides), "column").where(F.col("value") < F.col("block")).groupBy("column", "block").agg(F.sum("cnt").alias("n"))
+        below = {(r.column, int(r.block)): r.n for r in under.collect()}
+        cells = [df.where(block_of(s.col).isin(wanted[first + s.pos])).groupBy(s.col.cast("long").alias("value")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(first + s.pos).alias("column"), "value", "n")
+                 for first, df, _, specs in self._numbered() for s in specs if first + s.pos in wanted]
+        inside: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for r in sorted(_union(cells).collect(), key=lambda r: r.value):
+            inside.setdefault((r.column, r.value >> 6), []).append((r.value, r.n))
+        found = dict(at)
+        for (c, rank), block in asked.items():
+            upto = below.get((c, block), 0)
+            for value, n in inside[c, block]:
+                upto += n
+                if rank < upto:
+                    found[c, rank] = float(value)
+                    break
+        return found
 
     def outliers(self) -> dict[tuple[str, int], tuple[int, float, float, int, float]]:
         """n, q1, q3, outlier count and percentage of numeric columns: one
-        aggregate of the counted values, with the fences as literals."""
+        aggregate of the counted values, with the fences as literals (of the input,
+        for columns in blocks)."""
         found = {k: (*v, 0, 0.0) for k, v in self.quartiles().items()}
-        places, beyond = self._places(), []
+        places = self._places()
+        fences: dict[int, tuple[float, float]] = {}
         for at, (st, s) in places.items():
             n, q1, q3, *_ = found.get((st.dataset, s.pos), (0, 0.0, 0.0))
             iqr = q3 - q1
             # infinite quartiles make the range NaN: comparisons with NaN are false in the reference
             if n < C.MIN_IQR_VALUES or iqr == 0 or math.isnan(iqr):
                 continue
-            x = F.col("value")
-            beyond.append((F.col("column") == at) & ((x < q1 - C.OUTLIER_IQR_FACTOR * iqr) | (x > q3 + C.OUTLIER_IQR_FACTOR * iqr)))
-        if beyond:
-            out = self.numbers.where(~F.isnan("value") & reduce(lambda a, b: a | b, beyond))
-            for r in out.groupBy("column").agg(F.sum("cnt").alias("n")).collect():
+            fences[at] = (q1 - C.OUTLIER_IQR_FACTOR * iqr, q3 + C.OUTLIER_IQR_FACTOR * iqr)
+
+        def beyond(x: Column, at: int) -> Column:
+            return (x < fences[at][0]) | (x > fences[at][1])
+
+        tables = []
+        if counted := [(F.col("column") == at) & beyond(F.col("value"), at) for at in fences if not self._in_blocks(*places[at])]:
+            out = self.numbers.where(~F.isnan("value") & reduce(lambda a, b: a | b, counted))
+            tables.append(out.groupBy("column").agg(F.sum("cnt").alias("n")))
+        for first, df, st, specs in self._numbered():
+            blocks = [s for s in specs if first + s.pos in fences and self._in_blocks(st, s)]
+            if blocks:
+                sums = [F.struct(F.lit(first + s.pos).alias("column"), F.count_if(beyond(s.col.cast("double"), first + s.pos)).alias("n")) for s in blocks]
+                tables.append(df.agg(F.array(*sums).alias("sums")).select(F.inline("sums")).where("n > 0"))
+        if tables:
+            for r in _union(tables).collect():
                 st, s = places[r.column]
                 n, q1, q3, *_ = found[st.dataset, s.pos]
                 found[st.dataset, s.pos] = (n, q1, q3, r.n, _py_round(r.n / n * 100, 2))

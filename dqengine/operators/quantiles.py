@@ -26,7 +26,7 @@ h = (n - 1) p, of the two quartiles.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -235,10 +235,12 @@ def values_at(frames: list[tuple[DataFrame, list[tuple[int, str]]]], ranks: dict
 
 
 def quantiles(frames: list[tuple[DataFrame, list[tuple[int, str]]]], counts: dict[int, int], probs: tuple[float, ...] = (0.25, 0.75),
-              bits: int | None = None, ends: dict[int, tuple[float, float]] | None = None, counted: DataFrame | None = None) -> dict[int, tuple[float, ...]]:
+              bits: int | None = None, ends: dict[int, tuple[float, float]] | None = None, counted: DataFrame | None = None,
+              refine: Callable[[dict[tuple[int, int], float]], dict[tuple[int, int], float]] | None = None) -> dict[int, tuple[float, ...]]:
     """column -> its quantiles, interpolated like ``numpy.percentile``.
     ``counts`` are the numbers of non-null, non-NaN values; columns of none are
-    left out.  ``ends`` and ``counted`` as for ``values_at``."""
+    left out.  ``ends`` and ``counted`` as for ``values_at``; ``refine`` turns what that
+    finds into values where ``counted`` has something coarser."""
     places: dict[int, list[tuple[int, int, float]]] = {}
     for c, n in counts.items():
         if n > 0:
@@ -249,6 +251,8 @@ def quantiles(frames: list[tuple[DataFrame, list[tuple[int, str]]]], counts: dic
     if not places:
         return {}
     at = values_at(frames, {c: sorted({r for a, b, _ in e for r in (a, b)}) for c, e in places.items()}, bits, ends, counted)
+    if refine:
+        at = refine(at)
 
     def between(a: float, b: float, t: float) -> float:
         # numpy's lerp: a + (b-a)t below t = 0.5, b - (b-a)(1-t) from 0.5 up

@@ -51,6 +51,8 @@ SIDE_BY_SIDE = 4
 PLANNED = 32
 #: Estimated bytes from which an input of few splits is dealt out.
 WORTH_SPREADING = 64 << 20
+#: Times a core's even share that one task may read of an input that is left as it lies.
+UNEVEN = 2
 _PLAIN = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BinaryType)
 
 
@@ -59,7 +61,9 @@ def spread(df: DataFrame) -> DataFrame:
     row group, and every step reads it again) is written once in as many parts as
     there are cores.  Only inputs of at most one split for each core are: what is
     larger has enough tasks, what is tiny needs none.  Sizes come from the
-    optimizer's estimate; no job is started to find out."""
+    optimizer's estimate; of what is left, the rows of each task are counted (from the
+    footers of Parquet files), and an input that is dealt out evenly as it lies is
+    not written again."""
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     most = cores * int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
@@ -68,6 +72,9 @@ def spread(df: DataFrame) -> DataFrame:
         return df
     if len(df.inputFiles()) >= cores:
         return df
+    rows = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]  # one a task
+    if not rows or max(rows) * cores <= UNEVEN * sum(rows):
+        return df
     return materialize(df.repartition(cores), f"{stage_dir(spark)}/input")
 
 

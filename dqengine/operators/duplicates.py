@@ -13,6 +13,11 @@ three bits for each repeated digest, broadcast), which loses no repeated row, an
 what it lets through is joined by a shuffle on the digest (an inner join, as each digest
 stands once: the optimizer would push a semi join below the filter, and all rows would
 be shuffled).
+
+Rows that differ in one column differ.  A dataset with an integral column that base
+statistics say may be a key (no nulls, a range with room for all rows and not many more) is
+asked for that column's distinct values first, by blocks of 64 numbers: where there
+are as many as rows, no row is hashed.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ from pyspark.sql import types as T
 
 from ..functions.keys import ColumnSpec, positional, row_key
 from ..session import materialize, stage_dir
+from .frequency import block_table
 
 #: Of 8 bytes each.
 BROADCAST_DIGESTS = 500_000
@@ -52,13 +58,24 @@ def _digest(digest, keys: list[Column]) -> Column:
     return F.xxhash64(*found) if isinstance(found, tuple) else found
 
 
-def duplicates_of(parts: list[tuple[DataFrame, list[ColumnSpec], str]], digest=row_digest) -> DataFrame:
+def _told_apart(work: list[tuple[DataFrame, list[ColumnSpec], str]], keys: dict[str, tuple[ColumnSpec, int]]) -> set[str]:
+    """The datasets whose rows one column tells apart: it has as many values as they have rows."""
+    tables = [block_table(df, keys[name][0]).agg(F.sum("n_values").alias("n")).select(F.lit(name).alias("dataset"), "n") for df, _, name in work if name in keys]
+    if not tables:
+        return set()
+    return {r.dataset for r in reduce(DataFrame.unionByName, tables).collect() if r.n == keys[r.dataset][1]}
+
+
+def duplicates_of(parts: list[tuple[DataFrame, list[ColumnSpec], str]], digest=row_digest, keys: dict[str, tuple[ColumnSpec, int]] | None = None) -> DataFrame:
     """(dataset, duplicate_rows) for every (frame, kept columns, name).
 
-    A dataset without columns has none (D12)."""
+    A dataset without columns has none (D12).  ``keys``: by dataset, a kept integral column
+    without nulls that may have no value twice, and the number of rows."""
     spark = positional(parts[0][0]).sparkSession
     work = [(positional(df), kept, name) for df, kept, name in parts if kept]
     found = dict.fromkeys((name for _, _, name in parts), 0)
+    apart = _told_apart(work, keys or {})
+    work = [w for w in work if w[2] not in apart]
     if work:
         marked = []
         for i, (df, kept, _) in enumerate(work):

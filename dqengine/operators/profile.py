@@ -98,6 +98,17 @@ class BaseStats:
         """Mean, deviation, least and greatest value of a numeric column."""
         return [None if x is None or (isinstance(x, float) and math.isnan(x)) else float(x) for x in self.moments.get(s.pos, (None,) * 4)]
 
+    @property
+    def likely_key(self) -> ColumnSpec | None:
+        """An integral column that may have a value of its own in every row: no nulls, and a
+        range with room for all rows and at most ``BLOCK_SAVES`` times as many; the narrowest."""
+        found = []
+        for s in self.specs:
+            low, high = self.raw_moments(s)[2:]
+            if integral(s) and not self.null_count[s.pos] and None not in (low, high) and max(-low, high) < _WHOLE and self.total_rows <= high - low + 1 <= BLOCK_SAVES * self.total_rows:
+                found.append((high - low, s.pos))
+        return self.specs[min(found)[1]] if found else None
+
     @property
     def missing_cells(self) -> int:
         """A9, the reference's formula: truncated sum over *rounded* pcts."""

@@ -142,7 +142,8 @@ class Profile:
 
     @cached_property
     def duplicates(self) -> DataFrame:
-        return _union([duplicates_of([(p.df, p.stats.kept, p.stats.dataset) for p in g]) for g in _groups(self.pieces)])
+        keys = {p.stats.dataset: (p.stats.likely_key, p.stats.total_rows) for p in self.pieces if p.stats.likely_key}
+        return _union([duplicates_of([(p.df, p.stats.kept, p.stats.dataset) for p in g], keys=keys) for g in _groups(self.pieces)])
 
     @cached_property
     def dropped(self) -> DataFrame:
